@@ -135,9 +135,10 @@ def _exact_answer(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "shard": table["shard"], "bits": [B.pack_bits(later[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]}, schema=_ANSWER)
 
 
-def _kept(docs: pa.Table, exact_bits: pa.Table, size: int, exact: int) -> pa.Table:
+def _kept(docs: pa.Table, exact_bits: pa.Table, size: int, exact: int, carry: list[str]) -> pa.Table:
+    schema = pa.schema([*_RESULT, *(docs.schema.field(k) for k in carry)])
     if not docs.num_rows:
-        return _RESULT.empty_table()
+        return schema.empty_table()
     table, data, off, start, end, doc, at, hashes = _block_windows(docs, size)
     answers = _answers(exact_bits)
     gone = np.zeros(len(start), bool)
@@ -169,7 +170,7 @@ def _kept(docs: pa.Table, exact_bits: pa.Table, size: int, exact: int) -> pa.Tab
         keep[e[:-1]] = True  # the byte after a word becomes the joining space
         piece[e] = 32
         texts.append(piece[keep].tobytes().decode("utf-8"))
-    return pa.table({"doc_id": table["doc_id"], "n_words": n_words, "n_removed": n_gone, "kept_text": texts}, schema=_RESULT)
+    return pa.table({"doc_id": table["doc_id"], "n_words": n_words, "n_removed": n_gone, "kept_text": texts} | {k: table[k] for k in carry}, schema=schema)
 
 
 _REQUEST = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("more", pa.binary())])
@@ -178,9 +179,10 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 _REQUEST_DDL, _ANSWER_DDL = "block int, shard int, keys binary, more binary", "block int, shard int, bits binary"
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) for each row of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def remove_repeats(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) for each row of docs(doc_id, text), and the columns in `carry`."""
+    more = [k for k in carry if k not in ("doc_id", "text")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
     n, n_bytes = B.corpus_size(docs)
     bits = max(16, int(n_bytes * CELLS_A_BYTE).bit_length())
     shards = max(16, (1 << bits) // SHARD_CELLS)
@@ -190,9 +192,37 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH) -> D
     told = asked.groupBy("shard").applyInArrow(lambda t: _sketch_answer(t, bits, shards), _ANSWER_DDL)
     asked = by_block.cogroup(told.groupBy("block")).applyInArrow(lambda d, a: _exact_request(d, a, size, depth, bits, shards, exact), _REQUEST_DDL)
     told = asked.groupBy("shard").applyInArrow(_exact_answer, _ANSWER_DDL)
-    return by_block.cogroup(told.groupBy("block")).applyInArrow(lambda d, a: _kept(d, a, size, exact), "doc_id long, n_words long, n_removed long, kept_text string")
+    out = [k for k in carry if k != "doc_id"]
+    kinds = dict(docs.dtypes)
+    result = ", ".join(["doc_id long, n_words long, n_removed long, kept_text string", *(f"`{k}` {kinds[k]}" for k in out)])
+    return by_block.cogroup(told.groupBy("block")).applyInArrow(lambda d, a: _kept(d, a, size, exact, out), result)
+
+
+def rewrite(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """docs(doc_id, text, lang, source, n_chars) without repeats: untouched texts stay as they are, emptied documents go."""
+    rows = remove_repeats(docs, size, carry=("text", "lang", "source")).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    return rows.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM later
+), lost AS (
+  SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(js, k)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN lost ON d.doc_id = lost.doc_id
+"""
