@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-SAMPLES = 32
+SAMPLES, CHUNK = 32, 4
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -47,25 +47,43 @@ def with_next(docs: DataFrame, blocks: int) -> DataFrame:
     return rows.select("block", "doc_id", "text", F.row_number().over(order).alias("place"), "extra", F.lead("text").over(order).alias("next_text"))
 
 
-def sample(term: Column, k: int) -> tuple[Column, Column, Column]:
-    """(r, ln c, beta) of one term and sample: Gamma(2, 1) twice as -ln of two uniforms' product, and a uniform."""
-    h = F.xxhash64(term, F.lit(k))
+def _draws(h: Column) -> tuple[Column, Column, Column]:
+    """(r, ln c, beta) from a hash of (term, sample): Gamma(2, 1) twice as -ln of two uniforms' product, and a uniform."""
     u = lambda at, bits: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + F.lit(0.5)
-    r = -F.ln(u(0, 13) * u(13, 13) / F.lit(float(1 << 26)))
-    ln_c = F.ln(-F.ln(u(26, 13) * u(39, 13) / F.lit(float(1 << 26))))
-    return r, ln_c, u(52, 12) / F.lit(4096.0)
+    r = -F.ln(u(0, 13) * u(13, 13) * F.lit(2.0**-26))
+    return r, F.ln(-F.ln(u(26, 13) * u(39, 13) * F.lit(2.0**-26))), u(52, 12) * F.lit(2.0**-12)
 
 
-def packed(term: Column, ln_w: Column, r: Column, ln_c: Column, beta: Column) -> Column:
+def _packed(h: Column, ln_w: Column, r: Column, ln_c: Column, beta: Column) -> Column:
     t = F.floor(ln_w / r + beta)
     ln_a = ln_c - r * (t - beta + F.lit(1.0))
     high = F.shiftleft(((ln_a + F.lit(256.0)) * F.lit(float(1 << 30))).cast("long"), 24)
-    return high.bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit((1 << 24) - 1).cast("long")))
+    return high.bitwiseOR((h.bitwiseAND(F.lit((1 << 40) - 1).cast("long")) + t * F.lit(0x9E3779)).bitwiseAND(F.lit((1 << 24) - 1).cast("long")))
 
 
-def likeness(a: list[Column], b: list[Column]) -> Column:
-    equal = sum(((x == y).cast("int") for x, y in zip(a, b, strict=True)), F.lit(0))
-    return F.when(a[0].isNull() & b[0].isNull(), F.lit(1.0)).when(a[0].isNull() | b[0].isNull(), F.lit(0.0)).otherwise(equal / F.lit(float(len(a))))
+def least_samples(terms: DataFrame, samples: int) -> DataFrame:
+    """Of terms(block, place, term, ln_n, ln_m): (block, place, own, other), arrays of the samples of both weightings.
+
+    A row takes CHUNK samples at a time: so the generated loop stays small enough to be compiled, and draws
+    are columns of their own, so none is worked out twice.
+    """
+    part = terms.withColumn("j", F.explode(F.array(*map(F.lit, range(samples // CHUNK)))))
+    part = part.select("block", "place", "ln_n", "ln_m", "j", *[F.xxhash64("term", F.col("j") * CHUNK + k).alias(f"h{k}") for k in range(CHUNK)])
+    draws = {}
+    for k in range(CHUNK):
+        draws |= dict(zip((f"r{k}", f"c{k}", f"b{k}"), _draws(F.col(f"h{k}")), strict=True))
+    least = [F.min(_packed(F.col(f"h{k}"), F.col(f"ln_{x}"), F.col(f"r{k}"), F.col(f"c{k}"), F.col(f"b{k}"))).alias(f"{x}{k}") for x in "nm" for k in range(CHUNK)]
+    found = part.withColumns(draws).groupBy("block", "place", "j").agg(*least)
+    ids = lambda x: F.array(*[F.col(f"{x}{k}").bitwiseAND(F.lit((1 << 24) - 1).cast("long")) for k in range(CHUNK)])
+    whole = found.groupBy("block", "place").agg(F.sort_array(F.collect_list(F.struct("j", ids("n").alias("n"), ids("m").alias("m")))).alias("s"))
+    return whole.select("block", "place", F.flatten(F.transform("s", lambda x: x["n"])).alias("own"), F.flatten(F.transform("s", lambda x: x["m"])).alias("other"))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Share of equal samples; null, or a first sample that is null, is the set of no terms."""
+    none_a, none_b = F.coalesce(F.get(a, 0).isNull(), F.lit(True)), F.coalesce(F.get(b, 0).isNull(), F.lit(True))
+    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a).cast("double")
+    return F.when(none_a & none_b, F.lit(1.0)).when(none_a | none_b, F.lit(0.0)).otherwise(equal)
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -81,22 +99,10 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     words = both.select("block", "place", F.col("x.own").alias("own"), F.explode(F.split("x.s", SPLIT)).alias("w")).where("w <> ''")
     terms = words.select("block", "place", "own", F.xxhash64("w").alias("term")).groupBy("block", "place", "term").agg(F.sum("own").alias("n"), F.sum(1 - F.col("own")).alias("m"))
     terms = terms.select("block", "place", "term", F.ln(F.when(F.col("n") > 0, F.col("n").cast("double"))).alias("ln_n"), F.ln(F.when(F.col("m") > 0, F.col("m").cast("double"))).alias("ln_m"))
-    least = []
-    for k in range(samples):
-        r, ln_c, beta = sample(F.col("term"), k)
-        least += [F.min(packed(F.col("term"), F.col(f"ln_{x}"), r, ln_c, beta)).alias(f"{x}{k}") for x in "nm"]
-    found = terms.groupBy("block", "place").agg(*least)
-    names = [f"{x}{k}" for x in "nm" for k in range(samples)]
-    told = base.select("block", "place", "extra", "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256")).join(found, ["block", "place"], "left")
-    after = Window.partitionBy("block").orderBy("place")
-    ids = [F.col(x).bitwiseAND(F.lit((1 << 24) - 1).cast("long")).alias(x) for x in names]
-    told = told.select("block", "place", "extra", "doc_id", "n_chars", "edited_sha256", *ids)
-    own, other = ([F.col(f"{x}{k}") for k in range(samples)] for x in "nm")
-    text = lambda c: F.coalesce(F.concat(*[F.lpad(F.lower(F.hex(x)), 6, "0") for x in c]), F.lit(""))
-    follow = F.lead(F.array(*own)).over(after)
-    told = told.select("extra", "doc_id", "n_chars", "edited_sha256", text(own).alias("fingerprint"), text(other).alias("edited_fingerprint"), likeness(own, other).alias("near_edited"), F.array(*own).alias("own"), follow.alias("follow"))
-    near_next = likeness([F.get("own", F.lit(k)) for k in range(samples)], [F.get("follow", F.lit(k)) for k in range(samples)])
-    return told.where("not extra").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near_next.alias("near_next"))
+    told = base.select("block", "place", "extra", "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256")).join(least_samples(terms, samples), ["block", "place"], "left")
+    told = told.withColumn("follow", F.lead(F.coalesce("own", F.array().cast("array<bigint>"))).over(Window.partitionBy("block").orderBy("place")))
+    text = lambda c: F.when(F.get(c, 0).isNull(), F.lit("")).otherwise(F.array_join(F.transform(c, lambda x: F.lpad(F.lower(F.hex(x)), 6, "0")), ""))
+    return told.where("not extra").select("doc_id", "n_chars", "edited_sha256", F.coalesce(text("own"), F.lit("")).alias("fingerprint"), F.coalesce(text("other"), F.lit("")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("follow")).alias("near_next"))
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
