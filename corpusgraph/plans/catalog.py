@@ -1,6 +1,482 @@
-"""Queries over the driver tables, and the DuckDB SQL that each must equal."""
+"""Queries over the driver tables, and the DuckDB SQL that each must equal.
+
+The tables stand for the corpus: lineitem for reference lists, region and nation for the
+topic tree, supplier and customer for records filed under it, benchmark for topic texts,
+documents for texts, conversations for claims, labels for gold tags, events for overlays.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..functions import text as T
+from ..operators import citations, fulltext, graph, people, retrieval, review
+from ..streaming import events as streams
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _refs(spark, d):
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("ref"))
+
+
+def _topics(spark, d):
+    region = _t(spark, d, "region").select((F.col("r_regionkey") + 1).cast("string").alias("code"), F.col("r_name").alias("title"))
+    nation = _t(spark, d, "nation").select(F.concat((F.col("n_regionkey") + 1).cast("string"), F.lit("."), (F.col("n_nationkey") + 1).cast("string")).alias("code"), F.col("n_name").alias("title"))
+    return region.unionByName(nation)
+
+
+def _nation_codes(spark, d):
+    return _t(spark, d, "nation").select("n_nationkey", F.concat((F.col("n_regionkey") + 1).cast("string"), F.lit("."), (F.col("n_nationkey") + 1).cast("string")).alias("code"))
+
+
+def _filed(spark, d):
+    """Suppliers under their nation, each tenth under the region itself."""
+    s = _t(spark, d, "supplier").join(F.broadcast(_nation_codes(spark, d)), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 10 == 0, T.section(F.col("code"))).when(F.col("s_suppkey") % 17 == 0, F.lit("99.9")).otherwise(F.col("code")).alias("code"))
+
+
+def _bench(spark, d):
+    i = F.col("item_id")
+    code = F.when(i < 4, (i + 1).cast("string")).otherwise(F.concat((i % 4 + 1).cast("string"), F.lit("."), (i + 1).cast("string")))
+    return _t(spark, d, "benchmark").select(code.alias("code"), "text")
+
+
+def _texts(spark, d):
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _claims(spark, d):
+    c = _t(spark, d, "conversations")
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("conv_id").alias("resource_id"), "role", (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.array(((F.col("conv_id") % 5) + 1).cast("string"), F.lit("99.9")).alias("topic_codes"), F.lit("EXTRACTED").alias("confidence_class"), F.lit("abstract").alias("extracted_from"), F.when(F.col("turn") % 3 == 0, "reviewed").otherwise("unreviewed").alias("review_status"), F.when(F.col("turn") % 3 == 0, F.when(F.col("conv_id") % 2 == 0, "accurate").otherwise("overstated")).alias("verdict"))
+
+
+def _snapshots(spark, d):
+    doc = _t(spark, d, "documents").select(F.col("doc_id").alias("url"), F.col("source").alias("name"), F.col("lang").alias("section"), F.lit(None).cast("string").alias("subsection"), F.col("n_chars").cast("string").alias("description"), F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("r:"), F.col("doc_id"))).alias("promoted_to"))
+    before = doc.where(F.col("url") % 7 != 0)
+    after = doc.where(F.col("url") % 5 != 0).withColumn("name", F.when(F.col("url") % 11 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name"))).withColumn("promoted_to", F.lit(None).cast("string"))
+    return before, after
+
+
+def _names(spark, d):
+    """Spellings made from customer names: accents, points, hyphens."""
+    c = _t(spark, d, "customer")
+    base = F.concat(F.lit("Ana M. Müller-"), (F.col("c_custkey") % 50).cast("string"))
+    name = F.when(F.col("c_custkey") % 3 == 0, base).when(F.col("c_custkey") % 3 == 1, F.regexp_replace(base, "ü", "u")).otherwise(F.regexp_replace(base, "[.]", ""))
+    return c.select(F.col("c_nationkey").alias("id"), name.alias("name"))
+
+
+_NAMES_SQL = """names AS (SELECT c_nationkey AS id, CASE WHEN c_custkey % 3 = 0 THEN base WHEN c_custkey % 3 = 1 THEN replace(base, 'ü', 'u') ELSE replace(base, '.', '') END AS name
+  FROM (SELECT *, 'Ana M. Müller-' || c_custkey % 50 AS base FROM customer)),
+folded AS (SELECT id, name, lower(trim(regexp_replace(replace(replace(strip_accents(name), '.', ''), '-', ''), '\\s+', ' ', 'g'))) AS fold FROM names)"""
+
+_TOPICS_SQL = """topics AS (SELECT CAST(r_regionkey + 1 AS VARCHAR) AS code, r_name AS title FROM region
+  UNION ALL SELECT (n_regionkey + 1) || '.' || (n_nationkey + 1), n_name FROM nation),
+filed AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 0 THEN CAST(n_regionkey + 1 AS VARCHAR) WHEN s_suppkey % 17 = 0 THEN '99.9' ELSE (n_regionkey + 1) || '.' || (n_nationkey + 1) END AS code
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+_STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
+_TOKENS = f"list_transform(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: len(x) > 2 AND x NOT IN ({_STOP})), lambda x: regexp_replace(x, '^(.{{4,}}?)(?:{'|'.join(fixed.SUFFIXES)})$', '\\1'))"
+_BM25_SQL = f"""tt AS (SELECT CASE WHEN item_id < 4 THEN CAST(item_id + 1 AS VARCHAR) ELSE (item_id % 4 + 1) || '.' || (item_id + 1) END AS code, {_TOKENS} AS w FROM benchmark),
+td AS (SELECT code, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) AS t FROM tt),
+tf AS (SELECT code, term, count(*) AS tf FROM (SELECT code, unnest(t) AS term FROM td) GROUP BY ALL),
+st AS (SELECT count(*) AS nt, avg(len(t)) AS ml FROM td),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wt AS (SELECT tf.code, tf.term, ln(1 + (nt - df + 0.5) / (df + 0.5)) AS idf, ln(1 + (nt - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.4 + 0.6 * len(t) / ml)) AS weight
+  FROM tf JOIN df USING (term) JOIN td USING (code), st),
+dt AS (SELECT doc_id AS id, {_TOKENS} AS w FROM documents),
+dq AS (SELECT DISTINCT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS term FROM dt),
+sc AS (SELECT id, code, round(sum(weight), 6) AS score FROM dq JOIN wt USING (term) GROUP BY ALL),
+ok AS (SELECT * FROM sc WHERE score >= 4.0),
+pr AS (SELECT * FROM ok a WHERE NOT EXISTS (SELECT 1 FROM ok b WHERE b.id = a.id AND b.code LIKE a.code || '.%')),
+rk AS (SELECT id, code, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, list_transform(string_split(code, '.'), lambda x: CAST(x AS INT))) AS rank FROM pr)"""
+
+_PLAIN = "html"
+for _tag in fixed.STRIPPED_TAGS:
+    _PLAIN = f"regexp_replace({_PLAIN}, '(?is)<{_tag}\\b.*?</{_tag}>', ' ', 'g')"
+_PLAIN = f"regexp_replace({_PLAIN}, '<[^>]+>', ' ', 'g')"
+for _name, _sign in T.ENTITIES:
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+_PLAIN = f"trim(regexp_replace({_PLAIN}, '[\\s ]+', ' ', 'g'))"
+_PLAIN = f"regexp_replace(regexp_replace({_PLAIN}, '\\s+([,.;:)\\]])', '\\1', 'g'), '([(\\[])\\s+', '\\1', 'g')"
+_PLAIN = f"trim(regexp_replace({_PLAIN}, '\\(\\s*\\)|\\[\\s*\\]', '', 'g'))"
+
+_COUPLING = """r AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM lineitem),
+n AS (SELECT id, count(*) AS k FROM r GROUP BY id),
+p AS (SELECT a.id AS source, b.id AS target, count(*) AS shared FROM r a JOIN r b ON a.ref = b.ref AND a.id < b.id GROUP BY ALL HAVING count(*) >= 2),
+coupled AS (SELECT source, target, shared, round(shared / (na.k + nb.k - shared), 6) AS score FROM p JOIN n na ON na.id = source JOIN n nb ON nb.id = target)"""
+_HELD = "held AS (SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS key FROM part WHERE p_size <= 25)"
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r6(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query(f"WITH {_COUPLING} SELECT * FROM coupled")
+def bibliographic_coupling(spark, d):
+    return _r6(citations.bibliographic_coupling(_refs(spark, d)), "score")
+
+
+@query("SELECT l_partkey AS ref, count(DISTINCT l_orderkey) AS cited_by FROM lineitem GROUP BY 1")
+def co_citation_counts(spark, d):
+    return citations.co_citation_counts(_refs(spark, d))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM lineitem), n AS (SELECT ref, count(*) AS k FROM r GROUP BY ref),
+p AS (SELECT a.ref AS "left", b.ref AS "right", count(*) AS shared FROM r a JOIN r b ON a.id = b.id AND a.ref < b.ref GROUP BY ALL HAVING count(*) >= 2)
+SELECT "left", "right", shared, round(shared / least(x.k, y.k), 6) AS score FROM p JOIN n x ON x.ref = "left" JOIN n y ON y.ref = "right" """)
+def co_cited_pairs(spark, d):
+    return _r6(citations.co_cited_pairs(_refs(spark, d)), "score")
+
+
+@query("""WITH held AS (SELECT p_partkey AS id, p_partkey + 1 AS key FROM part WHERE p_size <= 25)
+SELECT DISTINCT l_orderkey AS citing, b.id AS cited FROM lineitem JOIN held a ON a.id = l_orderkey JOIN held b ON b.key = l_partkey WHERE l_orderkey <> b.id""")
+def citation_pairs(spark, d):
+    held = _t(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") + 1).alias("key"), F.col("p_partkey").alias("pos"))
+    return citations.citation_pairs(_refs(spark, d), held)
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM lineitem WHERE l_orderkey % 10 = 0), k AS (SELECT DISTINCT l_partkey AS ref FROM lineitem WHERE l_orderkey % 10 = 1),
+s AS (SELECT c.id, count(k.ref) AS shared FROM c LEFT JOIN k USING (ref) GROUP BY c.id), n AS (SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS m FROM lineitem WHERE l_orderkey % 10 = 1 GROUP BY 1)
+SELECT s.id, shared, coalesce(m, 0) AS cited_by FROM s LEFT JOIN n USING (id)""")
+def connectivity(spark, d):
+    refs = _refs(spark, d)
+    return citations.connectivity(refs.where("id % 10 = 0"), refs.where("id % 10 = 1"))
+
+
+@query(f"WITH {_COUPLING} SELECT 'o' || source AS source_id, 'o' || target AS target_id, 'SIMILAR_TO' AS relation, score FROM coupled WHERE source % 2 = 0 AND target % 2 = 0")
+def similarity_edges(spark, d):
+    resolve = _t(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.concat(F.lit("o"), "o_orderkey").alias("to"))
+    return _r6(citations.similarity_edges(_refs(spark, d), resolve), "score").select("source_id", "target_id", "relation", "score")
+
+
+@query(f"""WITH {_COUPLING}, one AS (SELECT min(source) AS id FROM coupled) SELECT CASE WHEN source = one.id THEN target ELSE source END AS other, 'coupled' AS kind, score FROM coupled, one WHERE source = one.id OR target = one.id""")
+def related_records(spark, d):
+    edges = _r6(citations.bibliographic_coupling(_refs(spark, d)), "score").select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), "score")
+    first = edges.agg(F.min("source_id").alias("m")).head()["m"]
+    none = spark.createDataFrame([], "citing long, cited long")
+    return citations.related_records(edges, none, first)
+
+
+@query("""SELECT l_partkey AS ref, count(DISTINCT l_orderkey) AS cited_by FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 3""")
+def structural_candidates(spark, d):
+    return citations.structural_candidates(_refs(spark, d), _t(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("ref")), 3)
+
+
+@query(f"WITH {_BM25_SQL} SELECT id, code, score, rank FROM rk WHERE rank <= 6")
+def bm25_classify_topk(spark, d):
+    return retrieval.TopicIndex(_bench(spark, d)).classify(_texts(spark, d))
+
+
+@query(f"WITH {_BM25_SQL} SELECT * FROM pr")
+def prune_ancestors(spark, d):
+    return retrieval.prune_ancestors(retrieval.TopicIndex(_bench(spark, d)).score(_texts(spark, d)).where("score >= 4.0"))
+
+
+@query(f"WITH {_BM25_SQL}, t AS (SELECT * FROM rk WHERE rank <= 14) SELECT id, code, score, rank, (rank <= 2 OR (rank <= 6 AND score >= 0.7 * max(score) OVER (PARTITION BY id))) AS suggested FROM t")
+def suggestion_band(spark, d):
+    return retrieval.suggestion_band(retrieval.TopicIndex(_bench(spark, d)).classify(_texts(spark, d), 14))
+
+
+@query(f"WITH {_BM25_SQL}, dw AS (SELECT DISTINCT id, unnest(w) AS term FROM dt) SELECT id, code, round(sum(weight), 6) AS score FROM dw JOIN wt USING (term) GROUP BY ALL")
+def bm25_search_without_phrases(spark, d):
+    return retrieval.TopicIndex(_bench(spark, d)).score(_texts(spark, d), phrases=False)
+
+
+@query(f"WITH {_BM25_SQL} SELECT id, code, list(term ORDER BY idf DESC, term)[1:6] AS matched FROM (SELECT id, code, term, idf FROM dq JOIN wt USING (term)) GROUP BY ALL")
+def bm25_matched_terms(spark, d):
+    return retrieval.TopicIndex(_bench(spark, d)).matched(_texts(spark, d))
+
+
+@query(f"SELECT doc_id AS id, len({_TOKENS}) AS terms, md5(array_to_string({_TOKENS}, ' ')) AS digest FROM documents")
+def tokenize(spark, d):
+    w = T.tokens(F.col("text"))
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.size(w).cast("long").alias("terms"), F.md5(F.array_join(w, " ")).alias("digest"))
+
+
+@query(f"""WITH {_TOPICS_SQL} SELECT code, title, (CASE WHEN list_contains(['uni'], 'uni') AND code LIKE '4%' THEN 6 ELSE 0 END + CASE WHEN starts_with(lower(title), 'uni') THEN 3 ELSE 0 END + CASE WHEN contains(lower(title) || ' ' || CASE WHEN code LIKE '4%' THEN 'uni' ELSE '' END, 'uni') THEN 2 ELSE 0 END) AS score FROM topics
+WHERE code LIKE '4%' OR contains(lower(title), 'uni')""")
+def search_topics(spark, d):
+    topics = _topics(spark, d).withColumns({"subpoints": F.array().cast("array<string>"), "aliases": F.when(F.col("code").startswith("4"), F.array(F.lit("Uni"))).otherwise(F.array().cast("array<string>"))})
+    return retrieval.search_topics(topics, " uni ", 100)
+
+
+@query("""SELECT p_partkey AS id, (CASE WHEN contains(lower(p_name), '1') THEN 4 ELSE 0 END + CASE WHEN contains(lower(p_brand), '#1') THEN 3 ELSE 0 END + CASE WHEN contains(lower(p_type), '#1') THEN 1 ELSE 0 END) AS score FROM part WHERE contains(lower(p_brand), '#1') OR contains(lower(p_type), '#1') OR contains(lower(p_name), '#1')""".replace("contains(lower(p_name), '1') THEN", "contains(lower(p_name), '#1') THEN"))
+def search_records(spark, d):
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.col("p_type").alias("abstract"), F.lit(None).cast("string").alias("description"))
+    return retrieval.search_records(part, "#1", None)
+
+
+def _scope_sql(text: str) -> str:
+    part = lambda terms, n: " + ".join(f"CASE WHEN contains(h, '{t}') THEN {n} ELSE 0 END" for t in terms)
+    return f"SELECT id, CASE WHEN regexp_matches(h, '{fixed.SCOPE_AGENT}') AND regexp_matches(h, '{fixed.SCOPE_ORGANIZATIONAL}') THEN 3 ELSE 0 END + {part(fixed.SCOPE_STRONG, 3)} + {part(fixed.SCOPE_SUPPORTING, 1)} + {part(fixed.SCOPE_AGAINST, -4)} AS score FROM ({text})"
+
+
+_SCOPE_WORDS = ["agent", "governance", "market", "multi-agent", "clinical", "audit", "firms", "packet", "oversight", "benchmark", "agents"]
+_SCOPE_PICK = "['" + "','".join(_SCOPE_WORDS) + "']"
+
+
+@query(_scope_sql(f"SELECT p_partkey AS id, {_SCOPE_PICK}[p_partkey % 11 + 1] || ' x ' || {_SCOPE_PICK}[p_size % 11 + 1] || ' y ' || {_SCOPE_PICK}[(p_partkey // 7) % 11 + 1] AS h FROM part"))
+def scope_score(spark, d):
+    words = F.array(*map(F.lit, _SCOPE_WORDS))
+    pick = lambda i: F.element_at(words, (i % 11 + 1).cast("int"))
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(pick(F.col("p_partkey")), F.lit(" x "), pick(F.col("p_size")), F.lit(" y")).alias("title"), pick(F.floor(F.col("p_partkey") / 7)).alias("abstract"))
+    return part.select("id", T.scope_score(F.col("title"), F.col("abstract"))["score"].alias("score"))
+
+
+@query(f"""WITH {_TOPICS_SQL}, up AS (SELECT split_part(code, '.', 1) AS code, count(DISTINCT id) AS under FROM filed WHERE contains(code, '.') GROUP BY 1), here AS (SELECT code, count(DISTINCT id) AS here FROM filed GROUP BY 1)
+SELECT coalesce(here.code, up.code) AS code, coalesce(here, 0) AS here, coalesce(under, 0) AS under FROM here FULL JOIN up ON here.code = up.code""")
+def topic_rollup(spark, d):
+    return graph.rollup(_filed(spark, d))
+
+
+@query(f"""WITH {_TOPICS_SQL} SELECT code, title, (SELECT count(*) FROM filed f WHERE f.code = t.code) AS records, (SELECT count(*) FROM topics c WHERE c.code LIKE t.code || '.%') AS children, (SELECT count(*) FROM filed f WHERE f.code LIKE t.code || '.%') AS under FROM topics t""")
+def topic_brief(spark, d):
+    return graph.topic_brief(_topics(spark, d), _filed(spark, d))
+
+
+@query(f"""WITH {_TOPICS_SQL} SELECT 'child' AS part, code AS id FROM topics WHERE code LIKE '2.%' UNION ALL SELECT 'record', CAST(id AS VARCHAR) FROM filed WHERE code = '2' UNION ALL SELECT 'below', CAST(id AS VARCHAR) FROM filed WHERE code LIKE '2.%'""")
+def get_topic(spark, d):
+    return graph.get_topic(_topics(spark, d), _filed(spark, d), "2")
+
+
+@query(f"WITH {_TOPICS_SQL} SELECT 'depth' AS kind, CAST(len(string_split(code, '.')) - 1 AS VARCHAR) AS value, count(*) AS n FROM topics GROUP BY 2 UNION ALL SELECT 'section', split_part(code, '.', 1), count(*) FROM topics GROUP BY 2")
+def taxonomy_stats(spark, d):
+    return graph.taxonomy_stats(_topics(spark, d))
+
+
+@query(f"WITH {_TOPICS_SQL} SELECT split_part(code, '.', 1) AS source_id, code AS target_id, 'PARENT_OF' AS relation FROM topics WHERE contains(code, '.')")
+def parent_edges(spark, d):
+    return graph.parent_edges(_topics(spark, d)).select("source_id", "target_id", "relation")
+
+
+@query(f"WITH {_TOPICS_SQL} SELECT CAST(id AS VARCHAR) AS source_id, code AS target_id, 'TAGGED_WITH' AS relation, 'EXTRACTED' AS confidence_class, 'curated' AS method FROM filed WHERE code IN (SELECT code FROM topics)")
+def tagged_edges(spark, d):
+    return graph.tagged_edges(_filed(spark, d), _topics(spark, d)).select("source_id", "target_id", "relation", "confidence_class", "method")
+
+
+@query(f"WITH {_TOPICS_SQL} SELECT id, list_sort(list(DISTINCT code)) AS codes FROM filed WHERE code NOT IN (SELECT code FROM topics) GROUP BY id")
+def unknown_tags(spark, d):
+    return graph.unknown_tags(_filed(spark, d), _topics(spark, d))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS source_id, conv_id || ':' || turn AS target_id, 'MAKES_CLAIM' AS relation, 'EXTRACTED' AS confidence_class FROM conversations
+UNION ALL SELECT conv_id || ':' || turn, CAST(conv_id % 5 + 1 AS VARCHAR), 'ABOUT', 'INFERRED' FROM conversations""")
+def claim_edges(spark, d):
+    return graph.claim_edges(_claims(spark, d), _topics(spark, d)).select("source_id", "target_id", "relation", "confidence_class")
+
+
+@query(f"WITH {_TOPICS_SQL} SELECT code AS id, 'target' AS side, count(*) AS n FROM filed WHERE code NOT IN (SELECT code FROM topics) GROUP BY code")
+def dangling_edges(spark, d):
+    nodes = _topics(spark, d).select(F.col("code").alias("id")).unionByName(_t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id")))
+    edges = _filed(spark, d).select(F.col("id").cast("string").alias("source_id"), F.col("code").alias("target_id"))
+    return graph.dangling(edges, nodes)
+
+
+@query(f"""WITH {_TOPICS_SQL} SELECT 'node' AS part, 'resource' AS value, (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'node', 'topic', (SELECT count(*) FROM topics)
+UNION ALL SELECT 'relation', 'PARENT_OF', (SELECT count(*) FROM topics WHERE contains(code, '.')) UNION ALL SELECT 'relation', 'TAGGED_WITH', (SELECT count(*) FROM filed WHERE code IN (SELECT code FROM topics))
+UNION ALL SELECT 'confidence', 'EXTRACTED', (SELECT count(*) FROM filed WHERE code IN (SELECT code FROM topics))""")
+def release_counts(spark, d):
+    topics, filed = _topics(spark, d), _filed(spark, d)
+    nodes = graph.node_records(topic=topics.select(F.col("code").alias("id"), "title"), resource=_t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id")))
+    return graph.release_counts(nodes, graph.parent_edges(topics).unionByName(graph.tagged_edges(filed, topics)))
+
+
+@query("""SELECT 'm' || user_id AS source_id, CAST(event_id AS VARCHAR) AS target_id, CASE WHEN event_type = 'view' THEN 'CITES' WHEN event_type = 'click' THEN 'SIMILAR_TO' ELSE 'ABOUT' END AS relation,
+CASE WHEN event_type = 'view' THEN 'deterministic edge with a confidence class' WHEN event_type = 'click' THEN 'similarity without method or score' ELSE 'no confidence class' END AS violation FROM events WHERE event_type IN ('view', 'click', 'error')""")
+def edge_violations(spark, d):
+    e = _t(spark, d, "events").select(F.concat(F.lit("m"), "user_id").alias("source_id"), F.col("event_id").cast("string").alias("target_id"), F.when(F.col("event_type") == "view", "CITES").when(F.col("event_type") == "click", "SIMILAR_TO").otherwise("ABOUT").alias("relation"), F.when(F.col("event_type") != "error", "EXTRACTED").alias("confidence_class"))
+    return graph.edge_violations(graph.as_edges(e))
+
+
+@query(f"""WITH {_TOPICS_SQL}, w AS (SELECT id % 20 AS author, split_part(code, '.', 1) AS section, count(*) AS n FROM filed GROUP BY ALL) SELECT author, arg_min(section, (-n, CAST(section AS INT))) AS section FROM w GROUP BY author""")
+def dominant_section(spark, d):
+    return graph.dominant_section(_filed(spark, d).select((F.col("id") % 20).alias("author"), "code"))
+
+
+@query("SELECT count(*) AS claims, count(DISTINCT conv_id) AS resources, count_if(turn % 3 = 0) AS reviewed, count_if(turn % 3 = 0 AND conv_id % 2 = 0) AS accurate, count_if(turn % 3 = 0 AND conv_id % 2 = 1) AS overstated, 0::BIGINT AS not_in_source, 0::BIGINT AS ambiguous FROM conversations")
+def claim_coverage(spark, d):
+    return review.claim_coverage(_claims(spark, d))
+
+
+@query("WITH c AS (SELECT *, count(*) OVER () AS matched FROM conversations WHERE role = 'user' AND turn % 3 <> 0) SELECT conv_id || ':' || turn AS id, matched FROM c ORDER BY conv_id * 1000 + turn LIMIT 20")
+def get_claims(spark, d):
+    return review.get_claims(_claims(spark, d).withColumnRenamed("role", "claim_type"), claim_type="user", only_unverified=True).select("id", "matched")
+
+
+@query(f"""WITH {_TOPICS_SQL} SELECT (SELECT count(*) FROM topics) AS topics, (SELECT count(*) FROM supplier) AS resources, (SELECT count(*) FROM conversations) AS claims, (SELECT count_if(turn % 3 = 0) FROM conversations) AS reviewed_claims""")
+def corpus_coverage(spark, d):
+    one = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
+    claims = _claims(spark, d).agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("review_status") != "unreviewed").alias("reviewed_claims"))
+    return one(_topics(spark, d), "topics").crossJoin(F.broadcast(one(_t(spark, d, "supplier"), "resources"))).crossJoin(F.broadcast(claims))
+
+
+@query("""WITH p AS (SELECT doc_id AS id, CASE WHEN doc_id % 13 = 0 THEN '?' ELSE CAST(doc_id % 12 + 1 AS VARCHAR) END AS section, n_chars <= 500 AS bare FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+r AS (SELECT id, section, row_number() OVER (PARTITION BY section ORDER BY bare, id) AS r FROM p) SELECT * FROM r ORDER BY r, section LIMIT 40""")
+def stratified_sample(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 13 != 0, F.concat((F.col("doc_id") % 12 + 1).cast("string"), F.lit(".1"))).alias("code"), F.when(F.col("n_chars") > 500, F.lit("x")).alias("abstract"))
+    return review.stratified_sample(docs, _t(spark, d, "labels").select(F.col("doc_id").alias("id")), 40)
+
+
+@query("""WITH g AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN (doc_id % 4 + 1) || '.' || (doc_id % 9 + 1) ELSE CAST(doc_id % 4 + 1 AS VARCHAR) END AS code FROM labels),
+p AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN '9.9' ELSE (doc_id % 4 + 1) || '.' || (doc_id % 7 + 1) END AS code FROM labels),
+h AS (SELECT g.id, g.code, max(CASE WHEN p.code = g.code OR starts_with(p.code, g.code || '.') OR starts_with(g.code, p.code || '.') THEN 1 ELSE 0 END) AS hit, max(CASE WHEN p.code = g.code THEN 1 ELSE 0 END) AS ex FROM (SELECT DISTINCT * FROM g) g LEFT JOIN p ON g.id = p.id GROUP BY ALL)
+SELECT count(DISTINCT id) AS records, count(*) AS tags, CAST(sum(hit) AS BIGINT) AS recovered, CAST(sum(ex) AS BIGINT) AS exact, count(DISTINCT CASE WHEN hit = 1 THEN id END) AS records_hit FROM h""")
+def agreement_scores(spark, d):
+    lab = _t(spark, d, "labels")
+    top = (F.col("doc_id") % 4 + 1).cast("string")
+    code = lambda n: F.concat(top, F.lit("."), (F.col("doc_id") % n + 1).cast("string"))
+    gold = lab.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, code(9)).otherwise(top).alias("code"))
+    return review.agreement(gold, lab.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "9.9").otherwise(code(7)).alias("code")))
+
+
+_SNAP = "b AS (SELECT doc_id, source AS name, n_chars, lang FROM documents WHERE doc_id % 7 <> 0), a AS (SELECT doc_id, source || CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE '' END AS name, n_chars, lang FROM documents WHERE doc_id % 5 <> 0)"
+
+
+@query(f"WITH {_SNAP} SELECT coalesce(a.doc_id, b.doc_id) AS url, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.name IS DISTINCT FROM b.name")
+def mirror_diff(spark, d):
+    return review.mirror_diff(*_snapshots(spark, d))
+
+
+@query(f"WITH {_SNAP} SELECT a.doc_id AS url, CASE WHEN b.doc_id % 9 = 0 THEN 'r:' || b.doc_id END AS promoted_to FROM a LEFT JOIN b USING (doc_id)".replace("b.doc_id % 9 = 0 THEN 'r:' || b.doc_id", "a.doc_id % 9 = 0 AND a.doc_id % 7 <> 0 THEN 'r:' || a.doc_id"))
+def carry_promotions(spark, d):
+    return review.carry_promotions(*_snapshots(spark, d)).select("url", "promoted_to")
+
+
+@query("""WITH o AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))) AS refs, CAST(max(l_linenumber) AS INT) AS n FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1),
+w AS (SELECT l_orderkey AS id, CASE WHEN l_orderkey % 2 = 0 THEN [] ELSE list_sort(list(DISTINCT CAST(l_suppkey AS VARCHAR))) END AS refs, CAST(min(l_linenumber) AS INT) AS n FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1)
+SELECT CAST(coalesce(o.id, w.id) AS VARCHAR) AS resource_id, CASE WHEN w.id IS NULL OR (len(w.refs) = 0 AND o.id IS NOT NULL) THEN 's2' ELSE 'oa' END AS source, greatest(o.n, w.n) AS cited_by_count, CASE WHEN w.id IS NULL OR (len(w.refs) = 0 AND o.id IS NOT NULL) THEN o.refs ELSE w.refs END AS referenced_works FROM o FULL JOIN w ON o.id = w.id""")
+def store_upsert(spark, d):
+    li = _t(spark, d, "lineitem")
+    old = li.where("l_orderkey % 3 <> 0").groupBy(F.col("l_orderkey").cast("string").alias("resource_id")).agg(F.lit("k").alias("key"), F.lit("s2").alias("source"), F.max("l_linenumber").alias("cited_by_count"), F.collect_list(F.col("l_partkey").cast("string")).alias("referenced_works"))
+    new = li.where("l_orderkey % 5 <> 0").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("cited_by_count"), F.collect_list(F.col("l_suppkey").cast("string")).alias("r")).select(F.col("l_orderkey").cast("string").alias("resource_id"), F.lit("k").alias("key"), F.lit("oa").alias("source"), "cited_by_count", F.when(F.col("l_orderkey") % 2 == 0, F.array().cast("array<string>")).otherwise(F.col("r")).alias("referenced_works"))
+    return review.store_upsert(old, new).select("resource_id", "source", "cited_by_count", "referenced_works")
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN [CAST(quality AS VARCHAR)] WHEN doc_id % 3 = 1 THEN [CAST(toxic AS VARCHAR)] ELSE [CAST(toxic AS VARCHAR)] END AS topics, CASE WHEN doc_id % 3 = 0 THEN 'kept' WHEN doc_id % 3 = 1 THEN 'added' WHEN quality = toxic THEN 'unchanged' ELSE 'changed' END AS change FROM labels""")
+def gold_merge(spark, d):
+    lab = _t(spark, d, "labels")
+    return review.gold_merge(lab.where("doc_id % 3 <> 1").select(F.col("doc_id").alias("id"), F.array(F.col("quality").cast("string")).alias("topics")), lab.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.array(F.col("toxic").cast("string")).alias("topics")))
+
+
+@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_partkey % 7 = 0 THEN 'none' ELSE 'https://doi.org/10.1234/A' || l_partkey END AS raw, CASE WHEN l_partkey % 7 <> 0 THEN 'doi:10.1234/a' || l_partkey END AS ident, l_partkey AS k FROM lineitem)
+SELECT pos, ident, CASE WHEN ident IS NULL THEN 'failed' WHEN k % 5 = 0 THEN 'held' WHEN row_number() OVER (PARTITION BY ident ORDER BY pos) > 1 THEN 'repeated' ELSE 'added' END AS status FROM r""")
+def bulk_dedupe(spark, d):
+    rows = _t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(F.col("l_partkey") % 7 == 0, "none").otherwise(F.concat(F.lit("https://doi.org/10.1234/A"), "l_partkey")).alias("raw"))
+    held = _t(spark, d, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("doi:10.1234/a"), "p_partkey").alias("ident"))
+    return review.bulk_status(rows, held).select("pos", "ident", "status")
+
+
+@query("SELECT count(*) AS managed, count_if(s_acctbal < 0) AS removed, count(*) >= 5 AND count_if(s_acctbal < 0) > 0.25 * count(*) AS refused FROM supplier")
+def deletion_guard(spark, d):
+    s = _t(spark, d, "supplier").withColumnRenamed("s_suppkey", "id")
+    return review.deletion_guard(s.select("id"), s.where("s_acctbal >= 0").select("id"))
+
+
+@query("""WITH f AS (SELECT user_id AS id, sqrt(1 + sum(CASE WHEN event_type = 'purchase' THEN 2.0 ELSE 1.0 END)) AS a FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1),
+r AS (SELECT c_custkey AS id, CAST(c_custkey % 10 AS DOUBLE) AS score FROM customer) SELECT id, score, round(score + coalesce(a, 0), 6) AS total FROM r LEFT JOIN f USING (id)""")
+def trust_rerank(spark, d):
+    e = _t(spark, d, "events").select("event_id", F.col("user_id").alias("id"), "event_type", F.lit("m").alias("member"))
+    trust = review.affinity(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"))
+    ranked = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 10).cast("double").alias("score"))
+    return _r6(review.trust_rerank(ranked, trust), "total").drop("rank")
+
+
+@query(f"WITH {_NAMES_SQL} SELECT DISTINCT name, fold FROM folded")
+def fold_names(spark, d):
+    return _names(spark, d).select("name", T.fold_name(F.col("name")).alias("fold")).distinct()
+
+
+@query(f"WITH {_NAMES_SQL}, s AS (SELECT fold, name, count(*) AS n, len(name) - len(replace(name, 'ü', '')) AS m, len(name) - len(regexp_replace(name, '[.-]', '', 'g')) AS p FROM folded GROUP BY ALL) SELECT fold, arg_max(name, (m, p, len(name), n, name)) AS canonical, count(*) AS variants, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY fold")
+def canonical_spelling(spark, d):
+    return people.canonical_spellings(_names(spark, d))
+
+
+@query(f"WITH {_NAMES_SQL}, b AS (SELECT id, list_distinct(list('Ana M. Müller-' || regexp_extract(name, '[0-9]+$'))) AS x FROM names GROUP BY id) SELECT id, list_sort(x) AS names FROM b")
+def apply_index(spark, d):
+    names = _names(spark, d)
+    bylines = names.groupBy("id").agg(F.collect_list("name").alias("names"))
+    return people.apply_index(bylines, people.name_index(names)).select("id", F.array_sort("names").alias("names"))
+
+
+@query(f"WITH {_NAMES_SQL}, u AS (SELECT DISTINCT name, string_split(fold, ' ') AS p FROM folded) SELECT a.name AS name_a, b.name AS name_b FROM u a, u b WHERE list_sort(a.p) = list_sort(b.p) OR (a.p[-1] = b.p[-1] AND (a.p[1] = b.p[1] OR ((len(a.p[1]) = 1 OR len(b.p[1]) = 1) AND a.p[1][1] = b.p[1][1])))")
+def same_person_pairs(spark, d):
+    return people.same_person_pairs(_names(spark, d), _names(spark, d))
+
+
+@query(f"""WITH {_NAMES_SQL}, m AS (SELECT DISTINCT id FROM folded WHERE fold = 'ana m muller7') SELECT (SELECT min(name) FROM folded WHERE fold = 'ana m muller7') AS name, (SELECT list_sort(list(DISTINCT id)) FROM m) AS records,
+(SELECT list_sort(list(DISTINCT name)) FROM folded WHERE id IN (SELECT id FROM m) AND fold <> 'ana m muller7') AS co_authors""")
+def author_profile(spark, d):
+    return people.author_profile(_names(spark, d), "A. Müller-7")
+
+
+@query(f"SELECT page_id, {_PLAIN} AS plain FROM pages")
+def html_plain_text(spark, d):
+    return fulltext.html_plain_text(_t(spark, d, "pages"))
+
+
+@query("SELECT item_id AS quote_id, doc_id AS source_id FROM benchmark b, documents d WHERE contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) AND trim(b.text) <> ''")
+def verbatim_match(spark, d):
+    return fulltext.verbatim(_t(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text"), _t(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'doi:10.5/x' || p_partkey WHEN 1 THEN 'arxiv:2101.0000' || p_partkey WHEN 2 THEN 'arxiv:2101.1' || p_partkey WHEN 3 THEN 'openalex:W' || p_partkey ELSE 'semanticscholar:' || p_partkey END AS key FROM part""")
+def canonical_key(spark, d):
+    i, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 5
+    c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    ids = F.create_map(F.lit("DOI"), F.when(k == 0, c("https://doi.org/10.5/X", i)).when(k == 1, c("10.48550/arXiv.2101.0000", i)), F.lit("ArXiv"), F.when(k == 2, c(" arXiv:2101.1", i)), F.lit("openalex"), F.when(k >= 3, F.when(k == 3, c("https://openalex.org/W", i, "/"))), F.lit("CorpusId"), i)
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), T.canonical_key(ids).alias("key"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'doi' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'url' WHEN 3 THEN 'arxiv' ELSE 'error' END AS kind, CASE p_partkey % 5 WHEN 0 THEN '10.1000/ab' || p_partkey WHEN 1 THEN '2101.0000' || p_partkey % 10 WHEN 2 THEN 'https://www.site' || p_partkey || '.org' WHEN 3 THEN '2102.0000' || p_partkey % 10 END AS ident FROM part""")
+def identify(spark, d):
+    i, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 5
+    last = (F.col("p_partkey") % 10).cast("string")
+    raw = F.when(k == 0, F.concat(F.lit("https://doi.org/10.1000/AB"), i)).when(k == 1, F.concat(F.lit("https://arxiv.org/abs/2101.0000"), last)).when(k == 2, F.concat(F.lit("www.site"), i, F.lit(".org"))).when(k == 3, F.concat(F.lit("2102.0000"), last, F.lit("v2"))).otherwise(F.lit("nothing here"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), T.identify(raw).alias("x")).select("id", "x.kind", F.col("x.id").alias("ident"))
+
+
+@query("SELECT o_orderkey AS id, 'w' || o_orderkey || ' same x' || o_custkey || ' same' AS abstract FROM orders")
+def inverted_abstract(spark, d):
+    index = F.create_map(F.concat(F.lit("w"), "o_orderkey"), F.array(F.lit(0)), F.lit("same"), F.array(F.lit(1), F.lit(3)), F.concat(F.lit("x"), "o_custkey"), F.array(F.lit(2)))
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.inverted_abstract(index).alias("abstract"))
+
+
+@query("""SELECT 'C7 quote' AS rule, conv_id || ':' || turn AS id, 'blank' AS detail FROM conversations WHERE turn % 4 = 1
+UNION ALL SELECT 'C5 reviewer without review', conv_id || ':' || turn, role FROM conversations WHERE turn % 3 <> 0
+UNION ALL SELECT 'C4 topic syntax', CAST(s_suppkey AS VARCHAR), 'x' FROM supplier WHERE s_suppkey % 8 = 0
+UNION ALL SELECT 'C3 single-valued facet', CAST(s_suppkey AS VARCHAR), 'F1' FROM supplier WHERE s_suppkey % 9 = 0
+UNION ALL SELECT 'C6 tool profile', CAST(s_suppkey AS VARCHAR), 'paper' FROM supplier WHERE s_suppkey % 2 = 0""")
+def violations(spark, d):
+    claims = _claims(spark, d).select("id", F.when(F.split("id", ":")[1].cast("int") % 4 == 1, "  ").otherwise("q").alias("quote"), F.lit("accurate").alias("verdict"), F.col("role").alias("reviewed_by"), "review_status")
+    s = F.col("s_suppkey")
+    res = _t(spark, d, "supplier").select(s.alias("id"), F.array(F.when(s % 8 == 0, "x").otherwise("1.2")).alias("taxonomy_topics"), F.lit(None).cast("string").alias("reviewed_by"), F.lit("unreviewed").alias("review_status"), F.lit("paper").alias("resource_type"), (s % 2 == 0).alias("has_tool"), F.create_map(F.lit("F1"), F.when(s % 9 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))), F.lit("F3"), F.array(F.lit("a"), F.lit("b"))).alias("facets"))
+    topics = _topics(spark, d).select("code", T.parent_code(F.col("code")).alias("parent_code"))
+    return review.violations(res, claims, topics)
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def windowed_counts(spark, d):
+    return streams.windowed_counts(_t(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def session_counts(spark, d):
+    return streams.session_counts(_t(spark, d, "events"))
