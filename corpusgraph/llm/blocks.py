@@ -260,3 +260,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: So many ids (8 bytes each) are broadcast at most.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs whose key is not in the one column of `ids`; these are broadcast if their counted number allows, else both are shuffled."""
+    ids = saved(ids.toDF("gone").distinct())
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, F.col(key).eqNullSafe(F.col("gone")), "left_anti")
