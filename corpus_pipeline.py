@@ -23,8 +23,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document of the least doc_id stays; documents without an id stay."""
-    copies = near_dedup.near_duplicate_classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("copy"), "left_anti").select(*COLUMNS)
+    copies = near_dedup.near_duplicate_classes(docs).where("class_id <> doc_id").select("doc_id")
+    return blocks.without(docs, copies).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's passage go."""
     found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select(F.col("doc_id").alias("leak")).distinct(), F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti").select(*COLUMNS)
+    return blocks.without(docs, found.select("doc_id")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
