@@ -41,8 +41,9 @@ def with_next(docs: DataFrame, blocks: int) -> DataFrame:
     # one row a block, so small; the row of the greatest doc_id (and text) opens its block
     first = docs.alias("d").join(F.broadcast(tops.toDF("b", "top")), (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("block").agg(F.max("text").alias("text"))
     owner = F.get(F.array(*[F.lit(before.get(i - 1, -2)) for i in range(max(present) + 2)]), F.col("block") + 1)
-    extra = first.select(owner.cast("int").alias("block"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("extra"))
-    rows = docs.select(F.col("block").cast("int").alias("block"), "doc_id", "text", F.lit(False).alias("extra")).unionByName(extra)
+    extra = first.select(F.coalesce(owner.cast("int"), F.lit(-2)).alias("block"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("extra"))
+    # blocks that can't be null get no null filter from the join, so both readers of the rows share one exchange
+    rows = docs.select(F.coalesce(F.col("block").cast("int"), F.lit(-1)).alias("block"), "doc_id", "text", F.lit(False).alias("extra")).unionByName(extra)
     order = Window.partitionBy("block").orderBy("extra", F.desc("doc_id"), F.desc("text"))
     return rows.select("block", "doc_id", "text", F.row_number().over(order).alias("place"), "extra", F.lead("text").over(order).alias("next_text"))
 
