@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text for a block, and keys for a shard, aimed at.
-BLOCK_BYTES = 6 << 20
-SHARD_KEYS = 4 << 20
+BLOCK_BYTES = 3 << 20
+SHARD_KEYS = 1 << 20
 #: Texts are hashed in runs of about so many bytes, which bounds the temporary arrays.
 RUN_BYTES = 1 << 18
 MIN_BLOCKS = 48
