@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
-#: Distinct segments whose ids a worker remembers.
-CACHE_WORDS = 1_500_000
+#: Distinct segments whose ids a worker remembers within a partition.
+CACHE_WORDS = 400_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_PA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -120,7 +120,7 @@ def _pieces(batches, path: str, capacity: int, end_id: int):
         data, off = B.text_arrays(batch.column("text"))
         ids = batch.column("doc_id").to_pylist()
         out: list[tuple] = []
-        for a, b in B.runs(off, 1 << 20):
+        for a, b in B.runs(off):
             flat, n = words.of(data[off[a] : off[b]], off[a : b + 1] - off[a])
             cut = np.append(0, np.cumsum(n))
             for k in range(b - a):
@@ -130,6 +130,7 @@ def _pieces(batches, path: str, capacity: int, end_id: int):
                     crc = zlib.crc32(part.tobytes())
                     out.append((ids[a + k], p, lo, len(part), crc))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _PIECES_PA, strict=True)] if out else [pa.array([], f.type) for f in _PIECES_PA], schema=_PIECES_PA)
+    words.clear()  # the worker lives on, for other stages
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
