@@ -11,6 +11,10 @@ members share.  tf and df are exact over all documents (see blocks.py).
 * In each bucket every text is compared with a pivot, exactly; linked texts form
   components.  Where a bucket holds several components, their delegates meet another
   pivot, until a round finds no new link.  Pairs grow in proportion to bucket sizes.
+* Where a bucket still holds several components, all its texts of different components
+  that share a shingle of both their prefixes are compared.  A prefix is the shingles,
+  rarest first, before less than `threshold` of the weight is left: two texts without one
+  in common can't be alike, so no pair of a bucket is missed.
 
 Defined cases: equal texts are one class, empty and null texts (no words) together too; a
 null doc_id has a null class; rows that share a doc_id are one document (the least class
@@ -37,8 +41,10 @@ VERIFY_ROWS = 512
 _SEND, _TELL = "block int, shard int, keys binary, count binary", "block int, shard int, df binary"
 _SEND_PA = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("count", pa.binary())])
 _TELL_PA = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("df", pa.binary())])
-_CAND = "doc_id long, content binary, bands array<long>, vec binary"
-_CAND_PA = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64())), ("vec", pa.binary())])
+_CAND = "doc_id long, content binary, bands array<long>, vec binary, prefix binary, weight double"
+_CAND_PA = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64())), ("vec", pa.binary()), ("prefix", pa.binary()), ("weight", pa.float64())])
+#: Weights are summed in different orders and kept as 32-bit floats: bounds leave so much room.
+SLACK = 1e-6
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,6 +141,26 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
+def _prefix(keys: np.ndarray, w: np.ndarray, df: np.ndarray, threshold: float) -> bytes:
+    """The shared shingles at which, rarest first, `threshold` of the weight or more is still left."""
+    order = np.lexsort((keys, df))
+    left = w.sum() - np.cumsum(w[order]) + w[order]
+    return B.pack_keys(np.sort(keys[order][(left >= (threshold - SLACK) * w.sum()) & (df[order] > 1)]))
+
+
+def _prefix_keys(batches):
+    """One row for each bucket and prefix shingle of a text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, VERIFY_ROWS):
+            part = batch.slice(at, VERIFY_ROWS)
+            got = []
+            for buckets, raw in zip(part.column("buckets").to_pylist(), part.column("prefix").to_pylist(), strict=True):
+                got.append(B.mix((B.mix(np.array(buckets, np.int64).view(B.U64), 90)[:, None] ^ B.unpack_keys(raw)[None, :]).ravel(), 91))
+            row = pa.array(np.repeat(np.arange(len(got)), [len(x) for x in got]))
+            keys = np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(part.column(c).take(row) for c in ("rep", "label", "weight"))], names=["key", "rep", "label", "weight"])
+
+
 def _candidates(docs: pa.Table, told: pa.Table, n_docs: int, size: int, threshold: float, bands: int, rows: int, shards: int, idf: float) -> pa.Table:
     if not docs.num_rows:
         return _CAND_PA.empty_table()
@@ -150,10 +176,10 @@ def _candidates(docs: pa.Table, told: pa.Table, n_docs: int, size: int, threshol
     total, shared = np.bincount(doc, weights=w, minlength=n), np.bincount(doc, weights=w * (df > 1), minlength=n)
     may = (total > 0) & (shared >= (threshold - 1e-9) * total)
     keep = may[doc]
-    doc, shingle, w = doc[keep], shingle[keep], w[keep]
+    doc, shingle, w, df = doc[keep], shingle[keep], w[keep], df[keep]
     ids = np.flatnonzero(may)
     starts = np.searchsorted(doc, ids)
-    content, values, vecs = [], [], []
+    values, vecs, prefixes = [], [], []
     cuts = np.append(starts, len(doc))
     for lo in range(0, len(ids), 64):
         hi = min(lo + 64, len(ids))
@@ -164,7 +190,8 @@ def _candidates(docs: pa.Table, told: pa.Table, n_docs: int, size: int, threshol
             mixed = B.mix(mixed ^ got[:, :, r], 78 + r)
         values += mixed.view(np.int64).tolist()
         vecs += [_pack_vec(shingle[cuts[i] : cuts[i + 1]], w[cuts[i] : cuts[i + 1]]) for i in range(lo, hi)]
-    return pa.table({"doc_id": docs["doc_id"].take(pa.array(ids)), "content": docs["content"].take(pa.array(ids)), "bands": values, "vec": vecs}, schema=_CAND_PA)
+        prefixes += [_prefix(shingle[cuts[i] : cuts[i + 1]], w[cuts[i] : cuts[i + 1]], df[cuts[i] : cuts[i + 1]], threshold) for i in range(lo, hi)]
+    return pa.table({"doc_id": docs["doc_id"].take(pa.array(ids)), "content": docs["content"].take(pa.array(ids)), "bands": values, "vec": vecs, "prefix": prefixes, "weight": total[ids]}, schema=_CAND_PA)
 
 
 def _verify(batches, threshold: float):
@@ -196,6 +223,13 @@ def near_duplicate_classes(docs: DataFrame, size: int = SHINGLE, threshold: floa
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     buckets = B.saved(buckets.join(full, "bucket").distinct())
     vecs = cand.select("doc_id", "vec")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """pairs(a, b, rep, pivot) with their similarity."""
+        pivots = vecs.join(pairs.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("pivot"), F.col("vec").alias("pivot_vec"))
+        rows_in = pairs.join(vecs.withColumnRenamed("doc_id", "rep"), "rep").join(pivots, "pivot").select("a", "b", "vec", "pivot_vec")
+        return B.saved(rows_in.mapInArrow(lambda x: _verify(x, threshold), "a long, b long, similarity double"))
+
     label, links, tested = None, None, None
     for turn in range(1_000_000):
         # delegates: one text of each component in a bucket; in the first round, every text
@@ -212,14 +246,27 @@ def near_duplicate_classes(docs: DataFrame, size: int = SHINGLE, threshold: floa
         if not pairs.limit(1).count():
             break
         pairs = pairs.select("a", "b", F.when(F.col("a") == F.col("pivot"), F.col("b")).otherwise(F.col("a")).alias("rep"), "pivot")
-        pivots = vecs.join(pairs.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("pivot"), F.col("vec").alias("pivot_vec"))
-        rows_in = pairs.join(vecs.withColumnRenamed("doc_id", "rep"), "rep").join(pivots, "pivot").select("a", "b", "vec", "pivot_vec")
-        tried = B.saved(rows_in.mapInArrow(lambda x: _verify(x, threshold), "a long, b long, similarity double"))
+        tried = similar(pairs)
         good = tried.where(F.col("similarity") >= threshold).select("a", "b")
         links, tested = (good, tried.select("a", "b")) if links is None else (links.union(good), tested.union(tried.select("a", "b")))
         if not good.limit(1).count():
             break
         label = components(links)
+    # what the pivots leave: pairs of different components in a bucket, by prefix shingles
+    own = buckets.withColumn("label", F.col("rep")) if label is None else buckets.join(label.toDF("rep", "label"), "rep", "left").select("rep", "bucket", F.coalesce("label", "rep").alias("label"))
+    mixed = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    held = own.join(mixed, "bucket").groupBy("rep", "label").agg(F.collect_list("bucket").alias("buckets"))
+    keyed = B.saved(held.join(cand.select(F.col("doc_id").alias("rep"), "prefix", "weight"), "rep").mapInArrow(_prefix_keys, "key long, rep long, label long, weight double"))
+    shared = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    keyed = keyed.join(shared, "key")
+    x, y = keyed.toDF("key", "a", "la", "wa"), keyed.toDF("key", "b", "lb", "wb")
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("wa", "wb") >= (threshold - SLACK) * F.greatest("wa", "wb"))).select("a", "b").distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = B.saved(pairs)
+    if pairs.limit(1).count():
+        good = similar(pairs.select("a", "b", F.col("b").alias("rep"), F.col("a").alias("pivot"))).where(F.col("similarity") >= threshold).select("a", "b")
+        label = components(good if links is None else links.union(good))
     copies = narrow.select("doc_id", "content").join(reps, "content").select("doc_id", "rep")
     if label is not None:
         copies = copies.join(label.toDF("rep", "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))

@@ -91,6 +91,21 @@ def test_near_dedup(spark, rows):
     assert got == want and got[44] == 3 and got[41] == 0
 
 
+def test_near_dedup_compares_all_of_a_mixed_bucket(spark):
+    """Texts that share much, though less than the threshold; the one alike pair has smaller and greater ids on both sides."""
+    r = random.Random(15)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = text(150)
+    tails = [text(30) for _ in range(24)]
+    docs = [(i, shared + " " + t) for i, t in enumerate(tails)]
+    near = docs[11][1].split()
+    near[-2] = "changed"
+    docs[12] = (12, " ".join(near))
+    docs += [(100 + i, t) for i, t in enumerate(tails)]  # so that no shingle is of one text only
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicate_classes(table(spark, docs), bands=1, rows=1).collect()}
+    assert got == {i: 11 if i == 12 else i for i, _ in docs}
+
+
 def test_token_counts_and_packing(spark, rows):
     import sentencepiece
     from tokenizers import Tokenizer
