@@ -2,7 +2,9 @@
 
 The lexicon is learnt: words, and stems (prefixes of words), whose documents are toxic far
 more often than others', picked greedily until each toxic document of the sample has
-`COVER` of them where possible.  Its trie, intersected with the Levenshtein
+`COVER` of them where possible; of terms in the same documents the longest.  The words a
+picked stem stands for stay in the lexicon, so that they may be misspelled.
+Its trie, intersected with the Levenshtein
 automaton of distance 1 (for terms of five letters and more; stems must match exactly),
 is made into one deterministic automaton, state by state as words need it.
 
@@ -162,12 +164,14 @@ def learn_lexicon(sampled: DataFrame) -> tuple[list[str], list[str]]:
         left = {t: left[t] for t, g in gain.items() if g >= MIN_DOCS}
         if not left:
             break
-        term = max(left, key=lambda t: (gain[t], -len(t), t))
-        for d in left.pop(term):
+        term = max(left, key=lambda t: (gain[t], len(t), t))
+        same = left.pop(term)
+        for d in same:
             need[d] -= 1
         (stems if term.endswith("*") else words_out).append(term.rstrip("*"))
-        left = {t: ds for t, ds in left.items() if not (term.endswith("*") and t.startswith(term[:-1]))}
-    return sorted(words_out), sorted(stems)
+        left = {t: ds for t, ds in left.items() if not (term.endswith("*") and t.startswith(term[:-1])) and not (t.endswith("*") and term.startswith(t[:-1]) and ds == same)}
+    words_out += [t for t in docs_of if not t.endswith("*") and t.startswith(tuple(stems))]
+    return sorted(set(words_out)), sorted(stems)
 
 
 def _rows(batches, words: list[str], stems: list[str], weights: list[float] | None):

@@ -233,6 +233,25 @@ def test_toxicity_learns(spark):
     assert min(got[i] for i in range(120, 160, 4)) > 0.5 > max(got[i] for i in range(121, 160, 4)) and got[901] == got[902] < 0.3 and len(got) == 163
 
 
+def test_toxicity_finds_misspelled_words_of_stems(spark):
+    r = random.Random(9)
+    text = lambda: [("".join(r.choice("abcdefgh") for _ in range(5))) for _ in range(30)]
+    bad = ["worthless", "pathetic", "stupid", "stupidly", "stupidity"]
+    docs = []
+    for i in range(240):
+        t = text()
+        if i % 4 == 0:
+            t[7] = bad[i // 4 % 5]
+        docs.append((i, " ".join(t)))
+    forms = ["worhless", "worthlezs", "pthetic", "pathetlc", "stvpid", "stupiditty"]
+    docs += [(900 + k, " ".join([*text(), w])) for k, w in enumerate(forms)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    lexicon = toxicity.learn_lexicon(table(spark, docs[:240]).join(labels, "doc_id"))
+    assert lexicon == (sorted(bad), ["stupi"])
+    got = {x.doc_id: x.score for x in toxicity.toxicity_scores(table(spark, docs), labels).collect()}
+    assert min(got[900 + k] for k in range(len(forms))) > 0.5 > max(got[i] for i in range(240) if i % 4)
+
+
 def test_warc_round_trip_and_revisits(spark):
     raw = warc.encode_record("response", "http://a.b/", "2020-01-01T00:00:00Z", "<1>", {"ETag": '"x"'}, b"body\r\n\r\nWARC/1.1") + warc.encode_record("revisit", "http://a.b", "2020-01-02T00:00:00Z", "<2>", {}, status=304)
     got = list(warc.decode_records(raw))
