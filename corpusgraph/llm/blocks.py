@@ -17,14 +17,16 @@ every step is a pure function of its input, so a lost executor only repeats it.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import re
 import tempfile
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text for a block, and keys for a shard, aimed at.
@@ -205,6 +207,7 @@ def shard_slices(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
 
 def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows, and UTF-8 bytes of text: two numbers."""
+    small_batches(docs.sparkSession)
     r = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).head()
     return int(r["n"]), int(r["b"])
 
@@ -218,31 +221,101 @@ def shard_count(n_keys: int) -> int:
     return 1 << max(4, (max(1, n_keys) // SHARD_KEYS).bit_length())
 
 
-def hash_block(docs: DataFrame, blocks: int, key: str = "doc_id") -> DataFrame:
-    """Adds `block` by a hash of the key; a null key has a block as any other value has."""
-    return docs.withColumn("block", F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int"))
+def hash_block(docs: DataFrame, blocks: int) -> DataFrame:
+    """Adds `block` by a hash of doc_id and text, so that null or repeated ids spread as others do; equal rows share a block."""
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+
+
+#: Cuts that are found, and stand in the plan, at once; percentiles of this accuracy tell so many apart.
+COARSE = 2_000
+#: Cuts that are broadcast at most (8 bytes each).
+BROADCAST_CUTS = 1_000_000
+
+
+def _place(table: Column, most: int, key: Column) -> Column:
+    """How many numbers of the sorted array `table`, which has `most` at most, are less than `key`."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - F.lit(1)) < key, step).otherwise(F.lit(0)))
 
 
 def range_block(docs: DataFrame, blocks: int, key: str = "doc_id") -> DataFrame:
-    """Adds `block` such that blocks follow the order of the key (nulls last).
+    """Adds `block` such that blocks follow the order of the key (nulls last, in blocks by a hash of their text).
 
-    The cuts are quantiles of the key, one number a block; equal keys share a
-    block.  Every evaluation gives the same blocks, as the cuts are literals.
+    The cuts are quantiles of the key; equal keys share a block.  Up to COARSE cuts are
+    literals of the plan.  Beyond, each range between two such cuts gets finer cuts of its own, in a small table
+    that is joined (broadcast only if it is known to be small), so cuts stay as many as blocks are asked.
+    Every evaluation gives the same blocks.
     """
-    cuts = docs.agg(F.percentile_approx(F.col(key), [i / blocks for i in range(1, blocks)], 10_000).alias("q")).head()["q"] or []
-    cuts = sorted({int(c) for c in cuts})
-    if not cuts:
-        return docs.withColumn("block", F.when(F.col(key).isNull(), 1).otherwise(0))
-    table, steps = F.array(*map(F.lit, cuts)), [1 << k for k in reversed(range(len(cuts).bit_length()))]
-    rank = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - F.lit(1)) < F.col(key), step).otherwise(F.lit(0)))
-    return docs.withColumn("block", F.when(F.col(key).isNull(), F.lit(len(cuts) + 1)).otherwise(rank).cast("int"))
+    quantiles = lambda n: F.percentile_approx(F.col(key), [i / n for i in range(1, n)], 10_000)
+    first = min(blocks, COARSE)
+    r = docs.agg((quantiles(first) if first > 1 else F.lit(None).cast("array<long>")).alias("q"), F.count_if(F.col(key).isNull()).alias("nulls"), F.count(F.lit(1)).alias("n")).head()
+    cuts = sorted({int(c) for c in r["q"] or []})
+    coarse = _place(F.array(*map(F.lit, cuts)), len(cuts), F.col(key)) if cuts else F.lit(0)
+    spread = max(1, -(-blocks * int(r["nulls"]) // max(1, int(r["n"]))))
+    null = F.pmod(F.xxhash64("text"), F.lit(spread)).cast("int") if r["nulls"] else F.lit(0)
+    if blocks <= first:
+        return docs.withColumn("block", F.when(F.col(key).isNull(), F.lit(len(cuts) + 1) + null).otherwise(coarse).cast("int"))
+    each = -(-blocks // first)
+    rough = docs.withColumn("_rough", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(coarse))
+    fine = saved(rough.where("_rough >= 0").groupBy("_rough").agg(F.array_sort(F.array_distinct(quantiles(each))).alias("_fine_cuts")).select(F.col("_rough").alias("_of_rough"), "_fine_cuts"))
+    side = F.broadcast(fine) if (len(cuts) + 1) * each <= BROADCAST_CUTS else fine
+    found = rough.join(side, F.col("_rough") == F.col("_of_rough"), "left")
+    block = F.when(F.col("_rough") < 0, F.lit((len(cuts) + 1) * each) + null).otherwise(F.col("_rough") * each + _place(F.col("_fine_cuts"), each, F.col(key)))
+    return found.withColumn("block", block.cast("int")).drop("_rough", "_of_rough", "_fine_cuts")
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: a worker lives on, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another libc, which has nothing to trim
+        return lambda _: None
+
+
+def _trim() -> None:
+    _libc()(0)
+
+
+def lean(f, *args):
+    """`f`, a function from tables to a table, with `args` after the tables; keeps no memory when it is done."""
+    def one(table: pa.Table) -> pa.Table:
+        out = f(table, *args)
+        tidy()
+        return out
+
+    return one
+
+
+def lean_pair(f, *args):
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right, *args)
+        tidy()
+        return out
+
+    return two
+
+
+#: Bytes of a batch that goes to a worker; ten thousand texts would be tens of megabytes, twice in each process.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir, which every executor sees.  Where it is unset, one of our own, if all runs in this process."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)

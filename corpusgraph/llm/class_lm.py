@@ -212,7 +212,7 @@ def class_lm_scores(docs: DataFrame, train, top: int = TOP, classes: int = CLASS
     ends = docs.where("train").count()
     shards = max(16, B.shard_count(n_bytes // 24))
     by_block = B.hash_block(docs, B.block_count(n_bytes, n)).groupBy("block")
-    told = B.stored(by_block.applyInArrow(lambda t: _send(t, shards), _SEND).groupBy("shard").applyInArrow(lambda t: _tell(t, top), _TELL), "word-counts")
+    told = B.stored(by_block.applyInArrow(B.lean(_send, shards), _SEND).groupBy("shard").applyInArrow(B.lean(_tell, top), _TELL), "word-counts")
     about = told.where("block = -1")
     by_shape = about.select(F.explode(F.arrays_zip("shape", "tokens", "kinds")).alias("x")).groupBy("x.shape").agg(F.sum("x.tokens").alias("n"), F.sum("x.kinds").alias("v")).collect()  # 64 rows
     tokens, kinds = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
@@ -228,7 +228,7 @@ def class_lm_scores(docs: DataFrame, train, top: int = TOP, classes: int = CLASS
     got = counted.toArrow()  # at most u * u rows
     pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
     model = Model(key, count, tokens, kinds, ends, pairs.reshape(u, u), classes)
-    scored = by_block.cogroup(told.where("block >= 0").select("block", "shard", "count").groupBy("block")).applyInArrow(lambda d, a: _score(d, a, model, shards), _SCORE)
+    scored = by_block.cogroup(told.where("block >= 0").select("block", "shard", "count").groupBy("block")).applyInArrow(B.lean_pair(_score, model, shards), _SCORE)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -8,13 +8,11 @@ members share.  tf and df are exact over all documents (see blocks.py).
 * A document with less than `threshold` of its weight in shingles that another document
   has too can have no partner (sum of minima <= that share), so it is done: this bound is exact.
 * The others get `bands * rows` samples (ICWS).  Equal band values make a bucket.
-* In each bucket every text is compared with a pivot, exactly; linked texts form
-  components.  Where a bucket holds several components, their delegates meet another
-  pivot, until a round finds no new link.  Pairs grow in proportion to bucket sizes.
-* Where a bucket still holds several components, all its texts of different components
-  that share a shingle of both their prefixes are compared.  A prefix is the shingles,
-  rarest first, before less than `threshold` of the weight is left: two texts without one
-  in common can't be alike, so no pair of a bucket is missed.
+* All texts of a bucket are compared with each other, exactly, but no pair becomes a row: the
+  sums of minima of a bucket are one matrix product (see :func:`low_sums`), and a bucket
+  returns a star for each of its components, so rows grow in proportion to bucket sizes.
+* A bucket over CHUNK texts or CHUNK_SHINGLES shingles is dealt to chunks; each pair of chunks is
+  a task of its own, so no task grows with the bucket.  A text goes to as many tasks as there are chunks.
 
 Defined cases: equal texts are one class, empty and null texts (no words) together too; a
 null doc_id has a null class; rows that share a doc_id are one document (the least class
@@ -24,7 +22,6 @@ of their texts counts); an empty table gives an empty table; other columns aren'
 from __future__ import annotations
 
 import functools
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +33,13 @@ from .graph import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 10, 3
 IDF_SHARE = 0.25
-#: Pairs verified at a time; only the current pivot stays unpacked.
-VERIFY_ROWS = 512
+#: Texts and shingles (with repeats) of a chunk of a bucket, and cells of the matrix that is multiplied at a time.
+CHUNK, CHUNK_SHINGLES, TILE = 512, 400_000, 1 << 22
 _SEND, _TELL = "block int, shard int, keys binary, count binary", "block int, shard int, df binary"
 _SEND_PA = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("count", pa.binary())])
 _TELL_PA = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("df", pa.binary())])
-_CAND = "doc_id long, content binary, bands array<long>, vec binary, prefix binary, weight double"
-_CAND_PA = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64())), ("vec", pa.binary()), ("prefix", pa.binary()), ("weight", pa.float64())])
-#: Weights are summed in different orders and kept as 32-bit floats: bounds leave so much room.
-SLACK = 1e-6
+_CAND = "doc_id long, content binary, bands array<long>, vec binary, size long"
+_CAND_PA = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64())), ("vec", pa.binary()), ("size", pa.int64())])
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,45 +115,130 @@ def weighted_samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray,
     return out
 
 
-def _pack_vec(keys: np.ndarray, w: np.ndarray) -> bytes:
-    """Keys shortened to 48 bits, with weights; enough as only two sets meet at a time."""
+def _pack_vec(keys: np.ndarray, tf: np.ndarray, df: np.ndarray) -> bytes:
+    """Keys shortened to 48 bits, which is enough for the texts of one bucket, with their tf and df."""
     keys = keys >> B.U64(16)
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    raw = B.pack_keys(keys[new])
-    return len(raw).to_bytes(4, "little") + raw + zlib.compress(w[new].astype("<f4").tobytes(), 1)
+    raw, counts = B.pack_keys(keys[new]), B.pack_ints(tf[new])
+    return len(raw).to_bytes(4, "little") + len(counts).to_bytes(4, "little") + raw + counts + B.pack_ints(df[new])
 
 
-def _unpack_vec(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(raw[:4], "little")
-    return B.unpack_keys(raw[4 : 4 + n]), np.frombuffer(zlib.decompress(raw[4 + n :]), "<f4").astype(np.float64)
+def _unpack_vec(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m = 8 + int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
+    return B.unpack_keys(raw[8:n]), B.unpack_ints(raw[n : n + m]), B.unpack_ints(raw[n + m :])
+
+
+def rarity(df: np.ndarray, n_docs: int, idf: float) -> np.ndarray:
+    return 1 + idf * np.log(n_docs / df) / np.log(max(2, n_docs))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two sets (sorted keys, weights), neither empty."""
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
     both = b[0][at] == a[0]
     low = np.minimum(a[1][both], b[1][at[both]]).sum()
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
-def _prefix(keys: np.ndarray, w: np.ndarray, df: np.ndarray, threshold: float) -> bytes:
-    """The shared shingles at which, rarest first, `threshold` of the weight or more is still left."""
-    order = np.lexsort((keys, df))
-    left = w.sum() - np.cumsum(w[order]) + w[order]
-    return B.pack_keys(np.sort(keys[order][(left >= (threshold - SLACK) * w.sum()) & (df[order] > 1)]))
+def low_sums(row: np.ndarray, keys: np.ndarray, tf: np.ndarray, rare: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Sums of minima of the weights of all sets in `left` with all sets in `right` (indexes below `n`).
+
+    min((1 + ln s) r, (1 + ln t) r) is the sum over levels j up to min(s, t) of r (ln j - ln(j - 1)), with r for
+    j = 1.  So with a column sqrt(that) for each key and level, the sum of minima is a product of matrices.
+    """
+    _, key, seen = np.unique(keys, return_inverse=True, return_counts=True)
+    own = np.flatnonzero(seen[key] > 1)
+    own = own[np.argsort(key[own], kind="stable")]
+    row, key, tf, rare = row[own], key[own], tf[own], rare[own]
+    many = np.flatnonzero(tf > 1)  # levels above one; there are at most as many as words
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def add(row: np.ndarray, column: np.ndarray, value: np.ndarray) -> None:  # columns are ascending
+        new = np.ones(len(column), bool)
+        new[1:] = column[1:] != column[:-1]
+        column = np.cumsum(new) - 1
+        width = max(1, TILE // n)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            part = slice(*np.searchsorted(column, [lo, lo + width]))
+            tile = np.zeros((n, min(width, int(column[-1]) + 1 - lo)), np.float32)
+            tile[row[part], column[part] - lo] = np.sqrt(value[part])
+            np.add(out, tile[left] @ tile[right].T, out=out)
+
+    add(row, key, rare)
+    more = tf[many] - 1
+    at, level = np.repeat(many, more), np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 2
+    order = np.lexsort((level, key[at]))
+    at, level = at[order], level[order]
+    add(row[at], key[at] * (1 << 32) + level, rare[at] * np.log(level / (level - 1)))
+    return out
+
+
+def _bucket_links(reps: list[int], sides: np.ndarray, vecs: list[bytes], threshold: float, n_docs: int, idf: float) -> list[tuple[int, int]]:
+    """Stars (least text, text) of the components that the links of a bucket, or of two of its chunks, make."""
+    sets = [_unpack_vec(v) for v in vecs]
+    n = len(sets)
+    rare = [rarity(df, n_docs, idf) for _, _, df in sets]
+    weight = [(1 + np.log(tf)) * r for (_, tf, _), r in zip(sets, rare, strict=True)]
+    exact = lambda a, b: weighted_jaccard((sets[a][0], weight[a]), (sets[b][0], weight[b])) >= threshold
+    left, right = (np.arange(n), np.arange(n)) if not sides.any() else (np.flatnonzero(sides == 1), np.flatnonzero(sides == 2))
+    if not len(left) or not len(right):
+        return []
+    if n < 4:
+        found = [(a, b) for a in left.tolist() for b in right.tolist() if a != b and (a < b or sides.any()) and exact(a, b)]
+        a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+    else:
+        total, rows = np.array([w.sum() for w in weight]), np.repeat(np.arange(n), [len(w) for w in weight])
+        low = low_sums(rows, np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), np.concatenate(rare), left, right, n)
+        like = low / (total[left][:, None] + total[right][None, :] - low)
+        a, b = np.nonzero(like >= threshold - 1e-4)
+        a, b, near = left[a], right[b], like[a, b] < threshold + 1e-4
+        if not sides.any():
+            a, b, near = a[a < b], b[a < b], near[a < b]
+        ok = ~near
+        for k in np.flatnonzero(near):  # what 32-bit sums can't decide
+            ok[k] = exact(a[k], b[k])
+        a, b = a[ok], b[ok]
+    label, names = np.arange(n), np.array(reps, np.int64)
+    order = np.argsort(names, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    a, b = place[a], place[b]
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(n))
+    names = names[order]
+    return list(zip(names[label[moved]].tolist(), names[moved].tolist(), strict=True))
+
 
+def _links(batches, threshold: float, n_docs: int, idf: float):
+    """Of rows (bucket, i, j, side, rep, vec), sorted by (bucket, i, j): the stars of each (bucket, i, j)."""
+    held: list = []
+    last = None
+
+    def flush() -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        return _bucket_links([x[0] for x in held], np.array([x[1] for x in held]), [x[2] for x in held], threshold, n_docs, idf)
 
-def _prefix_keys(batches):
-    """One row for each bucket and prefix shingle of a text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, VERIFY_ROWS):
-            part = batch.slice(at, VERIFY_ROWS)
-            got = []
-            for buckets, raw in zip(part.column("buckets").to_pylist(), part.column("prefix").to_pylist(), strict=True):
-                got.append(B.mix((B.mix(np.array(buckets, np.int64).view(B.U64), 90)[:, None] ^ B.unpack_keys(raw)[None, :]).ravel(), 91))
-            row = pa.array(np.repeat(np.arange(len(got)), [len(x) for x in got]))
-            keys = np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(part.column(c).take(row) for c in ("rep", "label", "weight"))], names=["key", "rep", "label", "weight"])
+        out: list[tuple[int, int]] = []
+        for *key, side, rep, vec in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "rep", "vec")), strict=True):
+            if key != last:
+                out += flush()
+                held.clear()
+                last = key
+            held.append((rep, side, vec))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    out = flush()
+    held.clear()
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _candidates(docs: pa.Table, told: pa.Table, n_docs: int, size: int, threshold: float, bands: int, rows: int, shards: int, idf: float) -> pa.Table:
@@ -171,15 +251,15 @@ def _candidates(docs: pa.Table, told: pa.Table, n_docs: int, size: int, threshol
     for k, a, b in B.shard_slices(keys, shards):
         df[a:b] = B.unpack_ints(answers[k])
     df = df[inverse]
-    w = (1 + np.log(tf)) * (1 + idf * np.log(n_docs / df) / np.log(max(2, n_docs)))
+    w = (1 + np.log(tf)) * rarity(df, n_docs, idf)
     n = len(off) - 1
     total, shared = np.bincount(doc, weights=w, minlength=n), np.bincount(doc, weights=w * (df > 1), minlength=n)
     may = (total > 0) & (shared >= (threshold - 1e-9) * total)
     keep = may[doc]
-    doc, shingle, w, df = doc[keep], shingle[keep], w[keep], df[keep]
+    doc, shingle, w, tf, df = doc[keep], shingle[keep], w[keep], tf[keep], df[keep]
     ids = np.flatnonzero(may)
     starts = np.searchsorted(doc, ids)
-    values, vecs, prefixes = [], [], []
+    values, vecs = [], []
     cuts = np.append(starts, len(doc))
     for lo in range(0, len(ids), 64):
         hi = min(lo + 64, len(ids))
@@ -189,22 +269,8 @@ def _candidates(docs: pa.Table, told: pa.Table, n_docs: int, size: int, threshol
         for r in range(rows):
             mixed = B.mix(mixed ^ got[:, :, r], 78 + r)
         values += mixed.view(np.int64).tolist()
-        vecs += [_pack_vec(shingle[cuts[i] : cuts[i + 1]], w[cuts[i] : cuts[i + 1]]) for i in range(lo, hi)]
-        prefixes += [_prefix(shingle[cuts[i] : cuts[i + 1]], w[cuts[i] : cuts[i + 1]], df[cuts[i] : cuts[i + 1]], threshold) for i in range(lo, hi)]
-    return pa.table({"doc_id": docs["doc_id"].take(pa.array(ids)), "content": docs["content"].take(pa.array(ids)), "bands": values, "vec": vecs, "prefix": prefixes, "weight": total[ids]}, schema=_CAND_PA)
-
-
-def _verify(batches, threshold: float):
-    y, pivot = None, None
-    for batch in batches:
-        for at in range(0, batch.num_rows, VERIFY_ROWS):
-            part = batch.slice(at, VERIFY_ROWS)
-            got = []
-            for x, z in zip(part.column("vec"), part.column("pivot_vec"), strict=True):
-                if y is None or z != y:
-                    y, pivot = z, _unpack_vec(z.as_py())
-                got.append(weighted_jaccard(_unpack_vec(x.as_py()), pivot))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(got, pa.float64())], names=["a", "b", "similarity"])
+        vecs += [_pack_vec(*(x[cuts[i] : cuts[i + 1]] for x in (shingle, tf, df))) for i in range(lo, hi)]
+    return pa.table({"doc_id": docs["doc_id"].take(pa.array(ids)), "content": docs["content"].take(pa.array(ids)), "bands": values, "vec": vecs, "size": np.add.reduceat(tf, starts) if len(ids) else []}, schema=_CAND_PA)
 
 
 def near_duplicate_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, idf: float = IDF_SHARE) -> DataFrame:
@@ -213,68 +279,28 @@ def near_duplicate_classes(docs: DataFrame, size: int = SHINGLE, threshold: floa
     n, n_bytes = B.corpus_size(docs)
     shards = max(16, B.shard_count(n_bytes // 6))
     by_block = B.hash_block(docs, B.block_count(n_bytes, n)).withColumn("content", F.unhex(F.md5("text"))).groupBy("block")
-    told = by_block.applyInArrow(lambda t: _send(t, size, shards), _SEND).groupBy("shard").applyInArrow(sum_counts, _TELL)
-    found = by_block.cogroup(told.groupBy("block")).applyInArrow(lambda d, a: _candidates(d, a, n, size, threshold, bands, rows, shards, idf), _CAND)
+    told = by_block.applyInArrow(B.lean(_send, size, shards), _SEND).groupBy("shard").applyInArrow(B.lean(sum_counts), _TELL)
+    found = by_block.cogroup(told.groupBy("block")).applyInArrow(B.lean_pair(_candidates, n, size, threshold, bands, rows, shards, idf), _CAND)
     cand = B.stored(found, "near-dedup")
     narrow = cand.where("doc_id is not null")
     reps = B.saved(narrow.groupBy("content").agg(F.min("doc_id").alias("rep")))
-    sets = cand.select(F.col("doc_id").alias("rep"), "bands").join(reps.select("rep"), "rep", "left_semi")
-    buckets = B.saved(sets.select("rep", F.explode("bands").alias("bucket")))
-    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = B.saved(buckets.join(full, "bucket").distinct())
-    vecs = cand.select("doc_id", "vec")
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b, rep, pivot) with their similarity."""
-        pivots = vecs.join(pairs.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("pivot"), F.col("vec").alias("pivot_vec"))
-        rows_in = pairs.join(vecs.withColumnRenamed("doc_id", "rep"), "rep").join(pivots, "pivot").select("a", "b", "vec", "pivot_vec")
-        return B.saved(rows_in.mapInArrow(lambda x: _verify(x, threshold), "a long, b long, similarity double"))
-
-    label, links, tested = None, None, None
-    for turn in range(1_000_000):
-        # delegates: one text of each component in a bucket; in the first round, every text
-        if label is None:
-            delegates = buckets
-        else:
-            own = buckets.join(label.toDF("rep", "label"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-            delegates = own.groupBy("bucket", "label").agg((F.max("rep") if turn % 2 else F.min("rep")).alias("rep")).drop("label")
-        pivot = delegates.groupBy("bucket").agg((F.max("rep") if turn % 2 else F.min("rep")).alias("pivot"))
-        pairs = delegates.join(pivot, "bucket").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.col("pivot")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = B.saved(pairs)
-        if not pairs.limit(1).count():
-            break
-        pairs = pairs.select("a", "b", F.when(F.col("a") == F.col("pivot"), F.col("b")).otherwise(F.col("a")).alias("rep"), "pivot")
-        tried = similar(pairs)
-        good = tried.where(F.col("similarity") >= threshold).select("a", "b")
-        links, tested = (good, tried.select("a", "b")) if links is None else (links.union(good), tested.union(tried.select("a", "b")))
-        if not good.limit(1).count():
-            break
-        label = components(links)
-    # what the pivots leave: pairs of different components in a bucket, by prefix shingles
-    own = buckets.withColumn("label", F.col("rep")) if label is None else buckets.join(label.toDF("rep", "label"), "rep", "left").select("rep", "bucket", F.coalesce("label", "rep").alias("label"))
-    mixed = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    held = own.join(mixed, "bucket").groupBy("rep", "label").agg(F.collect_list("bucket").alias("buckets"))
-    keyed = B.saved(held.join(cand.select(F.col("doc_id").alias("rep"), "prefix", "weight"), "rep").mapInArrow(_prefix_keys, "key long, rep long, label long, weight double"))
-    shared = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    keyed = keyed.join(shared, "key")
-    x, y = keyed.toDF("key", "a", "la", "wa"), keyed.toDF("key", "b", "lb", "wb")
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("wa", "wb") >= (threshold - SLACK) * F.greatest("wa", "wb"))).select("a", "b").distinct()
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    pairs = B.saved(pairs)
-    if pairs.limit(1).count():
-        good = similar(pairs.select("a", "b", F.col("b").alias("rep"), F.col("a").alias("pivot"))).where(F.col("similarity") >= threshold).select("a", "b")
-        label = components(good if links is None else links.union(good))
+    sets = cand.select(F.col("doc_id").alias("rep"), "content", "bands", "vec", "size").join(reps, ["content", "rep"], "left_semi").dropDuplicates(["rep"])
+    buckets = B.saved(sets.select("rep", "size", F.explode("bands").alias("bucket")))
+    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)) % (1 << 40)).alias("y")).where("n > 1")
+    full = full.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.max("shingles").alias("shingles"))  # bands often make the same bucket
+    chunks = full.select("bucket", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    members = buckets.join(chunks, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    task = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("own", c).alias("i"), F.greatest("own", c).alias("j"), F.when(F.col("own") == c, 0).when(F.col("own") < c, 1).otherwise(2).alias("side")))
+    tasks = members.select("bucket", "rep", F.explode(task).alias("t")).select("bucket", "t.*", "rep").join(sets.select("rep", "vec"), "rep")
+    tasks = tasks.select("bucket", "i", "j", "side", "rep", "vec").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    label = components(tasks.mapInArrow(lambda x: _links(x, threshold, n, idf), "a long, b long"))
     copies = narrow.select("doc_id", "content").join(reps, "content").select("doc_id", "rep")
-    if label is not None:
-        copies = copies.join(label.toDF("rep", "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))
+    copies = copies.join(label.toDF("rep", "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))
     classes = copies.groupBy("doc_id").agg(F.min("rep").alias("class_id"))
-    empty = docs.where(F.length(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", "")) == 0).agg(F.min("doc_id").alias("least_empty"))
-    out = docs.select("doc_id", (F.length(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", "")) == 0).alias("empty"))
-    out = out.join(classes, "doc_id", "left").crossJoin(F.broadcast(empty))  # one row
-    return out.select("doc_id", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("empty"), F.coalesce(F.least("class_id", "least_empty"), "least_empty")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"))
+    out = docs.select("doc_id", (~F.col("text").rlike("[^\\x20\\x09-\\x0D]")).alias("empty"))
+    least_empty = F.lit(out.where("empty").agg(F.min("doc_id")).head()[0]).cast("long")
+    out = out.join(classes, "doc_id", "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("empty"), F.coalesce(F.least("class_id", least_empty), least_empty)).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

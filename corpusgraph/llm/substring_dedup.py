@@ -188,14 +188,14 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, depth: int = DEPTH, carr
     shards = max(16, (1 << bits) // SHARD_CELLS)
     exact = max(16, B.shard_count(n_bytes // 12))
     by_block = B.range_block(docs, B.block_count(n_bytes, n)).groupBy("block")
-    asked = by_block.applyInArrow(lambda t: _sketch_request(t, size, depth, bits, shards), _REQUEST_DDL)
-    told = asked.groupBy("shard").applyInArrow(lambda t: _sketch_answer(t, bits, shards), _ANSWER_DDL)
-    asked = by_block.cogroup(told.groupBy("block")).applyInArrow(lambda d, a: _exact_request(d, a, size, depth, bits, shards, exact), _REQUEST_DDL)
-    told = asked.groupBy("shard").applyInArrow(_exact_answer, _ANSWER_DDL)
+    asked = by_block.applyInArrow(B.lean(_sketch_request, size, depth, bits, shards), _REQUEST_DDL)
+    told = asked.groupBy("shard").applyInArrow(B.lean(_sketch_answer, bits, shards), _ANSWER_DDL)
+    asked = by_block.cogroup(told.groupBy("block")).applyInArrow(B.lean_pair(_exact_request, size, depth, bits, shards, exact), _REQUEST_DDL)
+    told = asked.groupBy("shard").applyInArrow(B.lean(_exact_answer), _ANSWER_DDL)
     out = [k for k in carry if k != "doc_id"]
     kinds = dict(docs.dtypes)
     result = ", ".join(["doc_id long, n_words long, n_removed long, kept_text string", *(f"`{k}` {kinds[k]}" for k in out)])
-    return by_block.cogroup(told.groupBy("block")).applyInArrow(lambda d, a: _kept(d, a, size, exact, out), result)
+    return by_block.cogroup(told.groupBy("block")).applyInArrow(B.lean_pair(_kept, size, exact, out), result)
 
 
 def rewrite(docs: DataFrame, size: int = WINDOW) -> DataFrame:

@@ -91,6 +91,59 @@ def test_near_dedup(spark, rows):
     assert got == want and got[44] == 3 and got[41] == 0
 
 
+def _true_classes(rows, idf=near_dedup.IDF_SHARE):
+    """Components of all pairs of 0.8 or more, by brute force."""
+    doc, sh, tf = near_dedup.shingle_sets(*B.text_arrays(pa.array([t for _, t in rows])), 5)
+    _, inv = np.unique(sh, return_inverse=True)
+    w = (1 + np.log(tf)) * near_dedup.rarity(np.bincount(inv)[inv], len(rows), idf)
+    cut = np.searchsorted(doc, np.arange(len(rows) + 1))
+    sets = [(sh[a:b], w[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    label, links = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_dedup.weighted_jaccard(sets[i], sets[j]) >= 0.8:
+                links += 1
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label, links
+
+
+@pytest.mark.parametrize("chunk", [512, 5])
+def test_near_dedup_loses_no_link_in_groups_of_edited_copies(spark, monkeypatch, chunk):
+    """Sixty groups of twelve copies with edits, many of them near the threshold; also with buckets over many chunks."""
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for g in range(60):
+        base = [word() for _ in range(120)] + ["again and again and again"] * (g % 3)
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(r.randint(0, 4)):
+                copy[r.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    want, links = _true_classes(rows)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicate_classes(table(spark, rows)).collect()}
+    assert links > 500 and len(set(want)) > 65
+    assert [got[i] for i, _ in rows] == want
+
+
+def test_near_dedup_null_and_equal_ids(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    got = near_dedup.near_duplicate_classes(table(spark, [(None, t), (5, t), (5, "other words here"), (7, t), (7, t), (9, None), (8, " ")])).collect()
+    assert sorted(((x.doc_id, x.class_id) for x in got), key=repr) == [(5, 5), (5, 5), (7, 5), (7, 5), (8, 8), (9, 8), (None, None)]
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 5_000])
+def test_range_blocks_follow_the_key(spark, blocks):
+    docs = spark.range(20_000).select(F.when(F.col("id") % 97 == 0, None).otherwise(F.col("id") * 3 - 1000).alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit(1).alias("other"))
+    got = B.range_block(docs, blocks).orderBy(F.col("doc_id").asc_nulls_last()).select("doc_id", "block").collect()
+    known = [x.block for x in got if x.doc_id is not None]
+    assert known == sorted(known) and all(x.block > known[-1] for x in got if x.doc_id is None)
+    n = len(set(known))
+    assert 0.8 * blocks <= n <= 1.5 * blocks and max(collections.Counter(known).values()) <= 3 * 20_000 / blocks + 3
+
+
 def test_near_dedup_compares_all_of_a_mixed_bucket(spark):
     """Texts that share much, though less than the threshold; the one alike pair has smaller and greater ids on both sides."""
     r = random.Random(15)
