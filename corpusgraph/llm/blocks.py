@@ -339,8 +339,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs whose key is not in the one column of `ids`; these are broadcast if their counted number allows, else both are shuffled."""
-    ids = saved(ids.toDF("gone").distinct())
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, F.col(key).eqNullSafe(F.col("gone")), "left_anti")
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose columns of the names in `gone` are equal, nulls too; `gone` is broadcast if its counted number allows."""
+    names = gone.columns
+    gone = saved(gone.toDF(*(f"_gone_{k}" for k in names)).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    same = [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in names]
+    return docs.join(side, functools.reduce(lambda a, b: a & b, same), "left_anti")

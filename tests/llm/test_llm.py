@@ -228,11 +228,55 @@ def test_decontamination(spark):
     assert got == sorted([*((k, k) for k in range(6)), (None, 7), (30, 8)], key=repr)
 
 
+def test_decontamination_against_all_windows(spark):
+    """Swapped halves, insertions, gaps, clipped and repeated passages: as by brute force over every window."""
+    r = random.Random(51)
+    text = lambda n: ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    same = text(12)  # a passage that several items hold
+    items = [(k, text(n)) for k, n in enumerate((100, 100, 60, 40, 40, 25, 80))] + [(20, same + text(30)), (21, same + text(33)), (21, text(30)), (None, text(35)), (30, text(3)), (31, None)]
+    docs = []
+    for _, w in items[:11]:
+        h = len(w) // 2
+        docs += [text(30) + w[h:] + w[:h] + text(9), w[h - 10 :] + w[: h - 10], text(5) + w[:h] + text(3) + w[h:] + text(40), text(8) + w + w[: h + 2] + text(5), w[len(w) // 8 :] + text(20), text(20) + w[: -len(w) // 12 or None], w[:h] + text(60) + w[h:]]
+        copy = list(w)
+        for _ in range(2):
+            copy[r.randrange(len(w))] = "zz"
+        docs.append(text(50) + copy + text(50))
+    docs += [items[11][1], text(20) + items[11][1], same + text(50), same, text(200)]
+    rows = [(k, " ".join(x)) for k, x in enumerate(docs)] + [(3, None), (3, " ".join(items[0][1])), (3, " ".join(items[0][1])), (None, "- ".join(items[1][1])), (None, "")]
+    tables = [(k, None if w is None else " ".join(w)) for k, w in items]
+    tables.append(tables[0])
+
+    def shingled(t):
+        w = re.findall("[a-z]+", t or "")
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
+
+    bench = {x: shingled(x[1]) for x in set(tables) if x[1]}
+    df = collections.Counter(h for x in bench.values() for h in set(x))
+    weight = lambda h: 1 + math.log(len(bench) / df[h]) if h in df else 1 + math.log(len(bench))
+    want = {}
+    for doc in set(rows):
+        hs = shingled(doc[1])
+        for (item_id, _), own in bench.items():
+            b = collections.Counter(own)
+            for at in range(1 - len(own), len(hs)):
+                a = collections.Counter(hs[max(0, at) : at + len(own)])
+                if a.keys() & b.keys():
+                    low, high = (sum(f(a[h], b[h]) * weight(h) for h in a.keys() | b.keys()) for f in (min, max))
+                    if low / high >= 0.8 and low / high > want.get((doc, item_id), (0,))[0] + 1e-12:
+                        want[doc, item_id] = low / high, at
+    found = decontamination.contaminated(table(spark, rows), spark.createDataFrame(tables, "item_id long, text string"))
+    version = {x.version: x.text for x in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("version")).collect()}
+    got = {((x.doc_id, version[x.version]), x.item_id): (x.similarity, x.start) for x in found.collect()}
+    assert len(want) >= 50 and got.keys() == want.keys() and found.count() == len(got)
+    assert all(math.isclose(got[k][0], want[k][0], rel_tol=1e-9) and got[k][1] == want[k][1] for k in want)
+
+
 def test_multi_index_finds_all_within_radius(spark):
     r = random.Random(6)
     left = [r.getrandbits(63) for _ in range(60)]
     right = [x ^ sum(1 << b for b in r.sample(range(63), r.randint(0, 30))) for x in left]
-    got = decontamination.near_pairs(spark.createDataFrame([(x,) for x in left], "fp long"), spark.createDataFrame([(x,) for x in right], "item_fp long")).collect()
+    got = decontamination.near_pairs(spark.createDataFrame([(x, 9) for x in left], "fp long, size int"), spark.createDataFrame([(x, 9) for x in right], "item_fp long, size int")).collect()
     assert {(x.fp, x.item_fp) for x in got} == {(a, b) for a in left for b in right if (a ^ b).bit_count() <= decontamination.RADIUS}
 
 
@@ -267,8 +311,70 @@ def test_language_id(spark):
 
 def test_automaton_is_levenshtein_one():
     a = toxicity.Automaton(["idiot", "fool"], ["verq"])
-    exact, near, none = ["idiot", "fool", "verq", "verqab"], ["idlot", "idot", "idioot", "idiots", "diiot"[1:] and "idiott"], ["foll", "verx", "idi", "idxxt", "", "iddioot"]
-    assert [a.match(w) for w in exact] == [2] * 4 and [a.match(w) for w in near] == [1] * 5 and [a.match(w) for w in none] == [0] * 6
+    exact, near, none = ["idiot", "fool", "verq", "verqab"], ["idlot", "idot", "idioot", "idiots", "diiot"[1:] and "idiott"], ["foll", "verx", "idi", "idxxt", "", "iddioot", "xfool", "xxidiot"]
+    assert a.match("xidiot") == 1  # a letter before the first
+    assert [a.match(w) for w in exact] == [2] * 4 and [a.match(w) for w in near] == [1] * 5 and [a.match(w) for w in none] == [0] * 8
+
+
+def test_automaton_agrees_with_edit_distance():
+    r = random.Random(12)
+    terms = sorted({"".join(r.choice("abcd") for _ in range(r.randint(3, 8))) for _ in range(40)})
+    a = toxicity.Automaton(terms, [])
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row = _row(row, c, y, i)
+        return row[-1]
+
+    def _row(row, c, y, i):
+        out = [i]
+        for j, d in enumerate(y, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (c != d)))
+        return out
+
+    for _ in range(3000):
+        w = list(r.choice(terms))
+        for _ in range(r.randint(0, 2)):
+            k = r.randrange(len(w) + 1)
+            w[k : k + r.randint(0, 1)] = r.choice(["", "a", "b", "e"])
+        w = "".join(w)
+        want = 2 if w in terms else int(any(len(t) >= toxicity.FUZZY_LENGTH and distance(w, t) == 1 for t in terms))
+        assert a.match(w) == want, w
+
+
+def test_mixture_agrees_with_plain_em():
+    """Proportions and the chosen set of languages, word by word in plain Python."""
+    r = np.random.default_rng(3)
+    k, docs = 5, [3, 40, 1, 200, 90]
+    doc = np.repeat(np.arange(len(docs)), docs)
+    loglik = r.normal(-8, 2, (len(doc), k))
+    for i, tongues in enumerate([[0], [1, 2], [3], [0, 1, 2, 4], [2, 3, 4]]):
+        for j in np.flatnonzero(doc == i):
+            loglik[j, tongues[j % len(tongues)]] += 9
+    best, share = language_id.mixture(loglik, doc, len(docs) + 1)
+    for i in range(len(docs)):
+        like = np.exp(np.maximum(loglik[doc == i] - loglik[doc == i].max(1, keepdims=True), -60))
+
+        def em(allowed):
+            pi = [1 / len(allowed) if x in allowed else 0.0 for x in range(k)]
+            for _ in range(language_id.STEPS):
+                new = [0.0] * k
+                for row in like:
+                    z = sum(pi[x] * row[x] for x in range(k))
+                    for x in range(k):
+                        new[x] += pi[x] * row[x] / z / len(like)
+                pi = new
+            return pi, sum(math.log(max(1e-30, sum(pi[x] * row[x] for x in range(k)))) for row in like)
+
+        order = sorted(range(k), key=lambda x: -em(range(k))[0][x])
+        rated = []
+        for size in range(1, k + 1):
+            pi, ll = em(order[:size])
+            rated.append((ll - 0.5 * size * math.log(len(like)), pi))
+        _, pi = max(rated, key=lambda x: x[0])
+        assert best[i] == int(np.argmax(pi)) and abs(share[i] - max(pi)) < 1e-3
+    assert best[-1] == -1 and share[-1] == 0
 
 
 def test_toxicity_learns(spark):
