@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import functools
 import itertools
+import os
 import zlib
 
 import numpy as np
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
-#: Distinct segments whose ids a worker remembers within a partition.
-CACHE_WORDS = 1_500_000
+#: Distinct segments whose ids a worker remembers (about 32 bytes each), and bytes of text it looks up at a time.
+CACHE_WORDS, RUN_BYTES = 1_000_000, 1 << 20
+#: Segments that go to the tokenizer at a time.
+LEARN = 2_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_PA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -46,6 +49,7 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,12 +60,26 @@ class WordIds:
         self.flat = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, spans: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(spans, add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int64, len(got))
+        sizes, parts, model = [], [], self.tokenizer.model
+        for lo in range(0, len(spans), LEARN):  # the tokenizer's own results are large
+            part = spans[lo : lo + LEARN]
+            # the rules before the model leave a run of lower-case ASCII letters as it is
+            plain = [x.isalpha() and x.isascii() and x.islower() for x in part]
+            rest = iter(self.tokenizer.encode_batch_fast([x for x, p in zip(part, plain, strict=True) if not p], add_special_tokens=False))
+            got = [[t.id for t in model.tokenize(x)] if p else next(rest).ids for x, p in zip(part, plain, strict=True)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            parts.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        n = np.concatenate(sizes)
         at = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(n.sum())))
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.n, where, n)
+        self.flat = np.concatenate([self.flat, *parts])
+        # both are sorted and have no key in common: one merge for all columns
+        where = np.searchsorted(self.keys, keys) + np.arange(len(keys))
+        old = np.ones(len(self.keys) + len(keys), bool)
+        old[where] = False
+        for name, new in (("keys", keys), ("at", at), ("n", n)):
+            merged = np.empty(len(old), new.dtype)
+            merged[where], merged[old] = new, getattr(self, name)
+            setattr(self, name, merged)
 
     def of(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each text."""
@@ -104,9 +122,13 @@ def _segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     cut[1:] = letter[:-1] & sign[1:] | sign[:-1] & letter[1:]
     cut[s] = False
     cut[off[:-1][off[:-1] < len(data)]] = False
-    inner = np.flatnonzero(cut)
-    starts = np.union1d(s, inner)
-    return starts, np.union1d(e, inner), doc[np.searchsorted(s, starts, side="right") - 1]
+    # words and cuts inside them never meet, so marks are enough to merge them
+    cut[s] = True
+    starts = np.flatnonzero(cut)
+    cut[s] = False
+    last = np.append(cut, False)
+    last[e] = True
+    return starts, np.flatnonzero(last), doc[np.searchsorted(s, starts, side="right") - 1]
 
 
 @functools.cache
@@ -120,7 +142,7 @@ def _pieces(batches, path: str, capacity: int, end_id: int):
         data, off = B.text_arrays(batch.column("text"))
         ids = batch.column("doc_id").to_pylist()
         out: list[tuple] = []
-        for a, b in B.runs(off):
+        for a, b in B.runs(off, RUN_BYTES):
             flat, n = words.of(data[off[a] : off[b]], off[a : b + 1] - off[a])
             cut = np.append(0, np.cumsum(n))
             for k in range(b - a):
@@ -130,7 +152,7 @@ def _pieces(batches, path: str, capacity: int, end_id: int):
                     crc = zlib.crc32(part.tobytes())
                     out.append((ids[a + k], p, lo, len(part), crc))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _PIECES_PA, strict=True)] if out else [pa.array([], f.type) for f in _PIECES_PA], schema=_PIECES_PA)
-    words.clear()  # the worker lives on, for other stages
+    B.tidy()
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -224,6 +246,7 @@ def _assign(batches, keys: np.ndarray, first: np.ndarray, offset: np.ndarray):
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of docs(doc_id, text): where it begins in its document, and its sequence and offset."""
+    B.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = B.stored(docs.mapInArrow(lambda x: _pieces(x, path, capacity, end_id), _PIECES), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
