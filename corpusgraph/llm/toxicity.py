@@ -2,7 +2,8 @@
 
 The lexicon is learnt: words, and stems (prefixes of words), whose documents are toxic far
 more often than others', picked greedily until each toxic document of the sample has
-`COVER` of them where possible; of terms in the same documents the longest.  The words a
+`COVER` of them where possible; of terms in the same documents the longest.  Words are 3 to 40 letters long, and
+candidates stand in `MIN_DOCS` toxic documents of the sample or more, which bounds their number.  The words a
 picked stem stands for stay in the lexicon, so that they may be misspelled.
 Its trie, intersected with the Levenshtein
 automaton of distance 1 (for terms of five letters and more; stems must match exactly),
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-SAMPLE, MIN_DOCS, LOG_ODDS, COVER, MAX_CANDIDATES, STEMS = 20_000, 5, 3.0, 4, 3000, (4, 5, 6, 7, 8, 9)
+SAMPLE, MIN_DOCS, LOG_ODDS, COVER, STEMS = 20_000, 5, 3.0, 4, (4, 5, 6, 7, 8, 9)
 WINDOW, FUZZY_LENGTH, CUT = 8, 5, 0.3
 OUTER = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&-_=+/\\~^`@“”„«»‘’…"
 _QUOTES = set("\"“”„«»")
@@ -76,9 +77,8 @@ class Automaton:
         for node, e in self.sets[state]:
             if c in self.child[node]:
                 to.add((self.child[node][c], e))
-            if e == 0 and node:  # the first letter is a letter of the term: no insertion before it
-                to.add((node, 1))
             if e == 0:
+                to.add((node, 1))  # a letter too many
                 to.update((x, 1) for k, x in self.child[node].items() if k != c)
         self.step[state][c] = got = self._state(self._closed(to))
         return got
@@ -155,8 +155,8 @@ def learn_lexicon(sampled: DataFrame) -> tuple[list[str], list[str]]:
     terms = words.select("doc_id", "toxic", F.explode(F.array(F.col("w"), *[F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in STEMS])).alias("term")).where("term is not null")
     odds = F.log((F.col("t") + 0.5) / (toxic_n + 1.0)) - F.log((F.col("c") + 0.5) / (clean_n + 1.0))
     count = terms.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where((F.col("t") >= MIN_DOCS) & (odds >= LOG_ODDS) & (F.col("c") * 8 <= F.col("t")))
-    best = B.saved(count.orderBy(F.desc("t"), "term").limit(MAX_CANDIDATES).select("term"))
-    docs_of = {r["term"]: set(r["d"]) for r in terms.where("toxic = 1").join(F.broadcast(best), "term").groupBy("term").agg(F.collect_set("doc_id").alias("d")).collect()}
+    best = B.saved(count.select("term"))
+    docs_of = {r["term"]: set(r["d"]) for r in terms.where("toxic = 1").join(best, "term").groupBy("term").agg(F.collect_set("doc_id").alias("d")).collect()}
     need = dict.fromkeys(set().union(*docs_of.values()) if docs_of else set(), COVER)
     words_out, stems, left = [], [], dict(docs_of)
     while left:
@@ -186,10 +186,12 @@ def _rows(batches, words: list[str], stems: list[str], weights: list[float] | No
             w = np.array(weights)
             score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+    B.tidy()
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score) of every row of docs(doc_id, text); labels(doc_id, toxic) are those to learn from."""
+    B.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
