@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-SAMPLE, ALPHA, STEPS, SETS = 20_000, 0.02, 6, 3
+SAMPLE, ALPHA, STEPS = 20_000, 0.02, 6
 UNKNOWN = "und"
 SIGNS = 64
 _SIGN = np.zeros(256, np.int32)
@@ -86,11 +86,13 @@ def mixture(loglik: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarra
     chosen, worth = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
     part = np.zeros(len(ids))
     allowed = np.zeros((len(ids), k), np.float32)
-    for size in range(1, min(SETS, k) + 1):
+    for size in range(1, k + 1):  # sets grow by share, as long as that is worth its penalty for some document
         allowed[np.arange(len(ids)), order[:, size - 1]] = 1
         p, ll = em(allowed)
         value = ll - 0.5 * size * np.log(lens)
         better = value > worth
+        if not better.any():
+            break
         worth = np.where(better, value, worth)
         chosen, part = np.where(better, p.argmax(1), chosen), np.where(better, p.max(1), part)
     best[ids], share[ids] = chosen, part
@@ -117,11 +119,13 @@ def _predict(batches, langs: list[str], table: np.ndarray, out: list[str]):
         pred = [langs[max(0, k)] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
         score = np.where(known, np.concatenate(share) if share else np.zeros(0), 0.0)
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in out), pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*out, "lang_pred", "score"])
+    B.tidy()
 
 
 def identify(docs: DataFrame, learn, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, learnt_from, lang_pred, score) of docs(doc_id, text, lang), and the columns in `carry`; `learn` says which rows may teach."""
     more = [k for k in carry if k not in ("doc_id", "text", "lang")]
+    B.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", *more, F.coalesce(learn, F.lit(False)).alias("learnt_from"))
     able = docs.where("learnt_from and lang is not null and text is not null")
     share = min(1.0, sample / max(1, able.count()))

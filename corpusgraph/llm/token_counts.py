@@ -149,10 +149,12 @@ def _count(batches, path: str):
         data, off = B.text_arrays(batch.column("text"))
         got = [counter.of(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in B.runs(off, 1 << 20)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off)), pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))], names=["doc_id", "n_bytes", "n_tokens"])
+    B.tidy()
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of docs(doc_id, text)."""
+    B.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(lambda x: _count(x, path), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
