@@ -16,9 +16,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no language (`und`: null texts and texts without a letter); labels stay as they are."""
+    """Drops what has no language (`und`: null texts and texts without a letter); a missing label becomes the language found.
+
+    Where no row has a label there is no language to find, and texts with a letter stay.
+    """
     found = language_id.identify(docs, language_id.teaching(), carry=tuple(COLUMNS))
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) | F.col("text").rlike(r"\p{L}"))
+    known = F.when(F.col("lang_pred") != language_id.UNKNOWN, F.col("lang_pred"))
+    return kept.withColumn("lang", F.coalesce("lang", known)).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +38,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's passage go."""
+    """Documents that hold a benchmark item's passage go; another text of the same doc_id stays."""
     found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return blocks.without(docs, found.select("doc_id")).select(*COLUMNS)
+    versions = docs.withColumn("version", F.xxhash64("text"))
+    return blocks.without(versions, found.select("doc_id", "version")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
