@@ -39,7 +39,7 @@ def section(code: Column) -> Column:
 
 def code_key(code: Column) -> Column:
     """Sort key of dotted codes: their numbers."""
-    return F.transform(F.split(code, r"\."), lambda x: x.cast("int"))
+    return F.transform(F.split(code, r"\."), lambda x: x.try_cast("int"))
 
 
 def ancestors(code: Column) -> Column:
@@ -90,8 +90,8 @@ def heading_kind(heading: Column) -> Column:
     return out
 
 
-#: Character references that are decoded natively; numeric ones are decoded by `sections` in Python.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+#: Named character references; numeric ones are decoded by `numeric_references`.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&times;", "×"), ("&amp;", "&")]
 
 
 def strip_elements(html: Column) -> Column:
@@ -101,9 +101,22 @@ def strip_elements(html: Column) -> Column:
     return html
 
 
+def numeric_references(text: Column) -> Column:
+    """Text with &#8217; and &#x2019; decoded; what is no character becomes U+FFFD."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([xX][0-9a-fA-F]{1,8}|[0-9]{1,9});"), F.lit(1)))
+
+    def sign(ref: Column) -> Column:
+        point = F.when(F.lower(ref).startswith("x"), F.conv(F.substring(ref, 2, 9), 16, 10)).otherwise(ref).cast("long")
+        valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, point).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+    decoded = F.aggregate(found, text, lambda at, ref: F.replace(at, F.concat(F.lit("&#"), ref, F.lit(";")), sign(ref)))
+    return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
+
+
 def plain_text(fragment: Column) -> Column:
     """Text of an HTML fragment, with tidy spaces and no empty brackets."""
-    text = F.regexp_replace(fragment, "<[^>]+>", " ")
+    text = numeric_references(F.regexp_replace(fragment, "<[^>]+>", " "))
     for name, sign in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
     text = F.trim(F.regexp_replace(text, r"[\s ]+", " "))
@@ -118,8 +131,9 @@ def squeezed(text: Column) -> Column:
 
 def canonical_key(ids: Column) -> Column:
     """One namespaced identifier of a map: DOI (arXiv's own DOIs as arXiv), arXiv, OpenAlex, Semantic Scholar."""
-    low = F.transform_keys(F.map_filter(ids, lambda k, v: v.isNotNull() & (v != "")), lambda k, v: F.lower(k))
-    get = lambda k: F.trim(low[k])
+    entries = F.filter(F.map_entries(ids), lambda e: e["value"].isNotNull() & (e["value"] != ""))
+    # names count without case; of two spellings of one name the last
+    get = lambda k: F.trim(F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == k), F.lit(-1))["value"])
     some = lambda c: F.when(c != "", c)
     doi = F.lower(F.regexp_replace(F.regexp_replace(get("doi"), "^https://doi.org/", ""), "^doi:", ""))
     arxiv = F.coalesce(some(get("arxiv")), some(get("arxivid")))
@@ -134,15 +148,15 @@ def canonical_key(ids: Column) -> Column:
 
 def identify(raw: Column) -> Column:
     """struct(kind, id): arxiv, doi or url of a typed identifier; kind `error` if it is none."""
-    value = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"(?i)^https?://(dx\.)?doi\.org/", "")
-    link = F.lower(F.regexp_extract(value, r"(?i)arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5})", 1))
-    inner = F.lower(F.regexp_extract(value, r"(10\.\d{4,9}/\S+)", 1))
+    value = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), fixed.ID_DOI_ADDRESS, "")
+    link = F.lower(F.regexp_extract(value, fixed.ID_ARXIV_ADDRESS, 1))
+    inner = F.lower(F.regexp_extract(value, fixed.ID_DOI_INSIDE, 1))
     made = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("id"))
     return (
         F.when(value == "", made("error", F.lit(None).cast("string")))
         .when(link != "", made("arxiv", link))
-        .when(value.rlike(r"^\d{4}\.\d{4,5}(v\d+)?$"), made("arxiv", F.regexp_replace(value, "v.*$", "")))
-        .when(value.rlike(r"^10\.\d{4,9}/\S+$"), made("doi", F.lower(value)))
+        .when(value.rlike(fixed.ID_ARXIV), made("arxiv", F.regexp_replace(value, "v.*$", "")))
+        .when(value.rlike(fixed.ID_DOI), made("doi", F.lower(value)))
         .when(inner != "", made("doi", inner))
         .when(value.rlike(r"(?i)^(https?://|www\.)") | value.rlike(r"^[\w-]+\.[\w.-]+"), made("url", F.when(F.lower(value).startswith("http"), value).otherwise(F.concat(F.lit("https://"), value))))
         .otherwise(made("error", F.lit(None).cast("string")))
@@ -171,6 +185,22 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def lookup_url(identifier: Column) -> Column:
+    """Where the first source keeps a work: by its own id, arXiv id (without version) or DOI; null for anything else."""
+    i = F.trim(identifier)
+    base = "https://api.openalex.org/works/"
+    return (
+        F.when(i.startswith("W"), F.concat(F.lit(base), i))
+        .when(i.rlike(fixed.ID_ARXIV), F.concat(F.lit(base + "https://doi.org/10.48550/arXiv."), F.regexp_replace(i, "v.*$", "")))
+        .when(i.startswith("10."), F.concat(F.lit(base + "https://doi.org/"), i))
+    )
+
+
+def short_id(url: Column) -> Column:
+    """The last part of an address."""
+    return F.regexp_extract(F.regexp_replace(url, "/+$", ""), "([^/]*)$", 1)
+
+
 def truncated(text: Column, most: int) -> Column:
     """Cut at a word's end, with an ellipsis, if longer than `most`."""
     cut = F.regexp_replace(F.substring(text, 1, most), " [^ ]*$", "")

@@ -14,8 +14,8 @@ def bibliographic_coupling(refs: DataFrame, min_shared: int = 2) -> DataFrame:
     """(source, target, shared, score): pairs of works by shared references; score is Jaccard."""
     refs = refs.select("id", "ref").where("id is not null and ref is not null").distinct()
     sizes = refs.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    cited = F.count(F.lit(1)).over(Window.partitionBy("ref"))
-    useful = refs.withColumn("k", cited).where("k > 1").select("id", "ref")
+    often = refs.groupBy("ref").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("ref").alias("often"))
+    useful = refs.join(often, F.col("ref") == F.col("often")).select("id", "ref")
     a, b = useful.toDF("source", "ref"), useful.toDF("target", "ref")
     pairs = a.join(b, "ref").where("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
     pairs = pairs.join(sizes.toDF("source", "na"), "source").join(sizes.toDF("target", "nb"), "target")

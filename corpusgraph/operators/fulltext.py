@@ -40,18 +40,34 @@ def sections(pages: DataFrame, heading_class: str = "ltx_title", paragraph_class
 def verbatim(quotes: DataFrame, sources: DataFrame, words: int = 5) -> DataFrame:
     """(quote_id, source_id) where the source has the quote, white space aside; quotes(quote_id, text), sources(source_id, text).
 
-    Both meet by hashes of word runs, an equi-join: a quote is looked up by its second to
-    (words + 1)-th word, whole words in any source that holds it.  Shorter quotes meet by one inner word, or
-    are compared with every source as what is left.
+    Both meet by hashes, an equi-join.  A quote's words but the first and the last are whole words of any source that holds
+    it: a quote is looked up by `words` of them, or, if it is shorter, by the longest one.  Quotes of one or two words have no such
+    word; these alone are compared with every source.
     """
     q = quotes.select("quote_id", T.squeezed(F.col("text")).alias("quote")).where("quote <> ''").withColumn("w", F.split("quote", " "))
-    s = sources.select("source_id", T.squeezed(F.coalesce("text", F.lit(""))).alias("source")).withColumn("w", F.split("source", " "))
-    long_q = q.where(F.size("w") >= words + 2).select("quote_id", "quote", F.xxhash64(F.slice("w", 2, words)).alias("k"))
-    runs = s.where(F.size("w") >= words).select("source_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.slice("w", i, words))))).alias("k"))
-    met = runs.join(long_q, "k").select("source_id", "quote_id", "quote").distinct().join(s.select("source_id", "source"), "source_id")
-    short = q.where(F.size("w") < words + 2).select("quote_id", "quote")
-    rest = short.join(s.select("source_id", "source"), F.col("source").contains(F.col("quote")))
-    return met.where(F.col("source").contains(F.col("quote"))).select("quote_id", "source_id").unionByName(rest.select("quote_id", "source_id"))
+    s = sources.select("source_id", T.squeezed(F.coalesce("text", F.lit(""))).alias("source"))
+    split = s.withColumn("w", F.split("source", " "))
+    inner = F.slice("w", F.lit(2), F.size("w") - 2)
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    size = {r["kind"]: r["n"] for r in q.groupBy(F.when(F.size("w") >= words + 2, "runs").when(F.size("w") > 2, "words").otherwise("none").alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows
+    out = None
+
+    def add(found: DataFrame) -> None:
+        nonlocal out
+        out = found if out is None else out.unionByName(found)
+
+    def looked_up(asked: DataFrame, keys: DataFrame) -> DataFrame:
+        met = keys.join(asked, "k").select("source_id", "quote_id", "quote").distinct().join(s, "source_id")
+        return met.where(F.col("source").contains(F.col("quote"))).select("quote_id", "source_id")
+
+    if "runs" in size or not size:
+        runs = split.where(F.size("w") >= words).select("source_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.slice("w", i, words)))).alias("k"))
+        add(looked_up(q.where(F.size("w") >= words + 2).select("quote_id", "quote", F.xxhash64(F.slice("w", 2, words)).alias("k")), runs))
+    if "words" in size:
+        add(looked_up(q.where((F.size("w") > 2) & (F.size("w") < words + 2)).select("quote_id", "quote", longest.alias("k")), split.select("source_id", F.explode(F.array_distinct("w")).alias("k"))))
+    if "none" in size:
+        add(q.where("size(w) <= 2").select("quote_id", "quote").join(s, F.col("source").contains(F.col("quote"))).select("quote_id", "source_id"))
+    return out
 
 
 def first_section(quotes: DataFrame, parts: DataFrame) -> DataFrame:

@@ -86,6 +86,12 @@ def get_topic(topics: DataFrame, filed: DataFrame, code: str) -> DataFrame:
     return kids.unionByName(here).unionByName(below)
 
 
+def taxonomy_totals(topics: DataFrame) -> DataFrame:
+    """One row: topics, subpoints, and topics that are coded by rather than browsed; topics(code, subpoints)."""
+    scheme = T.section(F.col("code")) == fixed.CODING_SCHEME_SECTION
+    return topics.agg(F.count(F.lit(1)).alias("topics"), F.sum(F.size(F.coalesce("subpoints", F.array().cast("array<string>")))).cast("long").alias("subpoints"), F.count_if(scheme).alias("coding_scheme"))
+
+
 def taxonomy_stats(topics: DataFrame) -> DataFrame:
     """(kind, value, n): topics by depth and by section."""
     by = F.explode(F.array(F.struct(F.lit("depth").alias("kind"), T.depth(F.col("code")).cast("string").alias("value")), F.struct(F.lit("section").alias("kind"), T.section(F.col("code")).alias("value"))))
@@ -117,7 +123,9 @@ def dominant_section(written: DataFrame) -> DataFrame:
 
 
 def node_records(**kinds: DataFrame) -> DataFrame:
-    """All nodes in one frame with their kind; columns that a kind lacks are null."""
+    """All nodes in one frame with their kind; columns that a kind lacks are null, and a kind that is none is an error."""
+    if other := set(kinds) - {"topic", "resource", "entity", "claim"}:
+        raise TypeError(f"not a node type: {sorted(other)}")
     out = None
     for kind, df in sorted(kinds.items()):
         df = df.withColumn("kind", F.lit(kind))

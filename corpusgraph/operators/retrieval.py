@@ -16,8 +16,9 @@ class TopicIndex:
     """
 
     def __init__(self, topics: DataFrame) -> None:
-        terms = topics.select("code", F.explode(T.with_phrases(T.tokens(F.col("text")))).alias("term")).groupBy("code", "term").agg(F.count(F.lit(1)).alias("tf"))
-        lengths = topics.select("code", F.size(T.with_phrases(T.tokens(F.col("text")))).alias("len"))
+        words = _terms(topics)
+        terms = words.select("code", F.explode("t").alias("term")).groupBy("code", "term").agg(F.count(F.lit(1)).alias("tf"))
+        lengths = words.select("code", F.size("t").alias("len"))
         stats = lengths.agg(F.count(F.lit(1)).alias("topics"), F.avg("len").alias("mean_len"))  # one row
         df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         idf = F.ln(1 + (F.col("topics") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -26,13 +27,12 @@ class TopicIndex:
 
     def score(self, texts: DataFrame, phrases: bool = True) -> DataFrame:
         """(id, code, score) of texts(id, text) for each topic that shares a term."""
-        terms = T.tokens(F.col("text"))
-        asked = texts.select("id", F.explode(F.array_distinct(T.with_phrases(terms) if phrases else terms)).alias("term"))
+        asked = _terms(texts, phrases).select("id", F.explode(F.array_distinct("t")).alias("term"))
         return asked.join(self.weights, "term").groupBy("id", "code").agg(F.round(F.sum("weight"), 6).alias("score"))
 
     def matched(self, texts: DataFrame, most: int = 6) -> DataFrame:
         """(id, code, matched): the rarest shared terms."""
-        asked = texts.select("id", F.explode(F.array_distinct(T.with_phrases(T.tokens(F.col("text"))))).alias("term"))
+        asked = _terms(texts).select("id", F.explode(F.array_distinct("t")).alias("term"))
         both = asked.join(self.weights, "term").groupBy("id", "code").agg(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("i"), "term"))).alias("m"))
         return both.select("id", "code", F.slice(F.transform("m", lambda x: x["term"]), 1, most).alias("matched"))
 
@@ -41,7 +41,17 @@ class TopicIndex:
         found = self.score(texts).where(F.col("score") >= min_score)
         if leaves_only:
             found = found.where(T.depth(F.col("code")) > 0)
-        return top_k(prune_ancestors(found), limit)
+        # one array an id: what lies above another code goes, the best are kept; texts are read and scored once
+        listed = found.groupBy("id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), T.code_key(F.col("code")).alias("k"), "code", "score")).alias("x"))
+        above = listed.withColumn("up", F.array_distinct(F.flatten(F.transform("x", lambda c: T.ancestors(c["code"])))))
+        kept = above.select("id", F.slice(F.array_sort(F.filter("x", lambda c: ~F.array_contains("up", c["code"]))), 1, limit).alias("x"))
+        return kept.select("id", F.posexplode("x").alias("p", "x")).select("id", "x.code", "x.score", (F.col("p") + 1).alias("rank"))
+
+
+def _terms(texts: DataFrame, phrases: bool = True) -> DataFrame:
+    """texts with their terms in `t`.  Words are a column of their own: phrases read them three times."""
+    words = texts.withColumn("t", T.tokens(F.col("text"))).drop("text")
+    return words.withColumn("t", T.with_phrases(F.col("t"))) if phrases else words
 
 
 def prune_ancestors(found: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def store_upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     keep = ~filled & (F.size(F.coalesce("o_referenced_works", F.array().cast("array<string>"))) > 0)
     refs = F.when(keep, F.col("o_referenced_works")).otherwise(F.coalesce("referenced_works", F.array().cast("array<string>")))
     source = F.when(keep | F.col("source").isNull(), F.col("o_source")).otherwise(F.col("source"))
-    return both.select("resource_id", F.coalesce("key", "o_key").alias("key"), source.alias("source"), F.greatest("cited_by_count", "o_cited_by_count").alias("cited_by_count"), F.sort_array(F.array_distinct(refs)).alias("referenced_works"))
+    return both.select("resource_id", F.coalesce(F.nullif("key", F.lit("")), "o_key").alias("key"), source.alias("source"), F.greatest("cited_by_count", "o_cited_by_count").alias("cited_by_count"), F.sort_array(F.array_distinct(refs)).alias("referenced_works"))
 
 
 def gold_merge(gold: DataFrame, filed: DataFrame) -> DataFrame:
@@ -113,10 +113,27 @@ def affinity(authored: DataFrame, endorsed: DataFrame, weight: float = 1.0) -> D
     return both.groupBy("id").agg((F.lit(weight) * F.sqrt(1.0 + F.sum("w"))).alias("affinity"))
 
 
+def global_rank(df: DataFrame, order: list[Column], leading: str, name: str = "rank", down: bool = True, parts: int = 200) -> DataFrame:
+    """df with its 1-based place in `order`, which begins with the numeric column `leading` (descending if `down`), in no single task.
+
+    Rows fall into ranges of `leading`; a row's place is its place in its range, after the counts of the ranges
+    before (at most `parts` numbers).  Rows that tie on `leading` share a range.
+    """
+    cuts = df.agg(F.percentile_approx(leading, [i / parts for i in range(1, parts)], 10_000).alias("q")).head()["q"] or []
+    cuts = sorted(set(cuts))
+    placed = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(leading))) if cuts else F.lit(0))
+    counts = {r["_range"]: r["n"] for r in placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `parts` rows
+    before, total = {}, 0
+    for k in sorted(counts, reverse=down):
+        before[k], total = total, total + counts[k]
+    offset = F.create_map(*[F.lit(x) for k, n in before.items() for x in (k, n)])[F.col("_range")] if before else F.lit(0)
+    return placed.withColumn(name, (F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + offset).cast("long")).drop("_range")
+
+
 def trust_rerank(ranked: DataFrame, trust: DataFrame) -> DataFrame:
     """(id, score, total, rank): score plus affinity, ties by the old order (score, id)."""
     out = ranked.join(trust, "id", "left").withColumn("total", F.col("score") + F.coalesce("affinity", F.lit(0.0)))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), F.desc("score"), "id"))).select("id", "score", "total", "rank")
+    return global_rank(out, [F.desc("total"), F.desc("score"), F.asc("id")], "total").select("id", "score", "total", "rank")
 
 
 def violations(resources: DataFrame, claims: DataFrame, topics: DataFrame) -> DataFrame:

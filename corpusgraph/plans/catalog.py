@@ -62,12 +62,16 @@ def _snapshots(spark, d):
     return before, after
 
 
-def _names(spark, d):
+def _names_by_key(spark, d):
     """Spellings made from customer names: accents, points, hyphens."""
     c = _t(spark, d, "customer")
     base = F.concat(F.lit("Ana M. Müller-"), (F.col("c_custkey") % 50).cast("string"))
     name = F.when(F.col("c_custkey") % 3 == 0, base).when(F.col("c_custkey") % 3 == 1, F.regexp_replace(base, "ü", "u")).otherwise(F.regexp_replace(base, "[.]", ""))
-    return c.select(F.col("c_nationkey").alias("id"), name.alias("name"))
+    return c.select("c_custkey", name.alias("name"))
+
+
+def _names(spark, d):
+    return _names_by_key(spark, d).join(_t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("id")), "c_custkey").select("id", "name")
 
 
 _NAMES_SQL = """names AS (SELECT c_nationkey AS id, CASE WHEN c_custkey % 3 = 0 THEN base WHEN c_custkey % 3 = 1 THEN replace(base, 'ü', 'u') ELSE replace(base, '.', '') END AS name
@@ -152,26 +156,33 @@ def citation_pairs(spark, d):
     return citations.citation_pairs(_refs(spark, d), held)
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM lineitem WHERE l_orderkey % 10 = 0), k AS (SELECT DISTINCT l_partkey AS ref FROM lineitem WHERE l_orderkey % 10 = 1),
-s AS (SELECT c.id, count(k.ref) AS shared FROM c LEFT JOIN k USING (ref) GROUP BY c.id), n AS (SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS m FROM lineitem WHERE l_orderkey % 10 = 1 GROUP BY 1)
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM lineitem WHERE l_linestatus = 'O'), k AS (SELECT DISTINCT l_partkey AS ref FROM lineitem WHERE l_linestatus <> 'O'),
+s AS (SELECT c.id, count(k.ref) AS shared FROM c LEFT JOIN k USING (ref) GROUP BY c.id), n AS (SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS m FROM lineitem WHERE l_linestatus <> 'O' GROUP BY 1)
 SELECT s.id, shared, coalesce(m, 0) AS cited_by FROM s LEFT JOIN n USING (id)""")
 def connectivity(spark, d):
-    refs = _refs(spark, d)
-    return citations.connectivity(refs.where("id % 10 = 0"), refs.where("id % 10 = 1"))
+    """Open lines cite for the candidates, the others for the corpus."""
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("ref"), "l_linestatus")
+    return citations.connectivity(lines.where("l_linestatus = 'O'"), lines.where("l_linestatus <> 'O'"))
 
 
-@query(f"WITH {_COUPLING} SELECT 'o' || source AS source_id, 'o' || target AS target_id, 'SIMILAR_TO' AS relation, score FROM coupled WHERE source % 2 = 0 AND target % 2 = 0")
+@query(f"WITH {_COUPLING} SELECT 'o' || source AS source_id, 'o' || target AS target_id, 'SIMILAR_TO' AS relation, score FROM coupled")
 def similarity_edges(spark, d):
-    resolve = _t(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.concat(F.lit("o"), "o_orderkey").alias("to"))
+    resolve = _t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("o"), "o_orderkey").alias("to"))
     return _r6(citations.similarity_edges(_refs(spark, d), resolve), "score").select("source_id", "target_id", "relation", "score")
 
 
-@query(f"""WITH {_COUPLING}, one AS (SELECT min(source) AS id FROM coupled) SELECT CASE WHEN source = one.id THEN target ELSE source END AS other, 'coupled' AS kind, score FROM coupled, one WHERE source = one.id OR target = one.id""")
+_PAIRS = "held AS (SELECT p_partkey AS id, p_partkey + 1 AS key FROM part), pairs AS (SELECT DISTINCT l_orderkey AS citing, b.id AS cited FROM lineitem JOIN held a ON a.id = l_orderkey JOIN held b ON b.key = l_partkey WHERE l_orderkey <> b.id)"
+
+
+@query(f"""WITH {_COUPLING}, {_PAIRS}, one AS (SELECT min(citing) AS id FROM pairs WHERE citing IN (SELECT cited FROM pairs)) SELECT cited AS other, 'cites' AS kind, NULL::DOUBLE AS score FROM pairs, one WHERE citing = one.id
+UNION ALL SELECT citing, 'cited_by', NULL FROM pairs, one WHERE cited = one.id UNION ALL SELECT CASE WHEN source = one.id THEN target ELSE source END, 'coupled', score FROM coupled, one WHERE source = one.id OR target = one.id""")
 def related_records(spark, d):
+    """Of the first record that cites and is cited: both ways, and what is coupled with it."""
     edges = _r6(citations.bibliographic_coupling(_refs(spark, d)), "score").select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), "score")
-    first = edges.agg(F.min("source_id").alias("m")).head()["m"]
-    none = spark.createDataFrame([], "citing long, cited long")
-    return citations.related_records(edges, none, first)
+    held = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") + 1).alias("key"), F.col("p_partkey").alias("pos"))
+    pairs = citations.citation_pairs(_refs(spark, d), held)
+    first = pairs.join(pairs.select(F.col("cited").alias("citing")), "citing", "left_semi").agg(F.min("citing").alias("m")).head()["m"]
+    return citations.related_records(edges, pairs, first)
 
 
 @query("""SELECT l_partkey AS ref, count(DISTINCT l_orderkey) AS cited_by FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 3""")
@@ -282,9 +293,10 @@ def claim_edges(spark, d):
     return graph.claim_edges(_claims(spark, d), _topics(spark, d)).select("source_id", "target_id", "relation", "confidence_class")
 
 
-@query(f"WITH {_TOPICS_SQL} SELECT code AS id, 'target' AS side, count(*) AS n FROM filed WHERE code NOT IN (SELECT code FROM topics) GROUP BY code")
+@query(f"""WITH {_TOPICS_SQL}, nodes AS (SELECT code AS id FROM topics WHERE code NOT LIKE '3%' UNION SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal >= 3000)
+SELECT code AS id, 'target' AS side, count(*) AS n FROM filed WHERE code NOT IN (SELECT id FROM nodes) GROUP BY code UNION ALL SELECT CAST(id AS VARCHAR), 'source', count(*) FROM filed WHERE CAST(id AS VARCHAR) NOT IN (SELECT id FROM nodes) GROUP BY id""")
 def dangling_edges(spark, d):
-    nodes = _topics(spark, d).select(F.col("code").alias("id")).unionByName(_t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id")))
+    nodes = _topics(spark, d).where("code NOT LIKE '3%'").select(F.col("code").alias("id")).unionByName(_t(spark, d, "supplier").where("s_acctbal >= 3000").select(F.col("s_suppkey").cast("string").alias("id")))
     edges = _filed(spark, d).select(F.col("id").cast("string").alias("source_id"), F.col("code").alias("target_id"))
     return graph.dangling(edges, nodes)
 
@@ -390,12 +402,12 @@ def deletion_guard(spark, d):
 
 
 @query("""WITH f AS (SELECT user_id AS id, sqrt(1 + sum(CASE WHEN event_type = 'purchase' THEN 2.0 ELSE 1.0 END)) AS a FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1),
-r AS (SELECT c_custkey AS id, CAST(c_custkey % 10 AS DOUBLE) AS score FROM customer) SELECT id, score, round(score + coalesce(a, 0), 6) AS total FROM r LEFT JOIN f USING (id)""")
+r AS (SELECT c_custkey AS id, CAST(c_custkey % 10 AS DOUBLE) AS score FROM customer) SELECT id, score, round(score + coalesce(a, 0), 6) AS total, row_number() OVER (ORDER BY score + coalesce(a, 0) DESC, score DESC, id) AS rank FROM r LEFT JOIN f USING (id)""")
 def trust_rerank(spark, d):
     e = _t(spark, d, "events").select("event_id", F.col("user_id").alias("id"), "event_type", F.lit("m").alias("member"))
     trust = review.affinity(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"))
     ranked = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 10).cast("double").alias("score"))
-    return _r6(review.trust_rerank(ranked, trust), "total").drop("rank")
+    return _r6(review.trust_rerank(ranked, trust), "total")
 
 
 @query(f"WITH {_NAMES_SQL} SELECT DISTINCT name, fold FROM folded")
@@ -408,11 +420,13 @@ def canonical_spelling(spark, d):
     return people.canonical_spellings(_names(spark, d))
 
 
-@query(f"WITH {_NAMES_SQL}, b AS (SELECT id, list_distinct(list('Ana M. Müller-' || regexp_extract(name, '[0-9]+$'))) AS x FROM names GROUP BY id) SELECT id, list_sort(x) AS names FROM b")
+@query(f"WITH {_NAMES_SQL}, k AS (SELECT c_nationkey AS id, 'Ana M. Müller-' || c_custkey % 50 AS name, min(c_custkey) AS p FROM customer GROUP BY ALL) SELECT id, list(name ORDER BY p) AS names FROM k GROUP BY id")
 def apply_index(spark, d):
-    names = _names(spark, d)
-    bylines = names.groupBy("id").agg(F.collect_list("name").alias("names"))
-    return people.apply_index(bylines, people.name_index(names)).select("id", F.array_sort("names").alias("names"))
+    """Bylines in the order of the customers' numbers."""
+    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey")
+    named = c.join(_names_by_key(spark, d), "c_custkey")
+    bylines = named.groupBy(F.col("c_nationkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "name"))), lambda x: x["name"]).alias("names"))
+    return people.apply_index(bylines, people.name_index(_names(spark, d)))
 
 
 @query(f"WITH {_NAMES_SQL}, u AS (SELECT DISTINCT name, string_split(fold, ' ') AS p FROM folded) SELECT a.name AS name_a, b.name AS name_b FROM u a, u b WHERE list_sort(a.p) = list_sort(b.p) OR (a.p[-1] = b.p[-1] AND (a.p[1] = b.p[1] OR ((len(a.p[1]) = 1 OR len(b.p[1]) = 1) AND a.p[1][1] = b.p[1][1])))")

@@ -6,9 +6,8 @@ small documents with running state (headings, fences) are parsed one file a row.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -29,38 +28,52 @@ WORK = (
 )
 PAPER = "paperId string, title string, abstract string, publicationDate string, citationCount int, externalIds map<string,string>, authors array<struct<name:string>>, references array<struct<externalIds:map<string,string>,title:string>>"
 
-_LINE = re.compile(r"^(\d+(?:\.\d+)*)[.)]?\s+(\S.*?)\s*$")
-
-
-def parse_taxonomy(text: str, version: str = "v3") -> list[tuple]:
-    """Rows of TOPIC: numbered lines are topics (the first title of a code counts), indented bullets their subpoints."""
-    bold = lambda s: re.sub(r"\*\*(.+?)\*\*", r"\1", s)
-    title_of = lambda s: re.sub(r"\s*\[[^\]]*\]\([^)]*\)\s*$", "", bold(s)).strip().rstrip(":;,").strip()
-    found: dict[str, list] = {}
-    fenced, current = False, None
-    for line in text.splitlines():
-        if line.lstrip().startswith(("```", "~~~")):
-            fenced = not fenced
-        elif not fenced:
-            bare = re.sub("^[\\s>#*\\-•─-╿|`]+", "", bold(line.rstrip())).strip()
-            numbered = _LINE.match(bare)
-            if not numbered and found and re.match(r"##\s+\S", line):
-                break
-            if numbered:
-                if title := title_of(numbered[2]):
-                    current = found.setdefault(numbered[1], [title, []])
-            elif current and (bullet := re.match(r"\s+[-*]\s+(\S.*?)\s*$", line)):
-                if (point := title_of(bullet[1])) and point not in current[1]:
-                    current[1].append(point)
-    codes = sorted(found, key=lambda c: [int(p) for p in c.split(".")])
-    mode = lambda c: "coding-scheme" if c.split(".")[0] == fixed.CODING_SCHEME_SECTION else "navigation"
-    return [(c, found[c][0], version, mode(c), "active", found[c][1], i) for i, c in enumerate(codes)]
+def _title(c: Column) -> Column:
+    """Without bold marks, a link at the end, and closing punctuation."""
+    bare = F.regexp_replace(F.regexp_replace(c, fixed.TAXONOMY_BOLD, "$1"), fixed.TAXONOMY_LINK, "")
+    return F.trim(F.regexp_replace(F.trim(bare), "[:;,]+$", ""))
+
+
+def taxonomy_topics(lines: DataFrame, version: str = "v3") -> DataFrame:
+    """Rows of TOPIC, with `doc`, from lines(doc, pos, line) of Markdown.
+
+    Numbered lines outside code fences are topics; of one code the first title counts.  Indented bullets are subpoints of
+    the topic last named, each once.  The first heading without a number after a topic ends the taxonomy.
+    """
+    upto = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    open_ = lines.withColumn("fences", F.sum(flag(F.col("line").rlike(fixed.TAXONOMY_FENCE))).over(upto)).where(~F.col("line").rlike(fixed.TAXONOMY_FENCE) & (F.col("fences") % 2 == 0))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.rtrim("line"), fixed.TAXONOMY_BOLD, "$1"), fixed.TAXONOMY_DECORATION, ""))
+    read = open_.withColumn("bare", bare).withColumn("numbered", F.col("bare").rlike(fixed.TAXONOMY_TOPIC))
+    named = F.when(F.col("numbered"), F.nullif(_title(F.regexp_extract("bare", fixed.TAXONOMY_TOPIC, 2)), F.lit("")))
+    read = read.withColumn("title", named).withColumn("code", F.when(F.col("title").isNotNull(), F.regexp_extract("bare", fixed.TAXONOMY_TOPIC, 1)))
+    ends = ~F.col("numbered") & F.col("line").rlike(fixed.TAXONOMY_HEADING) & (F.count("code").over(before) > 0)
+    inside = read.withColumn("ends", flag(ends)).withColumn("over", F.max("ends").over(upto)).where("over = 0").withColumn("own", F.last("code", ignorenulls=True).over(upto))
+    topics = inside.where("code is not null").groupBy("doc", "code").agg(F.min_by("title", "pos").alias("title"))
+    point = F.nullif(_title(F.regexp_extract("line", fixed.TAXONOMY_BULLET, 1)), F.lit(""))
+    points = inside.where(~F.col("numbered") & F.col("own").isNotNull() & F.col("line").rlike(fixed.TAXONOMY_BULLET)).select("doc", F.col("own").alias("code"), "pos", point.alias("point")).where("point is not null")
+    points = points.groupBy("doc", "code", "point").agg(F.min("pos").alias("pos")).groupBy("doc", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "point"))), lambda x: x["point"]).alias("subpoints"))
+    out = topics.join(points, ["doc", "code"], "left")
+    mode = F.when(T.section(F.col("code")) == fixed.CODING_SCHEME_SECTION, "coding-scheme").otherwise("navigation")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(T.code_key(F.col("code")))) - 1
+    return out.select("doc", "code", "title", F.lit(version).alias("taxonomy_version"), mode.alias("usage_mode"), F.lit("active").alias("status"), F.coalesce("subpoints", F.array().cast("array<string>")).alias("subpoints"), place.alias("pos"))
 
 
 def read_taxonomy(spark: SparkSession, path: str, version: str = "v3") -> DataFrame:
-    """One Markdown file; it is the schema of a corpus, so small by nature."""
-    text = spark.read.text(path, wholetext=True).head()
-    return spark.createDataFrame(parse_taxonomy(text["value"] if text else "", version), TOPIC)
+    """Topics of Markdown files, each a taxonomy of its own."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("pos", "line"))
+    return taxonomy_topics(files, version).drop("doc")
+
+
+def absent_is_empty(spark: SparkSession, read, schema: str) -> DataFrame:
+    """What `read` gives, or no rows of `schema` where the path isn't there, which is normal for overlays and verdicts."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def taxonomy_problems(topics: DataFrame, strict_sections: bool = True) -> DataFrame:
@@ -88,14 +101,17 @@ def read_yaml(spark: SparkSession, path: str, schema: str, key: str | None = Non
 
         Loader.yaml_implicit_resolvers = {k: [x for x in v if x[0] != "tag:yaml.org,2002:timestamp"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
         for batch in batches:
+            rows = []
             for text in batch["value"]:
                 loaded = yaml.load(text, Loader) or {}  # noqa: S506  (a SafeLoader)
                 for record in loaded.get(key, []) if key else [loaded]:
                     if unknown := set(record) - set(names):
                         raise ValueError(f"unknown fields {sorted(unknown)} in {record.get('id')}")
-                    yield pd.DataFrame([{n: record.get(n) for n in names}])
+                    rows.append({n: record.get(n) for n in names})
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, schema)
+    return absent_is_empty(spark, lambda: spark.read.text(path, wholetext=True).mapInPandas(parse, schema), schema)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +139,7 @@ def parse_papers(json: DataFrame) -> DataFrame:
     """Papers of a second source of json(value), with canonical reference keys."""
     p = json.select(F.from_json("value", PAPER).alias("p")).select("p.*")
     refs = F.filter(F.transform("references", lambda r: T.canonical_key(r["externalIds"])), lambda k: k.isNotNull())
-    return p.select(T.canonical_key(F.map_concat("externalIds", F.create_map(F.lit("paperid"), F.col("paperId")))).alias("key"), "title", "abstract", F.col("publicationDate").alias("publication_date"), F.col("citationCount").alias("citation_count"), F.transform("authors", lambda a: a["name"]).alias("authors"), F.col("paperId").alias("semantic_scholar_id"), F.array_sort(F.array_distinct(refs)).alias("referenced_keys"))
+    return p.select(T.canonical_key(F.map_concat(F.coalesce("externalIds", F.create_map().cast("map<string,string>")), F.create_map(F.lit("paperid"), F.col("paperId")))).alias("key"), "title", "abstract", F.col("publicationDate").alias("publication_date"), F.col("citationCount").alias("citation_count"), F.transform("authors", lambda a: a["name"]).alias("authors"), F.col("paperId").alias("semantic_scholar_id"), F.array_sort(F.array_distinct(refs)).alias("referenced_keys"))
 
 
 def parse_atom(feeds: DataFrame) -> DataFrame:

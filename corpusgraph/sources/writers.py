@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILE_ROWS = 1_000_000
+
 
 def json_rows(df: DataFrame, order: list[str]) -> DataFrame:
     """(row_no order columns.., value): a JSON line a row without null, empty text, empty list or empty map; False and 0 stay."""
@@ -19,24 +21,63 @@ def json_rows(df: DataFrame, order: list[str]) -> DataFrame:
     return df.select(*[F.col(o) for o in order], F.to_json(F.struct(*kept)).alias("value"))
 
 
-def write_release(out_dir: str, nodes: DataFrame, edges: DataFrame, version: str, built_at: str) -> DataFrame:
-    """Writes nodes by (kind, id) and edges by (relation, source, target), sorted over all files; returns counts and checksums.
+def file_checksums(spark: SparkSession, folder: str, part: str) -> DataFrame:
+    """(part, value, n): SHA-256 of each file of a written folder, by its place among them; each file is read where it is hashed."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    place = F.regexp_extract("path", r"part-(\d+)", 1)
+    return files.select(F.lit(part).alias("part"), F.concat(F.lit("sha256 "), place).alias("value"), F.sha2("content", 256).alias("n"))
+
 
-    The files of one folder follow each other in name order; a checksum is over the row hashes
-    in that order's keys, so it doesn't depend on how rows were partitioned.
+def write_release(out_dir: str, nodes: DataFrame, edges: DataFrame, version: str, built_at: str, taxonomy_version: str = "v3") -> DataFrame:
+    """Writes nodes by (kind, id), edges by (relation, source, target) and topics by code; returns counts and checksums.
+
+    Files hold FILE_ROWS lines at most; those of one folder follow each other in name order.  Checksums come last, over all
+    that was written, so a release can be compared file by file; `checksum` is over the rows alone, however they were dealt.
     """
+    from ..functions.text import code_key
     from ..operators.graph import release_counts
 
-    parts = []
-    for name, df, order in (("nodes", nodes, ["kind", "id"]), ("edges", edges, ["relation", "source_id", "target_id"])):
+    spark, parts = nodes.sparkSession, []
+    topics = nodes.where("kind = 'topic'").withColumn("_k", code_key(F.col("id")))
+    for name, df, order in (("nodes", nodes, ["kind", "id"]), ("edges", edges, ["relation", "source_id", "target_id"]), ("taxonomy", topics, ["_k"])):
         rows = json_rows(df, order)
-        rows.orderBy(*order, "value").select("value").write.mode("overwrite").text(f"{out_dir}/{version}/{name}")
+        folder = f"{out_dir}/{version}/{name}"
+        rows.orderBy(*order, "value").select("value").write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).text(folder)
         parts.append(rows.agg(F.lit(name).alias("part"), F.lit("checksum").alias("value"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).cast("string").alias("n")))
-    counts = release_counts(nodes, edges).select("part", "value", F.col("n").cast("string").alias("n"))
-    meta = counts.unionByName(parts[0]).unionByName(parts[1]).withColumn("version", F.lit(version)).withColumn("built_at", F.lit(built_at))
+        parts.append(file_checksums(spark, folder, name))
+    meta = release_counts(nodes, edges).select("part", "value", F.col("n").cast("string").alias("n"))
+    for p in parts:
+        meta = meta.unionByName(p)
+    meta = meta.withColumns({"version": F.lit(version), "taxonomy_version": F.lit(taxonomy_version), "built_at": F.lit(built_at)})
     meta.orderBy("part", "value").write.mode("overwrite").json(f"{out_dir}/{version}/metadata")
     return meta
 
 
+def store_lines(store: DataFrame) -> DataFrame:
+    """(resource_id, value): a reference store as JSON lines with sorted keys; `write_store` writes them by id."""
+    return store.select("resource_id", F.to_json(F.struct("cited_by_count", "key", F.sort_array("referenced_works").alias("referenced_works"), "resource_id", "source"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_store(store: DataFrame, path: str) -> None:
+    store_lines(store).orderBy("resource_id").select("value").write.mode("overwrite").text(path)
+
+
+def write_yaml(records: DataFrame, path: str, file: str = "file") -> None:
+    """A YAML text for each record, in a folder of its own named by the column `file`; records with broken rules are to be left out before."""
+    names = [c for c in records.columns if c != file]
+
+    def dump(batches):
+        import json
+
+        import pandas as pd
+        import yaml
+
+        for batch in batches:
+            texts = [yaml.safe_dump({k: v for k, v in ((n, json.loads(r)[n] if n in json.loads(r) else None) for n in names) if v not in (None, "", [], {})}, sort_keys=False, allow_unicode=True, width=88) for r in batch["json"]]
+            yield pd.DataFrame({file: batch[file], "value": texts})
+
+    records.select(file, F.to_json(F.struct(*names)).alias("json")).mapInPandas(dump, f"`{file}` string, value string").write.mode("overwrite").partitionBy(file).text(path)
+
+
 def read_release(spark, out_dir: str, version: str, part: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{out_dir}/{version}/{part}")

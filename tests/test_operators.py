@@ -1,10 +1,14 @@
 """Operators on small literals."""
 
+import hashlib
+import pathlib
+
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
-from corpusgraph.operators import citations, fulltext, people, retrieval, review
+from corpusgraph.operators import citations, curation, fulltext, graph, payloads, people, retrieval, review
 from corpusgraph.sources import readers, writers
 
 
@@ -94,10 +98,61 @@ def test_empty_overlay_changes_nothing(spark):
     assert [r.id for r in review.trust_rerank(ranked, review.affinity(none, none)).orderBy("rank").collect()] == ["a", "b", "c"]
 
 
-def test_taxonomy_markdown():
+def test_taxonomy_markdown(spark, tmp_path):
     text = "# T\n## 1. First **part**\n- 1.1 One:\n  - point [x](y)\n  - point\n```\n9.9 no\n```\n- **1.10** Ten\n- 1.2 Two\n## Notes\n- 3 no\n"
-    rows = readers.parse_taxonomy(text)
-    assert [r[0] for r in rows] == ["1", "1.1", "1.2", "1.10"] and rows[1][5] == ["point"] and rows[0][1] == "First part"
+    (tmp_path / "t.md").write_text(text)
+    rows = readers.read_taxonomy(spark, str(tmp_path / "t.md")).orderBy("pos").collect()
+    assert [r.code for r in rows] == ["1", "1.1", "1.2", "1.10"] and rows[1].subpoints == ["point"] and rows[0].title == "First part"
+    assert [r.usage_mode for r in rows] == ["navigation"] * 4
+
+
+def test_absent_files_are_empty(spark, tmp_path):
+    assert readers.read_yaml(spark, str(tmp_path / "none.yml"), readers.CLAIM).count() == 0
+
+
+def test_numeric_references(spark):
+    want = {"a &#8217;b&#x2019; &amp;#65; &amp;": "a ’b’ &#65; &", "&#0;&#xD800;": "\ufffd\ufffd", "&copy; 2 &lt;p&gt;": "© 2 <p>", "none": "none"}
+    df = spark.createDataFrame([(k,) for k in want], "h string").select("h", T.plain_text(F.col("h")).alias("t"))
+    assert {r.h: r.t for r in df.collect()} == want
+
+
+def test_short_quotes(spark):
+    sources = spark.createDataFrame([(1, "alpha beta  gamma delta"), (2, "xbeta gamma"), (3, None)], "source_id int, text string")
+    quotes = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta"), (3, "ha beta gam"), (4, "beta gamma"), (5, " "), (6, "q w e r t y u i")], "quote_id int, text string")
+    got = sorted(map(tuple, fulltext.verbatim(quotes, sources).collect()))
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 1), (4, 1), (4, 2)]
+
+
+def test_global_rank(spark):
+    df = spark.range(3000).select(F.col("id"), ((F.col("id") * 7919) % 101).cast("double").alias("v"))
+    got = review.global_rank(df, [F.desc("v"), F.asc("id")], "v").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 3001)) and [(r.v, r.id) for r in got] == sorted(((r.v, r.id) for r in got), key=lambda x: (-x[0], x[1]))
+
+
+def test_node_types_are_checked(spark):
+    with pytest.raises(TypeError):
+        graph.node_records(thing=spark.range(1))
+
+
+def test_graph_files(spark, tmp_path):
+    nodes = spark.createDataFrame([("b", "x"), ("a", "x")], "id string, kind string")
+    links = spark.createDataFrame([("a", "b", "cites"), ("b", "a", "cites")], "source string, target string, kind string")
+    payloads.write_graph(str(tmp_path / "g"), nodes, links)
+    assert [r.id for r in spark.read.json(str(tmp_path / "g" / "nodes")).orderBy("id").collect()] == ["a", "b"]
+    with pytest.raises(ValueError, match="no node"):
+        payloads.write_graph(str(tmp_path / "h"), nodes, links.withColumn("target", F.lit("zz")))
+
+
+def test_mapping_fits_the_model():
+    model = {x.strip().split(" ")[0] for x in readers.RESOURCE.replace("map<string,array<string>>", "map").split(",")}
+    assert curation.definition_problems(model) == [] and curation.definition_problems(model - {"doi"}) == ["unknown attribute doi"]
+
+
+def test_store_round_trip(spark, tmp_path):
+    store = spark.createDataFrame([("r2", "k", "s2", 3, ["b", "a"]), ("r1", None, "oa", 0, [])], readers.REFS)
+    writers.write_store(store, str(tmp_path / "s"))
+    got = {r.resource_id: (r.key, r.referenced_works) for r in readers.read_store(spark, str(tmp_path / "s")).collect()}
+    assert got == {"r2": ("k", ["a", "b"]), "r1": (None, [])}
 
 
 def test_tool_tables_and_lists(spark):
@@ -124,3 +179,6 @@ def test_release_is_deterministic(spark, tmp_path):
     first = sorted(map(tuple, writers.write_release(str(tmp_path / "1"), nodes, edges, "v1", "now").collect()))
     again = sorted(map(tuple, writers.write_release(str(tmp_path / "2"), nodes.repartition(3), edges, "v1", "now").collect()))
     assert first == again and '{"kind":"topic","id":"b"}' in [r.value for r in spark.read.text(str(tmp_path / "1/v1/nodes")).collect()]
+    files = sorted((tmp_path / "1" / "v1" / "nodes").glob("part-*"))
+    told = [r[2] for r in first if r[0] == "nodes" and r[1].startswith("sha256")]
+    assert sorted(told) == sorted(hashlib.sha256(pathlib.Path(f).read_bytes()).hexdigest() for f in files)
