@@ -103,15 +103,16 @@ def strip_elements(html: Column) -> Column:
 
 def numeric_references(text: Column) -> Column:
     """Text with &#8217; and &#x2019; decoded; what is no character becomes U+FFFD."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([xX][0-9a-fA-F]{1,8}|[0-9]{1,9});"), F.lit(1)))
-
     def sign(ref: Column) -> Column:
         point = F.when(F.lower(ref).startswith("x"), F.conv(F.substring(ref, 2, 9), 16, 10)).otherwise(ref).cast("long")
         valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
         return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, point).otherwise(0xFFFD)), 8, "0")), "UTF-32")
 
-    decoded = F.aggregate(found, text, lambda at, ref: F.replace(at, F.concat(F.lit("&#"), ref, F.lit(";")), sign(ref)))
-    return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
+    def decoded(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit("&#([xX][0-9a-fA-F]{1,8}|[0-9]{1,9});"), F.lit(1)))
+        return F.when(F.contains(t, F.lit("&#")), F.aggregate(found, t, lambda at, ref: F.replace(at, F.concat(F.lit("&#"), ref, F.lit(";")), sign(ref)))).otherwise(t)
+
+    return F.transform(F.array(text), decoded)[0]  # the text is a variable here, worked out once
 
 
 def plain_text(fragment: Column) -> Column:

@@ -42,9 +42,10 @@ class TopicIndex:
         if leaves_only:
             found = found.where(T.depth(F.col("code")) > 0)
         # one array an id: what lies above another code goes, the best are kept; texts are read and scored once
-        listed = found.groupBy("id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), T.code_key(F.col("code")).alias("k"), "code", "score")).alias("x"))
-        above = listed.withColumn("up", F.array_distinct(F.flatten(F.transform("x", lambda c: T.ancestors(c["code"])))))
-        kept = above.select("id", F.slice(F.array_sort(F.filter("x", lambda c: ~F.array_contains("up", c["code"]))), 1, limit).alias("x"))
+        # (what stands above is an aggregate of its own, so that no lambda works it out again for each code)
+        one = F.struct((-F.col("score")).alias("s"), T.code_key(F.col("code")).alias("k"), "code", "score")
+        listed = found.groupBy("id").agg(F.collect_list(one).alias("x"), F.collect_set(T.ancestors(F.col("code"))).alias("up"))
+        kept = listed.select("id", F.slice(F.array_sort(F.filter("x", lambda c: ~F.exists("up", lambda u: F.array_contains(u, c["code"])))), 1, limit).alias("x"))
         return kept.select("id", F.posexplode("x").alias("p", "x")).select("id", "x.code", "x.score", (F.col("p") + 1).alias("rank"))
 
 
