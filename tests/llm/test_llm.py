@@ -292,6 +292,64 @@ def test_class_lm(spark, rows):
         assert math.isclose(got[i].base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), rel_tol=1e-9) and got[i].score < 0
 
 
+def test_class_lm_against_plain_counts(spark, rows, monkeypatch):
+    """Units, classes of all words, transitions and scores word by word in plain Python; only the exchange itself is shared."""
+    monkeypatch.setattr(class_lm, "CONTEXTS_AT_A_TIME", 7)
+    top_n, k = 20, 8
+    docs = [(i, t) for i, t in rows[:48] if t is None or len(t) < 4000] + [(None, rows[1][1]), (2, rows[2][1])]
+    known = lambda i: i is None or i % 3 != 0
+    found = class_lm.class_lm_scores(table(spark, docs), F.col("doc_id") % 3 != 0, top=top_n, classes=k).collect()
+    data, off = B.text_arrays(pa.array([t for _, t in docs]))
+    key, doc = class_lm.word_keys(data, off)
+    texts = [[int(x) for x in key[doc == i]] for i in range(len(docs))]
+    train = [t for (i, _), t in zip(docs, texts, strict=True) if known(i)]
+    c = collections.Counter(w for t in train for w in t)
+    top = sorted(sorted(c, key=lambda w: (-c[w], w - 2**64 if w >= 2**63 else w))[:top_n])
+    end = len(top) + class_lm.SHAPES
+    unit = lambda w: top.index(w) if w in top else len(top) + w % class_lm.SHAPES
+    pairs = np.zeros((end + 1, end + 1))
+    for t in train:
+        chain = [end, *map(unit, t), end]
+        for a, b in zip(chain[:-1], chain[1:], strict=True):
+            pairs[a, b] += 1
+    cls = class_lm.exchange(pairs, k)
+    g = np.zeros((k, k))
+    for a in range(end + 1):
+        for b in range(end + 1):
+            g[cls[a], cls[b]] += pairs[a, b]
+    size = g.sum(0)
+    step = class_lm.smoothed(g)
+    of = {w: int(cls[unit(w)]) for t in texts for w in t}
+    worth = {w: -c[w] * np.log(np.maximum(size, 1)) for w in c}
+    for t in train:
+        chain = [int(cls[end]), *(int(cls[unit(w)]) for w in t), int(cls[end])]
+        for j, w in enumerate(t, 1):
+            worth[w] = worth[w] + step[chain[j - 1]] + step[:, chain[j + 1]]
+    of |= {w: int(np.argmax(np.round(worth[w], 6))) for w in c if w not in top and c[w] >= class_lm.RARE}
+    moves, tokens, kinds = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for t in train:
+        chain = [int(cls[end]), *(of[w] for w in t), int(cls[end])]
+        for a, b in zip(chain[:-1], chain[1:], strict=True):
+            moves[a, b] += 1
+    for w, n in c.items():
+        tokens[of[w]] += n
+        kinds[of[w]] += 1
+    tokens[cls[end]] += len(train)
+    kinds[cls[end]] += 1
+    n, v, step = sum(c.values()) + len(train), len(c) + 1, np.exp(class_lm.smoothed(moves))
+    want = []
+    for (i, _), t in zip(docs, texts, strict=True):
+        before, score = int(cls[end]), 0.0
+        for a, count in [*((of[w], c[w]) for w in t), (int(cls[end]), len(train))]:
+            emit = (count + class_lm.DELTA) / (tokens[a] + class_lm.DELTA * (kinds[a] + 1))
+            score += math.log10(class_lm.MIX * step[before, a] * emit + (1 - class_lm.MIX) * (count + 1) / (n + v + 1))
+            before = a
+        want.append((repr(i), len(t) + 1, score))
+    assert len(set(of.values())) > 3
+    for a, b in zip(sorted(want), sorted((repr(r.doc_id), r.n_tokens, r.score) for r in found), strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-6), (a, b)
+
+
 def test_exchange_joins_words_of_one_kind():
     pairs = np.zeros((6, 6))
     pairs[:3, 3:], pairs[3:, :3] = 50, 50
