@@ -133,7 +133,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     live = B.saved(live.where(F.col("most") >= (threshold - SLACK) * F.col("item_total")).select("doc", "item"))
     sizes = live.join(small(per_item.select("item", "size")), "item").select("doc", "size").distinct()
     # all windows of these sizes
-    shingled = held.select("doc", "hs").join(sizes, "doc").repartition("doc", "size").select("doc", "size", F.size("hs").alias("n"), F.posexplode("hs").alias("at", "h")).join(small(weight), "h", "left")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few bytes in make much work
+    shingled = held.select("doc", "hs").join(sizes, "doc").repartition(tasks, "doc", "size").select("doc", "size", F.size("hs").alias("n"), F.posexplode("hs").alias("at", "h")).join(small(weight), "h", "left")
     whole = F.round(F.coalesce("weight", F.lit(rare)) * SCALE).cast("long")
     shingled = shingled.select("doc", "size", "n", "at", "h", whole.alias("weight"), F.when(F.col("weight").isNull(), F.lit(0).cast("long")).otherwise(whole).alias("shared"))
     pairs = near_pairs(window_fingerprints(shingled), per_item.select("item", "size", "item_fp", "item_total"), RADIUS, small)
