@@ -2,7 +2,8 @@
 
 Every language has letter-trigram counts (bytes folded to 64 signs, A-Z lower-cased) from
 the labelled rows; a word's likelihood is the product over its trigrams.  For a document
-EM finds the proportions of all languages, then of the best one, two and three alone; the
+EM finds the proportions of all languages, then of the largest one alone, of the two largest and so on,
+for as long as a larger set is worth its penalty to some document beside it; the
 set with the best penalised likelihood (BIC) is its languages, the largest its label.
 
 Labels come from a sample of labelled rows bounded by `sample` (about; by a hash of the
