@@ -26,6 +26,7 @@ WORK = (
     "id string, title string, doi string, publication_date string, cited_by_count int, type string, is_retracted boolean, open_access struct<is_oa:boolean>, "
     "authorships array<struct<author:struct<display_name:string>,institutions:array<struct<display_name:string>>>>, referenced_works array<string>, abstract_inverted_index map<string,array<int>>"
 )
+FILED = "issue string, part string, id string, pos int, topics array<string>, numbers array<string>, verdict string, note string, reviewed_on string, text string, quote string, type string, problem string"
 PAPER = "paperId string, title string, abstract string, publicationDate string, citationCount int, externalIds map<string,string>, authors array<struct<name:string>>, references array<struct<externalIds:map<string,string>,title:string>>"
 
 def _title(c: Column) -> Column:
@@ -182,3 +183,71 @@ def parse_forms(issues: DataFrame) -> DataFrame:
     split = issues.select("id", part.alias("p")).select("id", F.lower(F.trim(F.regexp_extract("p", r"^###\s+([^\n]+)", 1))).alias("label"), F.trim(F.regexp_replace("p", r"^###[^\n]+\n", "")).alias("value"))
     squeeze = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
     return split.withColumn("value", squeeze).where(~F.col("value").isin("", "_No response_", "None"))
+
+
+def parse_filings(issues: DataFrame) -> DataFrame:
+    """One row an entry of the filings in issues(id, body), with the columns of FILED.
+
+    A filing is the first fenced block (or the whole body, if no block is one) that is YAML with a map under `records`,
+    `claims` or `new_statements`.  `numbers` are topic codes that YAML read as something else than text; a statement
+    has its place (from 1) in `pos` and "finding" where it names no type.  What can't be read is a row whose `problem` says so:
+    an issue without a filing (also a null or empty body), a part that is no map, an entry of the wrong form.  Equal issues give equal rows.
+    """
+    import pandas as pd
+    from pyspark.sql.types import StructType
+
+    names = StructType.fromDDL(FILED).fieldNames()
+    listed = F.concat(F.regexp_extract_all("body", F.lit(fixed.FILING_FENCE), F.lit(1)), F.array("body"))
+    tried = issues.select(F.col("id").cast("string").alias("issue"), F.coalesce(listed, F.array().cast("array<string>")).alias("tried"))
+
+    def read(batches):
+        for batch in batches:
+            rows = [row for issue, texts in zip(batch["issue"], batch["tried"], strict=True) for row in _filed(issue, texts)]
+            if rows:
+                yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names).astype({"pos": "Int32"})
+
+    return tried.mapInPandas(read, FILED)
+
+
+def _filed(issue: str, texts) -> list[dict]:
+    """The entries of one issue's filing, from the texts that may be it."""
+    import yaml
+
+    whole = None
+    for text in texts:
+        try:
+            found = yaml.safe_load(text)
+        except (yaml.YAMLError, ValueError):  # a date such as 2026-13-45 is a ValueError
+            continue
+        if isinstance(found, dict) and any(isinstance(found.get(p), dict) for p in fixed.FILING_PARTS):
+            whole = found
+            break
+    if whole is None:
+        return [{"issue": issue, "problem": "no filing found"}]
+    text_of = lambda x: None if x is None else str(x).strip()
+    rows = []
+    for part in fixed.FILING_PARTS:
+        entries = whole.get(part) or {}
+        if not isinstance(entries, dict):
+            rows.append({"issue": issue, "part": part, "problem": "not a map"})
+            continue
+        for key, entry in entries.items():
+            row = {"issue": issue, "part": part, "id": str(key)}
+            if part == "claims" and isinstance(entry, str):
+                entry = {"verdict": entry}
+            if not isinstance(entry, list if part == "new_statements" else dict):
+                rows.append(row | {"problem": "wrong form"})
+            elif part == "records":
+                codes = entry.get("topics") or []
+                codes = codes.split(",") if isinstance(codes, str) else codes if isinstance(codes, list) else [codes]
+                written = [c.strip() for c in codes if isinstance(c, str) and c.strip()]
+                rows.append(row | {"topics": written, "numbers": [str(c) for c in codes if not isinstance(c, str)], "reviewed_on": text_of(entry.get("reviewed_on"))})
+            elif part == "claims":
+                rows.append(row | {"verdict": text_of(entry.get("verdict")), "note": text_of(entry.get("note")) or None, "reviewed_on": text_of(entry.get("reviewed_on"))})
+            else:
+                for pos, said in enumerate(entry, 1):
+                    if isinstance(said, dict):
+                        rows.append(row | {"pos": pos, "text": text_of(said.get("text")), "quote": text_of(said.get("quote")), "type": text_of(said.get("type")) or "finding"})
+                    else:
+                        rows.append(row | {"pos": pos, "problem": "wrong form"})
+    return rows

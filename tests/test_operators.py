@@ -183,3 +183,36 @@ def test_release_is_deterministic(spark, tmp_path):
     files = sorted((tmp_path / "1" / "v1" / "nodes").glob("part-*"))
     told = [r[2] for r in first if r[0] == "nodes" and r[1].startswith("sha256")]
     assert sorted(told) == sorted(hashlib.sha256(pathlib.Path(f).read_bytes()).hexdigest() for f in files)
+
+
+def test_filings(spark):
+    fenced = """Thanks.
+```
+not: a filing
+```
+```yaml
+records:
+  resource:a: {topics: ["11.10", "2.2"], reviewed_on: 2026-01-02}
+  resource:b: {topics: [11.10]}
+  resource:c: [x]
+claims:
+  claim:a:1: accurate
+  claim:a:2: {verdict: overstated, note: " too strong "}
+new_statements:
+  resource:a:
+    - {text: A statement of some length., quote: A sentence of the paper., type: method}
+    - just text
+```
+"""
+    bare = "records:\n  resource:a:\n    topics: '1.1, 1.2'\n"
+    issues = [(1, fenced), (2, bare), (3, "hello"), (4, None), (5, ""), (6, "```yaml\nrecords: [\n```"), (7, "claims: {x: accurate}\nrecords: [1]"), (8, "records: {x: {d: 2026-13-45}}")]
+    got = readers.parse_filings(spark.createDataFrame(issues, "id int, body string")).collect()
+    one = [r for r in got if r.issue == "1"]
+    assert [(r.id, list(r.topics or []), list(r.numbers or []), r.problem) for r in one if r.part == "records"] == [
+        ("resource:a", ["11.10", "2.2"], [], None), ("resource:b", [], ["11.1"], None), ("resource:c", [], [], "wrong form")]
+    assert one[0].reviewed_on == "2026-01-02"
+    assert [(r.id, r.verdict, r.note) for r in one if r.part == "claims"] == [("claim:a:1", "accurate", None), ("claim:a:2", "overstated", "too strong")]
+    assert [(r.pos, r.type, r.problem) for r in one if r.part == "new_statements"] == [(1, "method", None), (2, None, "wrong form")]
+    assert [list(r.topics) for r in got if r.issue == "2"] == [["1.1", "1.2"]]
+    assert {r.issue for r in got if r.problem == "no filing found"} == {"3", "4", "5", "6", "8"}
+    assert sorted((r.part, r.problem) for r in got if r.issue == "7") == [("claims", None), ("records", "not a map")]
