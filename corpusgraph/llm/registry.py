@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .class_lm import op5_lm_scoring
 from .decontamination import op4_benchmark_decontamination
+from .filter_audit import OP11_SQL, op11_filter_interaction_audit
 from .fingerprints import op3_document_fingerprints
 from .language_id import op9_language_id
 from .near_dedup import op1_minhash_near_dedup
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op7_substring_dedup": OP7_SQL,
     "op10_warc": OP10_SQL,
+    "op11_filter_interaction_audit": OP11_SQL,
 }
