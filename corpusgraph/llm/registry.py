@@ -9,7 +9,9 @@ from .fingerprints import op3_document_fingerprints
 from .language_id import op9_language_id
 from .near_dedup import op1_minhash_near_dedup
 from .packing import op6_best_fit_packing
+from .prefix_trie import op13_prefix_trie
 from .substring_dedup import OP7_SQL, op7_substring_dedup
+from .suffix_dedup import op12_suffix_array_dedup
 from .token_counts import op2_token_counts
 from .toxicity import op8_toxicity
 from .warc import OP10_SQL, op10_warc
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
     "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
