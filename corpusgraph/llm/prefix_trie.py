@@ -230,3 +230,43 @@ def trie(turns: DataFrame, family: int = FAMILY, shared: int = SHARED, bits: int
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP13_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS place FROM turns
+), bits AS (
+  SELECT c, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: list_transform(range(8), lambda k: (ascii(x) >> k) & 1))) AS bs FROM (SELECT DISTINCT c FROM placed)
+), conv AS (
+  SELECT c, c - (c % 20 + 20) % 20 AS base, xor(list_reduce(bs, lambda a, b: xor(a >> 1, CASE WHEN (a & 1) <> b THEN 3988292384 ELSE 0 END), CAST(4294967295 AS BIGINT)), 4294967295) % 4 AS h FROM bits
+), given AS (
+  SELECT conv.c, base, h, least(h, count(p.place)) AS given FROM conv LEFT JOIN placed p ON p.c = base GROUP BY conv.c, base, h
+), turns_of AS (
+  SELECT g.c, place AS depth, digest, words FROM given g JOIN placed p ON p.c = base WHERE place <= given
+  UNION ALL
+  SELECT g.c, given + place - h, digest, words FROM given g JOIN placed p ON p.c = g.c WHERE place > h
+), prefix AS (
+  SELECT c, depth, words, string_agg(digest, '' ORDER BY depth) OVER (PARTITION BY c ORDER BY depth) AS key FROM turns_of
+  UNION ALL
+  SELECT c, 0, 0, '' FROM given
+), lengths AS (
+  SELECT c, max(depth) AS length FROM prefix GROUP BY c
+), node AS (
+  SELECT key, depth, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words, string_agg(CASE WHEN depth = length THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends
+  FROM prefix JOIN lengths USING (c) GROUP BY key, depth
+), child AS (
+  SELECT substr(key, 1, 64 * (depth - 1)) AS key, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL
+), own AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child ON node.key = child.key
+), below AS (
+  SELECT substr(key, 1, 64 * d) AS key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM own) GROUP BY ALL
+)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+  sha256(coalesce(own.ends, '')) AS ends_sha256
+FROM own JOIN below ON own.key = below.key LEFT JOIN own up ON own.depth > 0 AND up.key = substr(own.key, 1, 64 * (own.depth - 1))
+"""

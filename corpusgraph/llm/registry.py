@@ -9,9 +9,9 @@ from .fingerprints import op3_document_fingerprints
 from .language_id import op9_language_id
 from .near_dedup import op1_minhash_near_dedup
 from .packing import op6_best_fit_packing
-from .prefix_trie import op13_prefix_trie
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .substring_dedup import OP7_SQL, op7_substring_dedup
-from .suffix_dedup import op12_suffix_array_dedup
+from .suffix_dedup import OP12_SQL, op12_suffix_array_dedup
 from .token_counts import op2_token_counts
 from .toxicity import op8_toxicity
 from .warc import OP10_SQL, op10_warc
@@ -36,4 +36,6 @@ ORACLES: dict[str, str] = {
     "op7_substring_dedup": OP7_SQL,
     "op10_warc": OP10_SQL,
     "op11_filter_interaction_audit": OP11_SQL,
+    "op12_suffix_array_dedup": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

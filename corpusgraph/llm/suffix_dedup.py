@@ -333,3 +333,25 @@ def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), win AS (
+  SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS w FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM d)
+), least AS (
+  SELECT w, min(doc_id) AS m FROM win GROUP BY w HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM win JOIN least USING (w) WHERE doc_id > m
+), span AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit) GROUP BY doc_id, k
+), gap AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS after FROM span
+), lost AS (
+  SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS rest, string_agg(substr(x, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) AS head FROM gap JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head || substr(x, 2 * rest + 1), x))) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)
+"""
