@@ -1,10 +1,10 @@
 """Language ID by mixtures: EM over word likelihoods gives a document's language proportions.
 
 Every language has letter-trigram counts (bytes folded to 64 signs, A-Z lower-cased) from
-the labelled rows; a word's likelihood is the product over its trigrams.  For a document
-EM finds the proportions of all languages, then of the largest one alone, of the two largest and so on,
-for as long as a larger set is worth its penalty to some document beside it; the
-set with the best penalised likelihood (BIC) is its languages, the largest its label.
+the labelled rows; a word's likelihood is the product over its trigrams.  A document
+begins with the one language of the best likelihood; EM finds the proportions in each set that adds or drops one, and the
+document moves to the one with the best penalised likelihood (BIC) for as long as that grows.  The set it ends with is its
+languages, the largest its label.  Each document stops by itself, so a result doesn't depend on what lies beside it.
 
 Labels come from a sample of labelled rows bounded by `sample` (about; by a hash of the
 doc_id, so it is the same each time).
@@ -66,38 +66,52 @@ def _sum(table: pa.Table) -> pa.Table:
 
 def mixture(loglik: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(language index, its share) of each document, from words' log-likelihoods [word, language]; -1 with no word."""
-    best, share = np.full(n_docs, -1), np.zeros(n_docs)
+    share = np.zeros(n_docs)
     if not len(loglik):
-        return best, share
+        return np.full(n_docs, -1), share
     ids, first, lens = np.unique(doc, return_index=True, return_counts=True)
-    of = np.repeat(np.arange(len(ids)), lens)
     top = loglik.max(1, keepdims=True)
-    like, k = np.exp(np.maximum(loglik - top, -60)).astype(np.float32), loglik.shape[1]
+    like, k = np.exp(np.maximum(loglik - top, -60)), loglik.shape[1]
 
-    def em(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def em(part: np.ndarray, starts: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pi = allowed / allowed.sum(1, keepdims=True)
         for _ in range(STEPS):
-            post = like * pi[of]
-            post /= np.maximum(post.sum(1, keepdims=True), 1e-30)
-            pi = np.add.reduceat(post, first, axis=0) / lens[:, None]
-        return pi, np.add.reduceat(np.log(np.maximum((like * pi[of]).sum(1), 1e-30)), first)
-
-    pi, _ = em(np.ones((len(ids), k), np.float32))
-    order = np.argsort(-pi, axis=1, kind="stable")
-    chosen, worth = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
-    part = np.zeros(len(ids))
-    allowed = np.zeros((len(ids), k), np.float32)
-    for size in range(1, k + 1):  # sets grow by share, as long as that is worth its penalty for some document
-        allowed[np.arange(len(ids)), order[:, size - 1]] = 1
-        p, ll = em(allowed)
-        value = ll - 0.5 * size * np.log(lens)
-        better = value > worth
-        if not better.any():
-            break
-        worth = np.where(better, value, worth)
-        chosen, part = np.where(better, p.argmax(1), chosen), np.where(better, p.max(1), part)
-    best[ids], share[ids] = chosen, part
-    return best, share
+            post = part * np.repeat(pi, n, axis=0)
+            post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
+            pi = np.add.reduceat(post, starts, axis=0) / n[:, None]
+        return pi, np.add.reduceat(np.log(np.maximum((part * np.repeat(pi, n, axis=0)).sum(1), 1e-300)), starts)
+
+    alone = np.add.reduceat(np.log(np.maximum(like, 1e-300)), first, axis=0) - 0.5 * np.log(lens)[:, None]
+    chosen, worth = alone.argmax(1), alone.max(1)
+    sets, part = np.zeros((len(ids), k), bool), np.ones(len(ids))
+    sets[np.arange(len(ids)), chosen] = True
+    active = np.arange(len(ids))
+    while len(active) and k > 1:
+        best, move = worth[active].copy(), np.full(len(active), -1)
+        label, label_share = np.zeros(len(active), np.int64), np.zeros(len(active))
+        for j in range(k):  # each document adds or drops language j; none is left without one
+            may = np.flatnonzero(~(sets[active, j] & (sets[active].sum(1) == 1)))
+            if not len(may):
+                continue
+            docs = active[may]
+            n = lens[docs]
+            starts = np.append(0, np.cumsum(n)[:-1])
+            words = np.repeat(first[docs] - starts, n) + np.arange(n.sum())
+            tried = sets[docs].copy()
+            tried[:, j] = ~tried[:, j]
+            pi, ll = em(like[words], starts, n, tried.astype(np.float64))
+            value = ll - 0.5 * tried.sum(1) * np.log(n)
+            better = value > best[may]
+            best[may[better]], move[may[better]] = value[better], j
+            label[may[better]], label_share[may[better]] = pi[better].argmax(1), pi[better].max(1)
+        moved = np.flatnonzero(move >= 0)
+        docs = active[moved]
+        sets[docs, move[moved]] = ~sets[docs, move[moved]]
+        worth[docs], chosen[docs], part[docs] = best[moved], label[moved], label_share[moved]
+        active = docs
+    out, share[ids] = np.full(n_docs, -1), part
+    out[ids] = chosen
+    return out, share
 
 
 def _predict(batches, langs: list[str], table: np.ndarray, out: list[str]):
