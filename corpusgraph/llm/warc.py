@@ -11,15 +11,16 @@ either side, Last-Modified), `changed` if it disagrees, `unvalidated` if there i
 compare and `orphan` with no earlier response; a response is `full`.  A resolved revisit has
 the response's headers, overwritten by its own of PERMITTED.
 
-Defined cases: a null URL has no other capture of its page; null times sort first; equal
-times are ordered by seq; null headers are no headers; repeated captures stay rows; an
+Defined cases: header names are folded to lower case; a null URL has no other capture of its page; null times sort first; equal
+times are ordered by seq; null headers are no headers; bytes of a file that are no record are a row with `problem`; repeated captures stay rows; an
 empty table gives an empty table; names of other columns don't matter, as they aren't read.
 """
 
 from __future__ import annotations
 
 import gzip
-import io
+import re
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,9 +44,15 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
 
 
+def _folded(headers: Column) -> Column:
+    """Headers with their names in lower case; of names that then are equal the value that sorts first stays."""
+    lower = F.array_sort(F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    return F.map_from_entries(F.filter(lower, lambda e, i: (i == 0) | (F.get(lower, i - 1)["key"] != e["key"])))
+
+
 def resolve(captures: DataFrame) -> DataFrame:
     """Of captures(seq, url, ts, is_revisit, headers map<string,string>): a row each, with status, source_seq and headers."""
-    rows = captures.select("seq", "url", "ts", F.coalesce("is_revisit", F.lit(False)).alias("is_revisit"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
+    rows = captures.select("seq", "url", "ts", F.coalesce("is_revisit", F.lit(False)).alias("is_revisit"), _folded(F.col("headers")).alias("headers"))
     rows = rows.withColumn("url_key", F.coalesce(canonical_url(F.col("url")), F.concat(F.lit("\0"), F.coalesce(F.col("seq").cast("string"), F.lit("")))))
     blocks = max(B.MIN_BLOCKS, rows.count() // 50_000)
     rows = B.range_block(rows.withColumn("at", F.coalesce(F.col("ts").cast("double").cast("long"), F.lit(-(1 << 62)))), blocks, "at")
@@ -87,36 +94,104 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
-def decode_records(raw: bytes) -> Iterator[dict]:
-    """Records of a .warc or .warc.gz file; what follows a broken record is not read."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            if line.strip():
+_MAGIC = b"\x1f\x8b\x08"
+_PIECE = 1 << 16
+_NEXT = re.compile(rb"(?:\A|\n)(?=WARC/[0-9])")
+
+
+def _members(raw: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """Gzip members, unpacked; of a broken one what could be unpacked, and what is wrong.  Reading goes on at the next member."""
+    at, view = 0, memoryview(raw)
+    while at < len(raw):
+        start, out, unpack = at, [], zlib.decompressobj(31)
+        try:
+            while at < len(raw) and not unpack.eof:
+                out.append(unpack.decompress(view[at : at + _PIECE]))
+                at += _PIECE
+            if unpack.eof:
+                at = min(at, len(raw)) - len(unpack.unused_data)
+                yield b"".join(out), None
+                continue
+            problem = "gzip member is cut off"
+        except zlib.error:
+            problem = "broken gzip member"
+        yield b"".join(out), f"{problem} at byte {start}"
+        following = raw.find(_MAGIC, start + 1)
+        at = len(raw) if following < 0 else following
+
+
+def _row(problem: str | None = None, **fields) -> dict:
+    return dict.fromkeys(("kind", "record_id", "url", "date", "http_status", "headers", "body")) | fields | {"problem": problem}
+
+
+def _parsed(text: bytes) -> Iterator[dict]:
+    """Records of unpacked bytes; where none can be read, a row that says so, and on from the next line that opens one."""
+    at = 0
+    while at < len(text):
+        while text[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        if at >= len(text):
+            return
+        problem = None
+        if not text.startswith(b"WARC/", at):
+            problem = "no record"
+        else:
+            ends = [(k, len(x)) for x in (b"\r\n\r\n", b"\n\n") if (k := text.find(x, at)) >= 0]
+            end, gap = min(ends, default=(len(text), 0))
+            warc = _fields(text[at:end].split(b"\n")[1:])
+            length = warc.get("content-length", "0")
+            if not length.isascii() or not length.isdigit():
+                problem = "no content length"
+            elif end + gap + int(length) > len(text):
+                problem = "record is cut off"
+        if problem:
+            yield _row(f"{problem} at byte {at}")
+            following = _NEXT.search(text, at + 1)
+            if not following:
                 return
+            at = following.end()
             continue
-        lines = []
-        while (line := stream.readline()).strip():
-            lines.append(line)
-        warc = _fields(lines)
-        block = stream.read(int(warc.get("content-length") or 0))
+        block = text[end + gap : end + gap + int(length)]
+        at = end + gap + int(length)
         head, _, body = block.partition(b"\r\n\r\n")
         first, *rest = head.split(b"\r\n")
-        yield {"kind": warc.get("warc-type"), "record_id": warc.get("warc-record-id"), "url": warc.get("warc-target-uri"), "date": warc.get("warc-date"), "http_status": int(first.split()[1]) if first.startswith(b"HTTP/") and len(first.split()) > 1 else None, "headers": _fields(rest), "body": body}
+        status = first.split()[1:2] if first.startswith(b"HTTP/") else []
+        number = int(status[0]) if status and re.fullmatch(rb"[0-9]{1,9}", status[0]) else None
+        yield _row(kind=warc.get("warc-type"), record_id=warc.get("warc-record-id"), url=warc.get("warc-target-uri"), date=warc.get("warc-date"), http_status=number, headers=_fields(rest), body=body)
+
+
+def decode_records(raw: bytes) -> Iterator[dict]:
+    """Records of a .warc or .warc.gz file.  What can't be read is a row with `problem`, and what follows is read."""
+    if raw[:2] != _MAGIC[:2]:
+        yield from _parsed(raw)
+        return
+    for text, problem in _members(raw):
+        yield from _parsed(text)
+        if problem:
+            yield _row(problem)
 
 
-RECORD = "kind string, record_id string, url string, date string, http_status int, headers map<string,string>, body binary"
+RECORD = "kind string, record_id string, url string, date string, http_status int, headers map<string,string>, body binary, problem string"
+#: Records, and bytes of bodies, that a worker gathers before it hands them on.
+BATCH_RECORDS, BATCH_BODIES = 256, 4 << 20
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all files under a path; Spark's own reader opens them, a task a file."""
+    """Records of all files under a path, problems too; Spark's own reader opens them, a task a file, so a file must be under 2 GB."""
     import pandas as pd
 
     def parse(batches):
         for batch in batches:
             for content in batch["content"]:
+                rows, size = [], 0
                 for record in decode_records(bytes(content)):
-                    yield pd.DataFrame([record])
+                    rows.append(record)
+                    size += len(record["body"] or b"")
+                    if len(rows) == BATCH_RECORDS or size > BATCH_BODIES:
+                        yield pd.DataFrame(rows).astype({"http_status": "Int32"})
+                        rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows).astype({"http_status": "Int32"})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, RECORD)
 
