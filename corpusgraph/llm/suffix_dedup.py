@@ -35,6 +35,8 @@ from . import blocks as B
 
 LENGTH = 50
 GRAM = 16
+#: Shards of single windows for one of anchors.
+WINDOW_SHARDS = 8
 #: Blocks from here on hold rows with no id, which are no earlier than one another.
 NO_ID = 1 << 30
 U64 = np.uint64
@@ -253,7 +255,7 @@ def rank_units(table: pa.Table, shards: int) -> pa.Table:
     return _answer(table, [B.pack_bits(many[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
 
 
-def ask_windows(docs: pa.Table, answers: pa.Table, length: int, shards: int) -> pa.Table:
+def ask_windows(docs: pa.Table, answers: pa.Table, length: int, shards: int, wide: int) -> pa.Table:
     """Single windows of first copies of units whose anchor has other units too; and for the block itself what is settled."""
     if not docs.num_rows:
         return _REQUEST.empty_table()
@@ -273,7 +275,7 @@ def ask_windows(docs: pa.Table, answers: pa.Table, length: int, shards: int) ->
         single[units] = ~repeated[units] & many[of[units]]
     *_, names = block.windows(np.flatnonzero(single))
     out = Request(block.number)
-    out.add(0, np.unique(names), shards)
+    out.add(0, np.unique(names), wide)
     out.own(B.pack_bits(repeated), B.pack_bits(single))
     return out.table()
 
@@ -320,13 +322,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n, n_bytes = B.corpus_size(docs)
     blocks, shards = B.block_count(n_bytes, n), B.shard_count(n_bytes // 16)
+    wide = shards * WINDOW_SHARDS  # of single windows there may be half as many as bytes
     no_id = F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")
     placed = B.range_block(docs, blocks).withColumn("block", F.when(F.col("doc_id").isNull(), no_id).otherwise(F.col("block")))
     by_block = placed.select("block", "doc_id", "text").groupBy("block")
     told = by_block.applyInArrow(B.lean(ask_anchors, length, shards), _REQUEST_DDL).groupBy("shard").applyInArrow(B.lean(rank_anchors, shards), _ANSWER_DDL)
     told = by_block.cogroup(told.groupBy("block")).applyInArrow(B.lean_pair(ask_units, length, shards), _REQUEST_DDL).groupBy("shard").applyInArrow(B.lean(rank_units, shards), _ANSWER_DDL)
-    told = by_block.cogroup(told.groupBy("block")).applyInArrow(B.lean_pair(ask_windows, length, shards), _REQUEST_DDL).groupBy("shard").applyInArrow(B.lean(rank_windows), _ANSWER_DDL)
-    return by_block.cogroup(told.groupBy("block")).applyInArrow(B.lean_pair(cut, length, shards), _RESULT_DDL)
+    told = by_block.cogroup(told.groupBy("block")).applyInArrow(B.lean_pair(ask_windows, length, shards, wide), _REQUEST_DDL).groupBy("shard").applyInArrow(B.lean(rank_windows), _ANSWER_DDL)
+    return by_block.cogroup(told.groupBy("block")).applyInArrow(B.lean_pair(cut, length, wide), _RESULT_DDL)
 
 
 def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
