@@ -1,7 +1,7 @@
 """Citation analysis over refs(id, ref): coupling, co-citation, held citations, connectivity.
 
-A reference that n works cite makes n*n/2 pairs by definition; references that only one
-work cites, and works below the threshold, leave before the self-join, which is exact.
+Pairs that share `min_shared` items meet by a prefix-filtered join (`sharing_pairs`): a reference that a third of all works
+cite makes no candidates by itself, and what is left of a frequent one is dealt to pairs of chunks.
 """
 
 from __future__ import annotations
@@ -9,17 +9,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
+
+#: Members of an item that one task pairs with each other.
+CHUNK = 2_000
+
+
+def sharing_pairs(members: DataFrame, min_shared: int = 2, chunk: int = CHUNK) -> DataFrame:
+    """(source, target, shared, n_source, n_target): sets of members(id, item) with source < target that share `min_shared` items or more, exactly.
+
+    Items are ordered by how many sets hold them.  Of the items that two such sets share the rarest has min_shared - 1
+    more frequent shared ones in both, so it stays when each set leaves out its min_shared - 1 most frequent items:
+    only the others make candidates.  An item with more than `chunk` sets is dealt to tasks, one for each pair of its
+    chunks.  A candidate that shares too few of those others is compared in full only if, by a signature of 64 bits,
+    an item left out may be in the other set.
+    """
+    if min_shared < 1:
+        raise ValueError("min_shared must be at least 1")
+    own = members.select("id", "item").where("id is not null and item is not null").distinct()
+    often = own.groupBy("item").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("item").alias("often"), "k")
+    # every set with its items that others hold too, rarest first, and the number of all
+    known = own.join(often, F.col("item") == F.col("often"), "left")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    sets = known.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "item")))).alias("x")).where(F.size("x") >= min_shared)
+    kept = F.size("x") - (min_shared - 1)
+    last = F.slice("x", kept + 1, min_shared - 1) if min_shared > 1 else F.slice("x", 1, 0)
+    sets = staged(sets.select("id", "n", F.transform("x", lambda e: e["item"]).alias("items"), F.slice("x", 1, kept).alias("prefix"), F.aggregate("x", F.lit(0).cast("long"), lambda a, e: a.bitwiseOR(bit(e["item"]))).alias("sign"), F.aggregate(last, F.lit(0).cast("long"), lambda a, e: a.bitwiseOR(bit(e["item"]))).alias("left_out")), "sets")
+    rows = sets.select("id", "sign", "left_out", F.explode("prefix").alias("p")).select("id", "sign", "left_out", F.col("p.item").alias("item"), F.ceil(F.col("p.k") / chunk).cast("int").alias("chunks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("id", "sign", "left_out", "item", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    a, b = (rows.select("item", "lo", "hi", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "mine", "sign", "left_out")]) for s in "ab")
+    met = a.join(b, ["item", "lo", "hi"]).where("mine_a = lo and mine_b = hi and (lo < hi or id_a < id_b)")
+    up = F.col("id_a") < F.col("id_b")
+    may = (F.col("left_out_a").bitwiseAND(F.col("sign_b")) != 0) | (F.col("left_out_b").bitwiseAND(F.col("sign_a")) != 0)
+    pairs = met.groupBy(F.when(up, F.col("id_a")).otherwise(F.col("id_b")).alias("source"), F.when(up, F.col("id_b")).otherwise(F.col("id_a")).alias("target")).agg(F.count(F.lit(1)).alias("met"), F.first(may).alias("may"))
+    asked = pairs.where((F.col("met") >= min_shared) | F.col("may")).select("source", "target")
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("items").alias(f"items_{s}"))
+    whole = asked.join(side("source"), "source").join(side("target"), "target")
+    shared = F.size(F.array_intersect("items_source", "items_target")).cast("long")
+    return whole.select("source", "target", shared.alias("shared"), "n_source", "n_target").where(F.col("shared") >= min_shared)
+
 
 def bibliographic_coupling(refs: DataFrame, min_shared: int = 2) -> DataFrame:
     """(source, target, shared, score): pairs of works by shared references; score is Jaccard."""
-    refs = refs.select("id", "ref").where("id is not null and ref is not null").distinct()
-    sizes = refs.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    often = refs.groupBy("ref").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("ref").alias("often"))
-    useful = refs.join(often, F.col("ref") == F.col("often")).select("id", "ref")
-    a, b = useful.toDF("source", "ref"), useful.toDF("target", "ref")
-    pairs = a.join(b, "ref").where("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
-    pairs = pairs.join(sizes.toDF("source", "na"), "source").join(sizes.toDF("target", "nb"), "target")
-    return pairs.select("source", "target", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("score"))
+    pairs = sharing_pairs(refs.select("id", F.col("ref").alias("item")), min_shared)
+    return pairs.select("source", "target", "shared", (F.col("shared") / (F.col("n_source") + F.col("n_target") - F.col("shared"))).alias("score"))
 
 
 def co_citation_counts(refs: DataFrame) -> DataFrame:
@@ -27,14 +62,12 @@ def co_citation_counts(refs: DataFrame) -> DataFrame:
 
 
 def co_cited_pairs(refs: DataFrame, min_shared: int = 2) -> DataFrame:
-    """(left, right, shared, score): references cited together; score is the overlap coefficient."""
-    refs = refs.select("id", "ref").where("id is not null and ref is not null").distinct()
-    counts = co_citation_counts(refs)
-    often = refs.join(counts.where(F.col("cited_by") >= min_shared).select("ref"), "ref", "left_semi")
-    a, b = often.select("id", F.col("ref").alias("left")), often.select("id", F.col("ref").alias("right"))
-    pairs = a.join(b, "id").where(F.col("left") < F.col("right")).groupBy("left", "right").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
-    pairs = pairs.join(counts.toDF("left", "nl"), "left").join(counts.toDF("right", "nr"), "right")
-    return pairs.select("left", "right", "shared", (F.col("shared") / F.least("nl", "nr")).alias("score"))
+    """(left, right, shared, score): references cited together; score is the overlap coefficient.
+
+    The same join the other way round: a reference is the set of the works that cite it.
+    """
+    pairs = sharing_pairs(refs.select(F.col("ref").alias("id"), F.col("id").alias("item")), min_shared)
+    return pairs.select(F.col("source").alias("left"), F.col("target").alias("right"), "shared", (F.col("shared") / F.least("n_source", "n_target")).alias("score"))
 
 
 def citation_pairs(refs: DataFrame, held: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.staging import staged
+from ..sources import versions
 from .review import deletion_guard
 
 
@@ -57,16 +59,51 @@ def push_plan(records: DataFrame, rows: DataFrame) -> DataFrame:
     return fresh.join(known, "url", "left_anti")
 
 
-def sync_plan(rows: DataFrame, managed: DataFrame, broken: DataFrame, least: int = 5, share: float = 0.25) -> DataFrame:
-    """(id, action): upsert, skip, delete or keep; rows(id, published), managed(id) files that came from the service, broken(id) rows that don't validate.
+def sync_plan(rows: DataFrame, managed: DataFrame, least: int = 5, share: float = 0.25, allow_deletions: bool = False) -> DataFrame:
+    """(id, action) of rows(id, published, problem) and managed(id), the records that came from the service: one verdict for all.
 
-    Unpublished rows count as absent.  A broken row's file stays.  If too many files would go, none goes: their action is `refuse`.
+    Published rows without a problem are valid; the others are reported as `skip`.  A managed record that no valid row has is
+    removed, also if its row is there but broken.  If too large a share would go, nothing is written: those records say
+    `refuse`, and no record is `upsert` or `delete`.
     """
-    live = rows.where("published").select("id").distinct().join(broken.select("id", F.lit(True).alias("bad")).distinct(), "id", "left")
-    plan = live.select("id", F.when(F.col("bad"), "skip").otherwise("upsert").alias("action"))
-    guard = deletion_guard(managed, live, least, share).select("refused")
-    gone = managed.select("id").distinct().join(live.select("id"), "id", "left_anti").crossJoin(F.broadcast(guard))  # one row
-    return plan.unionByName(gone.select("id", F.when(F.col("refused"), "refuse").otherwise("delete").alias("action")))
+    live = rows.where("published and id is not null")
+    valid = live.where("problem is null").select("id").distinct()
+    guard = deletion_guard(managed, valid, least, share).select((F.col("refused") & F.lit(not allow_deletions)).alias("refused"))
+    gone = managed.select("id").distinct().join(valid, "id", "left_anti").crossJoin(F.broadcast(guard))  # one row
+    fresh = valid.crossJoin(F.broadcast(guard)).where("not refused").select("id", F.lit("upsert").alias("action"))  # one row
+    broken = live.where("problem is not null").select("id").distinct().join(valid, "id", "left_anti").select("id", F.lit("skip").alias("action"))
+    return fresh.unionByName(gone.select("id", F.when(F.col("refused"), "refuse").otherwise("delete").alias("action"))).unionByName(broken)
+
+
+def row_problems(rows: DataFrame, topics: DataFrame) -> DataFrame:
+    """rows(id, taxonomy_topics, ..) with `problem`: no id, tags that no topic has, or a broken rule of the record itself."""
+    tags = rows.select("id", F.explode("taxonomy_topics").alias("code")).join(topics.select("code"), "code", "left_anti")
+    bad = tags.groupBy(F.col("id").alias("_bad")).agg(F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("_tags"))
+    kind = F.col("resource_type") if "resource_type" in rows.columns else F.lit("")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == "" if c in rows.columns else F.lit(False)
+    what = F.when(F.coalesce("id", F.lit("")) == "", "no id").when(F.col("_tags").isNotNull(), F.concat(F.lit("tags not in the taxonomy: "), "_tags")).when(blank("title"), "no title").when(kind.isNull(), "no resource type")
+    return rows.join(bad, F.col("id") == F.col("_bad"), "left").withColumn("problem", what).drop("_bad", "_tags")
+
+
+def sync(root: str, records: DataFrame, origin: str = fixed.SERVICE, least: int = 5, share: float = 0.25, allow_deletions: bool = False) -> DataFrame:
+    """Brings the table at `root` to what records(id, published, problem, source_provenance, ..) say, all or nothing; returns the plan, once.
+
+    Records whose provenance begins with `origin` are managed; the others stay unless a valid row has their id.  The new
+    table is a version of its own, which readers see when its manifest is written, last.  A refused plan writes nothing.
+    """
+    spark, columns = records.sparkSession, [c for c in records.columns if c not in ("published", "problem")]
+    there = versions.read_current(spark, root, records.select(*columns).schema)
+    managed = there.where(F.coalesce("source_provenance", F.lit("")).startswith(origin)).select("id")
+    plan = staged(sync_plan(records, managed, least, share, allow_deletions), "sync")
+    if plan.where("action = 'refuse'").limit(1).count():
+        return plan
+    fresh = records.where("published and id is not null and problem is null").select(*columns).withColumn("source_provenance", F.coalesce(F.nullif("source_provenance", F.lit("")), F.lit(origin)))
+    gone = plan.where("action in ('upsert', 'delete')").select("id")
+    # of rows with one id the last counts, by pos if there is one, else by their text
+    last = [F.col("pos")] if "pos" in columns else []
+    one = fresh.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct(*last, F.to_json(F.struct(*columns)).alias("_text"))).alias("row")).select("row.*")
+    versions.write_next(there.join(gone, "id", "left_anti").unionByName(one), root)
+    return plan
 
 
 def schema_problems(wanted: DataFrame, there: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..functions.staging import staged
 
 
 def link_key(url: Column) -> Column:
@@ -49,63 +50,99 @@ def record_file(resource_id: Column) -> Column:
 
 def provenance(author: Column, issue: Column, resolved: Column, tagged: Column, described: bool = False) -> Column:
     """Where a record came from, and how far each part of it is to be trusted."""
-    known = F.when(resolved, "identity and byline resolved against OpenAlex").otherwise("not resolvable against OpenAlex, so title and date are as given")
-    how = F.lit("described by the contributor and not verified against vendor documentation") if described else known
-    tags = F.when(tagged, "topic tags are the contributor's own, confirmed but unreviewed").otherwise("no topic tags yet — it enters the review queue untagged")
-    return F.concat(F.lit("added automatically from issue #"), issue.cast("string"), F.lit(" by @"), author, F.lit("; "), how, F.lit(". "), tags, F.lit("."))
+    where, by, then, stop, end = map(F.lit, fixed.PROVENANCE_WHERE)
+    how = F.lit(fixed.PROVENANCE_DESCRIBED) if described else F.when(resolved, fixed.PROVENANCE_RESOLVED).otherwise(fixed.PROVENANCE_UNRESOLVED)
+    return F.concat(where, issue.cast("string"), by, author, then, how, stop, F.when(tagged, fixed.PROVENANCE_TAGGED).otherwise(fixed.PROVENANCE_UNTAGGED), end)
 
 
-def paper_records(asked: DataFrame, works: DataFrame, papers: DataFrame, preprints: DataFrame) -> DataFrame:
+def paper_records(asked: DataFrame, works: DataFrame, papers: DataFrame, preprints: DataFrame, known_names: DataFrame | None = None, day: str | None = None) -> DataFrame:
     """Records of papers, from asked(pos, kind, ident, title, topics, author, issue) and three snapshots by ident.
 
-    works(ident, title, abstract, authors, institutions, type, publication_date), papers(ident, abstract, authors),
-    preprints(ident, title, abstract, authors).  Titles: first source, the form, then the preprint; abstracts: first,
-    second, preprint; a preprint's own byline counts before all.  `gaps` says what couldn't be filled; `problem` is set
-    instead of a record where no source and no form gives a title.
+    works(ident, title, abstract, authors, institutions, type, publication_date, and if there openalex_id, is_open_access,
+    is_retracted), papers(ident, abstract, authors), preprints(ident, title, abstract, authors).  Titles: first source, the form,
+    then the preprint; abstracts: first, second, preprint; a preprint's own byline counts before all.  `gaps` says what
+    couldn't be filled, and whom the byline that was set aside named beside the preprint's own people (as `people.same_parts`
+    tells them); `problem` is set instead of a record where no source and no form gives a title.
+    Names are spelled as known_names(name, canonical) has them; `day` is when the records enter.
     """
+    from . import people
+
     tag = lambda df, s: df.select("ident", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c != "ident"], F.lit(True).alias(f"{s}_found"))
     full = lambda c: F.when(F.size(c) > 0, F.col(c))
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     none = F.array().cast("array<string>")
-    all_ = asked.join(tag(works, "w"), "ident", "left").join(tag(papers, "p"), "ident", "left").join(tag(preprints, "x"), "ident", "left")
     arxiv = F.col("kind") == "arxiv"
     x = lambda c: F.when(arxiv, c)  # noqa: E731  preprints speak for their own identifiers only
-    # the second source is asked only where the first has no abstract
-    second = some("w_abstract").isNull()
+    second = some("w_abstract").isNull()  # the second source is asked only where the first has no abstract
+    all_ = asked.join(tag(works, "w"), "ident", "left").join(tag(papers, "p"), "ident", "left").join(tag(preprints, "x"), "ident", "left")
+    all_ = all_.withColumn("_indexed", F.coalesce(full("w_authors"), F.when(second, full("p_authors")), none)).withColumn("_own", x(full("x_authors")))
+    all_ = all_.withColumns({"_a": people.name_parts(F.col("_indexed")), "_b": people.name_parts(F.col("_own"))}).withColumn("_wrong", F.when(F.col("_own").isNotNull(), people.unmatched(F.col("_a"), F.col("_b"))))
+    if known_names is not None:
+        byline = all_.select("pos", F.posexplode(F.coalesce("_own", "_indexed")).alias("_p", "name")).join(known_names, "name", "left")
+        spelled = byline.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("canonical", "name").alias("n")))).alias("_s")).select("pos", F.array_distinct(F.transform("_s", lambda e: e["n"])).alias("_names"))
+        all_ = all_.join(spelled, "pos", "left")
+    else:
+        all_ = all_.withColumn("_names", F.array_distinct(F.coalesce("_own", "_indexed")))
     title = F.coalesce(some("w_title"), some("title"), x(some("x_title")))
     abstract = F.coalesce(some("w_abstract"), some("p_abstract"), x(some("x_abstract")))
-    authors = F.coalesce(x(full("x_authors")), full("w_authors"), F.when(second, full("p_authors")), none)
     kind = F.when(arxiv, "preprint")
     for a, b in fixed.PAPER_TYPES.items():
         kind = kind.when(F.col("w_type") == a, b)
-    gap = lambda cond, text: F.when(cond, F.lit(text))
-    gaps = F.array_compact(F.array(gap(F.col("w_found").isNull(), "first source has no such work"), gap(abstract.isNull(), "no abstract"), gap(x(F.exists("w_authors", lambda a: ~F.array_contains("x_authors", a)) & (F.size("x_authors") > 0)), "first source credits others than the preprint")))
+    kind = kind.otherwise("peer-reviewed-paper")
+    gap = lambda cond, text: F.when(cond, text if isinstance(text, Column) else F.lit(text))
+    credited = F.concat(F.lit("first source credited "), F.array_join("_wrong", ", "), F.lit(", whom the preprint does not list"))
+    gaps = F.array_compact(F.array(gap(F.col("w_found").isNull(), "first source has no such work"), gap(abstract.isNull(), "no abstract"), gap(F.size("_wrong") > 0, credited)))
     where = F.when(arxiv, F.concat(F.lit("resource:arxiv:"), "ident")).otherwise(F.concat(F.lit("resource:doi:"), slug(F.col("ident"))))
+    more = lambda c, kind: (F.col(f"w_{c}") if c in works.columns else F.lit(None)).cast(kind)
     return all_.select(
-        "pos", where.alias("id"), kind.otherwise("peer-reviewed-paper").alias("resource_type"), title.alias("title"), abstract.alias("abstract"), authors.alias("authors"),
+        "pos", where.alias("id"), kind.alias("resource_type"), title.alias("title"), abstract.alias("abstract"), F.coalesce("_names", none).alias("authors"),
         F.coalesce("w_institutions", none).alias("organizations"), F.col("w_publication_date").alias("published_at"), F.concat(F.when(arxiv, "https://arxiv.org/abs/").otherwise("https://doi.org/"), "ident").alias("url"),
-        F.when(arxiv, F.concat(F.lit("10.48550/arXiv."), "ident")).otherwise(F.col("ident")).alias("doi"), x(F.col("ident")).alias("arxiv_id"), F.col("topics").alias("taxonomy_topics"), F.lit("unreviewed").alias("review_status"),
-        provenance(F.col("author"), F.col("issue"), F.col("w_found").isNotNull(), F.size("topics") > 0).alias("source_provenance"), gaps.alias("gaps"), F.when(title.isNull(), "no title").alias("problem"),
+        F.when(arxiv, F.concat(F.lit("10.48550/arXiv."), "ident")).otherwise(F.col("ident")).alias("doi"), x(F.col("ident")).alias("arxiv_id"),
+        F.regexp_replace(more("openalex_id", "string"), "^.*/", "").alias("openalex_id"), more("is_open_access", "boolean").alias("is_open_access"), more("is_retracted", "boolean").alias("is_retracted"),
+        F.col("topics").alias("taxonomy_topics"), F.create_map(F.lit("artifact_type"), F.array(kind)).alias("facets"), F.lit("unreviewed").alias("review_status"),
+        provenance(F.col("author"), F.col("issue"), F.col("w_found").isNotNull(), F.size("topics") > 0).alias("source_provenance"), F.lit(day).cast("string").alias("ingested_at"), gaps.alias("gaps"), F.when(title.isNull(), "no title").alias("problem"),
     )
 
 
-def thing_records(asked: DataFrame) -> DataFrame:
+def thing_records(asked: DataFrame, day: str | None = None) -> DataFrame:
     """Records of tools and platforms, from asked(pos, name, summary, url, license, agents, controls, maintainer, topics, author, issue)."""
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     blank = F.array_compact(F.array(*[F.when(some(c).isNull(), F.lit(c)) for c in ("agents", "controls", "maintainer")]))
     problem = F.when(some("name").isNull(), "no name").when(some("summary").isNull(), "no description")
+    opened = F.when(some("license").isNull(), "unknown").otherwise("yes")
+    profile = F.map_filter(F.create_map(F.lit("agent_model"), some("agents"), F.lit("human_controls"), some("controls"), F.lit("maintainer"), some("maintainer"), F.lit("open_source"), opened), lambda _, v: v.isNotNull())
     return asked.select(
         "pos", F.concat(F.lit("resource:tool:"), slug(F.col("name"))).alias("id"), F.lit("code-tool").alias("resource_type"), F.col("name").alias("title"), F.col("summary").alias("description"), "url",
         F.when(F.col("url").rlike(r"git(hub|lab)\.com"), F.col("url")).alias("repository_url"), F.nullif(F.trim(F.split(F.coalesce("license", F.lit("")), "·")[0]), F.lit("")).alias("license"),
-        F.when(some("license").isNull(), "unknown").otherwise("yes").alias("open_source"), F.col("topics").alias("taxonomy_topics"), F.lit("unreviewed").alias("review_status"),
-        provenance(F.col("author"), F.col("issue"), F.lit(False), F.size("topics") > 0, described=True).alias("source_provenance"), blank.alias("gaps"), problem.alias("problem"),
+        opened.alias("open_source"), F.col("topics").alias("taxonomy_topics"), F.create_map(F.lit("artifact_type"), F.array(F.lit("code-tool"))).alias("facets"), profile.alias("tool"), F.lit("unreviewed").alias("review_status"),
+        provenance(F.col("author"), F.col("issue"), F.lit(False), F.size("topics") > 0, described=True).alias("source_provenance"), F.lit(day).cast("string").alias("ingested_at"), blank.alias("gaps"), problem.alias("problem"),
     )
 
 
-def process(proposals: DataFrame, resources: DataFrame, topics: DataFrame, works: DataFrame, papers: DataFrame, preprints: DataFrame) -> DataFrame:
-    """(pos, outcome, id, detail) of proposals(pos, identifier, name, title, summary, topics, author, issue): added, held, or refused.
+def first_wins(asked: DataFrame) -> DataFrame:
+    """(pos, winner) of asked(pos, key), several keys a pos: whom each would find held if all were taken in order of pos.
 
-    A form without an identifier and a name, an identifier that is none, an unknown topic, and a record without a title are refused.
+    The first of all its keys is taken (its winner is itself); what shares a key with it finds it held, by the first such one;
+    the rest is settled likewise, round by round.  A key that very many share settles all of them in one round.
+    """
+    asked = staged(asked.where("key is not null").select("pos", "key").distinct(), "asked")
+    left, taken = asked, asked.select("key", F.col("pos").alias("winner")).limit(0)
+    while left.limit(1).count():
+        first = left.groupBy("key").agg(F.min("pos").alias("first"))
+        wins = left.join(first, "key").groupBy("pos").agg(F.bool_and(F.col("first") == F.col("pos")).alias("wins")).where("wins").select(F.col("pos").alias("winner"))
+        keys = staged(left.join(wins, F.col("pos") == F.col("winner")).select("key", "winner"), "taken")
+        taken = taken.unionByName(keys)
+        held = left.join(keys, "key").select("pos").distinct()
+        left = staged(left.join(held, "pos", "left_anti"), "asked")
+    return asked.join(taken, "key").groupBy("pos").agg(F.min("winner").alias("winner"))
+
+
+def process(proposals: DataFrame, resources: DataFrame, topics: DataFrame, works: DataFrame, papers: DataFrame, preprints: DataFrame, known_names: DataFrame | None = None, day: str | None = None) -> DataFrame:
+    """(pos, outcome, id, detail, record) of proposals(pos, identifier, name, title, summary, topics, author, issue, and if there license, agents, controls, maintainer): added, held, or refused.
+
+    A form without an identifier and a name, an identifier that is none, an unknown topic, and a record without a title are
+    refused.  A batch gives what its proposals would give one at a time, in order of pos: of two that make one record the
+    first adds it, the second finds it held.  `record` is the whole record of what is added, null elsewhere.
     """
     none = F.lit(None).cast("string")
     read = proposals.withColumn("i", T.identify(F.col("identifier")))
@@ -114,15 +151,24 @@ def process(proposals: DataFrame, resources: DataFrame, topics: DataFrame, works
     good = read.join(bad.select("pos"), "pos", "left_anti").withColumns({"kind": F.col("i.kind"), "ident": F.col("i.id")})
     asks = good.select("pos", F.when(F.col("kind") == "doi", F.col("ident")).otherwise(none).alias("doi"), F.when(F.col("kind") == "arxiv", F.col("ident")).otherwise(none).alias("arxiv"), F.when(F.col("kind") == "url", F.col("ident")).otherwise(none).alias("url"))
     state = already_held(asks, resources).join(read_topics(good.select(F.col("pos").alias("id"), "topics"), topics).withColumnRenamed("id", "pos"), "pos")
-    good = good.drop("topics", "i").join(state, "pos")
+    good = staged(good.drop("topics", "i").join(state, "pos"), "proposals")
     open_ = good.where("held is null and size(unknown) = 0").withColumnRenamed("codes", "topics")
-    made = paper_records(open_.where("kind <> 'url'").select("pos", "kind", "ident", "title", "topics", "author", "issue"), works, papers, preprints).select("pos", "id", "problem")
-    blank = {c: none for c in ("license", "agents", "controls", "maintainer")}
-    things = open_.where("kind = 'url'").select("pos", F.coalesce(F.nullif("name", F.lit("")), "title").alias("name"), "summary", F.col("ident").alias("url"), "topics", "author", "issue").withColumns(blank)
-    made = made.unionByName(thing_records(things).select("pos", "id", "problem")).join(resources.select("id", F.lit(True).alias("there")), "id", "left")
-    out = made.select("pos", F.when(F.col("problem").isNotNull(), "refused").when(F.col("there"), "held").otherwise("added").alias("outcome"), F.when(F.col("problem").isNull(), F.col("id")).alias("id"), F.col("problem").alias("detail"))
-    shut = good.where("held is not null or size(unknown) > 0").select("pos", F.when(F.col("held").isNotNull(), "held").otherwise("refused").alias("outcome"), F.col("held").alias("id"), F.when(F.col("held").isNull(), F.concat(F.lit("not taxonomy codes: "), F.array_join("unknown", ", "))).alias("detail"))
-    return out.unionByName(shut).unionByName(bad.select("pos", F.lit("refused").alias("outcome"), none.alias("id"), F.col("why").alias("detail")))
+    made = paper_records(open_.where("kind <> 'url'").select("pos", "kind", "ident", "title", "topics", "author", "issue"), works, papers, preprints, known_names, day)
+    given = {c: F.col(c) if c in proposals.columns else none for c in ("license", "agents", "controls", "maintainer")}
+    things = open_.where("kind = 'url'").withColumns(given).select("pos", F.coalesce(F.nullif("name", F.lit("")), "title").alias("name"), "summary", F.col("ident").alias("url"), *given, "topics", "author", "issue")
+    whole = made.unionByName(thing_records(things, day), allowMissingColumns=True)
+    fields = [c for c in whole.columns if c not in ("pos", "problem")]
+    made = staged(whole.select("pos", "id", "problem", F.struct(*fields).alias("record")).join(resources.select("id", F.lit(True).alias("there")).distinct(), "id", "left"), "made")
+    fresh = made.where("problem is null and there is null")
+    keys = F.explode(F.array_compact(F.array_distinct(F.array(F.concat(F.lit("id "), "id"), F.concat(F.lit("url "), link_key(F.col("record.url"))), F.concat(F.lit("url "), link_key(F.col("record.repository_url")))))))
+    order = first_wins(fresh.select("pos", keys.alias("key")))
+    owner = order.join(made.select(F.col("pos").alias("winner"), F.col("id").alias("owner")), "winner").select("pos", "winner", "owner")
+    told = made.join(owner, "pos", "left")
+    adds = F.coalesce(F.col("winner") == F.col("pos"), F.lit(False))
+    out = told.select("pos", F.when(F.col("problem").isNotNull(), "refused").when(adds, "added").otherwise("held").alias("outcome"), F.when(F.col("problem").isNull(), F.coalesce("owner", "id")).alias("id"), F.col("problem").alias("detail"), F.when(adds, F.col("record")).alias("record"))
+    nothing = F.lit(None).cast(dict(made.dtypes)["record"])
+    shut = good.where("held is not null or size(unknown) > 0").select("pos", F.when(F.col("held").isNotNull(), "held").otherwise("refused").alias("outcome"), F.col("held").alias("id"), F.when(F.col("held").isNull(), F.concat(F.lit("not taxonomy codes: "), F.array_join("unknown", ", "))).alias("detail"), nothing.alias("record"))
+    return out.unionByName(shut).unionByName(bad.select("pos", F.lit("refused").alias("outcome"), none.alias("id"), F.col("why").alias("detail"), nothing.alias("record")))
 
 
 def expand_seeds(papers: DataFrame, dois: DataFrame, platforms: DataFrame, held: DataFrame) -> DataFrame:
@@ -134,14 +180,62 @@ def expand_seeds(papers: DataFrame, dois: DataFrame, platforms: DataFrame, held:
 
 
 def filing_problems(filed: DataFrame, records: DataFrame, topics: DataFrame) -> DataFrame:
-    """(id, problem) of filed(id, topics, numbers): all at once; `numbers` are codes that were read as numbers, unquoted."""
-    known = filed.join(records.select("id", F.lit(True).alias("there")), "id", "left")
-    lost = known.where("there is null").select("id", F.lit("not a record in this corpus").alias("problem"))
-    held = known.where("there")
-    unquoted = held.where("size(numbers) > 0").select("id", F.concat(F.lit("topic codes must be quoted: "), F.array_join("numbers", ", ")).alias("problem"))
-    codes = held.where("coalesce(size(numbers), 0) <= 0").select("id", F.posexplode("topics").alias("p", "code")).join(topics.select("code"), "code", "left_anti")
-    named = codes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("p", "code"))).alias("x")).select("id", F.concat(F.lit("not taxonomy codes: "), F.array_join(F.transform("x", lambda c: c["code"]), ", ")).alias("problem"))
-    return lost.unionByName(unquoted).unionByName(named)
+    """(id, problem) of filed(id, topics, numbers, and verdict if there): all at once, the first of each entry; `numbers` are codes read as numbers, unquoted.
+
+    With a column `issue` the problems carry it.
+    """
+    own = ["issue"] if "issue" in filed.columns else []
+    codes = filed.select(*own, "id", F.posexplode("topics").alias("p", "code")).join(topics.select("code"), "code", "left_anti")
+    named = codes.groupBy(*own, "id").agg(F.array_sort(F.collect_list(F.struct("p", "code"))).alias("x")).select(*[F.col(c).alias(f"_{c}") for c in own], F.col("id").alias("_id"), F.array_join(F.transform("x", lambda c: c["code"]), ", ").alias("_codes"))
+    same = F.col("id") == F.col("_id")
+    for c in own:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    known = filed.join(records.select("id", F.lit(True).alias("there")).distinct(), "id", "left").join(named, same, "left")
+    verdict = F.col("verdict") if "verdict" in filed.columns else F.lit(None).cast("string")
+    strange = verdict.isNotNull() & ~verdict.isin("filed", *fixed.RECORD_VERDICTS)
+    what = (
+        F.when(F.col("there").isNull(), F.lit("not a record in this corpus"))
+        .when(F.size("numbers") > 0, F.concat(F.lit("topic codes must be quoted: "), F.array_join("numbers", ", ")))
+        .when(F.col("_codes").isNotNull(), F.concat(F.lit("not taxonomy codes: "), "_codes"))
+        .when(strange, F.concat(F.lit("unknown verdict "), verdict))
+    )
+    return known.select(*own, "id", what.alias("problem")).where("problem is not null")
+
+
+def standing(entries: DataFrame, problems: DataFrame, by: tuple[str, ...] = ("issue",)) -> DataFrame:
+    """entries without those of a group that has a problem: one problem voids all entries of its part of its issue."""
+    bad = problems.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
+    same = None
+    for c in by:
+        one = F.col(c).eqNullSafe(F.col(f"_{c}"))
+        same = one if same is None else same & one
+    return entries.join(bad, same, "left_anti")
+
+
+def filed_records(filed: DataFrame) -> DataFrame:
+    """(.., id, topics, verdict, unsure, note, reviewed_on) of checked filed(id, topics, verdict, unsure, note, reviewed_on): what is kept of each.
+
+    Codes once, by number; `filed` is the common case and isn't stored; a note without the blanks around it.
+    """
+    ranked = F.array_sort(F.transform(F.array_distinct(F.coalesce("topics", F.array().cast("array<string>"))), lambda c: F.struct(T.code_key(c).alias("k"), c.alias("c"))))
+    kept = {
+        "topics": F.transform(ranked, lambda x: x["c"]),
+        "verdict": F.when(F.col("verdict").isin(*fixed.RECORD_VERDICTS), F.col("verdict")),
+        "unsure": F.when(F.coalesce(F.col("unsure").cast("boolean"), F.lit(False)), F.lit(True)),
+        "note": F.nullif(F.trim("note"), F.lit("")),
+    }
+    return filed.withColumns(kept)
+
+
+def flagged(kept: DataFrame) -> DataFrame:
+    """(flag, id, note) of kept(id, verdict, note): records that reviewers put aside, and all notes."""
+    aside = kept.where(F.col("verdict").isin(*fixed.RECORD_VERDICTS)).select(F.col("verdict").alias("flag"), "id", F.lit(None).cast("string").alias("note"))
+    return aside.unionByName(kept.where("note is not null").select(F.lit("note").alias("flag"), "id", "note"))
+
+
+def flagged_verdicts(verdicts: DataFrame) -> DataFrame:
+    """Verdicts (id, verdict) that speak against how a claim was extracted."""
+    return verdicts.where(F.col("verdict").isin(*fixed.FLAGGED_VERDICTS)).select("id", "verdict")
 
 
 def verdict_problems(verdicts: DataFrame, claims: DataFrame) -> DataFrame:
@@ -158,21 +252,29 @@ def merge_verdicts(gold: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("id", F.coalesce("verdict", "old").alias("verdict"), change.alias("change"))
 
 
-def new_statements(statements: DataFrame, claims: DataFrame, parts: DataFrame) -> DataFrame:
-    """(id, resource_id, text, quote, read_from, problem) of statements(resource_id, pos, text, quote, type), numbered after the record's claims.
+def new_statements(statements: DataFrame, claims: DataFrame, parts: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, issue, resource_id, text, quote, type, read_from, extraction_method, problem, voided) of statements(issue, author, resource_id, pos, text, quote, type).
 
-    Texts under ten and quotes under fifteen signs, unknown types, and quotes that the record's full text, where parts(id, pos,
-    kind, text) has it, doesn't hold are problems, not claims.
+    Statements on what is none of records(id), texts under ten and quotes under fifteen signs, unknown types (none is a finding),
+    and quotes that the record's full text, where parts(id, pos, kind, text) has it, doesn't hold are problems; one voids
+    all statements of its issue.  Those that stand are numbered after the record's claims, in order of issue and pos.
     """
     from .fulltext import first_section
 
-    s = statements.withColumn("q", F.concat_ws(":", "resource_id", "pos"))
+    own = ["issue", "resource_id", "pos"]
+    s = statements.withColumns({"text": F.trim(F.coalesce("text", F.lit(""))), "quote": F.trim(F.coalesce("quote", F.lit(""))), "type": F.coalesce(F.nullif(F.trim("type"), F.lit("")), F.lit("finding"))})
+    s = s.withColumn("q", F.to_json(F.struct(*own)))
     found = first_section(s.select(F.col("q").alias("quote_id"), F.col("resource_id").alias("id"), F.col("quote").alias("text")), parts).toDF("q", "kind")
-    read = s.join(found, "q", "left").join(parts.select(F.col("id").alias("resource_id"), F.lit(True).alias("full")).distinct(), "resource_id", "left")
-    short = lambda c, n: F.length(F.trim(F.coalesce(c, F.lit("")))) < n
-    problem = F.when(short("text", 10), "text too short").when(short("quote", 15), "quote too short").when(~F.coalesce(F.col("type").isin(fixed.CLAIM_TYPES), F.lit(False)), "unknown type").when(F.col("full") & F.col("kind").isNull(), "quote is not in the paper")
+    read = s.join(found, "q", "left").join(parts.select(F.col("id").alias("resource_id"), F.lit(True).alias("full")).distinct(), "resource_id", "left").join(records.select(F.col("id").alias("resource_id"), F.lit(True).alias("there")).distinct(), "resource_id", "left")
+    problem = (
+        F.when(F.col("there").isNull(), "not a record in this corpus").when(F.length("text") < 10, "text too short").when(F.length("quote") < 15, "quote too short")
+        .when(~F.col("type").isin(fixed.CLAIM_TYPES), "unknown type").when(F.col("full") & F.col("kind").isNull(), "quote is not in the paper")
+    )
+    judged = staged(read.withColumn("problem", problem), "statements")
+    stand = standing(judged, judged.where("problem is not null"))
     count = claims.groupBy("resource_id").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("resource_id").orderBy("pos"))
-    out = read.withColumn("problem", problem).withColumn("place", place).join(count, "resource_id", "left")
+    place = F.row_number().over(Window.partitionBy("resource_id").orderBy("issue", "pos"))
     ident = F.concat(F.lit("claim:"), F.regexp_replace(F.col("resource_id"), "^resource:", ""), F.lit(":"), (F.coalesce("n", F.lit(0)) + F.col("place")).cast("string"))
-    return out.select(F.when(F.col("problem").isNull(), ident).alias("id"), "resource_id", "text", "quote", F.coalesce("kind", F.lit("by hand")).alias("read_from"), "problem")
+    numbered = stand.withColumn("place", place).join(count, "resource_id", "left").select("q", ident.alias("id"))
+    method = F.concat(F.lit("written by @"), "author", F.coalesce(F.concat(F.lit(" in issue #"), F.nullif("issue", F.lit(0)).cast("string")), F.lit("")))
+    return judged.join(numbered, "q", "left").select("id", "issue", "resource_id", "text", "quote", "type", F.coalesce("kind", F.lit("by hand")).alias("read_from"), method.alias("extraction_method"), "problem", F.col("id").isNull().alias("voided"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from .search import substring_matches
 
 
 def html_plain_text(pages: DataFrame) -> DataFrame:
@@ -37,12 +38,17 @@ def sections(pages: DataFrame, heading_class: str = "ltx_title", paragraph_class
     return grouped.select("id", "pos", kind.alias("kind"), F.coalesce("over.text", F.lit("—")).alias("heading"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"), kind.isin(fixed.CLAIM_BEARING).alias("claim_bearing"))
 
 
+#: So many keys of quotes (8 bytes each) are broadcast at most.
+BROADCAST_KEYS = 1_000_000
+
+
 def verbatim(quotes: DataFrame, sources: DataFrame, words: int = 5) -> DataFrame:
     """(quote_id, source_id) where the source has the quote, white space aside; quotes(quote_id, text), sources(source_id, text).
 
     Both meet by hashes, an equi-join.  A quote's words but the first and the last are whole words of any source that holds
     it: a quote is looked up by `words` of them, or, if it is shorter, by the longest one.  Quotes of one or two words have no such
-    word; these alone are compared with every source.
+    word; they are looked up by the rarest three signs they hold (`search.substring_matches`).  Runs of a source that no
+    quote asks for go where they arise, if the asked ones are few enough to be sent there.
     """
     q = quotes.select("quote_id", T.squeezed(F.col("text")).alias("quote")).where("quote <> ''").withColumn("w", F.split("quote", " "))
     s = sources.select("source_id", T.squeezed(F.coalesce("text", F.lit(""))).alias("source"))
@@ -56,17 +62,19 @@ def verbatim(quotes: DataFrame, sources: DataFrame, words: int = 5) -> DataFrame
         nonlocal out
         out = found if out is None else out.unionByName(found)
 
-    def looked_up(asked: DataFrame, keys: DataFrame) -> DataFrame:
-        met = keys.join(asked, "k").select("source_id", "quote_id", "quote").distinct().join(s, "source_id")
-        return met.where(F.col("source").contains(F.col("quote"))).select("quote_id", "source_id")
+    def looked_up(asked: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+        side = asked.select("k", "quote_id")
+        met = keys.join(F.broadcast(side) if n <= BROADCAST_KEYS else side, "k").select("source_id", "quote_id").distinct()
+        return met.join(asked.select("quote_id", "quote"), "quote_id").join(s, "source_id").where(F.col("source").contains(F.col("quote"))).select("quote_id", "source_id")
 
     if "runs" in size or not size:
         runs = split.where(F.size("w") >= words).select("source_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.slice("w", i, words)))).alias("k"))
-        add(looked_up(q.where(F.size("w") >= words + 2).select("quote_id", "quote", F.xxhash64(F.slice("w", 2, words)).alias("k")), runs))
+        add(looked_up(q.where(F.size("w") >= words + 2).select("quote_id", "quote", F.xxhash64(F.slice("w", 2, words)).alias("k")), runs, size.get("runs", 0)))
     if "words" in size:
-        add(looked_up(q.where((F.size("w") > 2) & (F.size("w") < words + 2)).select("quote_id", "quote", longest.alias("k")), split.select("source_id", F.explode(F.array_distinct("w")).alias("k"))))
+        add(looked_up(q.where((F.size("w") > 2) & (F.size("w") < words + 2)).select("quote_id", "quote", longest.alias("k")), split.select("source_id", F.explode(F.array_distinct("w")).alias("k")), size["words"]))
     if "none" in size:
-        add(q.where("size(w) <= 2").select("quote_id", "quote").join(s, F.col("source").contains(F.col("quote"))).select("quote_id", "source_id"))
+        short = q.where("size(w) <= 2").select(F.col("quote_id").alias("query_id"), F.col("quote").alias("word"))
+        add(substring_matches(short, s.select(F.col("source_id").alias("text_id"), F.col("source").alias("text"))).select(F.col("query_id").alias("quote_id"), F.col("text_id").alias("source_id")))
     return out
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 from . import graph
+from .ranks import exact_rank
 
 
 def graph_nodes(topics: DataFrame, resources: DataFrame, authors: DataFrame, claims: DataFrame) -> DataFrame:
@@ -48,24 +50,80 @@ def write_graph(out_dir: str, nodes: DataFrame, links: DataFrame) -> None:
     links.orderBy("kind", "source", "target").write.mode("overwrite").json(f"{out_dir}/links")
 
 
+class CodedIndex:
+    """A topic index of small integers: what a page without the terms' texts in each topic scores with.
+
+    `terms` (term, term_id, df, idf): terms numbered from 0 by where they are first seen, topics by code; idf is rounded to `places`.
+    `topics` (code, ids, length): a topic's terms in order, and how many.  `stats` (topics, mean_len): one row.
+    Numbers are exact places of first sights, so no task sees all terms.
+    """
+
+    def __init__(self, texts: DataFrame, places: int = 3) -> None:
+        docs = texts.select("code", T.tokens(F.col("text")).alias("w")).select("code", T.with_phrases(F.col("w")).alias("t"))
+        each = docs.select("code", F.posexplode("t").alias("p", "term"))
+        first = each.groupBy("term").agg(F.min(F.struct(T.code_key(F.col("code")).alias("k"), "p")).alias("at"), F.count_distinct("code").alias("df"))
+        self.stats = docs.agg(F.count(F.lit(1)).alias("topics"), F.coalesce(F.round(F.avg(F.size("t")), 2), F.lit(0.0)).alias("mean_len"))
+        idf = F.round(F.ln(1 + (F.col("topics") - F.col("df") + 0.5) / (F.col("df") + 0.5)), places)
+        numbered = exact_rank(first.select("term", "df", "at.k", "at.p"), ["k", "p"], "term_id")
+        self.terms = numbered.crossJoin(F.broadcast(self.stats)).select("term", "term_id", "df", idf.alias("idf"))  # one row
+        coded = each.join(self.terms.select("term", "term_id"), "term").groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "term_id"))), lambda x: x["term_id"]).alias("ids"))
+        self.topics = docs.select("code", F.size("t").alias("length")).join(coded, "code", "left").select("code", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"), "length")
+
+    def score(self, texts: DataFrame) -> DataFrame:
+        """(id, code, score) of texts(id, text), from the coded parts alone; up to the rounding of idf and mean length as TopicIndex.score has it."""
+        words = texts.withColumn("t", T.tokens(F.col("text"))).select("id", "t").select("id", T.with_phrases(F.col("t")).alias("t"))
+        asked = words.select("id", F.explode(F.array_distinct("t")).alias("term")).join(self.terms.select("term", "term_id"), "term").select("id", "term_id")
+        postings = self.topics.select("code", "length", F.explode("ids").alias("term_id")).groupBy("code", "length", "term_id").agg(F.count(F.lit(1)).alias("tf"))
+        mean = F.when(F.col("mean_len") == 0, F.lit(1.0)).otherwise(F.col("mean_len"))
+        norm = F.col("tf") + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("length") / mean)
+        weights = postings.join(self.terms.select("term_id", "idf"), "term_id").crossJoin(F.broadcast(self.stats)).select("code", "term_id", (F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / norm).alias("weight"))
+        return asked.join(weights, "term_id").groupBy("id", "code").agg(F.round(F.sum("weight"), 6).alias("score"))
+
+
 def term_index(texts: DataFrame) -> DataFrame:
-    """(term, term_id, idf, first) of texts(code, text): terms numbered by where they are first seen, topics by code.
+    """(term, term_id, idf) of texts(code, text): terms numbered by where they are first seen, topics by code."""
+    return CodedIndex(texts).terms.select("term", "term_id", "idf")
+
 
-    A taxonomy's terms are few, so their numbers come from one ordered window over distinct terms.
+ABSTRACT_SIGNS, SUGGESTIONS, SUGGESTION_SCORE = 1100, 14, 0.5
+
+
+def shortened(text: Column, most: int = ABSTRACT_SIGNS) -> Column:
+    """A text of more than `most` signs ends at the last blank before, with an ellipsis."""
+    head = F.substring(text, 1, most)
+    return F.when(F.length(text) > most, F.concat(F.when(head.contains(" "), F.regexp_replace(head, r"(?s) [^ ]*$", "")).otherwise(head), F.lit("…"))).otherwise(text)
+
+
+def site_records(resources: DataFrame, ranked: DataFrame, claims: DataFrame) -> DataFrame:
+    """What the site reads of each record, with `place` in its order: fields, suggested topics and those further down, claims.
+
+    resources(id, title, abstract, description, authors, published_at, url, resource_type, doi, arxiv_id, repository_url,
+    taxonomy_topics), ranked(id, code, score, rank), claims(resource_id, pos, id, text, standalone, quote, extracted_from,
+    claim_type, topic_codes, verdict, reviewed_by).  Suggested are those in retrieval's band; claims follow in order of pos.
     """
-    docs = texts.select("code", T.tokens(F.col("text")).alias("w")).select("code", T.with_phrases(F.col("w")).alias("t"))
-    each = docs.select("code", F.posexplode("t").alias("p", "term"))
-    first = each.groupBy("term").agg(F.min(F.struct(T.code_key(F.col("code")).alias("k"), "p")).alias("at"), F.count_distinct("code").alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("topics"))
-    numbered = first.withColumn("term_id", F.row_number().over(Window.orderBy("at")) - 1)
-    return numbered.crossJoin(F.broadcast(n)).select("term", F.col("term_id").cast("long").alias("term_id"), F.round(F.ln(1 + (F.col("topics") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 3).alias("idf"))
+    from .retrieval import suggestion_band
+
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    none = F.array().cast("array<string>")
+    marked = suggestion_band(ranked.where(F.col("rank") <= SUGGESTIONS))
+    pick = lambda yes: F.transform(F.filter("x", lambda x: x["suggested"] == yes), lambda x: x["code"])
+    found = marked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "code", "suggested"))).alias("x")).select(F.col("id").alias("found"), pick(True).alias("suggested"), pick(False).alias("suggested_more"))
+    one = F.struct("pos", "id", "text", blank("standalone").alias("standalone"), "quote", F.col("extracted_from").alias("where"), F.col("claim_type").alias("type"), F.col("topic_codes").alias("topics"), blank("verdict").alias("verdict"), blank("reviewed_by").alias("by"))
+    said = claims.groupBy(F.col("resource_id").alias("said")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("pos")).alias("claims"))
+    whole = resources.join(found, F.col("id") == F.col("found"), "left").join(said, F.col("id") == F.col("said"), "left")
+    text = F.coalesce(F.nullif("abstract", F.lit("")), blank("description"))
+    rows = whole.select(
+        "id", "title", shortened(text).alias("abstract"), F.coalesce("authors", none).alias("authors"), F.coalesce(F.col("published_at").cast("string"), F.lit("")).alias("date"), blank("url").alias("url"), F.col("resource_type").alias("type"),
+        F.lower(blank("doi")).alias("doi"), F.lower(blank("arxiv_id")).alias("arxiv"), blank("repository_url").alias("repo"), F.coalesce("taxonomy_topics", none).alias("current"), F.coalesce("suggested", none).alias("suggested"), F.coalesce("suggested_more", none).alias("suggested_more"),
+        F.coalesce("claims", F.array().cast(dict(said.dtypes)["claims"])).alias("claims"), (blank("abstract") == "").alias("_bare"),
+    )
+    return exact_rank(rows, ["_bare", "id"], "place", 1).drop("_bare")
 
 
 def site_order(resources: DataFrame) -> DataFrame:
     """resources(id, abstract, ..) with `place`: those with an abstract first, then by id."""
-    from .review import global_rank
-
-    return global_rank(resources.withColumn("_bare", F.coalesce(F.col("abstract") == "", F.lit(True)).cast("int")), [F.asc("_bare"), F.asc("id")], "_bare", "place", down=False).drop("_bare")
+    bare = resources.withColumn("_bare", F.coalesce(F.col("abstract") == "", F.lit(True)))
+    return exact_rank(bare, ["_bare", "id"], "place", 1).drop("_bare")
 
 
 def page_stamp(content: Column) -> Column:

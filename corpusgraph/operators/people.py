@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -41,12 +41,26 @@ def _parts(names: DataFrame, suffix: str) -> DataFrame:
     return names.select(F.col("name").alias(f"name_{suffix}"), parts.alias(f"parts_{suffix}")).where(F.col(f"parts_{suffix}")[0] != "")
 
 
-def _same(a: str, b: str):
-    """Equal words in any order, or one last name and first names that are equal or an initial of each other."""
-    l, r = F.col(f"parts_{a}"), F.col(f"parts_{b}")
+def same_parts(l: Column, r: Column) -> Column:
+    """Equal words in any order, or one last name and first names that are equal or an initial of each other; of arrays of folded words."""
     first_l, first_r = l[0], r[0]
     initial = ((F.length(first_l) == 1) | (F.length(first_r) == 1)) & (F.substring(first_l, 1, 1) == F.substring(first_r, 1, 1))
-    return (F.array_sort(l) == F.array_sort(r)) | ((F.element_at(l, -1) == F.element_at(r, -1)) & ((first_l == first_r) | initial))
+    some = (F.coalesce(first_l, F.lit("")) != "") & (F.coalesce(first_r, F.lit("")) != "")
+    return some & ((F.array_sort(l) == F.array_sort(r)) | ((F.element_at(l, -1) == F.element_at(r, -1)) & ((first_l == first_r) | initial)))
+
+
+def _same(a: str, b: str) -> Column:
+    return same_parts(F.col(f"parts_{a}"), F.col(f"parts_{b}"))
+
+
+def name_parts(names: Column) -> Column:
+    """Of an array of names the pairs (name, its folded words)."""
+    return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), F.split(T.fold_name(n), " ").alias("parts")))
+
+
+def unmatched(ours: Column, theirs: Column) -> Column:
+    """Names of one array of `name_parts` that no name of the other may be the same person as."""
+    return F.transform(F.filter(ours, lambda a: ~F.exists(theirs, lambda b: same_parts(a["parts"], b["parts"]))), lambda a: a["name"])
 
 
 def same_person_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from .search import substring_matches
 
 
 class TopicIndex:
@@ -97,12 +98,39 @@ def search_records(records: DataFrame, term: str, limit: int | None = 10) -> Dat
     return found if limit is None else found.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def tools_for(index: TopicIndex, need: DataFrame, resources: DataFrame, limit: int = 8) -> DataFrame:
-    """(id, kind) of resources(id, resource_type, taxonomy_topics) filed under topics that fit need(id, text)."""
-    codes = index.classify(need, 4, 0.5).select(F.col("code").alias("topic")).distinct()
-    filed = resources.select("id", "resource_type", F.explode("taxonomy_topics").alias("topic")).join(codes, "topic", "left_semi").select("id", "resource_type").distinct()
-    kind = F.when(F.col("resource_type").isin(fixed.TOOL_TYPES), "tool").otherwise("paper")
-    return filed.select("id", kind.alias("kind")).withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).where(F.col("r") <= limit).drop("r")
+#: Words of a need that are this long are looked for in what the mirror says.
+MIRROR_WORD = 4
+
+
+def mirror_matches(need: DataFrame, mirror: DataFrame) -> DataFrame:
+    """(need, entry) of need(id, text) and mirror(entry, name, description): entries whose name or description contains a word of the need.
+
+    Words are what stands between white space, in lower case, of MIRROR_WORD signs or more; they are found inside other words too.
+    """
+    words = need.select("id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"))).alias("word")).where(F.length("word") >= MIRROR_WORD)
+    told = mirror.select(F.col("entry").alias("text_id"), F.lower(F.concat(F.coalesce("name", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit("")))).alias("text"))
+    found = substring_matches(words.select(F.col("word").alias("query_id"), "word").distinct(), told)
+    return words.join(found, F.col("word") == F.col("query_id")).select(F.col("id").alias("need"), F.col("text_id").alias("entry")).distinct()
+
+
+def tools_for(index: TopicIndex, need: DataFrame, resources: DataFrame, mirror: DataFrame | None = None, limit: int = 8) -> DataFrame:
+    """(need, kind, place, id) of need(id, text): what bears on each need, `limit` of a kind at most, in the order of the corpus.
+
+    kind `topic`: the branches that the words point at; `tool` and `paper`: resources(id, pos, resource_type, taxonomy_topics,
+    and has_tool if there is one) filed under these; `unassessed`: entries of mirror(entry, pos, name, description) that contain a word of
+    the need.  A need that no branch fits gets nothing.  ids are texts.
+    """
+    topics = index.classify(need, 4, 0.5).select(F.col("id").alias("need"), F.col("code").alias("topic"), "rank")
+    profiled = F.col("has_tool") if "has_tool" in resources.columns else F.lit(False)
+    kind = F.when(F.coalesce(profiled, F.lit(False)) | F.coalesce(F.col("resource_type").isin(fixed.TOOL_TYPES), F.lit(False)), "tool").otherwise("paper")
+    filed = resources.select(F.col("id").cast("string").alias("id"), "pos", kind.alias("kind"), F.explode("taxonomy_topics").alias("topic"))
+    found = filed.join(topics.select("need", "topic"), "topic").select("need", "kind", "pos", "id").distinct()
+    if mirror is not None:
+        told = mirror_matches(need, mirror).join(topics.select("need").distinct(), "need", "left_semi").join(mirror.select("entry", "pos"), "entry")
+        found = found.unionByName(told.select("need", F.lit("unassessed").alias("kind"), "pos", F.col("entry").cast("string").alias("id")))
+    place = F.row_number().over(Window.partitionBy("need", "kind").orderBy("pos", "id"))
+    first = found.withColumn("place", place).where(F.col("place") <= limit).select("need", "kind", "place", "id")
+    return topics.select("need", F.lit("topic").alias("kind"), F.col("rank").alias("place"), F.col("topic").alias("id")).unionByName(first)
 
 
 def resource_text(title: Column, description: Column, abstract: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from .ranks import exact_rank
 
 
 def stratified_sample(resources: DataFrame, reviewed: DataFrame, limit: int) -> DataFrame:
@@ -17,16 +18,17 @@ def stratified_sample(resources: DataFrame, reviewed: DataFrame, limit: int) ->
 
 
 def agreement(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One row of hierarchy-aware recall: gold(id, code), predicted(id, code); a tag counts if equal, above or below."""
-    tags = gold.where("code is not null").distinct()
-    up = lambda df, name: df.select("id", "code", F.explode(F.concat(F.array("code"), T.ancestors(F.col("code")))).alias("up")).select("id", F.col("code").alias(name), "up")
-    below = up(predicted.distinct(), "p").select("id", F.col("up").alias("code")).distinct().withColumn("hit", F.lit(1))
-    above = up(tags, "g").join(predicted.select("id", F.col("code").alias("up")).distinct(), ["id", "up"]).select("id", F.col("g").alias("code")).distinct().withColumn("hit2", F.lit(1))
-    exact = predicted.distinct().withColumn("exact", F.lit(1))
-    each = tags.join(below, ["id", "code"], "left").join(above, ["id", "code"], "left").join(exact, ["id", "code"], "left")
-    each = each.select("id", F.greatest(F.coalesce("hit", F.lit(0)), F.coalesce("hit2", F.lit(0))).alias("hit"), F.coalesce("exact", F.lit(0)).alias("exact"))
-    per = each.groupBy("id").agg(F.sum("hit").alias("hits"), F.sum("exact").alias("exact"), F.count(F.lit(1)).alias("tags"))
-    return per.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("tags"), F.lit(0)).alias("tags"), F.coalesce(F.sum("hits"), F.lit(0)).alias("recovered"), F.coalesce(F.sum("exact"), F.lit(0)).alias("exact"), F.coalesce(F.sum((F.col("hits") > 0).cast("long")), F.lit(0)).alias("records_hit"))
+    """One row of hierarchy-aware recall: gold(id, code), predicted(id, code); a tag counts if equal, above or below.
+
+    Predictions are folded once to their codes and all codes above them, an array an id, so they are worked out once.
+    """
+    tags = gold.where("code is not null").select("id", "code").distinct()
+    found = predicted.where("code is not null").groupBy("id").agg(F.collect_set("code").alias("codes"), F.array_distinct(F.flatten(F.collect_set(T.ancestors(F.col("code"))))).alias("up"))
+    each = tags.withColumn("own_up", T.ancestors(F.col("code"))).join(found, "id", "left")
+    exact = F.coalesce(F.array_contains("codes", F.col("code")), F.lit(False))
+    hit = exact | F.coalesce(F.array_contains("up", F.col("code")), F.lit(False)) | F.coalesce(F.arrays_overlap("codes", "own_up"), F.lit(False))
+    per = each.groupBy("id").agg(F.count_if(hit).alias("hits"), F.count_if(exact).alias("exact"), F.count(F.lit(1)).alias("tags"))
+    return per.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("tags"), F.lit(0)).alias("tags"), F.coalesce(F.sum("hits"), F.lit(0)).alias("recovered"), F.coalesce(F.sum("exact"), F.lit(0)).alias("exact"), F.count_if(F.col("hits") > 0).alias("records_hit"))
 
 
 def claim_coverage(claims: DataFrame) -> DataFrame:
@@ -113,27 +115,10 @@ def affinity(authored: DataFrame, endorsed: DataFrame, weight: float = 1.0) -> D
     return both.groupBy("id").agg((F.lit(weight) * F.sqrt(1.0 + F.sum("w"))).alias("affinity"))
 
 
-def global_rank(df: DataFrame, order: list[Column], leading: str, name: str = "rank", down: bool = True, parts: int = 200) -> DataFrame:
-    """df with its 1-based place in `order`, which begins with the numeric column `leading` (descending if `down`), in no single task.
-
-    Rows fall into ranges of `leading`; a row's place is its place in its range, after the counts of the ranges
-    before (at most `parts` numbers).  Rows that tie on `leading` share a range.
-    """
-    cuts = df.agg(F.percentile_approx(leading, [i / parts for i in range(1, parts)], 10_000).alias("q")).head()["q"] or []
-    cuts = sorted(set(cuts))
-    placed = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(leading))) if cuts else F.lit(0))
-    counts = {r["_range"]: r["n"] for r in placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `parts` rows
-    before, total = {}, 0
-    for k in sorted(counts, reverse=down):
-        before[k], total = total, total + counts[k]
-    offset = F.create_map(*[F.lit(x) for k, n in before.items() for x in (k, n)])[F.col("_range")] if before else F.lit(0)
-    return placed.withColumn(name, (F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + offset).cast("long")).drop("_range")
-
-
 def trust_rerank(ranked: DataFrame, trust: DataFrame) -> DataFrame:
     """(id, score, total, rank): score plus affinity, ties by the old order (score, id)."""
     out = ranked.join(trust, "id", "left").withColumn("total", F.col("score") + F.coalesce("affinity", F.lit(0.0)))
-    return global_rank(out, [F.desc("total"), F.desc("score"), F.asc("id")], "total").select("id", "score", "total", "rank")
+    return exact_rank(out, [F.desc("total"), F.desc("score"), F.asc("id")], "rank", 1).select("id", "score", "total", "rank")
 
 
 def violations(resources: DataFrame, claims: DataFrame, topics: DataFrame) -> DataFrame:

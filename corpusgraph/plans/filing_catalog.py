@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import citations, curation, filing, fulltext, graph, payloads, people, records, retrieval, review
+from ..operators import citations, curation, filing, fulltext, graph, payloads, people, records, retrieval, review, search
 from ..sources import readers, writers
 from .catalog import _BM25_SQL, _COUPLING, _TOPICS_SQL, _bench, _claims, _filed, _r6, _refs, _snapshots, _t, _texts, _topics, query
 
@@ -222,7 +222,7 @@ def thing_records(spark, d):
     return filing.thing_records(asked).select("pos", "id", "repository_url", "license", "open_source", "gaps", "problem", "source_provenance")
 
 
-@query(f"""WITH {_PAPERS}, m AS (SELECT pos, id, title, pos % 11 AS z FROM rec) SELECT pos, CASE WHEN z = 1 OR z = 2 OR z = 3 THEN 'refused' WHEN z = 4 THEN 'held' WHEN z = 5 THEN 'added' WHEN title IS NULL THEN 'refused' WHEN z = 6 THEN 'held' ELSE 'added' END AS outcome,
+@query(f"""WITH {_PAPERS}, m AS (SELECT pos, id, title, pos % 11 AS z FROM rec) SELECT pos, CASE WHEN z = 1 OR z = 2 OR z = 3 THEN 'refused' WHEN z = 4 THEN 'held' WHEN z = 5 THEN CASE WHEN pos = min(pos) FILTER (z = 5) OVER () THEN 'added' ELSE 'held' END WHEN title IS NULL THEN 'refused' WHEN z = 6 THEN 'held' ELSE 'added' END AS outcome,
 CASE WHEN z = 4 THEN 'resource:held' WHEN z IN (1, 2, 3) THEN NULL WHEN z = 5 THEN 'resource:tool:a-tool' WHEN title IS NOT NULL THEN id END AS id, CASE WHEN z = 1 THEN 'nothing to add' WHEN z = 2 THEN 'not an identifier' WHEN z = 3 THEN 'not taxonomy codes: 99' WHEN z NOT IN (4, 5) AND title IS NULL THEN 'no title' END AS detail FROM m""")
 def process_proposals(spark, d):
     k = F.col("p_partkey")
@@ -234,7 +234,7 @@ def process_proposals(spark, d):
     pad = lambda df: df.withColumn("ident", F.when(F.col("ident").startswith("2101."), _s("2101.", F.lpad(F.substring("ident", 6, 9), 5, "0"))).otherwise(F.col("ident")))
     there = _t(spark, d, "part").where("p_partkey % 11 = 6").select(F.when(k % 3 == 0, _s("resource:arxiv:2101.", F.lpad(k.cast("string"), 5, "0"))).otherwise(_s("resource:doi:10-5555-x", k)).alias("id"), k.alias("pos"), none.alias("doi"), none.alias("arxiv_id"), none.alias("url"), none.alias("repository_url"))
     held = spark.range(1).select(F.lit("resource:held").alias("id"), F.lit(-1).cast("long").alias("pos"), none.alias("doi"), none.alias("arxiv_id"), F.lit("https://HELD.org").alias("url"), none.alias("repository_url"))
-    out = filing.process(proposals, there.unionByName(held), _topics(spark, d), pad(works), pad(papers), pad(preprints))
+    out = filing.process(proposals, there.unionByName(held), _topics(spark, d), pad(works), pad(papers), pad(preprints)).drop("record")
     return out.withColumn("id", F.regexp_replace("id", r"2101\.0*(\d)", "2101.$1"))
 
 
@@ -247,10 +247,10 @@ def expand_seeds(spark, d):
     return filing.expand_seeds(papers, dois, platforms, _t(spark, d, "part").where("p_partkey % 10 = 0").select(_s("resource:arxiv:2101.", F.col("p_partkey")).alias("id")))
 
 
-@query(f"""WITH {_TOPICS_SQL} SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'not a record in this corpus' WHEN c_custkey % 3 = 0 THEN 'topic codes must be quoted: 11.1' ELSE 'not taxonomy codes: x, ' || c_custkey || '.9' END AS problem FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0 OR c_custkey % 4 = 1""")
+@query(f"""WITH {_TOPICS_SQL} SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'not a record in this corpus' WHEN c_custkey % 3 = 0 THEN 'topic codes must be quoted: 11.1' WHEN c_custkey % 4 = 1 THEN 'not taxonomy codes: x, ' || c_custkey || '.9' ELSE 'unknown verdict maybe' END AS problem FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0 OR c_custkey % 4 = 1 OR c_custkey % 7 = 2""")
 def filing_problems(spark, d):
     k = F.col("c_custkey")
-    filed = _t(spark, d, "customer").select(k.alias("id"), F.when(k % 4 == 1, F.array(F.lit("x"), F.lit("1"), _s(k, ".9"))).otherwise(F.array(F.lit("1"))).alias("topics"), F.when(k % 3 == 0, F.array(F.lit("11.1"))).alias("numbers"))
+    filed = _t(spark, d, "customer").select(k.alias("id"), F.when(k % 4 == 1, F.array(F.lit("x"), F.lit("1"), _s(k, ".9"))).otherwise(F.array(F.lit("1"))).alias("topics"), F.when(k % 3 == 0, F.array(F.lit("11.1"))).alias("numbers"), F.when(k % 7 == 2, "maybe").when(k % 7 == 3, "filed").when(k % 7 == 4, "out-of-scope").alias("verdict"))
     return filing.filing_problems(filed, _t(spark, d, "customer").where("c_custkey % 5 <> 0").select(k.alias("id")), _topics(spark, d))
 
 
@@ -267,16 +267,21 @@ def merge_verdicts(spark, d):
     return filing.merge_verdicts(lab.where("doc_id % 3 <> 1").select(k.alias("id"), F.lit("accurate").alias("verdict")), lab.where("doc_id % 3 <> 0").select(k.alias("id"), F.when(k % 2 == 0, "accurate").otherwise("overstated").alias("verdict")))
 
 
-@query("""WITH s AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CASE WHEN turn % 5 = 1 THEN 'quote too short' WHEN turn % 5 = 2 THEN 'unknown type' WHEN turn % 5 = 3 THEN 'quote is not in the paper' END AS problem FROM conversations)
-SELECT CASE WHEN problem IS NULL THEN 'claim:c' || conv_id || ':' || (2 + k) END AS id, 'resource:c' || conv_id AS resource_id, CASE WHEN turn % 5 IN (1, 3) THEN 'by hand' ELSE 'results' END AS read_from, problem FROM s""")
+@query("""WITH s AS (SELECT conv_id, turn, conv_id * 10 + turn % 3 AS issue, CASE WHEN conv_id % 9 = 8 THEN 'not a record in this corpus' WHEN turn % 6 = 1 THEN 'quote too short' WHEN turn % 12 = 2 THEN 'unknown type' WHEN turn % 12 = 4 THEN 'quote is not in the paper' END AS problem FROM conversations),
+v AS (SELECT *, count(problem) OVER (PARTITION BY issue) > 0 AS voided FROM s), k AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY issue, turn) AS k FROM v WHERE NOT voided)
+SELECT CASE WHEN k IS NOT NULL THEN 'claim:c' || conv_id || ':' || (2 + k) END AS id, issue, 'resource:c' || conv_id AS resource_id, CASE WHEN turn % 6 = 1 OR turn % 12 = 4 THEN 'by hand' ELSE 'results' END AS read_from, 'written by @me in issue #' || issue AS extraction_method, problem, voided FROM v LEFT JOIN k USING (conv_id, turn)
+WHERE issue > 0""")
 def new_statements(spark, d):
+    """An issue for each third of a conversation's turns; a problem voids all of its issue."""
     c = _t(spark, d, "conversations")
-    t, rid = F.col("turn") % 5, _s("resource:c", F.col("conv_id"))
-    quote = F.when(t == 1, "short").when(t == 3, "this is not in it at all").otherwise(_s("sentence number ", F.col("turn"), " of the paper"))
-    statements = c.select(rid.alias("resource_id"), F.col("turn").alias("pos"), F.lit("a text of some length").alias("text"), quote.alias("quote"), F.when(t == 2, "guess").otherwise("finding").alias("type"))
+    t, rid = F.col("turn"), _s("resource:c", F.col("conv_id"))
+    quote = F.when(t % 6 == 1, "short").when(t % 12 == 4, "this is not in it at all").otherwise(_s("sentence number ", t, " of the paper"))
+    issue = F.col("conv_id") * 10 + t % 3
+    statements = c.where(issue > 0).select(issue.alias("issue"), F.lit("me").alias("author"), rid.alias("resource_id"), t.alias("pos"), F.lit("a text of some length").alias("text"), quote.alias("quote"), F.when(t % 12 == 2, "guess").when(t % 2 == 0, "finding").alias("type"))
     claims = c.select(rid.alias("resource_id")).distinct().withColumn("x", F.explode(F.array(F.lit(1), F.lit(2))))
-    parts = c.select(rid.alias("id"), F.col("turn").alias("pos"), F.lit("results").alias("kind"), _s("So: sentence  number ", F.col("turn"), " of the paper.").alias("text"))
-    return filing.new_statements(statements, claims, parts).select("id", "resource_id", "read_from", "problem")
+    parts = c.select(rid.alias("id"), t.alias("pos"), F.lit("results").alias("kind"), _s("So: sentence  number ", t, " of the paper.").alias("text"))
+    held = c.where("conv_id % 9 <> 8").select(rid.alias("id")).distinct()
+    return filing.new_statements(statements, claims, parts, held).select("id", "issue", "resource_id", "read_from", "extraction_method", "problem", "voided")
 
 
 @query("""SELECT 'resource:' || s_suppkey AS id, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN ['Ann', 'Bob'] ELSE [] END AS authors, s_suppkey % 3 = 0 AS is_open_access, CASE WHEN s_suppkey % 4 = 0 THEN ['big'] END AS size_facet,
@@ -303,10 +308,27 @@ def push_plan(spark, d):
     return curation.push_plan(own, rows).select("id", "url")
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 8 = 3 THEN 'skip' ELSE 'upsert' END AS action FROM part WHERE p_partkey % 6 <> 0 UNION ALL SELECT p_partkey, 'delete' FROM part WHERE p_partkey % 6 = 0 AND p_partkey % 2 = 0""")
-def sync_plan(spark, d):
+_SYNC = """r AS (SELECT p_partkey AS id, p_partkey % 6 <> 0 AS published, CASE WHEN p_partkey % {broken} = 3 THEN 'no title' END AS problem FROM part),
+valid AS (SELECT id FROM r WHERE published AND problem IS NULL), managed AS (SELECT p_partkey AS id FROM part WHERE p_size <= 25),
+gone AS (SELECT id FROM managed WHERE id NOT IN (SELECT id FROM valid)), g AS (SELECT count(*) >= 5 AND (SELECT count(*) FROM gone) > 0.25 * count(*) AS refused FROM managed)
+SELECT id, 'upsert' AS action FROM valid, g WHERE NOT refused UNION ALL SELECT id, CASE WHEN refused THEN 'refuse' ELSE 'delete' END FROM gone, g UNION ALL SELECT id, 'skip' FROM r WHERE published AND problem IS NOT NULL"""
+
+
+def _sync(spark, d, broken: int):
     k, part = F.col("p_partkey"), _t(spark, d, "part")
-    return curation.sync_plan(part.select(k.alias("id"), (k % 6 != 0).alias("published")), part.select(k.alias("id")), part.where("p_partkey % 8 = 3").select(k.alias("id")))
+    rows = part.select(k.alias("id"), (k % 6 != 0).alias("published"), F.when(k % broken == 3, "no title").alias("problem"))
+    return curation.sync_plan(rows, part.where("p_size <= 25").select(k.alias("id")))
+
+
+@query("WITH " + _SYNC.format(broken=40))
+def sync_plan(spark, d):
+    return _sync(spark, d, 40)
+
+
+@query("WITH " + _SYNC.format(broken=4))
+def sync_plan_refused(spark, d):
+    """Too many records would go, so nothing is written."""
+    return _sync(spark, d, 4)
 
 
 @query("""SELECT 'f' || p_size AS field, unnest(CASE WHEN p_size % 5 = 0 THEN ['missing field'] WHEN p_size % 7 = 0 THEN ['extra field'] WHEN p_size % 3 = 0 THEN ['is text, not select', 'missing options: a', 'extra options: c'] ELSE ['missing options: a', 'extra options: c'] END) AS problem FROM (SELECT DISTINCT p_size FROM part)""")
@@ -424,14 +446,22 @@ def reconcile_bylines(spark, d):
     return people.reconcile(ours, theirs)[0]
 
 
-@query(f"""WITH {_BM25_SQL.replace("AS w FROM documents", "AS w FROM (SELECT 0 AS doc_id, text FROM benchmark WHERE item_id = 7)")}, t AS (SELECT code FROM rk WHERE rank <= 4),
-f AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'tool' ELSE 'paper' END AS kind FROM part WHERE (p_partkey % 4 + 1) || '.' || (p_partkey % 40 + 1) IN (SELECT code FROM t))
-SELECT id, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id) AS r FROM f) WHERE r <= 8""")
+_NEED = _BM25_SQL.replace("AS w FROM documents", "AS w FROM (SELECT item_id AS doc_id, text FROM benchmark)")
+
+
+@query(f"""WITH {_NEED}, t AS (SELECT id AS need, code, rank FROM rk WHERE rank <= 4 AND score >= 4.0), low AS (SELECT * FROM sc WHERE score >= 0.5),
+lp AS (SELECT * FROM low a WHERE NOT EXISTS (SELECT 1 FROM low b WHERE b.id = a.id AND b.code LIKE a.code || '.%')),
+lt AS (SELECT id AS need, code, row_number() OVER (PARTITION BY id ORDER BY score DESC, list_transform(string_split(code, '.'), lambda x: CAST(x AS INT))) AS rank FROM lp QUALIFY rank <= 4),
+w AS (SELECT DISTINCT item_id AS need, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM benchmark),
+f AS (SELECT DISTINCT need, CASE WHEN p_size % 2 = 0 OR p_size % 5 = 0 THEN 'tool' ELSE 'paper' END AS kind, 100000 - p_partkey AS pos, CAST(p_partkey AS VARCHAR) AS id FROM part JOIN lt ON code = (p_partkey % 4 + 1) || '.' || (p_partkey % 40 + 1)
+  UNION SELECT w.need, 'unassessed', doc_id, CAST(doc_id AS VARCHAR) FROM w JOIN documents ON len(word) > 3 AND (contains(lower(text), word) OR contains(lower(source), word)) WHERE need IN (SELECT need FROM lt))
+SELECT need, 'topic' AS kind, rank AS place, code AS id FROM lt UNION ALL SELECT * FROM (SELECT need, kind, row_number() OVER (PARTITION BY need, kind ORDER BY pos, id) AS place, id FROM f) WHERE place <= 8""")
 def tools_for(spark, d):
+    """Every benchmark item as a need; parts as records from the last to the first, documents as the mirrored list."""
     k = F.col("p_partkey")
-    part = _t(spark, d, "part").select(k.alias("id"), F.when(F.col("p_size") % 2 == 0, "framework").otherwise("preprint").alias("resource_type"), F.array(_s(k % 4 + 1, ".", k % 40 + 1)).alias("taxonomy_topics"))
-    need = _t(spark, d, "benchmark").where("item_id = 7").select(F.lit(0).alias("id"), "text")
-    return retrieval.tools_for(retrieval.TopicIndex(_bench(spark, d)), need, part)
+    part = _t(spark, d, "part").select(k.alias("id"), (100000 - k).alias("pos"), F.when(F.col("p_size") % 2 == 0, "framework").otherwise("preprint").alias("resource_type"), (F.col("p_size") % 5 == 0).alias("has_tool"), F.array(_s(k % 4 + 1, ".", k % 40 + 1)).alias("taxonomy_topics"))
+    mirror = _t(spark, d, "documents").select(F.col("doc_id").alias("entry"), F.col("doc_id").alias("pos"), F.col("source").alias("name"), F.col("text").alias("description"))
+    return retrieval.tools_for(retrieval.TopicIndex(_bench(spark, d)), _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), part, mirror)
 
 
 @query(f"WITH {_TOPICS_SQL} SELECT count(*) AS topics, CAST(2 * count(*) AS BIGINT) AS subpoints, 0::BIGINT AS coding_scheme FROM topics")
@@ -465,3 +495,63 @@ def taxonomy_lines(spark, d):
     rows = _t(spark, d, "documents").where("lang is not null").select(F.col("lang").alias("doc"), F.explode(F.array(F.struct((k * 4).alias("pos"), F.lit("```").alias("line")), F.struct((k * 4 + 1).alias("pos"), F.lit("99 not a topic").alias("line")), F.struct((k * 4 + 2).alias("pos"), F.lit("```").alias("line")), F.struct((k * 4 + 3).alias("pos"), _s("## **", k % 9 + 1, ".** Title ", k % 9 + 1, ":").alias("line")))).alias("x")).select("doc", "x.*")
     topics = readers.taxonomy_topics(rows)
     return topics.where(F.col("title") == _s("Title ", F.col("code"))).groupBy("doc").agg(F.array_sort(F.collect_list("code")).alias("codes"), F.count(F.lit(1)).alias("topics"))
+
+
+@query("""WITH q AS (SELECT DISTINCT text[1:instr(text || ' ', ' ') - 1] AS word FROM conversations UNION SELECT DISTINCT left(role, 2) FROM conversations)
+SELECT word AS query_id, doc_id AS text_id FROM q JOIN documents ON contains(text, word) WHERE word <> ''""")
+def substring_matches(spark, d):
+    """The first words of all turns, and two signs of each role, in all documents."""
+    c = _t(spark, d, "conversations")
+    words = c.select(F.substring_index("text", " ", 1).alias("word")).union(c.select(F.substring("role", 1, 2))).distinct()
+    return search.substring_matches(words.select(F.col("word").alias("query_id"), "word"), _t(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+
+
+@query("""WITH q AS (SELECT conv_id * 100 + turn AS quote_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[2:3], ' ') AS quote FROM conversations),
+s AS (SELECT doc_id AS source_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ') AS t FROM documents)
+SELECT quote_id, source_id FROM q JOIN s ON contains(t, quote) WHERE quote <> ''""")
+def short_quotes(spark, d):
+    """The second and third word of each turn, as a quote."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    quotes = _t(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("quote_id"), F.array_join(F.slice(words, 2, 2), " ").alias("text"))
+    return fulltext.verbatim(quotes, _t(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+
+
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, value) - 1 AS place, value FROM (SELECT *, '{"source_id":' || l_orderkey || ',"target_id":' || l_partkey || ',"line":' || l_linenumber || '}' AS value FROM lineitem))
+SELECT place // 1000 AS file, count(*) AS n, sha256(string_agg(value, chr(10) ORDER BY place) || chr(10)) AS sha256 FROM l GROUP BY 1""")
+def release_files(spark, d):
+    """What the files of a release are, byte by byte: lines in exact order, cut at each thousandth."""
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), F.col("l_linenumber").alias("line"))
+    return writers.file_digests(writers.cut_lines(rows, ["source_id", "line"], 1000))
+
+
+_CODED = """e AS (SELECT code, unnest(t) AS term, generate_subscripts(t, 1) AS p FROM td), f AS (SELECT term, min((list_transform(string_split(code, '.'), lambda x: CAST(x AS INT)), p)) AS place FROM e GROUP BY term),
+ids AS (SELECT f.term, row_number() OVER (ORDER BY place) - 1 AS term_id, df, round(ln(1 + (nt - df + 0.5) / (df + 0.5)), 3) AS idf FROM f JOIN df USING (term), st)"""
+
+
+@query(f"WITH {_BM25_SQL}, {_CODED} SELECT td.code, coalesce(list(term_id ORDER BY p) FILTER (term_id IS NOT NULL), []) AS ids, any_value(len(t)) AS length FROM td LEFT JOIN e ON e.code = td.code LEFT JOIN ids USING (term) GROUP BY td.code")
+def coded_topics(spark, d):
+    return payloads.CodedIndex(_bench(spark, d)).topics
+
+
+@query(f"""WITH {_BM25_SQL}, {_CODED} SELECT id, tf.code, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.4 + 0.6 * len(t) / round(ml, 2)))), 6) AS score
+FROM dq JOIN tf USING (term) JOIN td ON td.code = tf.code JOIN ids ON ids.term = tf.term, st GROUP BY ALL""")
+def coded_scores(spark, d):
+    """The scorer of the coded index on all documents; a test holds it against TopicIndex.score."""
+    return payloads.CodedIndex(_bench(spark, d)).score(_texts(spark, d))
+
+
+@query(f"""WITH {_BM25_SQL}, low AS (SELECT * FROM sc WHERE score >= 0.5), lp AS (SELECT * FROM low a WHERE NOT EXISTS (SELECT 1 FROM low b WHERE b.id = a.id AND b.code LIKE a.code || '.%')),
+r AS (SELECT id, code, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, list_transform(string_split(code, '.'), lambda x: CAST(x AS INT))) AS rank FROM lp),
+s AS (SELECT *, rank <= 2 OR rank <= 6 AND score >= 0.7 * max(score) OVER (PARTITION BY id) AS shown FROM r WHERE rank <= 14),
+g AS (SELECT id, list(code ORDER BY rank) FILTER (shown) AS a, list(code ORDER BY rank) FILTER (NOT shown) AS b FROM s GROUP BY id),
+c AS (SELECT conv_id, list(role || ':' || turn ORDER BY turn) AS said FROM conversations GROUP BY conv_id)
+SELECT row_number() OVER (ORDER BY doc_id % 4 = 0, doc_id) AS place, doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN length(text) > 1100 THEN CASE WHEN contains(left(text, 1100), ' ') THEN regexp_replace(left(text, 1100), ' [^ ]*$', '', 's') ELSE left(text, 1100) END || '…' ELSE text END AS abstract,
+  coalesce(a, []) AS suggested, coalesce(b, []) AS suggested_more, coalesce(said, []) AS claims FROM documents LEFT JOIN g ON g.id = doc_id LEFT JOIN c ON conv_id = doc_id""")
+def site_records(spark, d):
+    """Documents as records, each fourth without an abstract; turns of the conversation of their number as claims."""
+    k, none, some = F.col("doc_id"), F.lit(None).cast("string"), F.array().cast("array<string>")
+    docs = _t(spark, d, "documents").select(k.alias("id"), F.col("source").alias("title"), F.when(k % 4 != 0, F.col("text")).alias("abstract"), none.alias("description"), some.alias("authors"), none.alias("published_at"), none.alias("url"), F.lit("preprint").alias("resource_type"), none.alias("doi"), none.alias("arxiv_id"), none.alias("repository_url"), some.alias("taxonomy_topics"))
+    ranked = retrieval.TopicIndex(_bench(spark, d)).classify(_texts(spark, d), payloads.SUGGESTIONS, payloads.SUGGESTION_SCORE)
+    claims = _t(spark, d, "conversations").select(F.col("conv_id").alias("resource_id"), F.col("turn").alias("pos"), _s(F.col("role"), ":", F.col("turn")).alias("id"), "text", none.alias("standalone"), none.alias("quote"), none.alias("extracted_from"), none.alias("claim_type"), some.alias("topic_codes"), none.alias("verdict"), none.alias("reviewed_by"))
+    out = payloads.site_records(docs, ranked, claims)
+    return out.select("place", "id", "abstract", "suggested", "suggested_more", F.transform("claims", lambda c: c["id"]).alias("claims"))

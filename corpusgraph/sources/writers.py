@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILE_ROWS = 1_000_000
+from ..operators.ranks import exact_rank
+
+#: Lines of a release's file; a file is sorted, written and hashed by one task.
+FILE_ROWS = 100_000
 
 
 def json_rows(df: DataFrame, order: list[str]) -> DataFrame:
@@ -21,35 +24,63 @@ def json_rows(df: DataFrame, order: list[str]) -> DataFrame:
     return df.select(*[F.col(o) for o in order], F.to_json(F.struct(*kept)).alias("value"))
 
 
+def cut_lines(df: DataFrame, order: list[str], file_rows: int = FILE_ROWS) -> DataFrame:
+    """(file, place, value): JSON lines, each with its exact place in the whole (ties by their text) and the file it falls in.
+
+    Which lines share a file follows from the rows alone: not from partitions, samples or cluster size.
+    """
+    lines = exact_rank(json_rows(df, order), [*order, "value"], "place")
+    return lines.select(F.floor(F.col("place") / file_rows).alias("file"), "place", "value")
+
+
+def file_digests(lines: DataFrame) -> DataFrame:
+    """(file, n, sha256) of files as they are written of lines(file, place, value); a file's lines are in one row, FILE_ROWS at most."""
+    listed = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("place", "value"))).alias("x"))
+    return listed.select("file", "n", F.sha2(F.concat(F.array_join(F.transform("x", lambda x: x["value"]), "\n"), F.lit("\n")), 256).alias("sha256"))
+
+
+def write_lines(lines: DataFrame, folder: str) -> int:
+    """Writes each file of lines(file, place, value) into a folder `file=k` of its own, in order; returns how many files."""
+    files = (lines.agg(F.max("file")).head()[0] or 0) + 1
+    dealt = lines.repartition(files, "file").sortWithinPartitions("file", "place")
+    dealt.select("file", "value").write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("file").text(folder)
+    return files
+
+
 def file_checksums(spark: SparkSession, folder: str, part: str) -> DataFrame:
-    """(part, value, n): SHA-256 of each file of a written folder, by its place among them; each file is read where it is hashed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    place = F.regexp_extract("path", r"part-(\d+)", 1)
-    return files.select(F.lit(part).alias("part"), F.concat(F.lit("sha256 "), place).alias("value"), F.sha2("content", 256).alias("n"))
+    """(part, value, n): SHA-256 of each file of a written folder, by its number; each file is read where it is hashed."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder)
+    number = F.regexp_extract("path", r"file=(\d+)/", 1)
+    return files.select(F.lit(part).alias("part"), F.concat(F.lit("sha256 "), number).alias("value"), F.sha2("content", 256).alias("n"))
 
 
-def write_release(out_dir: str, nodes: DataFrame, edges: DataFrame, version: str, built_at: str, taxonomy_version: str = "v3") -> DataFrame:
+def write_release(out_dir: str, nodes: DataFrame, edges: DataFrame, version: str, built_at: str, taxonomy_version: str = "v3", file_rows: int = FILE_ROWS) -> DataFrame:
     """Writes nodes by (kind, id), edges by (relation, source, target) and topics by code; returns counts and checksums.
 
-    Files hold FILE_ROWS lines at most; those of one folder follow each other in name order.  Checksums come last, over all
-    that was written, so a release can be compared file by file; `checksum` is over the rows alone, however they were dealt.
+    File k of a part holds the lines from k * file_rows on, so the same rows give the same bytes on any cluster.  `checksums`,
+    a line `digest  part/file` for each file as `sha256sum` has it, comes last: a folder without it is no release.
+    `checksum` is over the rows alone, however they were dealt.
     """
     from ..functions.text import code_key
     from ..operators.graph import release_counts
 
     spark, parts = nodes.sparkSession, []
     topics = nodes.where("kind = 'topic'").withColumn("_k", code_key(F.col("id")))
+    sums = None
     for name, df, order in (("nodes", nodes, ["kind", "id"]), ("edges", edges, ["relation", "source_id", "target_id"]), ("taxonomy", topics, ["_k"])):
-        rows = json_rows(df, order)
         folder = f"{out_dir}/{version}/{name}"
-        rows.orderBy(*order, "value").select("value").write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).text(folder)
-        parts.append(rows.agg(F.lit(name).alias("part"), F.lit("checksum").alias("value"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).cast("string").alias("n")))
-        parts.append(file_checksums(spark, folder, name))
+        write_lines(cut_lines(df, order, file_rows), folder)
+        parts.append(json_rows(df, order).agg(F.lit(name).alias("part"), F.lit("checksum").alias("value"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).cast("string").alias("n")))
+        written = file_checksums(spark, folder, name)
+        sums = written if sums is None else sums.unionByName(written)
     meta = release_counts(nodes, edges).select("part", "value", F.col("n").cast("string").alias("n"))
-    for p in parts:
+    for p in [*parts, sums]:
         meta = meta.unionByName(p)
     meta = meta.withColumns({"version": F.lit(version), "taxonomy_version": F.lit(taxonomy_version), "built_at": F.lit(built_at)})
     meta.orderBy("part", "value").write.mode("overwrite").json(f"{out_dir}/{version}/metadata")
+    line = F.concat("n", F.lit("  "), "part", F.lit("/file="), F.regexp_extract("value", r"(\d+)$", 1))
+    # a line a file; these few are one file, in order
+    sums.select("part", F.regexp_extract("value", r"(\d+)$", 1).cast("long").alias("k"), line.alias("value")).repartition(1).sortWithinPartitions("part", "k").select("value").write.mode("overwrite").text(f"{out_dir}/{version}/checksums")
     return meta
 
 

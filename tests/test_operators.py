@@ -1,14 +1,11 @@
 """Operators on small literals."""
 
-import hashlib
-import pathlib
-
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
-from corpusgraph.operators import citations, curation, fulltext, graph, payloads, people, retrieval, review
+from corpusgraph.operators import citations, curation, fulltext, graph, payloads, people, ranks, retrieval, review
 from corpusgraph.sources import readers, writers
 
 
@@ -125,7 +122,7 @@ def test_short_quotes(spark):
 
 def test_global_rank(spark):
     df = spark.range(3000).select(F.col("id"), ((F.col("id") * 7919) % 101).cast("double").alias("v"))
-    got = review.global_rank(df, [F.desc("v"), F.asc("id")], "v").orderBy("rank").collect()
+    got = ranks.exact_rank(df, [F.desc("v"), F.asc("id")], "rank", 1).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, 3001)) and [(r.v, r.id) for r in got] == sorted(((r.v, r.id) for r in got), key=lambda x: (-x[0], x[1]))
 
 
@@ -173,18 +170,6 @@ def test_works_and_atom(spark):
     assert (r.arxiv_id, r.title, r.authors, r.published) == ("2101.1", "A b", ["X & Y"], "2021-01-02")
 
 
-def test_release_is_deterministic(spark, tmp_path):
-    nodes = spark.createDataFrame([("topic", "b", ""), ("resource", "a", "x")], "kind string, id string, title string")
-    edges = spark.createDataFrame([("a", "b", "TAGGED_WITH", "EXTRACTED")], "source_id string, target_id string, relation string, confidence_class string")
-    first = sorted(map(tuple, writers.write_release(str(tmp_path / "1"), nodes, edges, "v1", "now").collect()))
-    again = sorted(map(tuple, writers.write_release(str(tmp_path / "2"), nodes.repartition(3), edges, "v1", "now").collect()))
-    rows_only = lambda rs: [r for r in rs if not r[1].startswith("sha256")]  # noqa: E731  files may be dealt otherwise
-    assert rows_only(first) == rows_only(again) and '{"kind":"topic","id":"b"}' in [r.value for r in spark.read.text(str(tmp_path / "1/v1/nodes")).collect()]
-    files = sorted((tmp_path / "1" / "v1" / "nodes").glob("part-*"))
-    told = [r[2] for r in first if r[0] == "nodes" and r[1].startswith("sha256")]
-    assert sorted(told) == sorted(hashlib.sha256(pathlib.Path(f).read_bytes()).hexdigest() for f in files)
-
-
 def test_filings(spark):
     fenced = """Thanks.
 ```
