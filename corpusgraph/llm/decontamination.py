@@ -10,8 +10,10 @@
    SimHash: each shingle adds its weight to 64 running sums where it enters and takes it back where it leaves.
 4. Fingerprints are cut in BLOCKS blocks; of two within RADIUS bits some block differs in at
    most one bit (RADIUS < 2 * BLOCKS), so an index of the items' blocks and their one-bit
-   neighbours, by size, finds every such pair.  Fingerprints of sets that are 0.8 alike differ in about 10 bits
-   (standard deviation 3), so one in some ten thousand lies beyond the radius; windows beside it then count.
+   neighbours finds every such pair.  The index has for each document the items that step 2 left it, by size, and
+   windows are looked up that have 0.8 of their weight in shingles of items, without loss: blocks of six bits
+   select little, so what meets in them must be few before.  Fingerprints of sets that are 0.8 alike differ in about 10 bits
+   (standard deviation 3), so one in some ten thousand lies beyond the radius, and then only windows beside it can match.
 5. Pairs within the radius are verified: sum of minima over sum of maxima of the weights.
 
 The items' tables are broadcast only if their counted rows are under BROADCAST_ROWS.
@@ -89,8 +91,8 @@ def _part(fp: Column, at: int, n: int) -> Column:
     return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS, small=lambda df: df) -> DataFrame:
-    """Rows of left(fp, size, ...) and right(item_fp, size, ...) of one size within `radius` bits, each pair once; radius < 2 * BLOCKS."""
+def near_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS, small=lambda df: df, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of left(fp, size, ...) and right(item_fp, size, ...) of one size, and equal in the columns `also`, within `radius` bits, each pair once; radius < 2 * BLOCKS."""
     if radius >= 2 * BLOCKS:
         raise ValueError("blocks don't guarantee this radius")
     probes, keys = [], []
@@ -100,7 +102,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS, small=la
         probes.append(F.struct(F.lit(k).alias("k"), asked.alias("v")))
     asked = left.withColumn("p", F.explode(F.array(*probes))).select("*", "p.k", "p.v").drop("p")
     index = right.withColumn("p", F.explode(F.array(*keys))).select("*", "p.k", "p.v").drop("p")
-    near = asked.join(small(index), ["size", "k", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = asked.join(small(index), [*also, "size", "k", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     return near.drop("k", "v").distinct()
 
 
@@ -130,16 +132,19 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     in_doc = held.select("doc", F.explode("hs").alias("h")).groupBy("doc", "h").agg(F.count(F.lit(1)).alias("n"))
     common = in_doc.join(hits, "doc").join(small(tf.select("item", "h", "item_n", "weight", "item_total")), ["item", "h"])
     live = common.groupBy("doc", "item").agg(F.sum(F.least("n", "item_n") * F.col("weight")).alias("most"), F.max("item_total").alias("item_total"))
-    live = B.saved(live.where(F.col("most") >= (threshold - SLACK) * F.col("item_total")).select("doc", "item"))
-    sizes = live.join(small(per_item.select("item", "size")), "item").select("doc", "size").distinct()
+    live = live.where(F.col("most") >= (threshold - SLACK) * F.col("item_total")).select("doc", "item")
+    live = B.saved(live.join(small(per_item.select("item", "size", "item_fp", "item_total")), "item"))
+    sizes = live.select("doc", "size").distinct()
     # all windows of these sizes
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few bytes in make much work
     shingled = held.select("doc", "hs").join(sizes, "doc").repartition(tasks, "doc", "size").select("doc", "size", F.size("hs").alias("n"), F.posexplode("hs").alias("at", "h")).join(small(weight), "h", "left")
     whole = F.round(F.coalesce("weight", F.lit(rare)) * SCALE).cast("long")
     shingled = shingled.select("doc", "size", "n", "at", "h", whole.alias("weight"), F.when(F.col("weight").isNull(), F.lit(0).cast("long")).otherwise(whole).alias("shared"))
-    pairs = near_pairs(window_fingerprints(shingled), per_item.select("item", "size", "item_fp", "item_total"), RADIUS, small)
     # what a window shares with all items bounds what it shares with one
-    pairs = pairs.where(F.col("shared") >= (threshold - SLACK) * F.greatest(F.col("total"), F.col("item_total") * SCALE)).select("doc", "item", "size", "start", "item_total").join(live, ["doc", "item"])
+    windows = window_fingerprints(shingled).where(F.col("shared") >= (threshold - SLACK) * F.col("total"))
+    few = (lambda df: F.broadcast(df)) if live.count() * (BITS + BLOCKS) <= BROADCAST_ROWS else (lambda df: df)
+    pairs = near_pairs(windows, live, RADIUS, few, ("doc",))
+    pairs = pairs.where(F.col("shared") >= (threshold - SLACK) * F.col("item_total") * SCALE).select("doc", "item", "size", "start", "item_total")
     pairs = B.saved(pairs)
     per_doc = pairs.groupBy("doc").agg(F.collect_set(F.struct("start", "size")).alias("windows"))
     first = F.greatest(F.col("w.start"), F.lit(0)).cast("int")
