@@ -12,7 +12,7 @@ are shuffled once, to blocks in doc_id order; terms, samples and neighbours need
 
 Defined cases: null is the empty text; a text with no word has the fingerprint "" and is
 like another such text (1.0) and unlike all others (0.0); null doc_ids come last in
-descending order; equal doc_ids are ordered by text, and each row is a document; a single
+descending order, in blocks by a hash of their text and there by text; equal doc_ids are ordered by text, and each row is a document; a single
 document is its own next one; an empty table gives an empty table; other columns aren't read.
 """
 
@@ -32,16 +32,15 @@ def with_next(docs: DataFrame, blocks: int) -> DataFrame:
 
     After each block's rows comes one row (`extra`) that holds the first text of the next block.
     """
-    docs = B.range_block(docs, blocks).withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("block")))
-    tops = docs.groupBy("block").agg(F.max("doc_id").alias("top"))
-    present = sorted((r["block"] for r in tops.select("block").collect()), reverse=True)  # one number a block
-    if not present:
-        return docs.select("block", "doc_id", "text", F.lit(0).alias("place"), F.lit(False).alias("extra"), F.col("text").alias("next_text"))
-    before = dict(zip(present, present[-1:] + present[:-1], strict=True))
-    # one row a block, so small; the row of the greatest doc_id (and text) opens its block
-    first = docs.alias("d").join(F.broadcast(tops.toDF("b", "top")), (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("block").agg(F.max("text").alias("text"))
-    owner = F.get(F.array(*[F.lit(before.get(i - 1, -2)) for i in range(max(present) + 2)]), F.col("block") + 1)
-    extra = first.select(F.coalesce(owner.cast("int"), F.lit(-2)).alias("block"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("extra"))
+    docs = B.range_block(docs, blocks).withColumn("block", F.when(F.col("doc_id").isNull(), -1 - F.col("block")).otherwise(F.col("block")))
+    # a row a block: its greatest doc_id, and the block that comes before it; the first one's is the last
+    tops = B.saved(docs.groupBy("block").agg(F.max("doc_id").alias("top")))
+    whole = Window.orderBy("block")
+    owners = B.saved(tops.select(F.col("block").alias("b"), "top", F.coalesce(F.lead("block").over(whole), F.min("block").over(whole)).alias("owner")))
+    small = F.broadcast(owners) if blocks <= B.BROADCAST_IDS else owners
+    # the row of the greatest doc_id (and text) opens its block
+    first = docs.join(small, (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("block", "owner").agg(F.max("text").alias("text"))
+    extra = first.select(F.coalesce(F.col("owner").cast("int"), F.lit(-1)).alias("block"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("extra"))
     # blocks that can't be null get no null filter from the join, so both readers of the rows share one exchange
     rows = docs.select(F.coalesce(F.col("block").cast("int"), F.lit(-1)).alias("block"), "doc_id", "text", F.lit(False).alias("extra")).unionByName(extra)
     order = Window.partitionBy("block").orderBy("extra", F.desc("doc_id"), F.desc("text"))
