@@ -12,29 +12,33 @@ from .review import deletion_guard
 
 
 def _listed(c: Column) -> Column:
-    """Parts between commas, without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    """Parts between commas, without blanks; null where there is nothing to split."""
+    return F.when(F.coalesce(c, F.lit("")) != "", F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
-def records_from_rows(rows: DataFrame, sources: DataFrame | None = None, facets: dict[str, str] | None = None, tools: dict[str, str] | None = None) -> DataFrame:
-    """Nested records of flat rows, whose columns have the service's names; columns that are not there give nulls.
+def records_from_rows(rows: DataFrame, sources: DataFrame | None = None, facets: dict[str, str] | None = None) -> DataFrame:
+    """Nested records of flat rows, whose columns have the service's names; what a row doesn't give, or its column isn't there, is null.
 
-    `facets` and `tools` map column names to the keys inside a record.  rows may have `Sources`, a list of ids of sources(id,
-    url, accessed, title, supports); linked sources without an address are dropped, the others stand in the order of their addresses.
+    `facets` maps column names to facets (all of them if None).  `tool` is a struct of the profile's fields, null if all are.  rows may have
+    `Sources`, a list of ids of sources(id, url, accessed, title, supports); linked sources without an address
+    are dropped, the others stand in the order of their addresses.
     """
     have = set(rows.columns)
+    kinds = dict(rows.dtypes)
     get = lambda name: F.col(f"`{name}`") if name in have else F.lit(None)
-    text = {key: F.nullif(get(name).cast("string"), F.lit("")) for name, key in fixed.ROW_FIELDS.items()}
-    text["id"] = F.when(text["id"].startswith("resource:"), text["id"]).otherwise(F.concat(F.lit("resource:"), text["id"]))
-    lists = {key: _listed(get(name).cast("string")) for name, key in fixed.ROW_LISTS.items()}
-    boxes = {key: get(name).cast("boolean") for name, key in fixed.ROW_CHECKBOXES.items()}
-    as_map = lambda names, value: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), value(n).alias("value")) for n, k in names.items()]), lambda e: e["value"].isNotNull()))
-    out = {**text, **lists, **boxes}
-    if facets:
-        out["facets"] = as_map(facets, lambda n: F.when(F.nullif(get(n).cast("string"), F.lit("")).isNotNull(), F.array(get(n).cast("string"))) if dict(rows.dtypes).get(n, "string") == "string" else F.when(F.size(get(n)) > 0, get(n)))
-    if tools:
-        out["tool"] = as_map(tools, lambda n: F.nullif(get(n).cast("string"), F.lit("")))
-    picked = rows.select(*[c.alias(k) for k, c in out.items()], *([F.col("Sources").alias("_sources")] if "Sources" in have and sources is not None else []))
+    some = lambda name: F.nullif(get(name).cast("string"), F.lit(""))
+    out = {key: some(name) for name, key in fixed.ROW_FIELDS.items()}
+    out["id"] = F.when(out["id"].startswith("resource:"), out["id"]).otherwise(F.concat(F.lit("resource:"), out["id"]))
+    out |= {key: _listed(get(name).cast("string")) for name, key in fixed.ROW_LISTS.items()}
+    out |= {key: get(name).cast("boolean") for name, key in fixed.ROW_CHECKBOXES.items()}
+    value = lambda n: F.when(F.size(get(n)) > 0, get(n)) if kinds.get(n, "").startswith("array") else F.when(some(n).isNotNull(), F.array(some(n)))
+    named = [F.struct(F.lit(k).alias("key"), value(n).alias("value")) for n, k in (fixed.FACET_COLUMNS if facets is None else facets).items() if n in have]
+    found = F.filter(F.array(*named), lambda e: e["value"].isNotNull()) if named else None
+    out["facets"] = F.when(F.size(found) > 0, F.map_from_entries(found)) if named else F.lit(None).cast("map<string,array<string>>")
+    profile = {key: some(name) for name, key in fixed.ROW_TOOLS.items()} | {key: _listed(get(name).cast("string")) for name, key in fixed.ROW_TOOL_LISTS.items()}
+    out["tool"] = F.when(F.coalesce(*[c.cast("string") for c in profile.values()]).isNotNull(), F.struct(*[c.alias(k) for k, c in profile.items()]))
+    linked_by = fixed.ROW_SOURCES
+    picked = rows.select(*[c.alias(k) for k, c in out.items()], *([F.col(linked_by).alias("_sources")] if linked_by in have and sources is not None else []))
     if "_sources" not in picked.columns:
         return picked
     linked = sources.where(F.coalesce("url", F.lit("")) != "").select(F.col("id").alias("_s"), F.struct("url", F.nullif("accessed", F.lit("")).alias("accessed"), F.nullif("title", F.lit("")).alias("title"), _listed(F.col("supports")).alias("supports")).alias("source"))
@@ -42,14 +46,34 @@ def records_from_rows(rows: DataFrame, sources: DataFrame | None = None, facets:
     return picked.drop("_sources").join(per, "id", "left")
 
 
-def rows_from_records(records: DataFrame, facets: dict[str, str] | None = None, many: tuple[str, ...] = ()) -> DataFrame:
-    """The flat rows of records: bare ids, lists joined by commas, facets of one value unwrapped (those in `many` stay lists); published."""
+def rows_from_records(records: DataFrame, source_ids: DataFrame | None = None, facets: dict[str, str] | None = None) -> DataFrame:
+    """The flat rows of records: bare ids, lists joined by commas, facets of one value unwrapped, tools' fields, links to sources; published.
+
+    source_ids(url, id) says which row a source has; a record's sources without one are left out, the others keep their order.
+    """
     have = set(records.columns)
     cols = [F.nullif(F.regexp_replace(key, "^resource:", "") if key == "id" else F.col(key).cast("string"), F.lit("")).alias(name) for name, key in fixed.ROW_FIELDS.items() if key in have]
     cols += [F.nullif(F.array_join(key, ", "), F.lit("")).alias(name) for name, key in fixed.ROW_LISTS.items() if key in have]
     cols += [F.col(key).alias(name) for name, key in fixed.ROW_CHECKBOXES.items() if key in have]
-    cols += [(F.col("facets")[key] if key in many else F.get(F.col("facets")[key], F.lit(0))).alias(name) for name, key in (facets or {}).items()]
-    return records.select(*cols, F.lit(True).alias("Published"))
+    if "facets" in have:
+        cols += [(F.get(F.col("facets")[key], F.lit(0)) if key in fixed.SINGLE_VALUED_FACETS else F.col("facets")[key]).alias(name) for name, key in (fixed.FACET_COLUMNS if facets is None else facets).items()]
+    if "tool" in have:
+        inside = {f.name for f in records.schema["tool"].dataType.fields}
+        cols += [F.nullif(F.col("tool")[key], F.lit("")).alias(name) for name, key in fixed.ROW_TOOLS.items() if key in inside]
+        cols += [F.nullif(F.array_join(F.col("tool")[key], ", "), F.lit("")).alias(name) for name, key in fixed.ROW_TOOL_LISTS.items() if key in inside]
+    if source_ids is not None and "sources" in have:
+        known = source_ids.select(F.col("url").alias("_url"), F.col("id").alias("_row"))
+        links = records.select("id", F.posexplode("sources").alias("_p", "_source")).join(known, F.col("_source.url") == F.col("_url")).groupBy(F.col("id").alias("_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_row"))), lambda x: x["_row"]).alias("_links"))
+        records = records.join(links, F.col("id") == F.col("_id"), "left")
+        cols.append(F.col("_links").alias(fixed.ROW_SOURCES))
+    return records.select(*cols, F.lit(True).alias(fixed.ROW_PUBLISHED))
+
+
+def fresh_sources(records: DataFrame, source_ids: DataFrame) -> DataFrame:
+    """(url, accessed, title, supports) of sources in records(id, sources) that no row of source_ids(url, id) has: a row for each address, as the first record has it."""
+    each = records.select("id", F.posexplode("sources").alias("p", "s")).where(F.coalesce("s.url", F.lit("")) != "")
+    first = each.groupBy(F.col("s.url").alias("url")).agg(F.min_by("s", F.struct("id", "p")).alias("s"))
+    return first.join(source_ids.select("url"), "url", "left_anti").select("url", "s.accessed", "s.title", F.nullif(F.array_join("s.supports", ", "), F.lit("")).alias("supports"))
 
 
 def push_plan(records: DataFrame, rows: DataFrame) -> DataFrame:
@@ -120,7 +144,14 @@ def schema_problems(wanted: DataFrame, there: DataFrame) -> DataFrame:
     return w.join(t, "field", "full_outer").select("field", F.explode(what).alias("problem"))
 
 
-def definition_problems(model: set[str]) -> list[str]:
-    """Attributes that the mapping names and the model lacks, or that it maps twice."""
-    keys = [*fixed.ROW_FIELDS.values(), *fixed.ROW_LISTS.values(), *fixed.ROW_CHECKBOXES.values()]
-    return sorted({f"unknown attribute {k}" for k in keys if k not in model} | {f"mapped twice: {k}" for k in keys if keys.count(k) > 1})
+def definition_problems(model: set[str], table: list[str], checked: list[str] | None = None) -> list[str]:
+    """What is wrong with a table's definition: attributes that the model lacks or that are mapped twice, fields that are mapped but
+    not defined, named twice, or starred but not checked before publishing (or checked but not starred)."""
+    mapped = {**fixed.ROW_FIELDS, **fixed.ROW_LISTS, **fixed.ROW_CHECKBOXES}
+    keys, checked = list(mapped.values()), fixed.ROW_REQUIRED if checked is None else checked
+    starred = {n for n in table if n.endswith(" *")}
+    found = {f"unknown attribute {k}" for k in keys if k not in model} | {f"mapped twice: {k}" for k in keys if keys.count(k) > 1}
+    found |= {f"defined twice: {n}" for n in table if table.count(n) > 1}
+    found |= {f"mapped but not defined: {n}" for n in [*mapped, *fixed.FACET_COLUMNS, *fixed.ROW_TOOLS, *fixed.ROW_TOOL_LISTS] if n not in table}
+    found |= {f"starred but not checked: {n}" for n in starred - set(checked)} | {f"checked but not starred: {n}" for n in set(checked) - starred}
+    return sorted(found)

@@ -70,12 +70,17 @@ def rollup(filed: DataFrame) -> DataFrame:
     return here.join(up, "code", "full_outer").select("code", F.coalesce("here", F.lit(0)).alias("here"), F.coalesce("under", F.lit(0)).alias("under"))
 
 
-def topic_brief(topics: DataFrame, filed: DataFrame) -> DataFrame:
-    """(code, title, records, children, under) of every topic(code, title)."""
+def topic_brief(topics: DataFrame, filed: DataFrame, aliases: DataFrame | None = None, notes: int = 4) -> DataFrame:
+    """Of every topic(code, title, subpoints) its place in the tree, other names of aliases(code, names), the first notes, and how much is filed there and below."""
+    none = F.array().cast("array<string>")
     counts = rollup(filed)
     kids = topics.select(T.parent_code(F.col("code")).alias("code")).where("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("children"))
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return topics.select("code", "title").join(counts, "code", "left").join(kids, "code", "left").select("code", "title", z("here").alias("records"), z("children"), z("under"))
+    points = F.coalesce("subpoints", none) if "subpoints" in topics.columns else none
+    own = topics.select("code", "title", T.section(F.col("code")).alias("section"), T.parent_code(F.col("code")).alias("parent"), T.depth(F.col("code")).alias("depth"), F.slice(points, 1, notes).alias("notes"))
+    known = own.join(aliases.select("code", F.col("names").alias("_names")), "code", "left") if aliases is not None else own.withColumn("_names", none)
+    out = known.join(counts, "code", "left").join(kids, "code", "left")
+    return out.select("code", "title", "section", "parent", "depth", F.coalesce("_names", none).alias("also_known_as"), "notes", z("here").alias("records"), z("children"), z("under"))
 
 
 def get_topic(topics: DataFrame, filed: DataFrame, code: str) -> DataFrame:

@@ -121,6 +121,23 @@ def trust_rerank(ranked: DataFrame, trust: DataFrame) -> DataFrame:
     return exact_rank(out, [F.desc("total"), F.desc("score"), F.asc("id")], "rank", 1).select("id", "score", "total", "rank")
 
 
+def facet_problems(resources: DataFrame) -> DataFrame:
+    """(id, facet, problem) of resources(id, facets): unknown facets, several values where one is meant, values out of the vocabulary; the first of each facet."""
+    table = F.create_map(*[x for _, name, _, values in fixed.FACETS for x in (F.lit(name), F.array(*map(F.lit, values)))])
+    each = resources.select("id", F.explode("facets").alias("facet", "values"))
+    strange = F.filter("values", lambda v: ~F.array_contains(table[F.col("facet")], v))
+    what = (
+        F.when(~F.col("facet").isin([name for _, name, _, _ in fixed.FACETS]), "unknown facet").when(F.col("facet").isin(fixed.SINGLE_VALUED_FACETS) & (F.size("values") > 1), "takes a single value")
+        .when(F.size(strange) > 0, F.concat(F.lit("no value "), F.array_join(strange, ", ")))
+    )
+    return each.select("id", "facet", what.alias("problem")).where("problem is not null")
+
+
+def promoted(index: DataFrame) -> DataFrame:
+    """Entries of index(.., promoted_to) that a record of the corpus has taken up."""
+    return index.where(F.coalesce("promoted_to", F.lit("")) != "")
+
+
 def violations(resources: DataFrame, claims: DataFrame, topics: DataFrame) -> DataFrame:
     """(rule, id, detail): all broken rules at once.
 

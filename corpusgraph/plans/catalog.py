@@ -259,9 +259,12 @@ def topic_rollup(spark, d):
     return graph.rollup(_filed(spark, d))
 
 
-@query(f"""WITH {_TOPICS_SQL} SELECT code, title, (SELECT count(*) FROM filed f WHERE f.code = t.code) AS records, (SELECT count(*) FROM topics c WHERE c.code LIKE t.code || '.%') AS children, (SELECT count(*) FROM filed f WHERE f.code LIKE t.code || '.%') AS under FROM topics t""")
+@query(f"""WITH {_TOPICS_SQL} SELECT code, title, split_part(code, '.', 1) AS section, CASE WHEN contains(code, '.') THEN split_part(code, '.', 1) END AS parent, CASE WHEN contains(code, '.') THEN 1 ELSE 0 END AS depth, CASE WHEN contains(code, '.') THEN [lower(title)] ELSE [] END AS also_known_as,
+['a', 'b', 'c', 'd'][1:CAST(split_part(code, '.', 1) AS INT)] AS notes, (SELECT count(*) FROM filed f WHERE f.code = t.code) AS records, (SELECT count(*) FROM topics c WHERE c.code LIKE t.code || '.%') AS children, (SELECT count(*) FROM filed f WHERE f.code LIKE t.code || '.%') AS under FROM topics t""")
 def topic_brief(spark, d):
-    return graph.topic_brief(_topics(spark, d), _filed(spark, d))
+    topics = _topics(spark, d)
+    points = topics.withColumn("subpoints", F.slice(F.array(*map(F.lit, "abcdefg")), 1, T.section(F.col("code")).cast("int")))
+    return graph.topic_brief(points, _filed(spark, d), topics.where("code like '%.%'").select("code", F.array(F.lower("title")).alias("names")))
 
 
 @query(f"""WITH {_TOPICS_SQL} SELECT 'child' AS part, code AS id FROM topics WHERE code LIKE '2.%' UNION ALL SELECT 'record', CAST(id AS VARCHAR) FROM filed WHERE code = '2' UNION ALL SELECT 'below', CAST(id AS VARCHAR) FROM filed WHERE code LIKE '2.%'""")
@@ -477,12 +480,12 @@ def inverted_abstract(spark, d):
 @query("""SELECT 'C7 quote' AS rule, conv_id || ':' || turn AS id, 'blank' AS detail FROM conversations WHERE turn % 4 = 1
 UNION ALL SELECT 'C5 reviewer without review', conv_id || ':' || turn, role FROM conversations WHERE turn % 3 <> 0
 UNION ALL SELECT 'C4 topic syntax', CAST(s_suppkey AS VARCHAR), 'x' FROM supplier WHERE s_suppkey % 8 = 0
-UNION ALL SELECT 'C3 single-valued facet', CAST(s_suppkey AS VARCHAR), 'F1' FROM supplier WHERE s_suppkey % 9 = 0
+UNION ALL SELECT 'C3 single-valued facet', CAST(s_suppkey AS VARCHAR), 'artifact_type' FROM supplier WHERE s_suppkey % 9 = 0
 UNION ALL SELECT 'C6 tool profile', CAST(s_suppkey AS VARCHAR), 'paper' FROM supplier WHERE s_suppkey % 2 = 0""")
 def violations(spark, d):
     claims = _claims(spark, d).select("id", F.when(F.split("id", ":")[1].cast("int") % 4 == 1, "  ").otherwise("q").alias("quote"), F.lit("accurate").alias("verdict"), F.col("role").alias("reviewed_by"), "review_status")
     s = F.col("s_suppkey")
-    res = _t(spark, d, "supplier").select(s.alias("id"), F.array(F.when(s % 8 == 0, "x").otherwise("1.2")).alias("taxonomy_topics"), F.lit(None).cast("string").alias("reviewed_by"), F.lit("unreviewed").alias("review_status"), F.lit("paper").alias("resource_type"), (s % 2 == 0).alias("has_tool"), F.create_map(F.lit("F1"), F.when(s % 9 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))), F.lit("F3"), F.array(F.lit("a"), F.lit("b"))).alias("facets"))
+    res = _t(spark, d, "supplier").select(s.alias("id"), F.array(F.when(s % 8 == 0, "x").otherwise("1.2")).alias("taxonomy_topics"), F.lit(None).cast("string").alias("reviewed_by"), F.lit("unreviewed").alias("review_status"), F.lit("paper").alias("resource_type"), (s % 2 == 0).alias("has_tool"), F.create_map(F.lit("artifact_type"), F.when(s % 9 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))), F.lit("F3"), F.array(F.lit("a"), F.lit("b"))).alias("facets"))
     topics = _topics(spark, d).select("code", T.parent_code(F.col("code")).alias("parent_code"))
     return review.violations(res, claims, topics)
 

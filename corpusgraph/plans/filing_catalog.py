@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 from ..operators import citations, curation, filing, fulltext, graph, payloads, people, records, retrieval, review, search
 from ..sources import readers, writers
-from .catalog import _BM25_SQL, _COUPLING, _TOPICS_SQL, _bench, _claims, _filed, _r6, _refs, _snapshots, _t, _texts, _topics, query
+from .catalog import _BM25_SQL, _COUPLING, _NAMES_SQL, _TOPICS_SQL, _bench, _claims, _filed, _names, _r6, _refs, _snapshots, _t, _texts, _topics, query
 
 
 def _s(*parts):
@@ -284,20 +285,23 @@ def new_statements(spark, d):
     return filing.new_statements(statements, claims, parts, held).select("id", "issue", "resource_id", "read_from", "extraction_method", "problem", "voided")
 
 
-@query("""SELECT 'resource:' || s_suppkey AS id, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN ['Ann', 'Bob'] ELSE [] END AS authors, s_suppkey % 3 = 0 AS is_open_access, CASE WHEN s_suppkey % 4 = 0 THEN ['big'] END AS size_facet,
-CASE WHEN s_suppkey % 5 = 0 THEN ['https://a', 'https://b'] END AS urls FROM supplier""")
+@query("""SELECT 'resource:' || s_suppkey AS id, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN ['Ann', 'Bob'] END AS authors, s_suppkey % 3 = 0 AS is_open_access, CASE WHEN s_suppkey % 4 = 0 THEN ['big'] END AS size_facet,
+CASE WHEN s_suppkey % 5 = 0 THEN ['https://a', 'https://b'] END AS urls, CASE WHEN s_suppkey % 6 = 0 THEN 'Org' END AS maintainer, CASE WHEN s_suppkey % 6 = 0 THEN ['Go', 'C'] END AS languages, s_suppkey % 6 <> 0 AS no_tool FROM supplier""")
 def records_from_rows(spark, d):
     k = F.col("s_suppkey")
-    rows = _t(spark, d, "supplier").select(F.when(k % 2 == 0, _s("resource:", k)).otherwise(k.cast("string")).alias("ID *"), F.col("s_name").alias("Title *"), F.when(k % 2 == 0, " Ann, ,Bob ").alias("Authors"), (k % 3 == 0).alias("Open Access"), F.when(k % 4 == 0, "big").otherwise("").alias("Size"), F.when(k % 5 == 0, F.array(F.lit("s2"), F.lit("s1"), F.lit("s3"))).alias("Sources"))
+    rows = _t(spark, d, "supplier").select(F.when(k % 2 == 0, _s("resource:", k)).otherwise(k.cast("string")).alias("ID *"), F.col("s_name").alias("Title *"), F.when(k % 2 == 0, " Ann, ,Bob ").alias("Authors"), (k % 3 == 0).alias("Open Access"), F.when(k % 4 == 0, "big").otherwise("").alias("Size"), F.when(k % 5 == 0, F.array(F.lit("s2"), F.lit("s1"), F.lit("s3"))).alias("Sources"), F.when(k % 6 == 0, "Org").otherwise("").alias("Tool: Maintainer"), F.when(k % 6 == 0, "Go, C,").alias("Tool: Languages"))
     sources = spark.createDataFrame([("s1", "https://a", "2024", "", "x, y"), ("s2", "https://b", None, "t", None), ("s3", "", None, None, None)], "id string, url string, accessed string, title string, supports string")
     out = curation.records_from_rows(rows, sources, facets={"Size": "size"})
-    return out.select("id", "title", "authors", "is_open_access", F.col("facets")["size"].alias("size_facet"), F.transform("sources", lambda s: s["url"]).alias("urls"))
+    return out.select("id", "title", "authors", "is_open_access", F.col("facets")["size"].alias("size_facet"), F.transform("sources", lambda s: s["url"]).alias("urls"), F.col("tool.maintainer").alias("maintainer"), F.col("tool.languages").alias("languages"), F.col("tool").isNull().alias("no_tool"))
 
 
-@query("""SELECT CAST(s_suppkey AS VARCHAR) AS "ID *", s_name AS "Title *", 'preprint' AS "Resource Type *", CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS "Authors", s_suppkey % 7 = 0 AS "Borrowed Background", 'big' AS "Size", true AS "Published" FROM supplier""")
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS "ID *", s_name AS "Title *", 'preprint' AS "Resource Type *", CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS "Authors", s_suppkey % 7 = 0 AS "Borrowed Background", 'preprint' AS "F1 Artifact Type", ['legal', 'social'] AS "F7 Control Type", CASE WHEN s_suppkey % 3 = 0 THEN 'mcp, a2a' END AS "Tool: Protocols", CASE WHEN s_suppkey % 4 > 0 THEN list_transform(range(s_suppkey % 4, 0, -1), lambda x: 'row' || x) END AS "Sources", true AS "Published" FROM supplier""")
 def rows_from_records(spark, d):
-    res = _resources(spark, d).withColumn("id", _s("resource:", F.col("id"))).withColumn("facets", F.create_map(F.lit("size"), F.array(F.lit("big"), F.lit("small"))))
-    return curation.rows_from_records(res, {"Size": "size"}).select("ID *", "Title *", "Resource Type *", "Authors", "Borrowed Background", "Size", "Published")
+    k = F.col("pos")
+    res = _resources(spark, d).withColumn("id", _s("resource:", F.col("id"))).withColumn("facets", F.create_map(F.lit("artifact_type"), F.array(F.lit("preprint")), F.lit("control_type"), F.array(F.lit("legal"), F.lit("social"))))
+    res = res.withColumn("tool", F.when(k % 3 == 0, F.struct(F.array(F.lit("mcp"), F.lit("a2a")).alias("protocols")))).withColumn("sources", F.transform(F.sequence(k % 4, F.lit(0), F.lit(-1)), lambda n: F.struct(_s("https://", n).alias("url"))))
+    ids = spark.range(1, 9).select(_s("https://", F.col("id")).alias("url"), _s("row", F.col("id")).alias("id"))
+    return curation.rows_from_records(res, ids).select("ID *", "Title *", "Resource Type *", "Authors", "Borrowed Background", "F1 Artifact Type", "F7 Control Type", "Tool: Protocols", "Sources", "Published")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'https://p/' || p_partkey END AS url FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 10 <> 0")
@@ -408,7 +412,7 @@ _SNAP_INDEX = "a AS (SELECT doc_id AS url, n_chars, doc_id % 9 = 0 AS held FROM
 
 @query(f"WITH {_SNAP_INDEX} SELECT url FROM a WHERE held")
 def promoted_tools(spark, d):
-    return _snapshots(spark, d)[0].where(F.coalesce("promoted_to", F.lit("")) != "").select("url")
+    return review.promoted(_snapshots(spark, d)[0]).select("url")
 
 
 @query("SELECT p_partkey AS url FROM part WHERE p_partkey % 9 <> 0 AND p_size % 3 = 0")
@@ -555,3 +559,46 @@ def site_records(spark, d):
     claims = _t(spark, d, "conversations").select(F.col("conv_id").alias("resource_id"), F.col("turn").alias("pos"), _s(F.col("role"), ":", F.col("turn")).alias("id"), "text", none.alias("standalone"), none.alias("quote"), none.alias("extracted_from"), none.alias("claim_type"), some.alias("topic_codes"), none.alias("verdict"), none.alias("reviewed_by"))
     out = payloads.site_records(docs, ranked, claims)
     return out.select("place", "id", "abstract", "suggested", "suggested_more", F.transform("claims", lambda c: c["id"]).alias("claims"))
+
+
+@query("""SELECT 's' || s_suppkey AS url, 'd' || s_suppkey AS accessed, CASE WHEN s_suppkey % 2 = 0 THEN 'a, b' END AS supports FROM supplier WHERE s_suppkey % 3 <> 0""")
+def fresh_sources(spark, d):
+    """Each source stands in two records, and a third of them has a row."""
+    k = F.col("s_suppkey")
+    source = F.struct(_s("s", k).alias("url"), _s("d", k).alias("accessed"), F.lit(None).cast("string").alias("title"), F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("supports"))
+    one = _t(spark, d, "supplier").select(_s("r", k).alias("id"), F.array(source).alias("sources"))
+    again = _t(spark, d, "supplier").select(_s("s", k).alias("id"), F.array(source.withField("accessed", F.lit("later"))).alias("sources"))
+    held = _t(spark, d, "supplier").where("s_suppkey % 3 = 0").select(_s("s", k).alias("url"), _s("row", k).alias("id"))
+    return curation.fresh_sources(one.unionByName(again), held).select("url", "accessed", "supports")
+
+
+@query("""SELECT p_partkey AS id, f AS facet, CASE f WHEN 'shade' THEN 'unknown facet' WHEN 'artifact_type' THEN 'takes a single value' ELSE 'no value x' || p_size END AS problem
+FROM (SELECT *, unnest(['shade', 'artifact_type', 'control_type']) AS f FROM part) WHERE CASE f WHEN 'shade' THEN p_size % 4 = 1 WHEN 'artifact_type' THEN p_size % 3 = 0 ELSE p_size % 5 = 2 END""")
+def facet_problems(spark, d):
+    n, one = F.col("p_size"), lambda *v: F.array(*[x if not isinstance(x, str) else F.lit(x) for x in v])
+    facets = F.map_filter(F.create_map(F.lit("shade"), F.when(n % 4 == 1, one("dark")), F.lit("artifact_type"), F.when(n % 3 == 0, one("preprint", "essay")).otherwise(one("dataset")), F.lit("control_type"), F.when(n % 5 == 2, one("legal", _s("x", n))).otherwise(one("legal", "social"))), lambda _, v: v.isNotNull())
+    return review.facet_problems(_t(spark, d, "part").select(F.col("p_partkey").alias("id"), facets.alias("facets")))
+
+
+@query("""SELECT c_custkey AS id, unnest(CASE c_custkey % 3 WHEN 0 THEN ['identifier', 'summary', 'topics'] WHEN 1 THEN ['title', 'license'] ELSE ['name', 'why'] END) AS key,
+unnest(CASE c_custkey % 3 WHEN 0 THEN ['10.5555/' || c_custkey, 'It does' || chr(10) || c_name, '1.1, ' || c_nationkey] WHEN 1 THEN ['T' || c_custkey, 'MIT'] ELSE [c_name, 'good' || chr(10) || 'and more'] END) AS value FROM customer""")
+def form_fields(spark, d):
+    """Customers' forms in the three shapes that come in."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    form = _s("### DOI, arXiv ID, or link\n\n10.5555/", k, "\n\n### What does it do?\n\nIt does\n", name, "\n\n### License and source\n\n_No response_\n## Topics (if you already know them)\n1.1, ", F.col("c_nationkey"))
+    paper = _s("**Title:** T", k, "\nstray line\n**License:** MIT\n**Maintainer:** n/a\n**Unknown:** x")
+    tool = _s("Hello\n**Name:** ", name, "\n**Why does it belong**\ngood\n\n#### Something else\nnot this\n### Notes\nand more\n")
+    body = F.when(k % 3 == 0, form).when(k % 3 == 1, paper).otherwise(F.regexp_replace(tool, "good\n\n", "good\n"))
+    return readers.parse_forms(_t(spark, d, "customer").select(k.alias("id"), body.alias("body")))
+
+
+@query(f"""WITH {_TOPICS_SQL} SELECT 'parent missing' AS rule, '77' AS code UNION ALL SELECT 'usage mode', code FROM topics WHERE code LIKE '2.%' UNION ALL SELECT 'section missing', CAST(unnest(range(6, {fixed.SECTION_COUNT + 1})) AS VARCHAR) UNION ALL SELECT 'section unknown', '88'""")
+def taxonomy_problems(spark, d):
+    more = spark.createDataFrame([("77.1",), ("88",)], "code string")
+    topics = _topics(spark, d).select("code").union(more).withColumn("usage_mode", F.when(F.col("code").like("2.%"), "coding-scheme").otherwise("navigation"))
+    return readers.taxonomy_problems(topics)
+
+
+@query(f"""WITH {_NAMES_SQL} SELECT fold, count(DISTINCT name) AS variants, count(*) AS n FROM folded GROUP BY fold HAVING count(DISTINCT name) > 1""")
+def duplicate_names(spark, d):
+    return people.duplicate_names(_names(spark, d)).select("fold", "variants", "n")

@@ -78,13 +78,20 @@ def absent_is_empty(spark: SparkSession, read, schema: str) -> DataFrame:
 
 
 def taxonomy_problems(topics: DataFrame, strict_sections: bool = True) -> DataFrame:
-    """(rule, code): parents that are missing, and sections that are missing or too many."""
+    """(rule, code) of topics(code, and usage_mode if there): parents that are missing, sections that are missing or too many, topics browsed that are to be coded by or the other way round; `no topics` if there are none."""
+    none = topics.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("no topics").alias("rule"), F.lit(None).cast("string").alias("code"))
     lost = topics.select(T.parent_code(F.col("code")).alias("code")).where("code is not null").distinct().join(topics.select("code"), "code", "left_anti").select(F.lit("parent missing").alias("rule"), "code")
+    out = lost.unionByName(none)
+    if "usage_mode" in topics.columns:
+        mode = F.when(T.section(F.col("code")) == fixed.CODING_SCHEME_SECTION, "coding-scheme").otherwise("navigation")
+        out = out.unionByName(topics.where(~F.col("usage_mode").eqNullSafe(mode)).select(F.lit("usage mode").alias("rule"), "code"))
     if not strict_sections:
-        return lost
+        return out
     want = topics.sparkSession.range(1, fixed.SECTION_COUNT + 1).select(F.col("id").cast("string").alias("code"))
-    have = topics.where(T.depth(F.col("code")) == 0).select("code")
-    return lost.unionByName(want.exceptAll(have).select(F.lit("section missing").alias("rule"), "code")).unionByName(have.exceptAll(want).select(F.lit("section unknown").alias("rule"), "code"))
+    have = topics.where(T.depth(F.col("code")) == 0).select("code").distinct()
+    some = topics.limit(1).select(F.lit(1).alias("_"))
+    absent = want.exceptAll(have).crossJoin(F.broadcast(some)).select(F.lit("section missing").alias("rule"), "code")  # one row
+    return out.unionByName(absent).unionByName(have.exceptAll(want).select(F.lit("section unknown").alias("rule"), "code"))
 
 
 def read_yaml(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
@@ -116,10 +123,12 @@ def read_yaml(spark: SparkSession, path: str, schema: str, key: str | None = Non
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Reference store: rows without an id are dropped, and the last row of an id counts."""
-    lines = spark.read.schema(REFS).json(path).where("resource_id is not null").withColumn("_pos", F.monotonically_increasing_id())
-    last = Window.partitionBy("resource_id").orderBy(F.desc("_pos"))
-    return lines.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_pos")
+    """Reference store: rows without an id are dropped, and the last line of an id counts, files in order of their paths.
+
+    A line's place is its file, where its split begins there, and its place in the split: however Spark cuts and deals files, the order is theirs.
+    """
+    lines = spark.read.text(path).select(F.from_json("value", REFS).alias("r"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    return lines.where("r.resource_id is not null and r.resource_id <> ''").groupBy("r.resource_id").agg(F.max_by("r", "at").alias("r")).select("r.*")
 
 
 def parse_works(json: DataFrame) -> DataFrame:
@@ -178,11 +187,24 @@ def parse_list(lines: DataFrame) -> DataFrame:
 
 
 def parse_forms(issues: DataFrame) -> DataFrame:
-    """(id, label, value) of Markdown forms issues(id, body): `### label` and the text below it; placeholders are dropped."""
-    part = F.explode(F.regexp_extract_all("body", F.lit(r"(?ms)^###\s+[^\n]+\n.*?(?=^###\s|\z)"), F.lit(0)))
-    split = issues.select("id", part.alias("p")).select("id", F.lower(F.trim(F.regexp_extract("p", r"^###\s+([^\n]+)", 1))).alias("label"), F.trim(F.regexp_replace("p", r"^###[^\n]+\n", "")).alias("value"))
-    squeeze = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
-    return split.withColumn("value", squeeze).where(~F.col("value").isin("", "_No response_", "None"))
+    """(id, key, value) of issues(id, body) in any of the shapes that forms have: one row for each question that is answered.
+
+    A line `**Label:** value` answers by itself and closes what was open; a heading or a bold line opens a block up to the next
+    label.  Labels are known by FORM_FIELDS, whatever their case and signs; what stands under others is dropped.  Answers to one
+    question are put together, in order; what means nothing (FORM_BLANKS) is none.
+    """
+    lines = issues.select("id", F.posexplode(F.split(F.coalesce("body", F.lit("")), r"\r\n|[\r\n\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")).alias("pos", "line"))
+    names = F.create_map(*[F.lit(x) for pair in fixed.FORM_FIELDS.items() for x in pair])
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " "), " +", " "))
+    label = lambda pattern: names[plain(F.regexp_extract("line", pattern, 1))]
+    labelled, section, heading = (F.col("line").rlike(p) for p in (fixed.FORM_LABELLED, fixed.FORM_SECTION, fixed.FORM_HEADING))
+    opens = F.when(labelled, F.struct(F.lit(False).alias("block"), F.lit(None).cast("string").alias("key"))).when(section, F.struct(F.lit(True).alias("block"), label(fixed.FORM_SECTION).alias("key"))).when(heading, F.struct(F.lit(True).alias("block"), label(fixed.FORM_HEADING).alias("key")))
+    upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    read = lines.withColumn("opens", opens).withColumn("under", F.last("opens", ignorenulls=True).over(upto))
+    answers = read.select("id", "pos", F.when(labelled, label(fixed.FORM_LABELLED)).when(F.col("opens").isNull() & F.col("under.block"), F.col("under.key")).alias("key"), F.when(labelled, F.trim(F.regexp_extract("line", fixed.FORM_LABELLED, 2))).otherwise(F.col("line")).alias("text")).where("key is not null")
+    joined = answers.groupBy("id", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("value"))
+    bare = joined.withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", ""))
+    return bare.where(~F.lower("value").isin(fixed.FORM_BLANKS))
 
 
 def parse_filings(issues: DataFrame) -> DataFrame:

@@ -93,8 +93,8 @@ def write_store(store: DataFrame, path: str) -> None:
     store_lines(store).orderBy("resource_id").select("value").write.mode("overwrite").text(path)
 
 
-def write_yaml(records: DataFrame, path: str, file: str = "file") -> None:
-    """A YAML text for each record, in a folder of its own named by the column `file`; records with broken rules are to be left out before."""
+def yaml_texts(records: DataFrame, file: str = "file") -> DataFrame:
+    """(file, value): a YAML text for each record of the columns beside `file`, in their order, without what is empty."""
     names = [c for c in records.columns if c != file]
 
     def dump(batches):
@@ -104,10 +104,17 @@ def write_yaml(records: DataFrame, path: str, file: str = "file") -> None:
         import yaml
 
         for batch in batches:
-            texts = [yaml.safe_dump({k: v for k, v in ((n, json.loads(r)[n] if n in json.loads(r) else None) for n in names) if v not in (None, "", [], {})}, sort_keys=False, allow_unicode=True, width=88) for r in batch["json"]]
-            yield pd.DataFrame({file: batch[file], "value": texts})
+            kept = [{n: r[n] for n in names if r.get(n) not in (None, "", [], {})} for r in map(json.loads, batch["json"])]
+            yield pd.DataFrame({file: batch[file], "value": [yaml.safe_dump(r, sort_keys=False, allow_unicode=True, width=88) for r in kept]})
 
-    records.select(file, F.to_json(F.struct(*names)).alias("json")).mapInPandas(dump, f"`{file}` string, value string").write.mode("overwrite").partitionBy(file).text(path)
+    return records.select(file, F.to_json(F.struct(*names)).alias("json")).mapInPandas(dump, f"`{file}` string, value string")
+
+
+def write_yaml(records: DataFrame, path: str, problems: DataFrame | None = None, file: str = "file") -> None:
+    """A YAML text for each record, in a folder of its own named by the column `file`.  If problems(id, ..) has a row, nothing is written."""
+    if problems is not None and (found := problems.limit(3).collect()):  # three rows at most
+        raise ValueError(f"records with broken rules are not written: {found}")
+    yaml_texts(records, file).write.mode("overwrite").partitionBy(file).text(path)
 
 
 def read_release(spark, out_dir: str, version: str, part: str, schema: str) -> DataFrame:

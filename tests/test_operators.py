@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from corpusgraph.functions import fixed
 from corpusgraph.functions import text as T
 from corpusgraph.operators import citations, curation, fulltext, graph, payloads, people, ranks, retrieval, review
 from corpusgraph.sources import readers, writers
@@ -142,7 +143,10 @@ def test_graph_files(spark, tmp_path):
 
 def test_mapping_fits_the_model():
     model = {x.strip().split(" ")[0] for x in readers.RESOURCE.replace("map<string,array<string>>", "map").split(",")}
-    assert curation.definition_problems(model) == [] and curation.definition_problems(model - {"doi"}) == ["unknown attribute doi"]
+    table = [*fixed.ROW_FIELDS, *fixed.ROW_LISTS, *fixed.ROW_CHECKBOXES, *fixed.FACET_COLUMNS, *fixed.ROW_TOOLS, *fixed.ROW_TOOL_LISTS, "Published"]
+    assert curation.definition_problems(model, table) == [] and curation.definition_problems(model - {"doi"}, table) == ["unknown attribute doi"]
+    assert curation.definition_problems(model, [x for x in table if x != "License"] + ["Extra *", "URL"]) == ["defined twice: URL", "mapped but not defined: License", "starred but not checked: Extra *"]
+    assert "F1 Artifact Type" in table and "F12 Applicability" in table
 
 
 def test_store_round_trip(spark, tmp_path):
