@@ -26,7 +26,7 @@ WORK = (
     "id string, title string, doi string, publication_date string, cited_by_count int, type string, is_retracted boolean, open_access struct<is_oa:boolean>, "
     "authorships array<struct<author:struct<display_name:string>,institutions:array<struct<display_name:string>>>>, referenced_works array<string>, abstract_inverted_index map<string,array<int>>"
 )
-FILED = "issue string, part string, id string, pos int, topics array<string>, numbers array<string>, verdict string, note string, reviewed_on string, text string, quote string, type string, problem string"
+FILED = "issue string, part string, id string, pos int, topics array<string>, numbers array<string>, verdict string, unsure boolean, note string, reviewed_on string, text string, quote string, type string, problem string"
 PAPER = "paperId string, title string, abstract string, publicationDate string, citationCount int, externalIds map<string,string>, authors array<struct<name:string>>, references array<struct<externalIds:map<string,string>,title:string>>"
 
 def _title(c: Column) -> Column:
@@ -210,66 +210,93 @@ def parse_forms(issues: DataFrame) -> DataFrame:
 def parse_filings(issues: DataFrame) -> DataFrame:
     """One row an entry of the filings in issues(id, body), with the columns of FILED.
 
-    A filing is the first fenced block (or the whole body, if no block is one) that is YAML with a map under `records`,
-    `claims` or `new_statements`.  `numbers` are topic codes that YAML read as something else than text; a statement
-    has its place (from 1) in `pos` and "finding" where it names no type.  What can't be read is a row whose `problem` says so:
-    an issue without a filing (also a null or empty body), a part that is no map, an entry of the wrong form.  Equal issues give equal rows.
+    Every fenced block of an issue, and its body as the last, is judged by itself, a row each: it is a filing if it is YAML
+    with a map under `records`, `claims` or `new_statements`.  The first one counts.  `numbers` are topic codes that YAML
+    read as something else than text; a statement has its place (from 1) in `pos` and "finding" where it names no type.  What
+    can't be read is a row whose `problem` says so: an issue without a filing (also a null or empty body), a part that is no
+    map, an entry of the wrong form.  Issues of one id and one body are one.
     """
     import pandas as pd
     from pyspark.sql.types import StructType
 
     names = StructType.fromDDL(FILED).fieldNames()
-    listed = F.concat(F.regexp_extract_all("body", F.lit(fixed.FILING_FENCE), F.lit(1)), F.array("body"))
-    tried = issues.select(F.col("id").cast("string").alias("issue"), F.coalesce(listed, F.array().cast("array<string>")).alias("tried"))
+    texts = F.concat(F.regexp_extract_all("body", F.lit(fixed.FILING_FENCE), F.lit(1)), F.array("body"))
+    blocks = issues.select(F.col("id").cast("string").alias("issue"), F.xxhash64("body").alias("version"), F.posexplode(F.coalesce(texts, F.array(F.lit("")))).alias("place", "text"))
 
-    def read(batches):
+    def judged(batches):
         for batch in batches:
-            rows = [row for issue, texts in zip(batch["issue"], batch["tried"], strict=True) for row in _filed(issue, texts)]
+            yield pd.DataFrame({"issue": batch["issue"], "version": batch["version"], "place": batch["place"], "filing": [_as_filing(t) for t in batch["text"]]})
+
+    def entries(batches):
+        for batch in batches:
+            rows = [{"issue": issue} | row for issue, filing in zip(batch["issue"], batch["filing"], strict=True) for row in _entries(filing)]
             if rows:
                 yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names).astype({"pos": "Int32"})
 
-    return tried.mapInPandas(read, FILED)
+    told = blocks.mapInPandas(judged, "issue string, version long, place int, filing string")
+    first = told.groupBy("issue", "version").agg(F.min_by("filing", F.when(F.col("filing").isNotNull(), F.col("place"))).alias("filing"))
+    return first.select("issue", "filing").mapInPandas(entries, FILED)
+
 
+def _as_filing(text: str | None) -> str | None:
+    """A text as JSON if it is the YAML of a filing; dates become strings."""
+    import json
 
-def _filed(issue: str, texts) -> list[dict]:
-    """The entries of one issue's filing, from the texts that may be it."""
     import yaml
 
-    whole = None
-    for text in texts:
-        try:
-            found = yaml.safe_load(text)
-        except (yaml.YAMLError, ValueError):  # a date such as 2026-13-45 is a ValueError
-            continue
-        if isinstance(found, dict) and any(isinstance(found.get(p), dict) for p in fixed.FILING_PARTS):
-            whole = found
-            break
-    if whole is None:
-        return [{"issue": issue, "problem": "no filing found"}]
-    text_of = lambda x: None if x is None else str(x).strip()
+    try:
+        read = yaml.safe_load(text or "")
+    except (yaml.YAMLError, ValueError):  # a date such as 2026-13-45 is a ValueError
+        return None
+    parts = {p: read[p] for p in fixed.FILING_PARTS if read.get(p)} if isinstance(read, dict) else {}
+    if not any(isinstance(x, dict) for x in parts.values()):
+        return None
+    return json.dumps({p: list(x.items()) if isinstance(x, dict) else None for p, x in parts.items()}, default=str)
+
+
+def _entries(filing: str | None) -> list[dict]:
+    """Rows of a filing; its parts are lists of (key, entry), or null where a part is no map."""
+    import json
+
+    if filing is None:
+        return [{"problem": "no filing found"}]
     rows = []
-    for part in fixed.FILING_PARTS:
-        entries = whole.get(part) or {}
-        if not isinstance(entries, dict):
-            rows.append({"issue": issue, "part": part, "problem": "not a map"})
-            continue
-        for key, entry in entries.items():
-            row = {"issue": issue, "part": part, "id": str(key)}
-            if part == "claims" and isinstance(entry, str):
-                entry = {"verdict": entry}
-            if not isinstance(entry, list if part == "new_statements" else dict):
-                rows.append(row | {"problem": "wrong form"})
-            elif part == "records":
-                codes = entry.get("topics") or []
-                codes = codes.split(",") if isinstance(codes, str) else codes if isinstance(codes, list) else [codes]
-                written = [c.strip() for c in codes if isinstance(c, str) and c.strip()]
-                rows.append(row | {"topics": written, "numbers": [str(c) for c in codes if not isinstance(c, str)], "reviewed_on": text_of(entry.get("reviewed_on"))})
-            elif part == "claims":
-                rows.append(row | {"verdict": text_of(entry.get("verdict")), "note": text_of(entry.get("note")) or None, "reviewed_on": text_of(entry.get("reviewed_on"))})
-            else:
-                for pos, said in enumerate(entry, 1):
-                    if isinstance(said, dict):
-                        rows.append(row | {"pos": pos, "text": text_of(said.get("text")), "quote": text_of(said.get("quote")), "type": text_of(said.get("type")) or "finding"})
-                    else:
-                        rows.append(row | {"pos": pos, "problem": "wrong form"})
+    for part, pairs in json.loads(filing).items():
+        if pairs is None:
+            rows.append({"part": part, "problem": "not a map"})
+        for key, entry in pairs or []:
+            rows += [{"part": part, "id": str(key)} | row for row in _READ[part](entry)]
     return rows
+
+
+_WRONG = {"problem": "wrong form"}
+
+
+def _stripped(x) -> str | None:
+    return None if x is None else str(x).strip()
+
+
+def _record_entry(entry) -> list[dict]:
+    if not isinstance(entry, dict):
+        return [_WRONG]
+    given = entry.get("topics") or []
+    codes = {str: lambda: given.split(","), list: lambda: given}.get(type(given), lambda: [given])()
+    texts = [c.strip() for c in codes if isinstance(c, str)]
+    said = {k: _stripped(entry.get(k)) or None for k in ("verdict", "note", "reviewed_on")}
+    return [{"topics": [c for c in texts if c], "numbers": [str(c) for c in codes if not isinstance(c, str)], "unsure": True if entry.get("unsure") else None} | said]
+
+
+def _claim_entry(entry) -> list[dict]:
+    if isinstance(entry, str):
+        return [{"verdict": entry.strip()}]
+    return [{k: _stripped(entry.get(k)) or None for k in ("verdict", "note", "reviewed_on")} if isinstance(entry, dict) else _WRONG]
+
+
+def _statement_entries(entry) -> list[dict]:
+    if not isinstance(entry, list):
+        return [_WRONG]
+    read = lambda said: {k: _stripped(said.get(k)) for k in ("text", "quote")} | {"type": _stripped(said.get("type")) or "finding"}
+    return [{"pos": pos} | (read(said) if isinstance(said, dict) else _WRONG) for pos, said in enumerate(entry, 1)]
+
+
+_READ = {"records": _record_entry, "claims": _claim_entry, "new_statements": _statement_entries}

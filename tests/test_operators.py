@@ -182,7 +182,7 @@ not: a filing
 ```yaml
 records:
   resource:a: {topics: ["11.10", "2.2"], reviewed_on: 2026-01-02}
-  resource:b: {topics: [11.10]}
+  resource:b: {topics: [11.10], verdict: out-of-scope, unsure: yes, note: " why "}
   resource:c: [x]
 claims:
   claim:a:1: accurate
@@ -199,7 +199,8 @@ new_statements:
     one = [r for r in got if r.issue == "1"]
     assert [(r.id, list(r.topics or []), list(r.numbers or []), r.problem) for r in one if r.part == "records"] == [
         ("resource:a", ["11.10", "2.2"], [], None), ("resource:b", [], ["11.1"], None), ("resource:c", [], [], "wrong form")]
-    assert one[0].reviewed_on == "2026-01-02"
+    by_id = {r.id: r for r in one if r.part == "records"}
+    assert by_id["resource:a"].reviewed_on == "2026-01-02" and (by_id["resource:b"].verdict, by_id["resource:b"].unsure, by_id["resource:b"].note) == ("out-of-scope", True, "why")
     assert [(r.id, r.verdict, r.note) for r in one if r.part == "claims"] == [("claim:a:1", "accurate", None), ("claim:a:2", "overstated", "too strong")]
     assert [(r.pos, r.type, r.problem) for r in one if r.part == "new_statements"] == [(1, "method", None), (2, None, "wrong form")]
     assert [list(r.topics) for r in got if r.issue == "2"] == [["1.1", "1.2"]]
