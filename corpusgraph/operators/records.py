@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.staging import staged
 from . import citations, retrieval, review
 
 CLAIM_BRIEF = {
@@ -114,6 +115,7 @@ def expand(found: DataFrame, refs: DataFrame, works: DataFrame, known: DataFrame
     found(work, title, cited_by, score, found_via) are the neighbours, works(id, title, abstract, cited_by) what is known of any
     work, known(id) what the corpus holds.  A neighbour is not added again.
     """
+    found = staged(found, "found")  # read twice below
     often = citations.structural_candidates(refs, known.select(F.col("id").alias("ref")), min_count, structural).select(F.col("ref").alias("work"), F.col("cited_by").alias("n"))
     fresh = often.join(found.select("work"), "work", "left_anti").join(works.withColumnRenamed("id", "work"), "work")
     rated = fresh.select("work", "title", "cited_by", (T.scope_score(F.col("title"), F.col("abstract"))["score"] + 3 * F.col("n")).cast("long").alias("score"), F.format_string("co-cited by %d corpus papers", "n").alias("found_via"))

@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..functions.staging import staged
 from .search import substring_matches
 
 
 class TopicIndex:
     """Inverted index of topics(code, text): a row for each term of a topic, with its whole BM25 contribution.
 
-    A query term counts once, so a topic's score is the sum of the weights of the terms it shares.
+    A query term counts once, so a topic's score is the sum of the weights of the terms it shares.  Weights are worked out once and
+    counted; texts' words meet them where they arise if they are few enough to be sent there, as those of a taxonomy are.
     """
 
+    #: Weights (some fifty bytes each) that are broadcast at most.
+    BROADCAST_WEIGHTS = 500_000
+
     def __init__(self, topics: DataFrame) -> None:
         words = _terms(topics)
         terms = words.select("code", F.explode("t").alias("term")).groupBy("code", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -24,7 +29,9 @@ class TopicIndex:
         df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         idf = F.ln(1 + (F.col("topics") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         norm = F.col("tf") + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("len") / F.when(F.col("mean_len") == 0, F.lit(1.0)).otherwise(F.col("mean_len")))
-        self.weights = terms.join(df, "term").join(lengths, "code").crossJoin(F.broadcast(stats)).select("code", "term", idf.alias("idf"), (idf * F.col("tf") * (fixed.BM25_K1 + 1) / norm).alias("weight"))
+        weights = terms.join(df, "term").join(lengths, "code").crossJoin(F.broadcast(stats)).select("code", "term", idf.alias("idf"), (idf * F.col("tf") * (fixed.BM25_K1 + 1) / norm).alias("weight"))
+        weights = staged(weights, "weights")
+        self.weights = F.broadcast(weights) if weights.count() <= self.BROADCAST_WEIGHTS else weights
 
     def score(self, texts: DataFrame, phrases: bool = True) -> DataFrame:
         """(id, code, score) of texts(id, text) for each topic that shares a term."""
@@ -120,7 +127,7 @@ def tools_for(index: TopicIndex, need: DataFrame, resources: DataFrame, mirror:
     and has_tool if there is one) filed under these; `unassessed`: entries of mirror(entry, pos, name, description) that contain a word of
     the need.  A need that no branch fits gets nothing.  ids are texts.
     """
-    topics = index.classify(need, 4, 0.5).select(F.col("id").alias("need"), F.col("code").alias("topic"), "rank")
+    topics = staged(index.classify(need, 4, 0.5).select(F.col("id").alias("need"), F.col("code").alias("topic"), "rank"), "topics")
     profiled = F.col("has_tool") if "has_tool" in resources.columns else F.lit(False)
     kind = F.when(F.coalesce(profiled, F.lit(False)) | F.coalesce(F.col("resource_type").isin(fixed.TOOL_TYPES), F.lit(False)), "tool").otherwise("paper")
     filed = resources.select(F.col("id").cast("string").alias("id"), "pos", kind.alias("kind"), F.explode("taxonomy_topics").alias("topic"))

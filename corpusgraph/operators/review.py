@@ -22,9 +22,9 @@ def agreement(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
     Predictions are folded once to their codes and all codes above them, an array an id, so they are worked out once.
     """
-    tags = gold.where("code is not null").select("id", "code").distinct()
     found = predicted.where("code is not null").groupBy("id").agg(F.collect_set("code").alias("codes"), F.array_distinct(F.flatten(F.collect_set(T.ancestors(F.col("code"))))).alias("up"))
-    each = tags.withColumn("own_up", T.ancestors(F.col("code"))).join(found, "id", "left")
+    tags = gold.where("code is not null").groupBy("id").agg(F.collect_set("code").alias("tags"))
+    each = tags.join(found, "id", "left").select("id", "codes", "up", F.explode("tags").alias("code")).withColumn("own_up", T.ancestors(F.col("code")))
     exact = F.coalesce(F.array_contains("codes", F.col("code")), F.lit(False))
     hit = exact | F.coalesce(F.array_contains("up", F.col("code")), F.lit(False)) | F.coalesce(F.arrays_overlap("codes", "own_up"), F.lit(False))
     per = each.groupBy("id").agg(F.count_if(hit).alias("hits"), F.count_if(exact).alias("exact"), F.count(F.lit(1)).alias("tags"))
