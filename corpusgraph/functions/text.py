@@ -242,6 +242,15 @@ def lookup_url(identifier: Column) -> Column:
     )
 
 
+def paper_url(identifier: Column) -> Column:
+    """Where the second source keeps a work: by DOI, arXiv id (without version) or its own id; null for the first source's ids and for nothing."""
+    i = F.trim(identifier)
+    base, asked = F.lit(fixed.SECOND_SOURCE), F.lit("?fields=" + ",".join(fixed.SECOND_SOURCE_FIELDS))
+    own = F.when(F.lower(i).startswith("10."), F.concat(F.lit("DOI:"), i)).when(i.startswith("W") | (i == ""), F.lit(None))
+    own = own.when(i.rlike(r"^\d{4}") & i.contains("."), F.concat(F.lit("arXiv:"), F.substring_index(i, "v", 1))).otherwise(i)
+    return F.concat(base, own, asked)
+
+
 def short_id(url: Column) -> Column:
     """The last part of an address."""
     return F.regexp_extract(F.regexp_replace(url, "/+$", ""), "([^/]*)$", 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -239,13 +240,47 @@ def process_proposals(spark, d):
     return out.withColumn("id", F.regexp_replace("id", r"2101\.0*(\d)", "2101.$1"))
 
 
-@query("""SELECT 'resource:arxiv:2101.' || p_partkey AS id, 'preprint' AS resource_type, p_name AS title, 'https://arxiv.org/abs/2101.' || p_partkey AS url FROM part WHERE p_partkey % 10 <> 0
-UNION ALL SELECT 'resource:doi:10-1-' || c_custkey, 'peer-reviewed-paper', c_name, 'https://doi.org/10.1/' || c_custkey FROM customer UNION ALL SELECT 'resource:platform:' || trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-'), 'platform', s_name, 'https://s' || s_suppkey FROM supplier""")
+def _seeds(spark, d):
+    k, c, s = F.col("p_partkey"), F.col("c_custkey"), F.col("s_suppkey")
+    papers = _t(spark, d, "part").select(_s("2101.", k).alias("arxiv"), F.col("p_name").alias("title"), F.array(F.lit("1"), F.when(k % 6 == 0, "x").otherwise("2")).alias("topics"), (k % 4 == 0).alias("borrowed"))
+    dois = _t(spark, d, "customer").select(_s("10.1/A_", c).alias("doi"), F.col("c_name").alias("title"), F.when(c % 5 == 0, F.array(_s("9.", c), F.lit("y"))).alias("topics"))
+    platforms = _t(spark, d, "supplier").select(_s("p", s).alias("id"), F.col("s_name").alias("title"), _s("https://s", s).alias("url"), F.when(s % 2 == 0, "deployment").alias("type"))
+    return papers, dois, platforms
+
+
+@query("""SELECT 'resource:arxiv:2101.' || p_partkey AS id, 'preprint' AS resource_type, p_name AS title, 'https://arxiv.org/abs/2101.' || p_partkey AS url, '10.48550/arXiv.2101.' || p_partkey AS doi, p_partkey % 4 = 0 AS is_borrowed_background FROM part WHERE p_partkey % 10 <> 0
+UNION ALL SELECT 'resource:doi:10-1-a_' || c_custkey, 'peer-reviewed-paper', c_name, 'https://doi.org/10.1/A_' || c_custkey, '10.1/A_' || c_custkey, false FROM customer UNION ALL SELECT 'resource:platform:p' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'deployment' ELSE 'code-tool' END, s_name, 'https://s' || s_suppkey, NULL, false FROM supplier""")
 def expand_seeds(spark, d):
-    papers = _t(spark, d, "part").select(_s("2101.", F.col("p_partkey")).alias("arxiv"), F.col("p_name").alias("title"))
-    dois = _t(spark, d, "customer").select(_s("10.1/", F.col("c_custkey")).alias("doi"), F.col("c_name").alias("title"))
-    platforms = _t(spark, d, "supplier").select(F.col("s_name").alias("name"), _s("https://s", F.col("s_suppkey")).alias("url"))
-    return filing.expand_seeds(papers, dois, platforms, _t(spark, d, "part").where("p_partkey % 10 = 0").select(_s("resource:arxiv:2101.", F.col("p_partkey")).alias("id")))
+    held = _t(spark, d, "part").where("p_partkey % 10 = 0").select(_s("resource:arxiv:2101.", F.col("p_partkey")).alias("id"))
+    return filing.expand_seeds(*_seeds(spark, d), held).select("id", "resource_type", "title", "url", "doi", "is_borrowed_background")
+
+
+@query("""SELECT 'resource:arxiv:2101.' || p_partkey AS id, ['x'] AS unknown FROM part WHERE p_partkey % 6 = 0 UNION ALL SELECT 'resource:doi:10-1-a_' || c_custkey, ['9.' || c_custkey, 'y'] FROM customer WHERE c_custkey % 5 = 0""")
+def unknown_seed_tags(spark, d):
+    return filing.unknown_tags(filing.seed_records(*_seeds(spark, d)), _topics(spark, d))
+
+
+@query(f"""WITH {_HOP}, often AS (SELECT l_partkey AS work, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 3 ORDER BY 2 DESC, 1 LIMIT 40),
+every AS (SELECT work, title, cited_by, score FROM found UNION ALL SELECT work, w.title, w.cited_by, 3 + 3 * n FROM often JOIN w ON w.id = work WHERE work NOT IN (SELECT work FROM found))
+SELECT * FROM every ORDER BY score DESC, cited_by DESC, work LIMIT 25""")
+def expand_top(spark, d):
+    """The best candidates, as a run writes them."""
+    known = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    return records.expand(_neighbours(spark, d), _refs(spark, d), _works(spark, d), known, limit=25).select("work", "title", "cited_by", "score")
+
+
+@query("""WITH t AS (SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, role FROM conversations), p AS (SELECT *, k - k % 2 AS h FROM t)
+SELECT id, CAST(min(k + k // 2 + 1) AS INTEGER) AS pos, CASE h % 8 WHEN 0 THEN 'introduction' WHEN 2 THEN 'method' WHEN 4 THEN 'other' ELSE 'results' END AS kind, h % 8 IN (0, 6) AS claim_bearing,
+CASE h % 8 WHEN 0 THEN '1 Introduction' WHEN 2 THEN 'II. The Setup of it' WHEN 4 THEN 'Thanks' ELSE '3.1. Findings & more' END AS heading, string_agg('said by ' || role || ', at ' || k, chr(10) || chr(10) ORDER BY k) AS text FROM p GROUP BY id, h""")
+def article_sections(spark, d):
+    """Conversations as articles: a heading before every second turn."""
+    t = _t(spark, d, "conversations").withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    k = F.col("k")
+    name = F.when(k % 8 == 0, "1 Introduction").when(k % 8 == 2, "II. The <b>Setup</b> of it").when(k % 8 == 4, "Thanks").otherwise("3.1. Findings &amp; more")
+    head = F.when(k % 2 == 0, _s('<h2 class="ltx_title x">', name, "</h2>")).otherwise("")
+    each = t.select("conv_id", "k", _s(head, '<div><p class="ltx_p">said by ', F.col("role"), " <cite>[3]</cite>, at ", k, "</p></div>").alias("part"))
+    pages = each.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]), "\n").alias("html"))
+    return fulltext.sections(pages).select("id", "pos", "kind", "claim_bearing", "heading", "text")
 
 
 @query(f"""WITH {_TOPICS_SQL} SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'not a record in this corpus' WHEN c_custkey % 3 = 0 THEN 'topic codes must be quoted: 11.1' WHEN c_custkey % 4 = 1 THEN 'not taxonomy codes: x, ' || c_custkey || '.9' ELSE 'unknown verdict maybe' END AS problem FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0 OR c_custkey % 4 = 1 OR c_custkey % 7 = 2""")
@@ -602,3 +637,10 @@ def taxonomy_problems(spark, d):
 @query(f"""WITH {_NAMES_SQL} SELECT fold, count(DISTINCT name) AS variants, count(*) AS n FROM folded GROUP BY fold HAVING count(DISTINCT name) > 1""")
 def duplicate_names(spark, d):
     return people.duplicate_names(_names(spark, d)).select("fold", "variants", "n")
+
+
+@query(f"""SELECT p_partkey AS id, '{fixed.SECOND_SOURCE}' || CASE p_partkey % 5 WHEN 1 THEN 'arXiv:2101.0000' || p_partkey % 10 WHEN 2 THEN 'DOI:10.5555/x' || p_partkey WHEN 3 THEN 'abc' || p_partkey END || '?fields={','.join(fixed.SECOND_SOURCE_FIELDS)}' AS url FROM part""")
+def paper_urls(spark, d):
+    k = F.col("p_partkey")
+    raw = F.when(k % 5 == 0, _s(" W", k)).when(k % 5 == 1, _s("2101.0000", k % 10, "v2")).when(k % 5 == 2, _s(" 10.5555/x", k)).when(k % 5 == 3, _s("abc", k)).otherwise(" ")
+    return _t(spark, d, "part").select(k.alias("id"), T.paper_url(raw).alias("url"))

@@ -147,3 +147,15 @@ def test_first_wins(spark, seed):
         if not hits:
             taken |= dict.fromkeys(keys, p)
     assert got == want
+
+
+def test_seeds_under_unknown_topics_stop_the_run(spark):
+    papers = spark.createDataFrame([("2101.1", "T", ["1", "9.9"], "note ")], "arxiv string, title string, topics array<string>, note string")
+    dois = spark.createDataFrame([("10.1/A_b", "D")], "doi string, title string")
+    platforms = spark.createDataFrame([("buzz", "Buzz", "https://b")], "id string, title string, url string")
+    held = spark.createDataFrame([("resource:platform:buzz",)], "id string")
+    topics = spark.createDataFrame([("1",)], "code string")
+    with pytest.raises(ValueError, match="resource:arxiv:2101.1: 9.9"):
+        filing.expand_seeds(papers, dois, platforms, held, topics)
+    got = {r["id"]: r for r in filing.expand_seeds(papers, dois, platforms, held).collect()}
+    assert set(got) == {"resource:arxiv:2101.1", "resource:doi:10-1-a_b"} and got["resource:arxiv:2101.1"]["description"] == "note" and got["resource:doi:10-1-a_b"]["facets"] == {"artifact_type": ["peer-reviewed-paper"]}
