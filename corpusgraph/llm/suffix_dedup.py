@@ -3,16 +3,16 @@
 A byte is removed if it lies in a string of `LENGTH` bytes that also starts in a document with a smaller id;
 strings are judged on the input.  The suffixes at all positions would be hundreds of bytes of shuffle a byte of text, so
 
-* names double inside a block first: the strings of 2, 4 and 8 bytes are the numbers they spell, 16 is a pair of them.
-  Every window of LENGTH bytes has one *anchor*, the leftmost least of its 16-byte names, and
-  neighbouring windows that share an anchor are a *unit* (about 6 for 100 bytes).  Equal windows have equal anchors.
-* offset 16: blocks send their anchors' names, sorted, to shards (a shard is a range of names); the shard merges
+* names double inside a block first: the strings of 2, 4 and 8 bytes are the numbers they spell, 16 is a pair of them,
+  half of LENGTH a pair of overlapping 16s.  Every window of LENGTH bytes has one *anchor*, the leftmost least of the names of half its
+  length, and neighbouring windows that share an anchor are a *unit* (about 7 for 100 bytes).  Equal windows have equal anchors.
+* half the length: blocks send their anchors' names, sorted, to shards (a shard is a range of names); the shard merges
   and ranks them.  An anchor that only one document has is unique: its windows are done, they repeat nowhere.
-* past the threshold: of the other units, pairs (rank of the anchor, name of the whole unit, itself a pair at
-  offset 50) are sorted.  A unit that an earlier document has as a whole is repeated; one whose anchor
+* past the threshold: of the other units, pairs (rank of the anchor, name of the whole unit, itself a pair of
+  windows) are sorted.  A unit that an earlier document has as a whole is repeated; one whose anchor
   has no other unit is done too.
 * what is left are first copies of units whose anchor stands in unlike surroundings, at the edges of repeated passages:
-  their single windows are sorted, by pairs 16 + 16 and 32 + 18.
+  their single windows are sorted, by pairs of their halves.
 
 A unit that an earlier one equals needs no single windows, as the earlier one's stand for it, so copies in any
 number cost one sorted name a unit and block.  A row is a block's request to a shard, hot strings are one name a block.  Names are
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 LENGTH = 50
+#: The longest name that is doubled before halves.
 GRAM = 16
 #: Shards of single windows for one of anchors.
 WINDOW_SHARDS = 8
@@ -47,18 +48,19 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return B.mix(a * U64(0x9E3779B97F4A7C15) + (b ^ (b >> U64(29))) * U64(0xC2B2AE3D27D4EB4F))
 
 
-def _names(data: np.ndarray) -> np.ndarray:
-    """Of each position the name of the GRAM bytes from there: doubled at offsets 1, 2, 4 and 8."""
+def _names(data: np.ndarray, length: int) -> np.ndarray:
+    """Of each position the name of half of `length` bytes (16 to 32) from there: doubled at offsets 1, 2, 4 and 8, then by an overlap."""
     x = data.astype(U64)
     for offset in (1, 2, 4):
         x = x[:-offset] | (x[offset:] << U64(8 * offset))
-    return _pair(x[:-8], x[8:])
+    x = _pair(x[:-8], x[8:])
+    rest = (length + 1) // 2 - GRAM
+    return _pair(x[:-rest], x[rest:]) if rest else x
 
 
-def _long(names: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Names of `length` bytes (32 to 64) at some positions, doubled at 16 and then at length - 32."""
-    rest = at + (length - 2 * GRAM)
-    return _pair(_pair(names[at], names[at + GRAM]), _pair(names[rest], names[rest + GRAM]))
+def _whole(names: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Names of `length` bytes at some positions: pairs of their halves (which overlap or touch)."""
+    return _pair(names[at], names[at + length // 2])
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -91,8 +93,8 @@ class Block:
         n = len(piece) - self.length + 1
         if n <= 0:
             return empty
-        names = _names(piece)
-        least = _sliding_min(names, self.length - GRAM + 1)
+        names = _names(piece, self.length)
+        least = _sliding_min(names, self.length // 2 + 1)
         fits = np.ones(n, bool)
         ends = self.off[np.searchsorted(self.off, a, side="right") : np.searchsorted(self.off, b + self.length, side="right")] - a
         no = (ends[:, None] - np.arange(1, self.length)).ravel()
@@ -104,7 +106,7 @@ class Block:
             return empty
         stops = np.flatnonzero(fresh | ~fits)
         last = np.append(stops, n)[np.searchsorted(stops, first, side="right")] - 1
-        whole = _pair(_long(names, first, self.length), _long(names, last, self.length)) ^ (last - first).astype(U64)
+        whole = _pair(_whole(names, first, self.length), _whole(names, last, self.length)) ^ (last - first).astype(U64)
         return first + a, last + a, least[first], whole
 
     def windows(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +117,7 @@ class Block:
         for a in range(0, len(self.data), B.RUN_BYTES):
             i, j = np.searchsorted(at, [a, a + B.RUN_BYTES])
             if j > i:
-                out[i:j] = _long(_names(self.data[a : a + B.RUN_BYTES + self.length]), at[i:j] - a, self.length)
+                out[i:j] = _whole(_names(self.data[a : a + B.RUN_BYTES + self.length], self.length), at[i:j] - a, self.length)
         return at, np.repeat(self.doc[units], lens), out
 
 
@@ -194,7 +196,7 @@ def _earlier(table: pa.Table) -> pa.Table:
 
 
 def ask_anchors(table: pa.Table, length: int, shards: int) -> pa.Table:
-    """Offset 16: the distinct anchors of a block, and which of them two of its documents have."""
+    """Half the length: the distinct anchors of a block, and which of them two of its documents have."""
     block = Block(table, length)
     order, first, _ = _groups(block.gram)
     docs = block.doc[order]
@@ -321,7 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must lie from {2 * GRAM} to {4 * GRAM}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n, n_bytes = B.corpus_size(docs)
-    blocks, shards = B.block_count(n_bytes, n), B.shard_count(n_bytes // 16)
+    blocks, shards = B.block_count(n_bytes, n), B.shard_count(n_bytes // 13)
     wide = shards * WINDOW_SHARDS  # of single windows there may be half as many as bytes
     no_id = F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")
     placed = B.range_block(docs, blocks).withColumn("block", F.when(F.col("doc_id").isNull(), no_id).otherwise(F.col("block")))
