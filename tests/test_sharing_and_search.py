@@ -39,7 +39,7 @@ def test_a_reference_of_a_third_of_all_works(spark):
 
 def test_substrings(spark):
     rng = random.Random(1)
-    make = lambda n: "".join(rng.choice("abcd é\n") for _ in range(n))
+    make = lambda n: "".join(rng.choice("abcd é\n𝄞") for _ in range(n))
     texts = [(i, make(rng.randrange(0, 60))) for i in range(200)] + [(999, None), (998, "")]
     words = [(i, make(rng.randrange(0, 6))) for i in range(80)] + [(81, None), (82, "zzz"), (83, "abz")]
     got = search.substring_matches(spark.createDataFrame(words, "query_id int, word string"), spark.createDataFrame(texts, "text_id int, text string"))
