@@ -88,12 +88,6 @@ def term_index(texts: DataFrame) -> DataFrame:
 ABSTRACT_SIGNS, SUGGESTIONS, SUGGESTION_SCORE = 1100, 14, 0.5
 
 
-def shortened(text: Column, most: int = ABSTRACT_SIGNS) -> Column:
-    """A text of more than `most` signs ends at the last blank before, with an ellipsis."""
-    head = F.substring(text, 1, most)
-    return F.when(F.length(text) > most, F.concat(F.when(head.contains(" "), F.regexp_replace(head, r"(?s) [^ ]*$", "")).otherwise(head), F.lit("…"))).otherwise(text)
-
-
 def site_records(resources: DataFrame, ranked: DataFrame, claims: DataFrame) -> DataFrame:
     """What the site reads of each record, with `place` in its order: fields, suggested topics and those further down, claims.
 
@@ -113,7 +107,7 @@ def site_records(resources: DataFrame, ranked: DataFrame, claims: DataFrame) ->
     whole = resources.join(found, F.col("id") == F.col("found"), "left").join(said, F.col("id") == F.col("said"), "left")
     text = F.coalesce(F.nullif("abstract", F.lit("")), blank("description"))
     rows = whole.select(
-        "id", "title", shortened(text).alias("abstract"), F.coalesce("authors", none).alias("authors"), F.coalesce(F.col("published_at").cast("string"), F.lit("")).alias("date"), blank("url").alias("url"), F.col("resource_type").alias("type"),
+        "id", "title", T.truncated(text, ABSTRACT_SIGNS).alias("abstract"), F.coalesce("authors", none).alias("authors"), F.coalesce(F.col("published_at").cast("string"), F.lit("")).alias("date"), blank("url").alias("url"), F.col("resource_type").alias("type"),
         F.lower(blank("doi")).alias("doi"), F.lower(blank("arxiv_id")).alias("arxiv"), blank("repository_url").alias("repo"), F.coalesce("taxonomy_topics", none).alias("current"), F.coalesce("suggested", none).alias("suggested"), F.coalesce("suggested_more", none).alias("suggested_more"),
         F.coalesce("claims", F.array().cast(dict(said.dtypes)["claims"])).alias("claims"), (blank("abstract") == "").alias("_bare"),
     )

@@ -436,10 +436,9 @@ def lookup_urls(spark, d):
     return _t(spark, d, "part").select(k.alias("id"), T.lookup_url(raw).alias("url"), T.short_id(_s("https://openalex.org/W", k, "/")).alias("short"))
 
 
-@query("SELECT p_partkey AS id, 'a-' || p_partkey || '.yml' AS file, CASE WHEN p_size > 9 THEN left('word ' || p_name, 9 - position(' ' IN reverse(left('word ' || p_name, 9)))) || '…' ELSE 'short' END AS brief, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_brand END AS brand FROM part WHERE length(p_name) > 4")
+@query("SELECT p_partkey AS id, 'a-' || p_partkey || '.yml' AS file, CASE WHEN p_size <= 9 THEN 'short' WHEN length(p_name) <= 4 THEN 'word ' || p_name ELSE left('word ' || p_name, 9 - position(' ' IN reverse(left('word ' || p_name, 9)))) || '…' END AS brief, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_brand END AS brand FROM part")
 def small_text_forms(spark, d):
-    part = _t(spark, d, "part").where(F.length("p_name") > 4)
-    return part.select(F.col("p_partkey").alias("id"), filing.record_file(_s("resource:a:", F.col("p_partkey"))).alias("file"), T.truncated(F.when(F.col("p_size") > 9, _s("word ", F.col("p_name"))).otherwise("short"), 9).alias("brief"), T.blank_to_null(F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand"))).alias("brand"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), filing.record_file(_s("resource:a:", F.col("p_partkey"))).alias("file"), T.truncated(F.when(F.col("p_size") > 9, _s("word ", F.col("p_name"))).otherwise("short"), 9).alias("brief"), T.blank_to_null(F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand"))).alias("brand"))
 
 
 _SNAP_INDEX = "a AS (SELECT doc_id AS url, n_chars, doc_id % 9 = 0 AS held FROM documents WHERE doc_id % 7 <> 0)"
