@@ -206,3 +206,10 @@ new_statements:
     assert [list(r.topics) for r in got if r.issue == "2"] == [["1.1", "1.2"]]
     assert {r.issue for r in got if r.problem == "no filing found"} == {"3", "4", "5", "6", "8"}
     assert sorted((r.part, r.problem) for r in got if r.issue == "7") == [("claims", None), ("records", "not a map")]
+
+
+def test_papers(spark):
+    full = '{"paperId":"p1","title":"T","externalIds":{"DOI":"10.1/X","paperid":"other"},"authors":[{"name":"A"},{"name":null}],"references":[{"externalIds":{"ArXiv":"2101.00001"}},{"externalIds":null}]}'
+    bare = '{"paperId":"p2","title":"U"}'
+    got = {r["title"]: r for r in readers.parse_papers(spark.createDataFrame([(full,), (bare,)], "value string")).collect()}
+    assert got["T"]["key"] == "doi:10.1/x" and got["U"]["key"] is None
