@@ -149,7 +149,7 @@ def parse_papers(json: DataFrame) -> DataFrame:
     """Papers of a second source of json(value), with canonical reference keys."""
     p = json.select(F.from_json("value", PAPER).alias("p")).select("p.*")
     refs = F.filter(F.transform("references", lambda r: T.canonical_key(r["externalIds"])), lambda k: k.isNotNull())
-    return p.select(T.canonical_key(F.coalesce("externalIds", F.create_map().cast("map<string,string>"))).alias("key"), "title", "abstract", F.col("publicationDate").alias("publication_date"), F.col("citationCount").alias("citation_count"), F.transform("authors", lambda a: a["name"]).alias("authors"), F.col("paperId").alias("semantic_scholar_id"), F.array_sort(F.array_distinct(refs)).alias("referenced_keys"))
+    return p.select(T.canonical_key(F.coalesce("externalIds", F.create_map().cast("map<string,string>"))).alias("key"), F.coalesce("title", F.lit("")).alias("title"), "abstract", F.col("publicationDate").alias("publication_date"), F.coalesce("citationCount", F.lit(0)).alias("citation_count"), F.coalesce(F.filter(F.transform("authors", lambda a: a["name"]), lambda n: n != ""), F.array().cast("array<string>")).alias("authors"), F.col("paperId").alias("semantic_scholar_id"), F.array_sort(F.array_distinct(refs)).alias("referenced_keys"))
 
 
 def parse_atom(feeds: DataFrame) -> DataFrame:

@@ -213,3 +213,4 @@ def test_papers(spark):
     bare = '{"paperId":"p2","title":"U"}'
     got = {r["title"]: r for r in readers.parse_papers(spark.createDataFrame([(full,), (bare,)], "value string")).collect()}
     assert got["T"]["key"] == "doi:10.1/x" and got["U"]["key"] is None
+    assert list(got["T"]["authors"]) == ["A"] and list(got["U"]["authors"]) == [] and got["U"]["citation_count"] == 0 and list(got["T"]["referenced_keys"]) == ["arxiv:2101.00001"]
