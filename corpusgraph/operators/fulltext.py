@@ -47,7 +47,7 @@ def verbatim(quotes: DataFrame, sources: DataFrame, words: int = 5) -> DataFrame
 
     Both meet by hashes, an equi-join.  A quote's words but the first and the last are whole words of any source that holds
     it: a quote is looked up by `words` of them, or, if it is shorter, by the longest one.  Quotes of one or two words have no such
-    word; they are looked up by the rarest three signs they hold (`search.substring_matches`).  Runs of a source that no
+    word; they are looked up as signs (`search.substring_matches`).  Runs of a source that no
     quote asks for go where they arise, if the asked ones are few enough to be sent there.
     """
     q = quotes.select("quote_id", T.squeezed(F.col("text")).alias("quote")).where("quote <> ''").withColumn("w", F.split("quote", " "))

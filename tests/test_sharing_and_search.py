@@ -50,6 +50,19 @@ def test_substrings(spark):
     assert search.substring_matches(none, spark.createDataFrame(texts, "text_id int, text string")).count() == 0
 
 
+def test_substring_search_writes_the_asked_words_alone(spark, monkeypatch):
+    """Neither texts nor their pieces are written or shuffled; long words, and more words than go at once, are found all the same."""
+    written = []
+    monkeypatch.setattr(search, "staged", lambda df, name: written.append(name) or df)
+    monkeypatch.setattr(search, "SENT_WORDS", 3)
+    long = "x" * 40 + "é𝄞" * 30
+    texts = [(1, long + "y tail"), (2, "a  b\u00a0c"), (3, " edge"), (4, long[:-1])]
+    words = [(k, w) for k, w in enumerate([long, long[3:], " ", "  b", "b\u00a0", " edge", "e", "e ", "?", "y t", "il"])]
+    got = search.substring_matches(spark.createDataFrame(words, "query_id int, word string"), spark.createDataFrame(texts, "text_id int, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((q, t) for q, w in words for t, x in texts if w in x)
+    assert written == ["asked"]
+
+
 def test_quotes_of_any_length(spark):
     rng = random.Random(2)
     words = ["a", "bb", "agent", "agents", "of", "trust"]
