@@ -134,16 +134,18 @@ def _code_point(number: Column) -> Column:
     )
 
 
-def character_references(text: Column) -> Column:
+def character_references(text: Column, closed: bool = False) -> Column:
     """Text with all character references decoded in one pass, named and numeric, with and without a semicolon, as HTML does.
 
     A name that is none is read by its longest beginning that is one without a semicolon; what decodes to & opens no new reference.
+    `closed` leaves those without a semicolon as they stand, such as `&amp` at the end of a text that was cut.
     """
     buckets, bare = _named_references()
     table = F.from_json(F.lit(buckets), "array<map<string,string>>")
     look = lambda name: F.get(table, (F.crc32(name) % NAME_BUCKETS).cast("int"))[name]
-    parsed = lambda p: F.struct(p.alias("p"), F.regexp_extract(p, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0).alias("number"), F.regexp_extract(p, "^[^\\t\\n\\f <&#;]{1,32};?", 0).alias("name"))
-    found = lambda x: F.struct(x["p"].alias("p"), x["number"].alias("number"), x["name"].alias("name"), look(x["name"]).alias("signs"), F.regexp_extract(x["name"], bare, 0).alias("bare"))
+    end = ";" if closed else ";?"
+    parsed = lambda p: F.struct(p.alias("p"), F.regexp_extract(p, "^#(?:[0-9]+|[xX][0-9a-fA-F]+)" + end, 0).alias("number"), F.regexp_extract(p, "^[^\\t\\n\\f <&#;]{1,32}" + end, 0).alias("name"))
+    found = lambda x: F.struct(x["p"].alias("p"), x["number"].alias("number"), x["name"].alias("name"), look(x["name"]).alias("signs"), (F.lit("") if closed else F.regexp_extract(x["name"], bare, 0)).alias("bare"))
     after = lambda p, used: F.substring(p, F.length(used) + 1, F.length(p))
 
     def read(x: Column) -> Column:
@@ -162,9 +164,9 @@ def character_references(text: Column) -> Column:
     return F.transform(F.array(text), decoded)[0]  # the text is a variable here, worked out once
 
 
-def plain_text(fragment: Column) -> Column:
-    """Text of an HTML fragment, with tidy spaces and no empty brackets."""
-    text = character_references(F.regexp_replace(fragment, "<[^>]+>", " "))
+def plain_text(fragment: Column, closed: bool = False) -> Column:
+    """Text of an HTML fragment, with tidy spaces and no empty brackets; `closed` as in character_references."""
+    text = character_references(F.regexp_replace(fragment, "<[^>]+>", " "), closed)
     text = F.trim(F.regexp_replace(text, r"[\s\x1C-\x1F\x85\p{Z}]+", " "))
     text = F.regexp_replace(text, r"\s+([,.;:)\]])", "$1")
     text = F.regexp_replace(text, r"([(\[])\s+", "$1")

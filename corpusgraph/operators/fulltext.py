@@ -10,9 +10,9 @@ from ..functions import text as T
 from .search import substring_matches
 
 
-def html_plain_text(pages: DataFrame) -> DataFrame:
-    """(page_id, plain) of pages(page_id, html)."""
-    return pages.select("page_id", T.plain_text(T.strip_elements(F.coalesce("html", F.lit("")))).alias("plain"))
+def html_plain_text(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """(page_id, plain) of pages(page_id, html); `closed` leaves character references without a semicolon as they stand."""
+    return pages.select("page_id", T.plain_text(T.strip_elements(F.coalesce("html", F.lit(""))), closed).alias("plain"))
 
 
 def sections(pages: DataFrame, heading_class: str = "ltx_title", paragraph_class: str = "ltx_p") -> DataFrame:

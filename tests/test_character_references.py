@@ -26,3 +26,11 @@ def test_every_name_and_every_odd_number(spark):
     texts = [f"&{n}" for n in html5] + [f"&#{n};" for n in [*range(300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFE, 0x10FFFF, 0x110000, 10**30]] + ["&#;", "&#x;", "&#xg;", "&", "", "&&amp;&", "&#00000000000065;", "&#x000041"]
     assert _decoded(spark, texts) == [html.unescape(t) for t in texts]
     assert _decoded(spark, [None]) == [None]
+
+
+def test_closed_references_alone(spark):
+    """The query of pages leaves what was cut before its semicolon; `&amp` at a text's end is none there."""
+    texts = ["a &amp", "b&&amp c", "&ampx;", "&lt;&#39;&#39&notit;", "&copy;&copy &nosuch; &eacute;", "&amp;lt;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r["x"] for r in df.select("i", T.character_references(F.col("t"), closed=True).alias("x")).orderBy("i").collect()]
+    assert got == ["a &amp", "b&&amp c", "&ampx;", "<'&#39&notit;", "©&copy &nosuch; é", "&lt;"]
