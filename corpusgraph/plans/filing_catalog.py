@@ -224,6 +224,18 @@ def thing_records(spark, d):
     return filing.thing_records(asked).select("pos", "id", "repository_url", "license", "open_source", "gaps", "problem", "source_provenance")
 
 
+def _arxiv(k):
+    """The five-digit arXiv id that stands for a number, as people type them: 100,000 to a month, from January 2021 on."""
+    month = F.floor(k / 100_000).cast("long")
+    return F.concat(F.lpad((month / 12 + 21).cast("int").cast("string"), 2, "0"), F.lpad((month % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad((k % 100_000).cast("string"), 5, "0"))
+
+
+def _arxiv_number(ident):
+    """The number that such an id stands for."""
+    part = lambda at, n: F.substring(ident, at, n).cast("long")
+    return ((part(1, 2) - 21) * 12 + part(3, 2) - 1) * 100_000 + part(6, 5)
+
+
 @query(f"""WITH {_PAPERS}, m AS (SELECT pos, id, title, pos % 11 AS z FROM rec) SELECT pos, CASE WHEN z = 1 OR z = 2 OR z = 3 THEN 'refused' WHEN z = 4 THEN 'held' WHEN z = 5 THEN CASE WHEN pos = min(pos) FILTER (z = 5) OVER () THEN 'added' ELSE 'held' END WHEN title IS NULL THEN 'refused' WHEN z = 6 THEN 'held' ELSE 'added' END AS outcome,
 CASE WHEN z = 4 THEN 'resource:held' WHEN z IN (1, 2, 3) THEN NULL WHEN z = 5 THEN 'resource:tool:a-tool' WHEN title IS NOT NULL THEN id END AS id, CASE WHEN z = 1 THEN 'nothing to add' WHEN z = 2 THEN 'not an identifier' WHEN z = 3 THEN 'not taxonomy codes: 99' WHEN z NOT IN (4, 5) AND title IS NULL THEN 'no title' END AS detail FROM m""")
 def process_proposals(spark, d):
@@ -231,13 +243,13 @@ def process_proposals(spark, d):
     z, none = k % 11, F.lit(None).cast("string")
     raw = F.when(z == 1, "").when(z == 2, "none").when(z == 4, "https://held.org/").when(z == 5, "https://tool.org").otherwise(F.when(k % 3 == 0, none).otherwise(_s("10.5555/X", k)))
     works, papers, preprints = _sources(spark, d)
-    # five-digit arXiv ids, as people type them
-    proposals = _t(spark, d, "part").select(k.alias("pos"), F.coalesce(raw, _s("2101.", F.lpad(k.cast("string"), 5, "0"))).alias("identifier"), F.when(z == 5, "A tool").otherwise("").alias("name"), F.when(k % 8 == 0, _s("F", k)).otherwise("").alias("title"), F.lit("does").alias("summary"), F.when(z == 3, "1, 99").otherwise("1").alias("topics"), F.lit("me").alias("author"), F.lit(7).alias("issue"))
-    pad = lambda df: df.withColumn("ident", F.when(F.col("ident").startswith("2101."), _s("2101.", F.lpad(F.substring("ident", 6, 9), 5, "0"))).otherwise(F.col("ident")))
-    there = _t(spark, d, "part").where("p_partkey % 11 = 6").select(F.when(k % 3 == 0, _s("resource:arxiv:2101.", F.lpad(k.cast("string"), 5, "0"))).otherwise(_s("resource:doi:10-5555-x", k)).alias("id"), k.alias("pos"), none.alias("doi"), none.alias("arxiv_id"), none.alias("url"), none.alias("repository_url"))
+    proposals = _t(spark, d, "part").select(k.alias("pos"), F.coalesce(raw, _arxiv(k)).alias("identifier"), F.when(z == 5, "A tool").otherwise("").alias("name"), F.when(k % 8 == 0, _s("F", k)).otherwise("").alias("title"), F.lit("does").alias("summary"), F.when(z == 3, "1, 99").otherwise("1").alias("topics"), F.lit("me").alias("author"), F.lit(7).alias("issue"))
+    pad = lambda df: df.withColumn("ident", F.when(F.col("ident").startswith("2101."), _arxiv(F.substring("ident", 6, 19).cast("long"))).otherwise(F.col("ident")))
+    there = _t(spark, d, "part").where("p_partkey % 11 = 6").select(F.when(k % 3 == 0, _s("resource:arxiv:", _arxiv(k))).otherwise(_s("resource:doi:10-5555-x", k)).alias("id"), k.alias("pos"), none.alias("doi"), none.alias("arxiv_id"), none.alias("url"), none.alias("repository_url"))
     held = spark.range(1).select(F.lit("resource:held").alias("id"), F.lit(-1).cast("long").alias("pos"), none.alias("doi"), none.alias("arxiv_id"), F.lit("https://HELD.org").alias("url"), none.alias("repository_url"))
     out = filing.process(proposals, there.unionByName(held), _topics(spark, d), pad(works), pad(papers), pad(preprints)).drop("record")
-    return out.withColumn("id", F.regexp_replace("id", r"2101\.0*(\d)", "2101.$1"))
+    typed = F.regexp_extract("id", r"^resource:arxiv:(\d{4}\.\d{5})$", 1)
+    return out.withColumn("id", F.when(typed != "", _s("resource:arxiv:2101.", _arxiv_number(typed))).otherwise(F.col("id")))
 
 
 def _seeds(spark, d):

@@ -159,3 +159,20 @@ def test_seeds_under_unknown_topics_stop_the_run(spark):
         filing.expand_seeds(papers, dois, platforms, held, topics)
     got = {r["id"]: r for r in filing.expand_seeds(papers, dois, platforms, held).collect()}
     assert set(got) == {"resource:arxiv:2101.1", "resource:doi:10-1-a_b"} and got["resource:arxiv:2101.1"]["description"] == "note" and got["resource:doi:10-1-a_b"]["facets"] == {"artifact_type": ["peer-reviewed-paper"]}
+
+
+def test_proposals_with_numbers_of_six_digits(spark, tmp_path):
+    """The query and its SQL agree where the parts' numbers pass five digits, and those of a year's months."""
+    import duckdb
+
+    from corpusgraph.plans import catalog, filing_catalog  # noqa: F401
+
+    small = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (k AS p_partkey) FROM '{small}/part.parquet', (SELECT unnest(range(99985, 100015) || range(1199985, 1200015)) AS k) WHERE p_partkey = 1) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    for t in ("region", "nation"):
+        con.execute(f"COPY (FROM '{small}/{t}.parquet') TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got = catalog.QUERIES["process_proposals"](spark, str(tmp_path)).select("pos", "outcome", "id", "detail").collect()
+    want = con.execute(f"SELECT pos, outcome, id, detail FROM ({catalog.ORACLES['process_proposals']})").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
