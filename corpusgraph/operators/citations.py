@@ -1,7 +1,7 @@
 """Citation analysis over refs(id, ref): coupling, co-citation, held citations, connectivity.
 
-Pairs that share `min_shared` items meet by a prefix-filtered join (`sharing_pairs`): a reference that a third of all works
-cite makes no candidates by itself, and what is left of a frequent one is dealt to pairs of chunks.
+Pairs that share `min_shared` items meet by a rare item, or by two frequent ones (`sharing_pairs`): a reference that a third of all works
+cite makes no candidates by itself, and what a key has many of is dealt to pairs of chunks.
 """
 
 from __future__ import annotations
@@ -13,16 +13,18 @@ from ..functions.staging import staged
 
 #: Members of an item that one task pairs with each other.
 CHUNK = 2_000
+#: Items of a set whose twos are made.
+LIGHT = 64
 
 
-def sharing_pairs(members: DataFrame, min_shared: int = 2, chunk: int = CHUNK) -> DataFrame:
+def sharing_pairs(members: DataFrame, min_shared: int = 2, chunk: int = CHUNK, light: int = LIGHT) -> DataFrame:
     """(source, target, shared, n_source, n_target): sets of members(id, item) with source < target that share `min_shared` items or more, exactly.
 
-    Items are ordered by how many sets hold them.  Of the items that two such sets share the rarest has min_shared - 1
-    more frequent shared ones in both, so it stays when each set leaves out its min_shared - 1 most frequent items:
-    only the others make candidates.  An item with more than `chunk` sets is dealt to tasks, one for each pair of its
-    chunks.  A candidate that shares too few of those others is compared in full only if, by a signature of 64 bits,
-    an item left out may be in the other set.
+    An item that few sets hold, no more than a set has items on the average, makes a pair of each two of them.  The sets of a
+    frequent item meet by two frequent items that they share, so it makes no pairs of sets that share nothing else; a
+    set of more than `light` items, which holds too many twos, meets the others of its frequent items one by one.  What is met is
+    counted, and the count is exact: of m frequent items shared, m (m - 1) / 2 twos meet.  Only a pair that met by rare items alone may share one frequent item more;
+    it is compared in full if its signatures of 64 bits overlap.  A key with more than `chunk` sets is dealt to tasks, one for each pair of its chunks.
     """
     if min_shared < 1:
         raise ValueError("min_shared must be at least 1")
@@ -30,25 +32,64 @@ def sharing_pairs(members: DataFrame, min_shared: int = 2, chunk: int = CHUNK) -
     often = own.groupBy("item").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("item").alias("often"), "k")
     # every set with its items that others hold too, rarest first, and the number of all
     known = own.join(often, F.col("item") == F.col("often"), "left")
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
     sets = known.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "item")))).alias("x")).where(F.size("x") >= min_shared)
-    kept = F.size("x") - (min_shared - 1)
-    last = F.slice("x", kept + 1, min_shared - 1) if min_shared > 1 else F.slice("x", 1, 0)
-    sets = staged(sets.select("id", "n", F.transform("x", lambda e: e["item"]).alias("items"), F.slice("x", 1, kept).alias("prefix"), F.aggregate("x", F.lit(0).cast("long"), lambda a, e: a.bitwiseOR(bit(e["item"]))).alias("sign"), F.aggregate(last, F.lit(0).cast("long"), lambda a, e: a.bitwiseOR(bit(e["item"]))).alias("left_out")), "sets")
-    rows = sets.select("id", "sign", "left_out", F.explode("prefix").alias("p")).select("id", "sign", "left_out", F.col("p.item").alias("item"), F.ceil(F.col("p.k") / chunk).cast("int").alias("chunks"))
-    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("id", "sign", "left_out", "item", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    a, b = (rows.select("item", "lo", "hi", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "mine", "sign", "left_out")]) for s in "ab")
-    met = a.join(b, ["item", "lo", "hi"]).where("mine_a = lo and mine_b = hi and (lo < hi or id_a < id_b)")
-    up = F.col("id_a") < F.col("id_b")
-    may = (F.col("left_out_a").bitwiseAND(F.col("sign_b")) != 0) | (F.col("left_out_b").bitwiseAND(F.col("sign_a")) != 0)
-    pairs = met.groupBy(F.when(up, F.col("id_a")).otherwise(F.col("id_b")).alias("source"), F.when(up, F.col("id_b")).otherwise(F.col("id_a")).alias("target")).agg(F.count(F.lit(1)).alias("met"), F.first(may).alias("may"))
-    asked = pairs.where((F.col("met") >= min_shared) | F.col("may")).select("source", "target")
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("items").alias(f"items_{s}"))
-    whole = asked.join(side("source"), "source").join(side("target"), "target")
-    shared = F.size(F.array_intersect("items_source", "items_target")).cast("long")
-    return whole.select("source", "target", shared.alias("shared"), "n_source", "n_target").where(F.col("shared") >= min_shared)
+    sets = staged(sets, "sets")
+    size = F.size("x").cast("double")
+    few = sets.where(F.size("x") <= light).agg((F.sum(size * size) / F.sum(size)).alias("mean")).head()["mean"] or 0.0
+    limit = F.lit(few if min_shared > 1 else float("inf"))
+    frequent = F.filter("x", lambda e: e["k"] > limit)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    sets = sets.select("id", "n", "x", frequent.alias("often"), (F.size("x") > light).alias("heavy"))
+    kinds = sets.agg(F.bool_or(F.size("often") > 0).alias("often"), F.bool_or(F.size("often") < F.size("x")).alias("rare"), F.bool_or(F.col("heavy") & (F.size("often") > 0)).alias("heavy")).head()
+    chunks = lambda n: F.ceil(n / chunk).cast("int")
+    dealt = lambda df: df.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    met = []
+
+    def add(pairs: DataFrame, rare: int, may) -> None:
+        up = F.col("id_a") < F.col("id_b")
+        met.append(pairs.select(F.when(up, F.col("id_a")).otherwise(F.col("id_b")).alias("source"), F.when(up, F.col("id_b")).otherwise(F.col("id_a")).alias("target"), F.lit(rare).alias("one"), may.alias("may")))
+
+    def each_two(rows: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
+        """Each two rows of a key, once; rows(id, *keys, chunks, *more)."""
+        rows = dealt(rows).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rows = rows.select("id", *keys, *more, "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+        a, b = (rows.select(*keys, "lo", "hi", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "mine", *more)]) for s in "ab")
+        # merged: rows are many times larger than the file that Spark judges their size by
+        return a.join(b.hint("merge"), [*keys, "lo", "hi"]).where("mine_a = lo and mine_b = hi and (lo < hi or id_a < id_b)")
+
+    if kinds["rare"]:
+        sign = F.when(F.col("heavy"), F.lit(0).cast("long")).otherwise(F.aggregate("often", F.lit(0).cast("long"), lambda s, e: s.bitwiseOR(bit(e["item"]))))
+        rows = sets.select("id", sign.alias("sign"), F.explode(F.filter("x", lambda e: e["k"] <= limit)).alias("e")).select("id", "sign", "e.item", chunks(F.col("e.k")).alias("chunks"))
+        add(each_two(rows, ["item"], ["sign"]), 1, F.col("sign_a").bitwiseAND(F.col("sign_b")) != 0)
+    if kinds["often"]:
+        two = F.flatten(F.transform("often", lambda e, i: F.transform(F.slice("often", i + 2, F.size("often")), lambda f: F.struct(e["k"].alias("k"), e["item"].alias("item"), f["item"].alias("next")))))
+        rows = sets.where("not heavy").select("id", F.explode(two).alias("e")).select("id", "e.*")
+        # only a two whose rarer item has more than `chunk` sets may have so many
+        many = rows.where(F.col("k") > chunk)
+        hot = many.groupBy("item", "next").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > chunk)
+        rows = rows.where(F.col("k") <= chunk).select("id", "item", "next", F.lit(1).alias("chunks")).unionByName(many.join(hot, ["item", "next"], "left").select("id", "item", "next", F.coalesce(chunks(F.col("c")), F.lit(1)).alias("chunks")))
+        add(each_two(rows, ["item", "next"], []), 0, F.lit(False))
+    if kinds["heavy"]:
+        rows = dealt(sets.select("id", "heavy", F.explode("often").alias("e")).select("id", "heavy", "e.item", chunks(F.col("e.k")).alias("chunks")))
+        large = rows.where("heavy").select("item", F.col("id").alias("id_a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("mine"))
+        add(large.join(rows.select("item", "mine", F.col("id").alias("id_b"), "heavy"), ["item", "mine"]).where("not heavy or id_a < id_b"), 1, F.lit(False))
+    if not met:
+        return sets.select(F.col("id").alias("source"), F.col("id").alias("target"), F.col("n").alias("shared"), F.col("n").alias("n_source"), F.col("n").alias("n_target")).limit(0)
+    events = met[0]
+    for more in met[1:]:
+        events = events.unionByName(more)
+    pairs = events.groupBy("source", "target").agg(F.sum("one").alias("ones"), F.count_if(F.col("one") == 0).alias("twos"), F.bool_or("may").alias("may"))
+    of_twos = F.when(F.col("twos") > 0, F.round((1 + F.sqrt(1 + 8 * F.col("twos"))) / 2).cast("long")).otherwise(F.lit(0).cast("long"))
+    open_ = F.col("may") & (F.col("twos") == 0)
+    counted = pairs.select("source", "target", (F.col("ones") + of_twos).alias("shared"), open_.alias("open")).where((F.col("shared") >= min_shared) | (F.col("open") & (F.col("shared") >= min_shared - 1)))
+    side = lambda s, *c: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(x).alias(f"{x}_{s}") for x in c])
+    known = lambda df, *c: df.join(side("source", *c), "source").join(side("target", *c), "target")
+    if not (kinds["rare"] and kinds["often"]):
+        return known(counted).select("source", "target", "shared", "n_source", "n_target")
+    counted = staged(counted, "counted")
+    shared = F.col("shared") + F.size(F.array_intersect("often_source", "often_target"))
+    compared = known(counted.where("open"), "often").select("source", "target", shared.alias("shared"), "n_source", "n_target").where(F.col("shared") >= min_shared)
+    return known(counted.where("not open")).select("source", "target", "shared", "n_source", "n_target").unionByName(compared)
 
 
 def bibliographic_coupling(refs: DataFrame, min_shared: int = 2) -> DataFrame:

@@ -37,6 +37,18 @@ def test_a_reference_of_a_third_of_all_works(spark):
     assert "BroadcastNestedLoopJoin" not in joined and "CartesianProduct" not in joined
 
 
+def test_pairs_that_meet_by_rare_and_frequent_items(spark):
+    """Rare items, twos of frequent ones, sets of many items and keys of many sets together give the exact counts."""
+    rng = random.Random(7)
+    sets = {k: {f"rare{rng.randrange(60)}" for _ in range(rng.randrange(4))} | {f"often{int(rng.random() ** 2 * 12)}" for _ in range(rng.randrange(5))} for k in range(120)}
+    sets |= {k: {f"often{i}" for i in range(12)} | {f"rare{i}" for i in range(k % 7, 60, 7)} for k in range(200, 206)}
+    rows = [(k, i) for k, x in sets.items() for i in x]
+    for least in (1, 2, 3):
+        got = citations.sharing_pairs(spark.createDataFrame(rows, "id int, item string"), least, chunk=9, light=8)
+        want = [(a, b, n, len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and (n := len(sets[a] & sets[b])) >= least]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_substrings(spark):
     rng = random.Random(1)
     make = lambda n: "".join(rng.choice("abcd é\n𝄞") for _ in range(n))
