@@ -39,8 +39,11 @@ class TopicIndex:
         return asked.join(self.weights, "term").groupBy("id", "code").agg(F.round(F.sum("weight"), 6).alias("score"))
 
     def matched(self, texts: DataFrame, most: int = 6) -> DataFrame:
-        """(id, code, matched): the rarest shared terms."""
-        asked = _terms(texts).select("id", F.explode(F.array_distinct("t")).alias("term"))
+        """(id, code, matched): the rarest shared terms.
+
+        Texts are dealt by id, which is less than all the terms that they share with topics: these are gathered in place.
+        """
+        asked = _terms(texts.repartition("id")).select("id", F.explode(F.array_distinct("t")).alias("term"))
         both = asked.join(self.weights, "term").groupBy("id", "code").agg(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("i"), "term"))).alias("m"))
         return both.select("id", "code", F.slice(F.transform("m", lambda x: x["term"]), 1, most).alias("matched"))
 
@@ -109,14 +112,19 @@ def search_records(records: DataFrame, term: str, limit: int | None = 10) -> Dat
 MIRROR_WORD = 4
 
 
-def mirror_matches(need: DataFrame, mirror: DataFrame) -> DataFrame:
+def mirror_matches(need: DataFrame, mirror: DataFrame, first: int | None = None) -> DataFrame:
     """(need, entry) of need(id, text) and mirror(entry, name, description): entries whose name or description contains a word of the need.
 
+    `first` keeps, of each word, the first entries by (pos, entry as text): the first ones of a need are among those of its words.
     Words are what stands between white space, in lower case, of MIRROR_WORD signs or more; they are found inside other words too.
     """
     words = need.select("id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"))).alias("word")).where(F.length("word") >= MIRROR_WORD)
     told = mirror.select(F.col("entry").alias("text_id"), F.lower(F.concat(F.coalesce("name", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit("")))).alias("text"))
     found = substring_matches(words.select(F.col("word").alias("query_id"), "word").distinct(), told)
+    if first is not None:
+        order = Window.partitionBy("query_id").orderBy("pos", F.col("text_id").cast("string"))
+        at = mirror.select(F.col("entry").alias("text_id"), "pos").groupBy("text_id").agg(F.min("pos").alias("pos"))
+        found = found.join(at, "text_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= first)
     return words.join(found, F.col("word") == F.col("query_id")).select(F.col("id").alias("need"), F.col("text_id").alias("entry")).distinct()
 
 
@@ -133,7 +141,7 @@ def tools_for(index: TopicIndex, need: DataFrame, resources: DataFrame, mirror:
     filed = resources.select(F.col("id").cast("string").alias("id"), "pos", kind.alias("kind"), F.explode("taxonomy_topics").alias("topic"))
     found = filed.join(topics.select("need", "topic"), "topic").select("need", "kind", "pos", "id").distinct()
     if mirror is not None:
-        told = mirror_matches(need, mirror).join(topics.select("need").distinct(), "need", "left_semi").join(mirror.select("entry", "pos"), "entry")
+        told = mirror_matches(need, mirror, limit).join(topics.select("need").distinct(), "need", "left_semi").join(mirror.select("entry", "pos"), "entry")
         found = found.unionByName(told.select("need", F.lit("unassessed").alias("kind"), "pos", F.col("entry").cast("string").alias("id")))
     place = F.row_number().over(Window.partitionBy("need", "kind").orderBy("pos", "id"))
     first = found.withColumn("place", place).where(F.col("place") <= limit).select("need", "kind", "place", "id")
