@@ -113,3 +113,18 @@ def test_tools_for_a_need(spark):
     got = {k: [r["id"] for r in sorted(rows, key=lambda r: r["place"]) if r["kind"] == k and r["need"] == 1] for k in ("tool", "paper", "unassessed")}
     assert got == {"tool": ["11", "9", "7"], "paper": ["10", "8", "6"], "unassessed": ["2", "1"]}
     assert any(r["kind"] == "topic" and r["id"] == "2.10" for r in rows) and not [r for r in rows if r["need"] == 2]
+
+
+def test_the_first_entries_of_each_word_are_enough(spark):
+    need = spark.createDataFrame([(1, "spend budget"), (2, "budget")], "id int, text string")
+    mirror = spark.createDataFrame([(k, 50 - k, "budget" if k % 3 else "spending", None) for k in range(40)], "entry int, pos int, name string, description string")
+    got = sorted(map(tuple, retrieval.mirror_matches(need, mirror, 2).collect()))
+    assert got == sorted([(1, 38), (1, 37), (1, 39), (1, 36), (2, 38), (2, 37)])
+
+
+def test_matched_terms_are_gathered_in_place(spark):
+    """Texts are dealt by id, and nothing is dealt by id and code after them."""
+    asked = spark.createDataFrame([(1, "spend caps and budgets"), (2, "audit of agents")], "id int, text string")
+    got = retrieval.TopicIndex(_index(spark)).matched(asked)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and {(r["id"], r["code"]) for r in got.collect()} >= {(1, "1"), (2, "2")}
