@@ -157,7 +157,7 @@ def parse_atom(feeds: DataFrame) -> DataFrame:
     e = feeds.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<entry>(.*?)</entry>"), F.lit(1))).alias("e"))
     tag = lambda t: T.plain_text(F.regexp_extract("e", f"(?s)<{t}[^>]*>(.*?)</{t}>", 1))
     ident = F.regexp_replace(F.regexp_extract(tag("id"), r"abs/(.+)$", 1), r"v\d+$", "")
-    return e.select(ident.alias("arxiv_id"), tag("title").alias("title"), F.transform(F.regexp_extract_all("e", F.lit(r"(?s)<name>(.*?)</name>"), F.lit(1)), T.plain_text).alias("authors"), tag("summary").alias("abstract"), F.substring(tag("published"), 1, 10).alias("published"))
+    return e.select(ident.alias("arxiv_id"), tag("title").alias("title"), F.transform(F.regexp_extract_all("e", F.lit(r"(?s)<name>(.*?)</name>"), F.lit(1)), lambda x: T.plain_text(x)).alias("authors"), tag("summary").alias("abstract"), F.substring(tag("published"), 1, 10).alias("published"))
 
 
 def parse_tool_tables(lines: DataFrame) -> DataFrame:
